@@ -51,3 +51,13 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 def held_out(doc_id: Column) -> Column:
     """True for the fold that no model may learn labels from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread: Column, salts: int = 16) -> DataFrame:
+    """left LEFT JOIN right on key, right having one row for each key: a hot key's rows go to `salts` tasks.
+
+    The small side is copied once for each salt; `spread` is any column of left that differs within a key.
+    """
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [key, "_salt"], "left").drop("_salt")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from folioflow.llm import sentencepiece_codec
+from folioflow.llm import media, sentencepiece_codec, sharding, url_rules
 
 QUERIES = {
+    "op1_url_rules": url_rules.op1,
+    "op2_sharding": sharding.op2,
     "op4_sentencepiece": sentencepiece_codec.op4,
+    "op7_media": media.op7,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_sharding": sharding.op2_sql(),
+}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from folioflow.llm import media, secrets, sentencepiece_codec, sharding, url_rules
+from folioflow.llm import language_id, media, secrets, sentencepiece_codec, sharding, url_rules
 
 QUERIES = {
     "op1_url_rules": url_rules.op1,
     "op2_sharding": sharding.op2,
+    "op3_language_id": language_id.op3,
     "op4_sentencepiece": sentencepiece_codec.op4,
     "op5_secrets": secrets.op5,
     "op7_media": media.op7,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import language_id, media, near_dups, secrets, sentencepiece_codec, sharding, url_rules
+from folioflow.llm import language_id, media, near_dups, secrets, sentencepiece_codec, sharding, toxicity, url_rules
 
 QUERIES = {
     "op1_url_rules": url_rules.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_secrets": secrets.op5,
     "op7_media": media.op7,
     "op9_near_dups": near_dups.op9,
+    "op10_toxicity": toxicity.op10,
 }
 
 ORACLES: dict[str, str] = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import language_id, media, near_dups, secrets, sentencepiece_codec, sharding, toxicity, url_rules
+from folioflow.llm import language_id, media, near_dups, secrets, sentencepiece_codec, sharding, substring_dedup, toxicity, url_rules
 
 QUERIES = {
     "op1_url_rules": url_rules.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sentencepiece": sentencepiece_codec.op4,
     "op5_secrets": secrets.op5,
     "op7_media": media.op7,
+    "op8_substring_dedup": substring_dedup.op8,
     "op9_near_dups": near_dups.op9,
     "op10_toxicity": toxicity.op10,
 }

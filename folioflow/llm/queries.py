@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import language_id, media, near_dups, secrets, sentencepiece_codec, sharding, substring_dedup, toxicity, url_rules
+from folioflow.llm import decontaminate, language_id, media, near_dups, secrets, sentencepiece_codec, sharding, substring_dedup, toxicity, url_rules
 
 QUERIES = {
     "op1_url_rules": url_rules.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language_id": language_id.op3,
     "op4_sentencepiece": sentencepiece_codec.op4,
     "op5_secrets": secrets.op5,
+    "op6_decontaminate": decontaminate.op6,
     "op7_media": media.op7,
     "op8_substring_dedup": substring_dedup.op8,
     "op9_near_dups": near_dups.op9,

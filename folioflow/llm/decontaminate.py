@@ -59,27 +59,33 @@ class Items:
     grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # length -> sorted hash, item, place, filter
     codes: np.ndarray  # sorted hashes of (walk, item length, sampled outputs)
     code_item: np.ndarray
-    plans: list  # (odd multipliers of the steps, sampled times as shares of the walk)
-
-
-def walks(values: np.ndarray, start: np.ndarray, n: np.ndarray, plan) -> np.ndarray:
-    """Hash of the sampled outputs of the walk over values[start : start + n], for each window."""
-    odd, share = plan
-    times = np.sort((share[None, :] * (3 * n[:, None])).astype(np.int64), axis=1)
+    plans: tuple[np.ndarray, np.ndarray]  # for each walk: odd multipliers of its steps, sampled times as shares of it
+
+
+def walks(values: np.ndarray, start: np.ndarray, n: np.ndarray, plans: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """(walks x windows) hash of the sampled outputs of each walk over values[start : start + n]."""
+    odd, share = plans
+    repeats, windows = len(odd), len(start)
+    if not windows:
+        return np.zeros((repeats, 0), dtype=np.uint64)
+    which = np.repeat(np.arange(repeats), windows)
+    start, n = np.tile(start, repeats), np.tile(n, repeats)
+    times = np.sort((share[which] * (3 * n[:, None])).astype(np.int64), axis=1)
     order = np.argsort(-times[:, -1], kind="stable")  # the walks that go on stand in front
-    times, start, n = times[order], start[order], n[order]
-    alive = np.searchsorted(-times[:, -1], -np.arange(int(times[0, -1]) + 1), side="right") if len(start) else []
-    at, code, kept = np.zeros(len(start), dtype=np.int64), n.astype(np.uint64) * _FOLD, np.zeros(len(start), dtype=np.int64)
+    which, times, start, n = which[order], times[order], start[order], n[order]
+    alive = np.searchsorted(-times[:, -1], -np.arange(int(times[0, -1]) + 1), side="right")
+    at, code = np.zeros(len(start), dtype=np.int64), n.astype(np.uint64) * _FOLD
     inside = len(values) - 1
-    for t, m in enumerate(alive):
+    for t, m in enumerate(alive.tolist()):
         here = at[:m]
         word = np.where(here < n[:m], values[np.minimum(start[:m] + here, inside)], PAD)
         for k in range(times.shape[1]):
             due = np.flatnonzero(times[:m, k] == t)
             code[due] = (code[due] ^ word[due]) * _FOLD + np.uint64(k + 1)
-        here += ((word * odd[t]) >> np.uint64(63)).astype(np.int64)
-    kept[order] = np.arange(len(order))
-    return mix(code)[kept]
+        here += ((word * odd[which[:m], t]) >> np.uint64(63)).astype(np.int64)
+    out = np.empty(len(order), dtype=np.uint64)
+    out[order] = mix(code) ^ which.astype(np.uint64)
+    return out.reshape(repeats, windows)
 
 
 def make_items(rows: list[tuple[int, str | None]], seed: int = 11) -> Items | None:
@@ -102,9 +108,9 @@ def make_items(rows: list[tuple[int, str | None]], seed: int = 11) -> Items | No
         seen[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         grams[q] = (h[order], item[order], place[order], seen)
     rng = np.random.default_rng(seed)
-    plans = [(rng.integers(1, 1 << 63, size=3 * int(n.max()) + 1, dtype=np.uint64) | np.uint64(1), rng.random(SAMPLED)) for _ in range(REPEATS)]
+    plans = (rng.integers(1, 1 << 63, size=(REPEATS, 3 * int(n.max()) + 1), dtype=np.uint64) | np.uint64(1), rng.random((REPEATS, SAMPLED)))
     flat, begin = np.concatenate(words), np.concatenate([[0], np.cumsum(n)])[:-1]
-    codes = np.concatenate([walks(flat, begin, n, p) ^ np.uint64(r) for r, p in enumerate(plans)])
+    codes = walks(flat, begin, n, plans).ravel()
     order = np.argsort(codes, kind="stable")
     return Items(np.array([rows[i][0] for i in some], dtype=object), words, grams, codes[order], np.tile(np.arange(len(words)), REPEATS)[order], plans)
 
@@ -161,12 +167,9 @@ def candidates(items: Items, value: np.ndarray, first: np.ndarray) -> tuple[np.n
     start, size = pairs >> 20, pairs & ((1 << 20) - 1)
     fit = start + size <= len(value)
     start, size = start[fit], size[fit]
-    found = []
-    for r, plan in enumerate(items.plans):
-        code = walks(value, start, size, plan) ^ np.uint64(r)
-        owner, k = _spread(np.searchsorted(items.codes, code, "left"), np.searchsorted(items.codes, code, "right"))
-        found.append(start[owner] * (1 << 24) + items.code_item[k])
-    both = np.unique(np.concatenate(found))
+    code = walks(value, start, size, items.plans).ravel()
+    owner, k = _spread(np.searchsorted(items.codes, code, "left"), np.searchsorted(items.codes, code, "right"))
+    both = np.unique(start[owner % max(1, len(start))] * (1 << 24) + items.code_item[k])
     return both >> 24, both & ((1 << 24) - 1)
 
 
@@ -202,7 +205,7 @@ def matches(items: Items, texts: list[str | None]) -> list[tuple[int, int, int,
 def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item_id, edits, first_word, end_word): one row for each text that holds a benchmark item."""
     spark = df.sparkSession
-    small_batches(spark)
+    small_batches(spark, 1000)
     items = [(r[0], r[1]) for r in benchmark.select(item_key, item_text).where(F.col(item_text).isNotNull()).toLocalIterator()]
     out = None
     schema = f"key {df.schema[key].dataType.simpleString()}, item_id {benchmark.schema[item_key].dataType.simpleString()}, edits int, first_word int, end_word int"
@@ -225,7 +228,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 def clean(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of df whose text holds no benchmark item; one pass in place, no shuffle for one block of items."""
     spark = df.sparkSession
-    small_batches(spark)
+    small_batches(spark, 1000)
     items = [(r[0], r[1]) for r in benchmark.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator()]
     place = df.columns.index(text)
     for i in range(0, len(items), BLOCK_ITEMS):

@@ -7,8 +7,10 @@ them; hence they share one among the COORDINATES - MATCHES + 1 tokens that are r
 coordinates are confirmed on the full shingle sets.
 
 All pairs of a group are never written. Documents with equal sets are one class. Within a token's list
-every class is first compared with one hub; the links give components. What is still apart after that is
-compared across components only, so no link that joins two components is lost.
+every class is first compared with one hub, the class whose tokens are the commonest; the links give
+components. What is apart from the hub's component is compared with a second hub, and what is then still
+apart with whatever an exact prefix filter on the full sets leaves in other components. So no link that
+joins two components is lost.
 
 Defined results: a text without words (also a null one) has an empty set, is linked with nothing and is
 its own component; fewer words than a shingle make one shingle of the whole sequence; rows with equal
@@ -77,14 +79,17 @@ def signatures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(token, id, n) of the prefix tokens that at least two classes hold; classes have id, n, tokens."""
+    """(token, id, n, weight) of the prefix tokens that at least two classes hold; classes have id, n, tokens.
+
+    weight is how often the class's tokens occur: in a group of copies it is greatest near the middle.
+    """
     each = classes.select("id", "n", F.explode("tokens").alias("token"))
     shared = each.groupBy("token").agg(F.count("*").alias("cnt")).where("cnt > 1")
     held = each.join(shared, "token")
     prefix = COORDINATES - MATCHES + 1
-    ranked = held.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("cnt", "token"))).alias("t"))  # at most COORDINATES
+    ranked = held.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("cnt", "token"))).alias("t"), F.sum("cnt").alias("weight"))  # at most COORDINATES
     room = F.lit(prefix - COORDINATES) + F.size("t")
-    return ranked.where(room > 0).select("id", "n", F.explode(F.slice("t", F.lit(1), room)).alias("t")).select("t.token", "id", "n")
+    return ranked.where(room > 0).select("id", "n", "weight", F.explode(F.slice("t", F.lit(1), room)).alias("t")).select("t.token", "id", "n", "weight")
 
 
 def _sized(a: str, b: str):
@@ -92,23 +97,39 @@ def _sized(a: str, b: str):
     return (F.col(a) * THRESHOLD <= F.col(b) * 100) & (F.col(b) * THRESHOLD <= F.col(a) * 100)
 
 
-def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in MATCHES coordinates."""
-    sig = classes.select("id", "tokens")
-    both = salted_left_join(pairs, sig.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a", F.col("b"))
-    both = salted_left_join(both, sig.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b", F.col("a"))
-    same = F.size(F.filter(F.zip_with("ta", "tb", lambda x, y: x == y), lambda x: x))
-    return both.where(same >= MATCHES).select("a", "b")
+def _of_class(found: DataFrame) -> DataFrame:
+    """One text for each class: of rows that share an id, those whose own set is the class's."""
+
+    def run(batches):
+        for batch in batches:
+            t = batch.column(1).to_pylist()
+            keys = [hashlib.md5(s.tobytes()).hexdigest() for s in shingle_sets(t)]
+            keep = pa.array([k == w for k, w in zip(keys, batch.column(2).to_pylist(), strict=True)], type=pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["id", "text"]).filter(keep)
+
+    return found.select("id", "text", "set_key").mapInArrow(run, "id long, text string").dropDuplicates(["id"])
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold; docs has key, text."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = needed.join(classes.select("id", "label", "set_key"), "id").select("id", "set_key", F.coalesce(F.col("label").cast("string"), F.lit("\0null")).alias("name"))
+def candidates(posts: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, tokens, text) of the classes that share a prefix token; the only time whole texts are dealt out."""
+    wanted = posts.select("id").distinct().join(classes.select("id", "label", "set_key", "tokens"), "id")
     named = docs.select(F.coalesce(F.col("key").cast("string"), F.lit("\0null")).alias("name"), "text")
-    texts = written(_of_class(named.join(wanted, "name")), "near-dup-texts")
-    both = salted_left_join(pairs, texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a", F.col("b"))
-    both = salted_left_join(both, texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b", F.col("a"))
+    texts = _of_class(named.join(wanted.select("id", "set_key", F.coalesce(F.col("label").cast("string"), F.lit("\0null")).alias("name")), "name"))
+    return written(texts.join(wanted.select("id", "tokens"), "id"), "near-dup-candidates")
+
+
+def _attach(pairs: DataFrame, cands: DataFrame, column: str, side: str, other: str) -> DataFrame:
+    """The column of one side's class; only classes that occur there are copied for the salts."""
+    used = cands.select(F.col("id").alias(side), F.col(column).alias(f"{column}_{side}")).join(pairs.select(side).distinct(), side, "left_semi")
+    return salted_left_join(pairs, used, side, F.col(other))
+
+
+def confirmed(pairs: DataFrame, cands: DataFrame) -> DataFrame:
+    """The pairs (a, b) that agree in MATCHES coordinates and whose full shingle sets reach the threshold."""
+    both = _attach(_attach(pairs, cands, "tokens", "a", "b"), cands, "tokens", "b", "a")
+    same = F.size(F.filter(F.zip_with("tokens_a", "tokens_b", lambda x, y: x == y), lambda x: x))
+    agreeing = written(both.where(same >= MATCHES).select("a", "b"), "near-dup-agreeing")
+    texts = _attach(_attach(agreeing, cands, "text", "a", "b"), cands, "text", "b", "a")
 
     def run(batches):
         for batch in batches:
@@ -119,20 +140,43 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
                 keep.append(common > 0 and 100 * common >= THRESHOLD * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return written(texts.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "near-dup-links")
 
 
-def _of_class(found: DataFrame) -> DataFrame:
-    """One text for each class: of rows that share an id, those whose own set is the class's."""
+def starred(posts: DataFrame) -> DataFrame:
+    """(a, b): in each token's list the heaviest class against the others; posts have token, id, n, weight."""
+    hubs = posts.groupBy("token").agg(F.max_by(F.struct(F.col("id").alias("a"), F.col("n").alias("an")), F.struct("weight", -F.col("id"))).alias("h")).select("token", "h.a", "h.an")
+    met = salted_left_join(posts, hubs, "token", F.col("id")).where((F.col("id") != F.col("a")) & _sized("n", "an"))
+    return met.select("a", F.col("id").alias("b")).distinct()
+
+
+def prefix_pairs(open_: DataFrame, cands: DataFrame) -> DataFrame:
+    """(a, b) of different components that share a shingle early enough, in a common order by rarity, to reach the threshold.
+
+    open_ has id, comp, n. The prefix filter on the full sets is exact, and sharp: a copy with more edits of
+    its own than the threshold allows has only rare shingles in its prefix and meets nobody.
+    """
 
     def run(batches):
         for batch in batches:
-            t = batch.column(1).to_pylist()
-            keys = [hashlib.md5(s.tobytes()).hexdigest() for s in shingle_sets(t)]
-            keep = pa.array([k == w for k, w in zip(keys, batch.column(2).to_pylist(), strict=True)], type=pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["id", "text"]).filter(keep)
-
-    return found.select("id", "text", "set_key").mapInArrow(run, "id long, text string").dropDuplicates(["id"])
+            sets = shingle_sets(batch.column(1).to_pylist())
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            flat = np.concatenate(sets) if len(sets) else np.zeros(0, dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], names=["id", "set"])
+
+    sets = written(cands.select("id", "text").join(open_.select("id"), "id", "left_semi").mapInArrow(run, "id long, set array<long>"), "near-dup-sets")
+    each = sets.select("id", F.explode("set").alias("shingle"))
+    df = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = each.join(df, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s")).join(open_, "id")
+    rare = F.col("n") - F.size("s")  # shingles nobody else has stand before those in s
+    room = F.col("n") - F.ceil(F.col("n") * THRESHOLD / 100) + 1 - rare
+    posts = ranked.where(room > 0).select("id", "comp", "n", rare.alias("rare"), F.posexplode(F.slice("s", F.lit(1), room.cast("int"))).alias("k", "s"))
+    posts = written(posts.select("s.shingle", "id", "comp", "n", (F.col("k") + F.col("rare")).alias("pos")), "near-dup-prefixes")
+    x, y = (posts.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "comp", "n", "pos")]) for side in "ab")
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * THRESHOLD / (100 + THRESHOLD))
+    near = (F.col("pos_a") <= F.col("n_a") - need) & (F.col("pos_b") <= F.col("n_b") - need)
+    met = x.join(y, "shingle").where((F.col("comp_a") != F.col("comp_b")) & (F.col("id_a") < F.col("id_b")) & _sized("n_a", "n_b") & near)
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -154,28 +198,22 @@ def components(edges: DataFrame) -> DataFrame:
 def link(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, comp) of the classes that are linked with another one."""
     posts = written(postings(classes), "near-dup-postings")
-    hubs = posts.groupBy("token").agg(F.min_by(F.struct(F.col("id").alias("hub"), F.col("n").alias("hub_n")), "id").alias("h"))
-    hubs = hubs.select("token", "h.hub", "h.hub_n")
-    starred = salted_left_join(posts, hubs, "token", F.col("id")).where((F.col("id") != F.col("hub")) & _sized("n", "hub_n"))
-    tried = written(agreeing(starred.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), classes), "near-dup-tried")
-    links = written(confirmed(tried, classes, docs), "near-dup-links")
+    cands = candidates(posts, classes, docs)
+    links = confirmed(starred(posts), cands)
     comps = components(links)
 
-    # Lists that still hold several components: what is apart from the hub's component, against the others.
-    placed = posts.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    placed = written(placed, "near-dup-placed")
-    mixed = placed.groupBy("token").agg(F.min_by("comp", "id").alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", "main")
-    open_ = placed.join(mixed, "token")
-    stray = open_.where("comp <> main").select("token", F.col("id").alias("s"), F.col("n").alias("sn"), F.col("comp").alias("sc"))
-    cross = stray.join(open_, "token").where((F.col("comp") != F.col("sc")) & ((F.col("comp") == F.col("main")) | (F.col("s") < F.col("id"))) & _sized("n", "sn"))
-    cross = cross.select(F.least("s", "id").alias("a"), F.greatest("s", "id").alias("b")).distinct()
-    cross = cross.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = written(agreeing(cross, classes), "near-dup-cross")
-    if not more.limit(1).count():
-        return comps
-    late = written(confirmed(more, classes, docs), "near-dup-late")
-    if not late.limit(1).count():
-        return comps
+    def placed() -> DataFrame:
+        """Lists that still hold several components."""
+        at = posts.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        main = at.groupBy("token").agg(F.max_by("comp", F.struct("weight", -F.col("id"))).alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        return at.join(main.where("lo <> hi").select("token", "main"), "token")
+
+    # What is apart from the first hub is compared with a second one.
+    links = links.unionByName(confirmed(starred(placed().where("comp <> main").select("token", "id", "n", "weight")), cands))
+    comps = components(links)
+    # What is still apart, across components.
+    open_ = placed().select("id", "comp", "n").distinct()
+    late = confirmed(prefix_pairs(written(open_, "near-dup-open"), cands), cands)
     return components(links.unionByName(late))
 
 

@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _c(x) -> Column:
@@ -40,7 +41,7 @@ def is_doi_like(x) -> Column:
     return _c(x).rlike(r"(?i)^10\.\d{4,9}/")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold_title(titles: pd.Series) -> pd.Series:
     def fold(t):
         if t is None:
@@ -171,7 +172,7 @@ class _Main(HTMLParser):
                 self.found.setdefault(role, []).append(data)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_main(pages: pd.Series) -> pd.Series:
     """Main text of HTML pages: the first of article, main, body that has any, without navigation."""
 
@@ -226,13 +227,13 @@ def _lcs(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 * LCS / (len a + len b); 0 if either is missing."""
     return pd.Series([2 * _lcs(x, y) / (len(x) + len(y)) if x and y else 0.0 for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def matching_blocks_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio by recursive longest matching blocks."""
     from difflib import SequenceMatcher
@@ -249,7 +250,7 @@ def phrase_hits(phrases: list[str]):
     """UDF: the phrases in a text, longest first; each claims its span, so shorter ones inside don't count."""
     ordered = sorted({p.lower() for p in phrases if p}, key=lambda p: (-len(p), p))
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def scan(texts: pd.Series) -> pd.Series:
         def one(t):
             t, taken, out = (t or "").lower(), [], []
@@ -269,7 +270,7 @@ def phrase_hits(phrases: list[str]):
     return scan
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def string_leaves(docs: pd.Series) -> pd.Series:
     """Strings in a JSON value, objects to a depth of four; lists don't stop the walk."""
 

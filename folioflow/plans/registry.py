@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from folioflow.plans import queues
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for module in (queues,):
+    QUERIES.update(module.QUERIES)
+    ORACLES.update(module.ORACLES)

@@ -11,7 +11,8 @@ can hold such a window are grouped by prefixes and each group's suffix tree is b
     suffix at depth 2d is made of its names at depth d, up to depth 50. A name at depth 50 is the locus of
     an internal node if several suffixes have it, and its smallest document keeps the words.
 3.  A gram that too many suffixes share gets a longer prefix, the whole window: such a group is one node,
-    so it needs no tree, only the smallest document of each node, which is again pre-aggregated.
+    so it needs no tree, only the smallest document of each node. Runs of windows that are equal as a whole
+    are first made one row, so copies in any number are pre-aggregated.
 
 Word spans of the removed windows go back to their documents; the texts are dealt out once and that
 exchange serves all joins.
@@ -146,26 +147,38 @@ def tree_repeats(suffix: DataFrame) -> DataFrame:
     return suffix.groupBy("grp").applyInArrow(run, "_doc long, _row long, a int, b int")
 
 
-def window_keys(per_doc: DataFrame) -> DataFrame:
-    """(k1, k2, _doc, _row, a): 128 bits of each filed window."""
+def run_keys(per_doc: DataFrame) -> DataFrame:
+    """(k1, k2, _doc, _row, s0, windows): 128 bits of each filed run's words, and of each of its windows."""
+    kind = pa.list_(pa.struct([("w1", pa.int64()), ("w2", pa.int64())]))
 
     def run(batches):
         for batch in batches:
             w, doc, _, s0, s1 = _cut(batch)
             size = s1 - s0 + 1
-            at = np.repeat(s0 - np.concatenate([[0], np.cumsum(size)])[:-1], size) + np.arange(size.sum())
-            owner = np.repeat(doc, size)
-            k1, k2 = runs(w.hash, WINDOW), runs(mix(w.hash ^ np.uint64(0x5851F42D4C957F2D)), WINDOW)
-            take = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(k1[at].view(np.int64)), pa.array(k2[at].view(np.int64)), batch.column(1).take(take), batch.column(2).take(take), pa.array((at - w.first[owner]).astype(np.int32))], names=["k1", "k2", "_doc", "_row", "a"])
+            ends = np.concatenate([[0], np.cumsum(size)])
+            at = np.repeat(s0 - ends[:-1], size) + np.arange(ends[-1])
+            keys = [runs(x, WINDOW)[at] if len(at) else np.zeros(0, dtype=np.uint64) for x in (w.hash, mix(w.hash ^ np.uint64(0x5851F42D4C957F2D)))]
+            # A run is its windows in order.
+            whole = [mix(np.add.reduceat(mix(k ^ (np.arange(len(k)) - np.repeat(ends[:-1], size)).astype(np.uint64)), ends[:-1])) if len(k) else k for k in keys]
+            both = pa.StructArray.from_arrays([pa.array(k.view(np.int64)) for k in keys], names=["w1", "w2"])
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), both).cast(kind)
+            take = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([*[pa.array(k.view(np.int64)) for k in whole], batch.column(1).take(take), batch.column(2).take(take), pa.array((s0 - w.first[doc]).astype(np.int32)), lists], names=["k1", "k2", "_doc", "_row", "s0", "windows"])
 
-    return per_doc.mapInArrow(run, "k1 long, k2 long, _doc long, _row long, a int")
+    return per_doc.mapInArrow(run, "k1 long, k2 long, _doc long, _row long, s0 int, windows array<struct<w1:long,w2:long>>")
 
 
 def node_repeats(keys: DataFrame) -> DataFrame:
-    """As tree_repeats, for windows that are their own prefix."""
-    nodes = keys.groupBy("k1", "k2").agg(F.min("_doc").alias("first"), F.max("_doc").alias("final")).where("first < final")
-    return keys.join(nodes, ["k1", "k2"]).where("first < _doc").select("_doc", "_row", "a", F.col("a").alias("b"))
+    """(_doc, _row, spans) of runs whose windows are their own prefixes; equal runs are one row until the end."""
+    classes = keys.groupBy("k1", "k2").agg(F.min("_doc").alias("lo"), F.first("windows").alias("windows"))
+    each = classes.select("k1", "k2", "lo", F.posexplode("windows").alias("pos", "w")).select("k1", "k2", "lo", "pos", "w.w1", "w.w2")
+    nodes = each.groupBy("w1", "w2").agg(F.min("lo").alias("first"), F.count("*").alias("n")).where("n > 1")
+    earlier = each.join(nodes, ["w1", "w2"]).where("first < lo").groupBy("k1", "k2").agg(F.map_from_entries(F.collect_list(F.struct("pos", "first"))).alias("firsts"))
+    known = classes.join(earlier, ["k1", "k2"], "left").select("k1", "k2", "lo", "firsts")
+    first = lambda i: F.coalesce(F.try_element_at("firsts", i), F.col("lo"))
+    hit = F.filter(F.sequence(F.lit(0), F.size("windows") - 1), lambda i: first(i) < F.col("_doc"))
+    spans = F.transform(hit, lambda i: F.struct((F.col("s0") + i).alias("a"), (F.col("s0") + i).alias("b")))
+    return keys.join(known, ["k1", "k2"]).select("_doc", "_row", spans.alias("spans")).where(F.size("spans") > 0)
 
 
 def removed_words(named: DataFrame, docs: DataFrame, hot: int = HOT, group: int = GROUP) -> DataFrame:
@@ -178,8 +191,9 @@ def removed_words(named: DataFrame, docs: DataFrame, hot: int = HOT, group: int
     kept = written(grams.join(shared, "gram"), "substring-shared")
     n = kept.where(F.col("cnt") <= hot).count()
     by_tree = tree_repeats(suffixes(_per_document(kept.where(F.col("cnt") <= hot), docs), max(1, -(-n // group))))
-    by_node = node_repeats(window_keys(_per_document(kept.where(F.col("cnt") > hot), docs)))
-    return by_tree.unionByName(by_node).groupBy("_doc", "_row").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    by_node = node_repeats(run_keys(_per_document(kept.where(F.col("cnt") > hot), docs)))
+    by_tree = by_tree.select("_doc", "_row", F.array(F.struct("a", "b")).alias("spans"))
+    return by_tree.unionByName(by_node).groupBy("_doc", "_row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT, group: int = GROUP) -> DataFrame:

@@ -78,11 +78,13 @@ def percentile_tier(score, cos, *partition: str) -> Column:
 def dim_score(tags, prefs, dims: list[str] = V.DIMS) -> Column:
     """tags: map dim -> codes; prefs: map dim -> map code -> weight. Mean over the dims that have weights."""
     tags, prefs = _c(tags), _c(prefs)
+
+    def best_of(d: str) -> Column:
+        return F.coalesce(F.array_max(F.transform(tags[d], lambda c: F.coalesce(prefs[d][c], F.lit(0.0)))), F.lit(0.0))
+
     total, n = F.lit(0.0), F.lit(0)
     for d in dims:
-        w = prefs[d]
-        has = F.coalesce(F.size(w) > 0, F.lit(False))
-        best = F.coalesce(F.array_max(F.transform(tags[d], lambda c, w=w: F.coalesce(w[c], F.lit(0.0)))), F.lit(0.0))
+        has, best = F.coalesce(F.size(prefs[d]) > 0, F.lit(False)), best_of(d)
         total = total + F.when(has, best).otherwise(0.0)
         n = n + has.cast("int")
     return F.when(n > 0, total / n).otherwise(0.0)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folioflow.plans import queues
+from folioflow.plans import documents, ledger, queues
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (queues,):
+for module in (queues, documents, ledger):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)

@@ -18,7 +18,7 @@ def age_chunk(year, pub_date, as_of_year: int) -> Column:
     """recent, mid or classic by age in years; a future year counts as new, a missing one as old."""
     year = F.col(year) if isinstance(year, str) else year
     known = F.coalesce(F.nullif(year, F.lit(0)), F.regexp_extract(pub_date, r"^(\d{4})", 1).try_cast("int"))
-    age = F.greatest(F.lit(0), F.lit(as_of_year) - known)
+    age = F.when(known.isNotNull(), F.greatest(F.lit(0), F.lit(as_of_year) - known))  # greatest() skips nulls
     out = F.lit("classic")
     for name, low, high in reversed(CHUNKS):
         out = F.when((age >= low) & (age < high), name).otherwise(out)

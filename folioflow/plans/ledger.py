@@ -153,13 +153,13 @@ def fsm_states(spark: SparkSession, d: str) -> DataFrame:
 def upsert_papers(spark: SparkSession, d: str) -> DataFrame:
     p = papers(spark, d).select("doc_id", "title", F.col("text").alias("abstract"), "year", "is_preprint")
     old = p.where("doc_id % 2 = 0").withColumn("abstract", F.substring("abstract", 1, 500))
-    new = p.where("doc_id % 3 = 0").withColumn("title", F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.upper("title"))).withColumn("year", F.lit(None).cast("int"))
+    new = p.where("doc_id % 3 = 0").withColumn("title", F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.concat(F.lit("New: "), "title"))).withColumn("year", F.lit(None).cast("int"))
     out = merge.upsert(old, new, ["doc_id"], {"title": "nonempty", "abstract": "longer", "year": "coalesce", "is_preprint": "or"})
     return out.select("doc_id", "title", F.length("abstract").alias("n_abstract"), F.coalesce("year", F.lit(0)).alias("year"), "is_preprint")
 
 
 UPSERT_PAPERS = f"""WITH {PAPERS}, o AS (SELECT doc_id, title, substr(text, 1, 500) AS a, year, is_preprint FROM papers WHERE doc_id % 2 = 0),
-n AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '' ELSE upper(title) END AS title, text AS a, CAST(NULL AS INTEGER) AS year, is_preprint FROM papers WHERE doc_id % 3 = 0)
+n AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '' ELSE 'New: ' || title END AS title, text AS a, CAST(NULL AS INTEGER) AS year, is_preprint FROM papers WHERE doc_id % 3 = 0)
 SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN n.title ELSE coalesce(nullif(n.title, ''), o.title) END AS title,
  CAST(length(CASE WHEN coalesce(length(n.a), 0) > coalesce(length(o.a), 0) THEN n.a ELSE o.a END) AS INTEGER) AS n_abstract, coalesce(o.year, 0) AS year, coalesce(o.is_preprint, false) OR coalesce(n.is_preprint, false) AS is_preprint
 FROM o FULL JOIN n ON o.doc_id = n.doc_id"""

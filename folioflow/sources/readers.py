@@ -38,8 +38,9 @@ def read_json_dir(spark: SparkSession, path: str, schema: str = SYNOPSIS, key: s
     raw = spark.read.schema(f"{schema}, _bad string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     named = raw.withColumn("_key", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1))
     good = named.where(F.col("_bad").isNull())
-    problems = named.where(F.col("_bad").isNotNull()).select("_key", F.lit("unreadable").alias("problem"))
-    problems = problems.unionByName(good.where(F.col(key) != F.col("_key")).select("_key", F.lit("key differs").alias("problem")))
+    # One expression over both columns: the corrupt-record column cannot be read alone.
+    problem = F.when(F.col("_bad").isNotNull(), "unreadable").when(F.col(key) != F.col("_key"), "key differs")
+    problems = named.select("_key", problem.alias("problem")).where(F.col("problem").isNotNull())
     return good.withColumn(key, F.col("_key")).drop("_key", "_bad").dropDuplicates([key]), problems
 
 

@@ -18,8 +18,13 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a language (null, or no letter); a missing lang is filled in."""
+    """Drops texts without a language (null, or no letter); a missing lang is filled in.
+
+    Without a labelled row there is no language to tell, so texts with letters stay as they are.
+    """
     model = language_id.fit(docs.where(~held_out(F.col("doc_id"))))
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     seen = language_id.identify(docs, model).where(F.col("lang_pred") != "und")
     return seen.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 

@@ -82,9 +82,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str
     from pyspark.sql import Window
 
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    # Long enough to show the language; the hash spreads the sample over the table.
-    w = Window.partitionBy(lang).orderBy(F.xxhash64(order), order, text)
-    short = rows.select(lang, order, F.substring(F.regexp_replace(text, r"\s+", " "), 1, ROW_CHARS).alias(text)).where(F.length(text) >= 60)
+    # Rows long enough to show the language come first; the hash spreads the sample over the table.
+    w = Window.partitionBy(lang).orderBy(F.length(text) < 60, F.xxhash64(order), order, text)
+    short = rows.select(lang, order, F.substring(F.regexp_replace(text, r"\s+", " "), 1, ROW_CHARS).alias(text)).where(F.col(text).rlike(r"\p{L}"))
     sample = short.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= SAMPLE_ROWS).orderBy(lang, "_n").limit(MAX_LANGUAGES * SAMPLE_ROWS).collect()
     texts: dict[str, str] = {}
     for r in sample:

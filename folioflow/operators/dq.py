@@ -46,9 +46,6 @@ def readiness(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-ALLOWED_TABLES = {"archive_interview_sessions", "archive_profile_verifications", "archive_responses", "archive_meta_reviews"}
-
-
 def read_only(statement: str) -> bool:
     """Whether a statement is a single query. Everything the library runs is; this is for SQL handed in."""
     import re

@@ -29,7 +29,7 @@ MARK = "▁"
 NONE = np.int64(1 << 40)
 SHIFT = 21
 #: A worker forgets its words when it holds this many words or ids.
-CACHE_WORDS, CACHE_IDS = 400_000, 8_000_000
+CACHE_WORDS, CACHE_IDS = 250_000, 6_000_000
 
 
 @dataclass

@@ -36,6 +36,8 @@ THRESHOLD = 85  # per cent
 COORDINATES = 32
 #: Agreement that two sets of Jaccard 0.85 miss with a probability of about 1e-7.
 MATCHES = 16
+#: Sets of a few hundred shingles are told apart; longer ones are left to the confirmation.
+PARITY_BITS = 512
 _SEEDS = np.random.default_rng(8675309).integers(1, 1 << 63, size=(2, COORDINATES), dtype=np.uint64) | np.uint64(1)
 
 
@@ -150,32 +152,50 @@ def starred(posts: DataFrame) -> DataFrame:
     return met.select("a", F.col("id").alias("b")).distinct()
 
 
+def parities(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(sets x words of 64 bits): whether an odd number of the set's shingles fall on each of PARITY_BITS places."""
+    owner = np.repeat(np.arange(len(size)), size)
+    place = (flat >> np.uint64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64)
+    odd = np.bincount(owner * PARITY_BITS + place, minlength=len(size) * PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(size), PARITY_BITS // 64)
+
+
 def prefix_pairs(open_: DataFrame, cands: DataFrame) -> DataFrame:
     """(a, b) of different components that share a shingle early enough, in a common order by rarity, to reach the threshold.
 
     open_ has id, comp, n. The prefix filter on the full sets is exact, and sharp: a copy with more edits of
-    its own than the threshold allows has only rare shingles in its prefix and meets nobody.
+    its own than the threshold allows has only rare shingles in its prefix and meets nobody. Of those that
+    meet, the parities of their sets tell most that differ in too many shingles: two sets differ in at least
+    as many shingles as their parities differ in bits, so this too is exact.
     """
 
+    words = [f"bits{k}" for k in range(PARITY_BITS // 64)]
+
     def run(batches):
         for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist())
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            sets = shingle_sets(batch.column(3).to_pylist())
+            size = np.array([len(s) for s in sets], dtype=np.int64)
             flat = np.concatenate(sets) if len(sets) else np.zeros(0, dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], names=["id", "set"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat.view(np.int64)))
+            bits = parities(flat, size)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists, *[pa.array(bits[:, k]) for k in range(len(words))]], names=["id", "comp", "n", "set", *words])
 
-    sets = written(cands.select("id", "text").join(open_.select("id"), "id", "left_semi").mapInArrow(run, "id long, set array<long>"), "near-dup-sets")
+    schema = "id long, comp long, n long, set array<long>, " + ", ".join(f"{c} long" for c in words)
+    texts = cands.select("id", "text").join(open_, "id").select("id", "comp", "n", "text")
+    sets = written(texts.mapInArrow(run, schema), "near-dup-sets")
     each = sets.select("id", F.explode("set").alias("shingle"))
     df = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = each.join(df, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s")).join(open_, "id")
+    ranked = each.join(df, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s")).join(sets.drop("set"), "id")
     rare = F.col("n") - F.size("s")  # shingles nobody else has stand before those in s
     room = F.col("n") - F.ceil(F.col("n") * THRESHOLD / 100) + 1 - rare
-    posts = ranked.where(room > 0).select("id", "comp", "n", rare.alias("rare"), F.posexplode(F.slice("s", F.lit(1), room.cast("int"))).alias("k", "s"))
-    posts = written(posts.select("s.shingle", "id", "comp", "n", (F.col("k") + F.col("rare")).alias("pos")), "near-dup-prefixes")
-    x, y = (posts.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "comp", "n", "pos")]) for side in "ab")
+    posts = ranked.where(room > 0).select("id", "comp", "n", *words, rare.alias("rare"), F.posexplode(F.slice("s", F.lit(1), room.cast("int"))).alias("k", "s"))
+    posts = written(posts.select("s.shingle", "id", "comp", "n", *words, (F.col("k") + F.col("rare")).alias("pos")), "near-dup-prefixes")
+    x, y = (posts.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "comp", "n", "pos", *words)]) for side in "ab")
     need = F.ceil((F.col("n_a") + F.col("n_b")) * THRESHOLD / (100 + THRESHOLD))
     near = (F.col("pos_a") <= F.col("n_a") - need) & (F.col("pos_b") <= F.col("n_b") - need)
-    met = x.join(y, "shingle").where((F.col("comp_a") != F.col("comp_b")) & (F.col("id_a") < F.col("id_b")) & _sized("n_a", "n_b") & near)
+    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in words), F.lit(0))
+    alike = differ <= F.col("n_a") + F.col("n_b") - 2 * need
+    met = x.join(y, "shingle").where((F.col("comp_a") != F.col("comp_b")) & (F.col("id_a") < F.col("id_b")) & _sized("n_a", "n_b") & near & alike)
     return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 

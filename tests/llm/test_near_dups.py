@@ -4,7 +4,12 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from folioflow.llm import near_dups
+from folioflow.llm.wordhash import mix
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -79,3 +84,14 @@ def test_odd_rows(spark):
 
 def test_empty(spark):
     assert result(spark, []) == []
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.sets(st.integers(0, 400)), st.sets(st.integers(0, 400))), max_size=5))
+def test_parities_never_differ_in_more_bits_than_the_sets_in_shingles(pairs):
+    sets = [np.array(sorted(s), dtype=np.uint64) for pair in pairs for s in pair]
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    flat = mix(np.concatenate(sets)) if sets else np.zeros(0, dtype=np.uint64)
+    bits = near_dups.parities(flat, size)
+    for i, (a, b) in enumerate(pairs):
+        assert sum(int(x).bit_count() for x in (bits[2 * i] ^ bits[2 * i + 1]).view(np.uint64)) <= len(a ^ b)

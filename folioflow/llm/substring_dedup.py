@@ -11,8 +11,9 @@ can hold such a window are grouped by prefixes and each group's suffix tree is b
     suffix at depth 2d is made of its names at depth d, up to depth 50. A name at depth 50 is the locus of
     an internal node if several suffixes have it, and its smallest document keeps the words.
 3.  A gram that too many suffixes share gets a longer prefix, the whole window: such a group is one node,
-    so it needs no tree, only the smallest document of each node. Runs of windows that are equal as a whole
-    are first made one row, so copies in any number are pre-aggregated.
+    so it needs no tree, only the smallest document of each node. What a document files under such a gram is
+    one row, however often the gram recurs, with each different window once; rows with equal windows are one
+    class, so copies in any number are pre-aggregated.
 
 Word spans of the removed windows go back to their documents; the texts are dealt out once and that
 exchange serves all joins.
@@ -69,32 +70,50 @@ def least_grams(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return g[at[first]], doc[first], first - base, last - base
 
 
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where the rows of sorted columns differ from the row before."""
+    if not len(columns[0]):
+        return np.zeros(0, dtype=np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
+
+
+def _lists(ends: np.ndarray, **fields: np.ndarray) -> pa.ListArray:
+    """Lists of structs, the first of which is [: ends[1]]."""
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(v) for v in fields.values()], names=list(fields)))
+
+
 def filed(docs: DataFrame) -> DataFrame:
-    """(gram, _doc, _row, s0, s1) of all windows; docs has text, _doc, _row."""
+    """(gram, _doc, _row, spans) of all windows, a row for each gram of a document; docs has text, _doc, _row."""
 
     def run(batches):
         for batch in batches:
             gram, doc, s0, s1 = least_grams(words_of(_texts(batch.column(0))))
-            at = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), batch.column(1).take(at), batch.column(2).take(at), pa.array(s0.astype(np.int32)), pa.array(s1.astype(np.int32))], names=["gram", "_doc", "_row", "s0", "s1"])
+            order = np.lexsort((s0, gram, doc))
+            gram, doc, s0, s1 = gram[order], doc[order], s0[order], s1[order]
+            new = _starts(doc, gram)
+            at = pa.array(doc[new])
+            spans = _lists(np.append(new, len(doc)), s0=s0.astype(np.int32), s1=s1.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(gram[new].view(np.int64)), batch.column(1).take(at), batch.column(2).take(at), spans], names=["gram", "_doc", "_row", "spans"])
 
-    return docs.select("text", "_doc", "_row").mapInArrow(run, "gram long, _doc long, _row long, s0 int, s1 int")
+    return docs.select("text", "_doc", "_row").mapInArrow(run, "gram long, _doc long, _row long, spans array<struct<s0:int,s1:int>>")
 
 
 def _per_document(filed_: DataFrame, docs: DataFrame) -> DataFrame:
     """text, _doc, _row and the list of what is filed from the document (bounded by its own length)."""
-    each = filed_.groupBy("_doc", "_row").agg(F.collect_set(F.struct("gram", "s0", "s1")).alias("filed"))
+    each = filed_.groupBy("_doc", "_row").agg(F.collect_set(F.struct("gram", "spans")).alias("filed"))
     return docs.join(each, ["_doc", "_row"]).select("text", "_doc", "_row", "filed")
 
 
-def _cut(batch) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of the batch, and for each filed run: document, gram, first and last window in the batch's words."""
+def _cut(batch) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of the batch; of each entry its document and gram; of each of their runs the entry, first and last window in the batch's words."""
     w = words_of(_texts(batch.column(0)))
     lists = batch.column(3)
     doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
     flat = lists.flatten()
-    gram, s0, s1 = (flat.field(k).to_numpy() for k in range(3))
-    return w, doc, gram, s0 + w.first[doc], s1 + w.first[doc]
+    gram, spans = flat.field(0).to_numpy(), flat.field(1)
+    entry = np.repeat(np.arange(len(spans)), np.diff(spans.offsets.to_numpy()))
+    s0, s1 = (spans.flatten().field(k).to_numpy() + w.first[doc[entry]] for k in range(2))
+    return w, doc, gram, entry, s0, s1
 
 
 def suffixes(per_doc: DataFrame, groups: int) -> DataFrame:
@@ -102,7 +121,8 @@ def suffixes(per_doc: DataFrame, groups: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            w, doc, gram, s0, s1 = _cut(batch)
+            w, doc, gram, entry, s0, s1 = _cut(batch)
+            doc, gram = doc[entry], gram[entry]
             a, b = w.start[s0].tolist(), w.end[s1 + WINDOW - 1].tolist()
             raw = w.raw.tobytes()
             at = pa.array(doc)
@@ -148,37 +168,68 @@ def tree_repeats(suffix: DataFrame) -> DataFrame:
 
 
 def run_keys(per_doc: DataFrame) -> DataFrame:
-    """(k1, k2, _doc, _row, s0, windows): 128 bits of each filed run's words, and of each of its windows."""
-    kind = pa.list_(pa.struct([("w1", pa.int64()), ("w2", pa.int64())]))
+    """(k1, k2, _doc, _row, windows, starts, places): what each document files under one gram.
+
+    windows are 128 bits of each different window, in order; the window at word starts[i] is windows[places[i]];
+    k1 and k2 name the set of windows.
+    """
 
     def run(batches):
         for batch in batches:
-            w, doc, _, s0, s1 = _cut(batch)
+            w, doc, _, entry, s0, s1 = _cut(batch)
             size = s1 - s0 + 1
             ends = np.concatenate([[0], np.cumsum(size)])
-            at = np.repeat(s0 - ends[:-1], size) + np.arange(ends[-1])
-            keys = [runs(x, WINDOW)[at] if len(at) else np.zeros(0, dtype=np.uint64) for x in (w.hash, mix(w.hash ^ np.uint64(0x5851F42D4C957F2D)))]
-            # A run is its windows in order.
-            whole = [mix(np.add.reduceat(mix(k ^ (np.arange(len(k)) - np.repeat(ends[:-1], size)).astype(np.uint64)), ends[:-1])) if len(k) else k for k in keys]
-            both = pa.StructArray.from_arrays([pa.array(k.view(np.int64)) for k in keys], names=["w1", "w2"])
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), both).cast(kind)
+            at, entry = np.repeat(s0 - ends[:-1], size) + np.arange(ends[-1]), np.repeat(entry, size)
+            w1, w2 = (runs(x, WINDOW)[at] if len(at) else np.zeros(0, dtype=np.uint64) for x in (w.hash, mix(w.hash ^ np.uint64(0x5851F42D4C957F2D))))
+            order = np.lexsort((w2, w1, entry))
+            new = _starts(entry[order], w1[order], w2[order])
+            own = order[new]  # each window of an entry once
+            first = np.searchsorted(entry[own], np.arange(len(doc) + 1))
+            place = np.zeros(len(at), dtype=np.int64)
+            place[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(at))))
+            place -= first[entry]
+            keys = [mix(np.add.reduceat(mix(x[own]), first[:-1])).view(np.int64) if len(own) else np.zeros(0, dtype=np.int64) for x in (w1, w2)]
+            bounds = pa.array(np.searchsorted(entry, np.arange(len(doc) + 1)).astype(np.int32))
+            starts, places = (pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (at - w.first[doc[entry]], place))
+            windows = _lists(first, w1=w1[own].view(np.int64), w2=w2[own].view(np.int64))
             take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([*[pa.array(k.view(np.int64)) for k in whole], batch.column(1).take(take), batch.column(2).take(take), pa.array((s0 - w.first[doc]).astype(np.int32)), lists], names=["k1", "k2", "_doc", "_row", "s0", "windows"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, keys), batch.column(1).take(take), batch.column(2).take(take), windows, starts, places], names=["k1", "k2", "_doc", "_row", "windows", "starts", "places"])
 
-    return per_doc.mapInArrow(run, "k1 long, k2 long, _doc long, _row long, s0 int, windows array<struct<w1:long,w2:long>>")
+    return per_doc.mapInArrow(run, "k1 long, k2 long, _doc long, _row long, windows array<struct<w1:long,w2:long>>, starts array<int>, places array<int>")
 
 
 def node_repeats(keys: DataFrame) -> DataFrame:
-    """(_doc, _row, spans) of runs whose windows are their own prefixes; equal runs are one row until the end."""
+    """(_doc, _row, spans) of documents whose windows are their own prefixes; equal sets of windows are one row until the end."""
     classes = keys.groupBy("k1", "k2").agg(F.min("_doc").alias("lo"), F.first("windows").alias("windows"))
     each = classes.select("k1", "k2", "lo", F.posexplode("windows").alias("pos", "w")).select("k1", "k2", "lo", "pos", "w.w1", "w.w2")
     nodes = each.groupBy("w1", "w2").agg(F.min("lo").alias("first"), F.count("*").alias("n")).where("n > 1")
-    earlier = each.join(nodes, ["w1", "w2"]).where("first < lo").groupBy("k1", "k2").agg(F.map_from_entries(F.collect_list(F.struct("pos", "first"))).alias("firsts"))
-    known = classes.join(earlier, ["k1", "k2"], "left").select("k1", "k2", "lo", "firsts")
-    first = lambda i: F.coalesce(F.try_element_at("firsts", i), F.col("lo"))
-    hit = F.filter(F.sequence(F.lit(0), F.size("windows") - 1), lambda i: first(i) < F.col("_doc"))
-    spans = F.transform(hit, lambda i: F.struct((F.col("s0") + i).alias("a"), (F.col("s0") + i).alias("b")))
-    return keys.join(known, ["k1", "k2"]).select("_doc", "_row", spans.alias("spans")).where(F.size("spans") > 0)
+    earlier = each.join(nodes, ["w1", "w2"]).where("first < lo").groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "first")).alias("firsts"))
+    known = classes.join(earlier, ["k1", "k2"], "left").select("k1", "k2", "lo", F.coalesce("firsts", F.array().cast("array<struct<pos:int,first:long>>")).alias("firsts"))
+
+    def run(batches):
+        for batch in batches:
+            doc, lo = batch.column(0).to_numpy(), batch.column(4).to_numpy()
+            starts, places, firsts = batch.column(2), batch.column(3), batch.column(5)
+            keep, a, b, ends = [], [], [], [0]
+            for i in range(len(doc)):
+                at, where = starts[i].values.to_numpy(), places[i].values.to_numpy()
+                first = np.full(int(where.max()) + 1, lo[i])
+                earlier = firsts[i].values
+                first[earlier.field(0).to_numpy()] = earlier.field(1).to_numpy()
+                at = np.sort(at[first[where] < doc[i]])
+                if len(at):
+                    new = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
+                    keep.append(i)
+                    a.append(at[new])
+                    b.append(at[np.append(new[1:], len(at)) - 1])
+                    ends.append(ends[-1] + len(new))
+            take = pa.array(keep, type=pa.int64())
+            none = np.zeros(0, dtype=np.int32)
+            spans = _lists(np.array(ends), a=np.concatenate(a or [none]).astype(np.int32), b=np.concatenate(b or [none]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), spans], names=["_doc", "_row", "spans"])
+
+    met = keys.drop("windows").join(known, ["k1", "k2"]).where((F.col("lo") < F.col("_doc")) | (F.size("firsts") > 0))
+    return met.select("_doc", "_row", "starts", "places", "lo", "firsts").mapInArrow(run, "_doc long, _row long, spans array<struct<a:int,b:int>>")
 
 
 def removed_words(named: DataFrame, docs: DataFrame, hot: int = HOT, group: int = GROUP) -> DataFrame:
@@ -187,9 +238,9 @@ def removed_words(named: DataFrame, docs: DataFrame, hot: int = HOT, group: int
     docs is named, dealt out by (_doc, _row).
     """
     grams = written(filed(named), "substring-filed")
-    shared = grams.groupBy("gram").agg(F.min("_doc").alias("lo"), F.max("_doc").alias("hi"), F.count("*").alias("cnt")).where("lo < hi").select("gram", "cnt")
+    shared = grams.groupBy("gram").agg(F.min("_doc").alias("lo"), F.max("_doc").alias("hi"), F.sum(F.size("spans")).alias("cnt")).where("lo < hi").select("gram", "cnt")
     kept = written(grams.join(shared, "gram"), "substring-shared")
-    n = kept.where(F.col("cnt") <= hot).count()
+    n = kept.where(F.col("cnt") <= hot).agg(F.sum(F.size("spans"))).first()[0] or 0
     by_tree = tree_repeats(suffixes(_per_document(kept.where(F.col("cnt") <= hot), docs), max(1, -(-n // group))))
     by_node = node_repeats(run_keys(_per_document(kept.where(F.col("cnt") > hot), docs)))
     by_tree = by_tree.select("_doc", "_row", F.array(F.struct("a", "b")).alias("spans"))

@@ -9,7 +9,8 @@ distance between the item and the best-fitting stretch of words there.
 
 Windows have the size of the items. Within a limit of k edits, an item of n words keeps at least
 n - q + 1 - qk of its runs of q words, all within k places of one diagonal, and one run at least; only
-windows on such diagonals are embedded. This loses no match.
+windows on such diagonals are embedded. This loses no match. A text with fewer words than the item is one
+window, filled up with PAD, so what stands before or after it in a batch makes no difference.
 
 The benchmark is the query set: blocks of BLOCK_ITEMS items go to all workers, however many there are.
 
@@ -62,23 +63,23 @@ class Items:
     plans: tuple[np.ndarray, np.ndarray]  # for each walk: odd multipliers of its steps, sampled times as shares of it
 
 
-def walks(values: np.ndarray, start: np.ndarray, n: np.ndarray, plans: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """(walks x windows) hash of the sampled outputs of each walk over values[start : start + n]."""
+def walks(values: np.ndarray, start: np.ndarray, n: np.ndarray, end: np.ndarray, plans: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """(walks x windows) hash of the sampled outputs of each walk over values[start : start + n]; PAD from end, the end of the text, on."""
     odd, share = plans
     repeats, windows = len(odd), len(start)
     if not windows:
         return np.zeros((repeats, 0), dtype=np.uint64)
     which = np.repeat(np.arange(repeats), windows)
-    start, n = np.tile(start, repeats), np.tile(n, repeats)
+    start, n, held = np.tile(start, repeats), np.tile(n, repeats), np.tile(np.minimum(n, end - start), repeats)
     times = np.sort((share[which] * (3 * n[:, None])).astype(np.int64), axis=1)
     order = np.argsort(-times[:, -1], kind="stable")  # the walks that go on stand in front
-    which, times, start, n = which[order], times[order], start[order], n[order]
+    which, times, start, n, held = which[order], times[order], start[order], n[order], held[order]
     alive = np.searchsorted(-times[:, -1], -np.arange(int(times[0, -1]) + 1), side="right")
     at, code = np.zeros(len(start), dtype=np.int64), n.astype(np.uint64) * _FOLD
     inside = len(values) - 1
     for t, m in enumerate(alive.tolist()):
         here = at[:m]
-        word = np.where(here < n[:m], values[np.minimum(start[:m] + here, inside)], PAD)
+        word = np.where(here < held[:m], values[np.minimum(start[:m] + here, inside)], PAD)
         for k in range(times.shape[1]):
             due = np.flatnonzero(times[:m, k] == t)
             code[due] = (code[due] ^ word[due]) * _FOLD + np.uint64(k + 1)
@@ -110,7 +111,7 @@ def make_items(rows: list[tuple[int, str | None]], seed: int = 11) -> Items | No
     rng = np.random.default_rng(seed)
     plans = (rng.integers(1, 1 << 63, size=(REPEATS, 3 * int(n.max()) + 1), dtype=np.uint64) | np.uint64(1), rng.random((REPEATS, SAMPLED)))
     flat, begin = np.concatenate(words), np.concatenate([[0], np.cumsum(n)])[:-1]
-    codes = walks(flat, begin, n, plans).ravel()
+    codes = walks(flat, begin, n, begin + n, plans).ravel()
     order = np.argsort(codes, kind="stable")
     return Items(np.array([rows[i][0] for i in some], dtype=object), words, grams, codes[order], np.tile(np.arange(len(words)), REPEATS)[order], plans)
 
@@ -158,16 +159,14 @@ def candidates(items: Items, value: np.ndarray, first: np.ndarray) -> tuple[np.n
         near = np.searchsorted(ranked, line + edits, "right") - np.searchsorted(ranked, line - edits, "left")
         some = near >= n - q + 1 - q * edits
         owner, k, begin, n = owner[some], k[some], begin[some], n[some]
-        # A window that leaves its text is moved into it.
+        # A window that leaves its text is moved into it; in a text with fewer words than the item it ends behind the text.
         begin = np.maximum(np.minimum(begin, first[doc[at[owner]] + 1] - n), first[doc[at[owner]]])
         starts.append(begin)
         sizes.append(n)
     start, size = (np.concatenate(x) for x in (starts, sizes))
     pairs = np.unique(start * (1 << 20) + size)
     start, size = pairs >> 20, pairs & ((1 << 20) - 1)
-    fit = start + size <= len(value)
-    start, size = start[fit], size[fit]
-    code = walks(value, start, size, items.plans).ravel()
+    code = walks(value, start, size, first[np.searchsorted(first, start, "right")], items.plans).ravel()
     owner, k = _spread(np.searchsorted(items.codes, code, "left"), np.searchsorted(items.codes, code, "right"))
     both = np.unique(start[owner % max(1, len(start))] * (1 << 24) + items.code_item[k])
     return both >> 24, both & ((1 << 24) - 1)

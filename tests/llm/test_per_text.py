@@ -301,3 +301,21 @@ def test_leaks_odd_rows(spark):
     assert sorted((str(r.doc_id), r.item_id) for r in decontaminate.leaks(docs, bench).collect()) == [("1", 9), ("1", 9), ("None", 9)]
     assert decontaminate.leaks(docs, bench.limit(0)).collect() == [] and decontaminate.leaks(docs.limit(0), bench).collect() == []
     assert decontaminate.clean(docs, bench.limit(0)).count() == 6
+
+
+def test_items_with_words_missing_stand_alone():
+    rng = random.Random(8)
+    vocab = [f"v{k}" for k in range(500)]
+    texts_ = [rng.sample(vocab, n) for n in (5, 9, 10, 16, 30, 60) for _ in range(10)]
+    held = decontaminate.make_items([(k, " ".join(t)) for k, t in enumerate(texts_)])
+    missed = 0
+    for k, t in enumerate(texts_):
+        for n in range(1, decontaminate.limit(len(t)) + 1):
+            gone = set(rng.sample(range(len(t)), n))
+            short = " ".join(x for j, x in enumerate(t) if j not in gone)
+            alone = [(i, *rest) for _, i, *rest in decontaminate.matches(held, [short])]
+            missed += (k, n) not in [(int(held.ids[i]), edits) for i, edits, *_ in alone]
+            # Neither place nor neighbours in the batch matter.
+            for at, batch in ((0, [short, "more words " * 40]), (1, ["words before", short]), (1, ["", short, None, short])):
+                assert [(i, *rest) for d, i, *rest in decontaminate.matches(held, batch) if d == at] == alone
+    assert missed <= 0.02 * sum(decontaminate.limit(len(t)) for t in texts_)

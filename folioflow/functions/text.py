@@ -135,11 +135,30 @@ def compose(*parts, most: int | None = None) -> Column:
     return F.substring(joined, 1, most) if most else joined
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with value computed once a row, not once for each element that a lambda visits."""
+    return F.transform(F.array(value), use)[0]
+
+
+def inverted_index(words) -> Column:
+    """Map word -> positions of an array of words without nulls; one sort, so the cost does not grow with the square of its length."""
+
+    def grouped(o):
+        starts = F.filter(F.sequence(F.lit(1), F.size(o)), lambda i: (i == 1) | (F.try_element_at(o, i)["w"] != o[i - 2]["w"]))
+        return _once(starts, lambda s: F.map_from_entries(F.transform(s, lambda a, k: F.struct(o[a - 1]["w"], positions(o, a, s, k)))))
+
+    def positions(o, a, s, k):
+        last = F.coalesce(F.try_element_at(s, k + 2) - 1, F.size(o))
+        return F.transform(F.sequence(a, last), lambda i: o[i - 1]["p"])
+
+    words = _c(words)
+    return F.when(F.size(words) == 0, F.create_map().cast("map<string,array<int>>")).otherwise(_once(F.sort_array(F.transform(words, lambda w, p: F.struct(w.alias("w"), p.alias("p")))), grouped))
+
+
 def inverted_index_text(index) -> Column:
     """Text of a map word -> positions: gaps are skipped, of words at one position the last one by name stays."""
     pairs = F.flatten(F.transform(F.map_entries(_c(index)), lambda e: F.transform(F.coalesce(e["value"], F.array().cast("array<int>")), lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    order = F.array_sort(pairs)
-    last = F.filter(order, lambda x, i: (i == F.size(order) - 1) | (F.try_element_at(order, (i + 2).cast("int"))["p"] != x["p"]))
+    last = _once(F.sort_array(pairs), lambda order: F.filter(order, lambda x, i: (i == F.size(order) - 1) | (F.try_element_at(order, i + 2)["p"] != x["p"])))
     return F.array_join(F.transform(last, lambda x: x["w"]), " ")
 
 

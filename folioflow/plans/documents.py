@@ -295,16 +295,23 @@ SELECT key, CAST(p.pos AS INTEGER) AS pos, p.lane AS lane, CAST(n AS INTEGER) AS
 
 
 def inverted_index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """First twenty words to a map word -> positions and back."""
+    """First twenty words to a map word -> positions and back; inverted_index_whole does so with whole texts."""
     words = F.slice(F.split(F.regexp_replace(F.trim("text"), r"\s+", " "), " "), 1, 20)
-    w = F.col("w")
-    index = F.map_from_entries(F.transform(F.array_distinct(w), lambda x: F.struct(x, F.filter(F.transform(w, lambda y, i: F.when(y == x, i)), lambda i: i.isNotNull()))))
-    return table(spark, d, "documents").select("doc_id", words.alias("w")).select("doc_id", X.inverted_index_text(index).alias("words"))
+    return table(spark, d, "documents").select("doc_id", X.inverted_index_text(X.inverted_index(words)).alias("words"))
 
 
 INVERTED_INDEX_ROUNDTRIP = r"SELECT doc_id, array_to_string(string_split(regexp_replace(trim(text), '\s+', ' ', 'g'), ' ')[1:20], ' ') AS words FROM documents"
 
 
+def inverted_index_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All words of each text to a map word -> positions and back."""
+    words = F.split(F.regexp_replace(F.trim("text"), r"\s+", " "), " ")
+    return table(spark, d, "documents").select("doc_id", X.inverted_index_text(X.inverted_index(words)).alias("words"))
+
+
+INVERTED_INDEX_WHOLE = r"SELECT doc_id, array_to_string(string_split(regexp_replace(trim(text), '\s+', ' ', 'g'), ' '), ' ') AS words FROM documents"
+
+
 def xml_strip(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.md5(X.xml_text("html").cast("binary")).alias("md5"))
 
@@ -334,6 +341,6 @@ TITLE_NORM = f"WITH {PAPERS} SELECT doc_id, regexp_replace(strip_accents(lower(t
 
 QUERIES = {f.__name__: f for f in (
     corpus_idf, phrase_idf, bm25_top, tfidf_salvage, keyword_top25, phrase_greedy, dim_tags, taxonomy_priors, scope_match, filter_verdict, oos_classify, abstract_gate, merge_exact,
-    title_collapse, doi_root_collapse, fuzzy_within_year, fuzzy_preprint, alias_closure, candidate_round_robin, inverted_index_roundtrip, xml_strip, html_main, doi_normalize, title_norm,
+    title_collapse, doi_root_collapse, fuzzy_within_year, fuzzy_preprint, alias_closure, candidate_round_robin, inverted_index_roundtrip, inverted_index_whole, xml_strip, html_main, doi_normalize, title_norm,
 )} | {"dim_score": dim_score_query, "combo_hits": combo_query}
 ORACLES = {k: globals()[k.upper()] for k in QUERIES if k.upper() in globals()}

@@ -63,6 +63,27 @@ def test_filename(spark):
     assert one(spark, X.parse_filename("x"), x="cortex.pdf").truncated
 
 
+def test_inverted_index_of_whole_texts(spark):
+    rng = random.Random(2)
+    lists = [[], [""], ["a"], ["a"] * 30, [f"w{rng.randrange(9)}" for _ in range(200)], [f"w{k // 2}" for k in range(20_000)], None]
+    df = spark.createDataFrame(list(enumerate(lists)), "k int, w array<string>").withColumn("m", X.inverted_index("w"))
+    for r in df.select("k", "m", X.inverted_index_text("m").alias("t")).collect():
+        if (w := lists[r.k]) is None:
+            assert r.m is None and r.t is None
+        else:
+            assert all(ps == sorted(ps) for ps in r.m.values())
+            assert sorted((p, x) for x, ps in r.m.items() for p in ps) == list(enumerate(w)) and r.t == " ".join(w)
+
+
+def test_inverted_index_whole_keeps_late_words(spark, tmp_path):
+    from folioflow.plans import registry
+
+    rows = [(1, " ".join(f"w{k % 30}" for k in range(75))), (1, "again  the\n same id"), (None, "x " * 25), (3, None), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.QUERIES["inverted_index_whole"](spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.words) for r in got), key=str) == sorted(((i, None if t is None else " ".join(t.split())) for i, t in rows), key=str)
+
+
 def test_inverted_index(spark):
     df = spark.sql("SELECT map('a', array(0, 5), 'b', array(2), 'c', array(2)) AS m, CAST(NULL AS map<string,array<int>>) AS n")
     assert tuple(df.select(X.inverted_index_text("m"), X.inverted_index_text("n")).first()) == ("a c a", None)

@@ -15,6 +15,8 @@ from folioflow.llm import decontaminate, language_id, near_dups, secrets, senten
 from folioflow.llm.common import held_out, table, written
 
 ORACLE_SQL = None
+#: Per cent of Jaccard similarity from which documents of the pipeline are near duplicates; op9 has its own contract.
+NEAR_DUPS = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near duplicates; of equal rows, one."""
-    judged = written(near_dups.near_dups(docs), "near-dups")
+    judged = written(near_dups.near_dups(docs, threshold=NEAR_DUPS), "near-dups")
     kept = judged.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
     if judged.groupBy("doc_id").count().where("count > 1").limit(1).count():

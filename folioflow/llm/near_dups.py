@@ -1,10 +1,10 @@
 """Near-duplicate documents by a signature-coordinate inverted join.
 
 Every distinct shingle set gets a MinHash signature. Its coordinate-value pairs are tokens of an inverted
-index. Two documents at the threshold agree on nearly all coordinates, so they share at least MATCHES of
-them; hence they share one among the COORDINATES - MATCHES + 1 tokens that are rarest in the corpus
-(prefix filter), and tokens nobody shares are skipped. Candidates whose signatures agree in MATCHES
-coordinates are confirmed on the full shingle sets.
+index. Two documents at the threshold agree on nearly all coordinates, so they share at least
+least_matches() of them; hence they share one among the COORDINATES - least_matches() + 1 tokens that are rarest in the corpus
+(prefix filter), and tokens nobody shares are skipped. Candidates whose signatures agree in that
+many coordinates are confirmed on the full shingle sets.
 
 All pairs of a group are never written. Documents with equal sets are one class. Within a token's list
 every class is first compared with one hub, the class whose tokens are the commonest; the links give
@@ -21,6 +21,7 @@ smallest non-null one, or null; kept is true where doc_id equals component_id, n
 from __future__ import annotations
 
 import hashlib
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,10 @@ from folioflow.llm.common import salted_left_join, small_batches, table, written
 from folioflow.llm.wordhash import mix, runs, words_of
 
 SHINGLE = 5
-THRESHOLD = 85  # per cent
+THRESHOLD = 85  # per cent; op9's contract
 COORDINATES = 32
-#: Agreement that two sets of Jaccard 0.85 miss with a probability of about 1e-7.
-MATCHES = 16
+#: Probability with which two sets at the threshold may agree in fewer coordinates than asked for.
+MISSED = 6e-7
 #: Sets of a few hundred shingles are told apart; longer ones are left to the confirmation.
 PARITY_BITS = 512
 _SEEDS = np.random.default_rng(8675309).integers(1, 1 << 63, size=(2, COORDINATES), dtype=np.uint64) | np.uint64(1)
@@ -80,7 +81,17 @@ def signatures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def postings(classes: DataFrame) -> DataFrame:
+def least_matches(threshold: int) -> int:
+    """Coordinates in which two sets at the threshold (per cent) agree but for a probability of MISSED: 16 at 85, 13 at 80."""
+    j, below = threshold / 100, 0.0
+    for m in range(COORDINATES):
+        below += comb(COORDINATES, m) * j**m * (1 - j) ** (COORDINATES - m)
+        if below > MISSED:
+            return m
+    return COORDINATES
+
+
+def postings(classes: DataFrame, threshold: int) -> DataFrame:
     """(token, id, n, weight) of the prefix tokens that at least two classes hold; classes have id, n, tokens.
 
     weight is how often the class's tokens occur: in a group of copies it is greatest near the middle.
@@ -88,15 +99,15 @@ def postings(classes: DataFrame) -> DataFrame:
     each = classes.select("id", "n", F.explode("tokens").alias("token"))
     shared = each.groupBy("token").agg(F.count("*").alias("cnt")).where("cnt > 1")
     held = each.join(shared, "token")
-    prefix = COORDINATES - MATCHES + 1
+    prefix = COORDINATES - least_matches(threshold) + 1
     ranked = held.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("cnt", "token"))).alias("t"), F.sum("cnt").alias("weight"))  # at most COORDINATES
     room = F.lit(prefix - COORDINATES) + F.size("t")
     return ranked.where(room > 0).select("id", "n", "weight", F.explode(F.slice("t", F.lit(1), room)).alias("t")).select("t.token", "id", "n", "weight")
 
 
-def _sized(a: str, b: str):
+def _sized(a: str, b: str, threshold: int):
     """Sets of such sizes can reach the threshold."""
-    return (F.col(a) * THRESHOLD <= F.col(b) * 100) & (F.col(b) * THRESHOLD <= F.col(a) * 100)
+    return (F.col(a) * threshold <= F.col(b) * 100) & (F.col(b) * threshold <= F.col(a) * 100)
 
 
 def _of_class(found: DataFrame) -> DataFrame:
@@ -126,11 +137,11 @@ def _attach(pairs: DataFrame, cands: DataFrame, column: str, side: str, other: s
     return salted_left_join(pairs, used, side, F.col(other))
 
 
-def confirmed(pairs: DataFrame, cands: DataFrame) -> DataFrame:
-    """The pairs (a, b) that agree in MATCHES coordinates and whose full shingle sets reach the threshold."""
+def confirmed(pairs: DataFrame, cands: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) that agree in enough coordinates and whose full shingle sets reach the threshold."""
     both = _attach(_attach(pairs, cands, "tokens", "a", "b"), cands, "tokens", "b", "a")
     same = F.size(F.filter(F.zip_with("tokens_a", "tokens_b", lambda x, y: x == y), lambda x: x))
-    agreeing = written(both.where(same >= MATCHES).select("a", "b"), "near-dup-agreeing")
+    agreeing = written(both.where(same >= least_matches(threshold)).select("a", "b"), "near-dup-agreeing")
     texts = _attach(_attach(agreeing, cands, "text", "a", "b"), cands, "text", "b", "a")
 
     def run(batches):
@@ -139,16 +150,16 @@ def confirmed(pairs: DataFrame, cands: DataFrame) -> DataFrame:
             keep = []
             for x, y in zip(a, b, strict=True):
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common > 0 and 100 * common >= THRESHOLD * (len(x) + len(y) - common))
+                keep.append(common > 0 and 100 * common >= threshold * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
     return written(texts.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "near-dup-links")
 
 
-def starred(posts: DataFrame) -> DataFrame:
+def starred(posts: DataFrame, threshold: int) -> DataFrame:
     """(a, b): in each token's list the heaviest class against the others; posts have token, id, n, weight."""
     hubs = posts.groupBy("token").agg(F.max_by(F.struct(F.col("id").alias("a"), F.col("n").alias("an")), F.struct("weight", -F.col("id"))).alias("h")).select("token", "h.a", "h.an")
-    met = salted_left_join(posts, hubs, "token", F.col("id")).where((F.col("id") != F.col("a")) & _sized("n", "an"))
+    met = salted_left_join(posts, hubs, "token", F.col("id")).where((F.col("id") != F.col("a")) & _sized("n", "an", threshold))
     return met.select("a", F.col("id").alias("b")).distinct()
 
 
@@ -160,7 +171,7 @@ def parities(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(size), PARITY_BITS // 64)
 
 
-def prefix_pairs(open_: DataFrame, cands: DataFrame) -> DataFrame:
+def prefix_pairs(open_: DataFrame, cands: DataFrame, threshold: int) -> DataFrame:
     """(a, b) of different components that share a shingle early enough, in a common order by rarity, to reach the threshold.
 
     open_ has id, comp, n. The prefix filter on the full sets is exact, and sharp: a copy with more edits of
@@ -187,15 +198,15 @@ def prefix_pairs(open_: DataFrame, cands: DataFrame) -> DataFrame:
     df = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     ranked = each.join(df, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s")).join(sets.drop("set"), "id")
     rare = F.col("n") - F.size("s")  # shingles nobody else has stand before those in s
-    room = F.col("n") - F.ceil(F.col("n") * THRESHOLD / 100) + 1 - rare
+    room = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1 - rare
     posts = ranked.where(room > 0).select("id", "comp", "n", *words, rare.alias("rare"), F.posexplode(F.slice("s", F.lit(1), room.cast("int"))).alias("k", "s"))
     posts = written(posts.select("s.shingle", "id", "comp", "n", *words, (F.col("k") + F.col("rare")).alias("pos")), "near-dup-prefixes")
     x, y = (posts.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "comp", "n", "pos", *words)]) for side in "ab")
-    need = F.ceil((F.col("n_a") + F.col("n_b")) * THRESHOLD / (100 + THRESHOLD))
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * threshold / (100 + threshold))
     near = (F.col("pos_a") <= F.col("n_a") - need) & (F.col("pos_b") <= F.col("n_b") - need)
     differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in words), F.lit(0))
     alike = differ <= F.col("n_a") + F.col("n_b") - 2 * need
-    met = x.join(y, "shingle").where((F.col("comp_a") != F.col("comp_b")) & (F.col("id_a") < F.col("id_b")) & _sized("n_a", "n_b") & near & alike)
+    met = x.join(y, "shingle").where((F.col("comp_a") != F.col("comp_b")) & (F.col("id_a") < F.col("id_b")) & _sized("n_a", "n_b", threshold) & near & alike)
     return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
@@ -215,11 +226,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("u", "id")
 
 
-def link(classes: DataFrame, docs: DataFrame) -> DataFrame:
+def link(classes: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """(id, comp) of the classes that are linked with another one."""
-    posts = written(postings(classes), "near-dup-postings")
+    posts = written(postings(classes, threshold), "near-dup-postings")
     cands = candidates(posts, classes, docs)
-    links = confirmed(starred(posts), cands)
+    links = confirmed(starred(posts, threshold), cands, threshold)
     comps = components(links)
 
     def placed() -> DataFrame:
@@ -229,20 +240,20 @@ def link(classes: DataFrame, docs: DataFrame) -> DataFrame:
         return at.join(main.where("lo <> hi").select("token", "main"), "token")
 
     # What is apart from the first hub is compared with a second one.
-    links = links.unionByName(confirmed(starred(placed().where("comp <> main").select("token", "id", "n", "weight")), cands))
+    links = links.unionByName(confirmed(starred(placed().where("comp <> main").select("token", "id", "n", "weight"), threshold), cands, threshold))
     comps = components(links)
     # What is still apart, across components.
     open_ = placed().select("id", "comp", "n").distinct()
-    late = confirmed(prefix_pairs(written(open_, "near-dup-open"), cands), cands)
+    late = confirmed(prefix_pairs(written(open_, "near-dup-open"), cands, threshold), cands, threshold)
     return components(links.unionByName(late))
 
 
-def near_dups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id, kept), one row per row of df."""
+def near_dups(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """(key, n_shingles, component_id, kept), one row per row of df; threshold: per cent of Jaccard similarity from which two are linked."""
     sigs = written(signatures(df, key, text), "near-dup-signatures")
     classes = sigs.where("n_shingles > 0").groupBy("set_key").agg(F.min("key").alias("label"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "near-dup-classes")
-    comps = link(classes, df.select(F.col(key).alias("key"), F.col(text).alias("text")))
+    comps = link(classes, df.select(F.col(key).alias("key"), F.col(text).alias("text")), threshold)
     named = classes.select("id", "set_key", "label").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     smallest = named.groupBy("comp").agg(F.min("label").alias("component_id"))
     by_set = salted_left_join(named, smallest, "comp", F.col("id")).select("set_key", "component_id")
@@ -252,4 +263,4 @@ def near_dups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups(table(spark, sf_dir, "documents"))
+    return near_dups(table(spark, sf_dir, "documents"), threshold=THRESHOLD)

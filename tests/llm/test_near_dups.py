@@ -95,3 +95,19 @@ def test_parities_never_differ_in_more_bits_than_the_sets_in_shingles(pairs):
     bits = near_dups.parities(flat, size)
     for i, (a, b) in enumerate(pairs):
         assert sum(int(x).bit_count() for x in (bits[2 * i] ^ bits[2 * i + 1]).view(np.uint64)) <= len(a ^ b)
+
+
+def test_threshold_of_the_stage(spark):
+    import corpus_pipeline
+
+    assert (near_dups.least_matches(85), near_dups.least_matches(80)) == (16, 13)
+    rows, likeness = [], {}
+    for k, changed in enumerate([8, 9, 10, 11, 12, 15] * 5):  # with 100 shingles each: Jaccard (100 - changed) / (100 + changed)
+        words = [f"d{k}w{j}" for j in range(104)]
+        rows += [(2 * k, " ".join(words), "s"), (2 * k + 1, " ".join(words[: 104 - changed] + [f"d{k}x{j}" for j in range(changed)]), "s")]
+        a, b = (shingles(t) for _, t, _ in rows[-2:])
+        likeness[2 * k + 1] = len(a & b) / len(a | b)
+    assert sum(0.8 <= x < 0.85 for x in likeness.values()) == 15
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for limit, frame in ((0.8, corpus_pipeline.drop_near_dups(spark, docs, "")), (0.8, near_dups.near_dups(docs, threshold=80).where("kept")), (0.85, near_dups.near_dups(docs).where("kept"))):
+        assert {r.doc_id for r in frame.collect()} == {i for i, *_ in rows} - {i for i, x in likeness.items() if x >= limit}

@@ -6,12 +6,13 @@ the same language have long matches, so few phrases; phrases are normalised by t
 the language that needs the fewest wins.
 
 The automata are built once on the driver from the sample and sent to the workers as transition tables
-(rows: states, columns: the alphabet of the samples). Parsing is vectorised: texts are cut into blocks,
+(rows: states, columns: the commonest symbols of the samples; transitions by rarer ones are a sorted list). Parsing is vectorised: texts are cut into blocks,
 the blocks of a batch advance together, one character a step, and the phrases of the blocks add up.
 Cutting adds at most one phrase a block, to every language alike; no part of a text is left out.
 
 Defined results: null texts and texts without a letter get "und" and score 0; equal texts get equal
-results; ties go to the language that sorts first; without any labelled row everything is "und".
+results; ties go to the language that sorts first; without any labelled row everything is "und"; labelled
+rows of more than MAX_LANGUAGES languages are refused.
 """
 
 from __future__ import annotations
@@ -29,22 +30,35 @@ from folioflow.llm.common import held_out, small_batches, table
 #: The sample: characters for each language, taken from so many labelled rows at most, so many of each.
 SAMPLE_CHARS, SAMPLE_ROWS, ROW_CHARS = 24_000, 400, 400
 MAX_LANGUAGES = 64
+#: Symbols with a column in the transition table; the rarer letters of the samples stand in a sorted list.
 ALPHABET = 64
 BLOCK = 1024
-#: Letters are compared in lower case; whatever is no letter of the samples is one symbol.
-OTHER = 0
+#: Letters are compared in lower case. What is neither letter nor space is left out; a letter that no sample has is UNSEEN.
+OTHER, SPACE, UNSEEN = 0, 1, 2
 
 
 @dataclass
 class Languages:
     names: list[str]
-    symbol_of: np.ndarray  # code point below 0x10000 -> symbol
+    symbol_of: np.ndarray  # code point -> symbol
     step: np.ndarray  # (all states of all languages) * ALPHABET + symbol -> state, or -1
     root: np.ndarray  # first state of each language
-
-
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transition table of the automaton that accepts the substrings of `symbols`; -1 where there is none."""
+    width: int  # symbols in all
+    rare: np.ndarray  # sorted state * width + symbol of the transitions by symbols from ALPHABET on
+    rare_to: np.ndarray  # and the states they lead to
+
+    def move(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """(languages x places) next states, or -1; symbol has one entry a place."""
+        out = self.step[state * ALPHABET + np.where(symbol < ALPHABET, symbol, OTHER)]
+        if len(self.rare) and len(at := np.flatnonzero(symbol >= ALPHABET)):
+            key = state[:, at].astype(np.int64) * self.width + symbol[at]
+            k = np.minimum(np.searchsorted(self.rare, key), len(self.rare) - 1)
+            out[:, at] = np.where(self.rare[k] == key, self.rare_to[k], -1)
+        return out
+
+
+def automaton_moves(symbols: list[int]) -> list[dict[int, int]]:
+    """For each state of the automaton that accepts the substrings of `symbols`, symbol -> next state."""
     moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -70,13 +84,24 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
+    return moves
+
+
+def dense(moves: list[dict[int, int]], width: int) -> np.ndarray:
+    """Transition table of the symbols below width; -1 where there is none."""
     table_ = np.full((len(moves), width), -1, dtype=np.int32)
     for s, m in enumerate(moves):
         for c, t in m.items():
-            table_[s, c] = t
+            if c < width:
+                table_[s, c] = t
     return table_
 
 
+def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
+    """Transition table of the automaton that accepts the substrings of `symbols`."""
+    return dense(automaton_moves(symbols), width)
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id") -> Languages | None:
     """Learns from rows with a language: per language up to SAMPLE_ROWS rows, in the order of a hash of `order`."""
     from pyspark.sql import Window
@@ -85,7 +110,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str
     # Rows long enough to show the language come first; the hash spreads the sample over the table.
     w = Window.partitionBy(lang).orderBy(F.length(text) < 60, F.xxhash64(order), order, text)
     short = rows.select(lang, order, F.substring(F.regexp_replace(text, r"\s+", " "), 1, ROW_CHARS).alias(text)).where(F.col(text).rlike(r"\p{L}"))
-    sample = short.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= SAMPLE_ROWS).orderBy(lang, "_n").limit(MAX_LANGUAGES * SAMPLE_ROWS).collect()
+    sample = short.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= SAMPLE_ROWS).orderBy(lang, "_n").limit(MAX_LANGUAGES * SAMPLE_ROWS + 1).collect()
+    if len(sample) > MAX_LANGUAGES * SAMPLE_ROWS or len({r[lang] for r in sample}) > MAX_LANGUAGES:
+        raise ValueError(f"labelled rows have more than {MAX_LANGUAGES} languages")
     texts: dict[str, str] = {}
     for r in sample:
         if len(texts.get(r[lang], "")) < SAMPLE_CHARS:
@@ -95,30 +122,33 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str
     names = sorted(texts)
     from collections import Counter
 
-    letters = Counter(c for t in texts.values() for c in t if c.isalpha() and ord(c) < 0x10000)
-    symbol_of = np.zeros(0x10000, dtype=np.int8)
-    symbol_of[[9, 10, 11, 12, 13, 32]] = 1
-    for k, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 2], 2):
+    letters = Counter(c for t in texts.values() for c in t if c.isalpha())
+    symbol_of = np.array([UNSEEN if chr(k).isalpha() else OTHER for k in range(0x110000)], dtype=np.int32)
+    symbol_of[[9, 10, 11, 12, 13, 32]] = SPACE
+    for k, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0])), UNSEEN + 1):
         symbol_of[ord(c)] = k
-        if len(c.upper()) == 1 and ord(c.upper()) < 0x10000:
+        if len(c.upper()) == 1:
             symbol_of[ord(c.upper())] = k
-    tables, root = [], []
+    width = UNSEEN + 1 + len(letters)
+    tables, root, base, rare = [], [], 0, []
     for name in names:
-        points = np.frombuffer(texts[name].encode("utf-32-le"), dtype=np.uint32)
-        sym = symbol_of[np.minimum(points, 0xFFFF)]
-        sym = sym[(sym != OTHER) & ~((sym == 1) & np.concatenate([[False], sym[:-1] == 1]))]
-        t = suffix_automaton(sym.tolist(), ALPHABET)
-        base = sum(map(len, tables))
+        sym = symbol_of[np.frombuffer(texts[name].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        sym = sym[(sym != OTHER) & ~((sym == SPACE) & np.concatenate([[False], sym[:-1] == SPACE]))]
+        moves = automaton_moves(sym.tolist())
+        rare += [((s + base) * width + c, t + base) for s, m in enumerate(moves) for c, t in m.items() if c >= ALPHABET]
+        t = dense(moves, ALPHABET)
         root.append(base)
         tables.append(np.where(t >= 0, t + base, -1))
-    return Languages(names, symbol_of, np.concatenate(tables).ravel().astype(np.int32), np.array(root, dtype=np.int32))
+        base += len(moves)
+    listed = np.array(sorted(rare), dtype=np.int64).reshape(-1, 2)
+    return Languages(names, symbol_of, np.concatenate(tables).ravel().astype(np.int32), np.array(root, dtype=np.int32), width, listed[:, 0].copy(), listed[:, 1].astype(np.int32))
 
 
 def phrases(model: Languages, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(texts x languages) number of phrases, and the number of symbols of each text."""
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))
-    sym = model.symbol_of[np.minimum(points, 0xFFFF)]
+    sym = model.symbol_of[points]
     keep = sym != OTHER
     sym, owner = sym[keep].astype(np.int32), owner[keep]
     size = np.bincount(owner, minlength=len(texts))
@@ -137,9 +167,9 @@ def phrases(model: Languages, texts: list[str]) -> tuple[np.ndarray, np.ndarray]
     for i in range(int(length[0]) if len(length) else 0):
         m = alive[i]
         c = sym[at[:m] + i]
-        nxt = model.step[state[:, :m] * ALPHABET + c]
+        nxt = model.move(state[:, :m], c)
         ended = nxt < 0
-        again = model.step[model.root[:, None] * ALPHABET + c]
+        again = model.move(np.repeat(model.root[:, None], m, axis=1), c)
         count[:, :m] += ended
         np.copyto(nxt, np.where(again < 0, model.root[:, None], again), where=ended)
         state[:, :m] = nxt

@@ -143,6 +143,23 @@ def test_language_odd_rows(spark):
     assert language_id.fit(df.selectExpr("doc_id", "text", "CAST(NULL AS string) AS lang")) is None
 
 
+def test_languages_of_many_letters(spark, monkeypatch):
+    rng = random.Random(9)
+    scripts = {"aa": range(0x61, 0x7B), "el": range(0x3B1, 0x3C9), "ko": range(0xAC00, 0xAE00), "ru": range(0x430, 0x450), "zh": range(0x4E00, 0x5000), "zz": range(0x20000, 0x20040)}
+    words = {n: ["".join(rng.choices([chr(c) for c in points], k=4)) for _ in range(60)] for n, points in scripts.items()}
+    make = lambda n: " ".join(rng.choices(words[n], k=20))
+    rows = [(k, make(n), n) for k, n in enumerate([*scripts] * 20)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts_ = {n: [make(n) for _ in range(5)] for n in scripts}
+    for k, n in enumerate(model.names):
+        total, size = language_id.phrases(model, texts_[n])
+        assert (size == [len(t) for t in texts_[n]]).all() and (np.delete(total, k, axis=1) > 2 * total[:, [k]]).all()
+    assert language_id.phrases(model, ["\u0e01\u0e02 \U00030000"])[1].tolist() == [4]  # letters of no sample count
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 5)
+    with pytest.raises(ValueError):
+        language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
 # --- media ------------------------------------------------------------------------------------------
 
 

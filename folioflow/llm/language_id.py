@@ -6,32 +6,41 @@ the same language have long matches, so few phrases; phrases are normalised by t
 the language that needs the fewest wins.
 
 The automata are built once on the driver from the sample and sent to the workers as transition tables
-(rows: states, columns: the commonest symbols of the samples; transitions by rarer ones are a sorted list). Parsing is vectorised: texts are cut into blocks,
-the blocks of a batch advance together, one character a step, and the phrases of the blocks add up.
-Cutting adds at most one phrase a block, to every language alike; no part of a text is left out.
+(rows: states, columns: the commonest symbols of the samples, as many as TABLE_BYTES hold for all
+languages together; transitions by rarer ones are a sorted list). Every letter of the samples is a symbol.
+Parsing is vectorised: texts are cut into blocks, the blocks of a batch advance together, one character a
+step, and the phrases of the blocks add up. Cutting adds at most one phrase a block, to every language
+alike; no part of a text is left out.
 
 Defined results: null texts and texts without a letter get "und" and score 0; equal texts get equal
 results; ties go to the language that sorts first; without any labelled row everything is "und"; labelled
-rows of more than MAX_LANGUAGES languages are refused.
+rows of more than MAX_LANGUAGES languages are refused; an empty table has an empty result; columns of the
+input stay, but those that have the names of the two results are replaced (pass other names for these).
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.llm.common import held_out, small_batches, table
 
-#: The sample: characters for each language, taken from so many labelled rows at most, so many of each.
-SAMPLE_CHARS, SAMPLE_ROWS, ROW_CHARS = 24_000, 400, 400
-MAX_LANGUAGES = 64
-#: Symbols with a column in the transition table; the rarer letters of the samples stand in a sorted list.
-ALPHABET = 64
+#: The sample: characters for each language, in whole rows, of at most so many labelled rows of at most so many characters.
+SAMPLE_CHARS, SAMPLE_ROWS, ROW_CHARS = 24_000, 200, 1_200
+#: Rows shorter than this show little of a language and come last.
+SHORT = 60
+#: Rows of a language that are ranked, as many times SAMPLE_ROWS, however many there are.
+RANKED = 20
+#: With a sample each, what goes to every task stays under 300 MB.
+MAX_LANGUAGES = 256
+#: Bound of the dense part of the transition table, and most symbols that have a column.
+TABLE_BYTES, ALPHABET = 1 << 27, 64
 BLOCK = 1024
 #: Letters are compared in lower case. What is neither letter nor space is left out; a letter that no sample has is UNSEEN.
 OTHER, SPACE, UNSEEN = 0, 1, 2
@@ -41,16 +50,17 @@ OTHER, SPACE, UNSEEN = 0, 1, 2
 class Languages:
     names: list[str]
     symbol_of: np.ndarray  # code point -> symbol
-    step: np.ndarray  # (all states of all languages) * ALPHABET + symbol -> state, or -1
+    columns: int  # symbols that have a column
+    step: np.ndarray  # (all states of all languages) * columns + symbol -> state, or -1
     root: np.ndarray  # first state of each language
     width: int  # symbols in all
-    rare: np.ndarray  # sorted state * width + symbol of the transitions by symbols from ALPHABET on
+    rare: np.ndarray  # sorted state * width + symbol of the transitions by symbols from `columns` on
     rare_to: np.ndarray  # and the states they lead to
 
     def move(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """(languages x places) next states, or -1; symbol has one entry a place."""
-        out = self.step[state * ALPHABET + np.where(symbol < ALPHABET, symbol, OTHER)]
-        if len(self.rare) and len(at := np.flatnonzero(symbol >= ALPHABET)):
+        out = self.step[state * np.int64(self.columns) + np.where(symbol < self.columns, symbol, OTHER)]
+        if len(self.rare) and len(at := np.flatnonzero(symbol >= self.columns)):
             key = state[:, at].astype(np.int64) * self.width + symbol[at]
             k = np.minimum(np.searchsorted(self.rare, key), len(self.rare) - 1)
             out[:, at] = np.where(self.rare[k] == key, self.rare_to[k], -1)
@@ -102,26 +112,40 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
     return dense(automaton_moves(symbols), width)
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id") -> Languages | None:
-    """Learns from rows with a language: per language up to SAMPLE_ROWS rows, in the order of a hash of `order`."""
-    from pyspark.sql import Window
-
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    # Rows long enough to show the language come first; the hash spreads the sample over the table.
-    w = Window.partitionBy(lang).orderBy(F.length(text) < 60, F.xxhash64(order), order, text)
-    short = rows.select(lang, order, F.substring(F.regexp_replace(text, r"\s+", " "), 1, ROW_CHARS).alias(text)).where(F.col(text).rlike(r"\p{L}"))
-    sample = short.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= SAMPLE_ROWS).orderBy(lang, "_n").limit(MAX_LANGUAGES * SAMPLE_ROWS + 1).collect()
-    if len(sample) > MAX_LANGUAGES * SAMPLE_ROWS or len({r[lang] for r in sample}) > MAX_LANGUAGES:
+def sample(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id") -> dict[str, str]:
+    """lang -> joined whole rows, SAMPLE_CHARS characters at most: a hash of `order` spreads them over the table.
+
+    Counting the rows of each language first leaves about RANKED * SAMPLE_ROWS of them to be ranked.
+    """
+    rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(order), F.col(text)).alias("h"), F.col(text).alias("t")).where("lang IS NOT NULL AND t IS NOT NULL")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"labelled rows have more than {MAX_LANGUAGES} languages")
-    texts: dict[str, str] = {}
-    for r in sample:
-        if len(texts.get(r[lang], "")) < SAMPLE_CHARS:
-            texts[r[lang]] = (texts.get(r[lang], "") + " " + r[text].lower())[:SAMPLE_CHARS]
+    share = {r["lang"]: min(1.0, RANKED * SAMPLE_ROWS / r["n"]) for r in counts}
+    fewer = {k: v for k, v in share.items() if v < 1}
+    if fewer:
+        bar = F.create_map(*[F.lit(x) for k, v in fewer.items() for x in (k, int(v * (1 << 62)))])
+        rows = rows.where(F.shiftrightunsigned("h", 2) < F.coalesce(bar[F.col("lang")], F.lit(1 << 62)))
+    fits = rows.withColumn("t", F.lower(F.regexp_replace("t", r"\s+", " "))).withColumn("n", F.length("t")).where(F.col("t").rlike(r"\p{L}"))
+    late = F.when(F.col("n") > ROW_CHARS, 2).when(F.col("n") < SHORT, 1).otherwise(0)
+    # Of a row that is longer than a whole sample, and is taken only if its language has no other, the middle is the sample.
+    most = F.when(F.col("n") > SAMPLE_CHARS, F.substring("t", ((F.col("n") - SAMPLE_CHARS) / 2).cast("int") + 1, F.lit(SAMPLE_CHARS))).otherwise(F.col("t"))
+    w = Window.partitionBy("lang").orderBy("late", "h", "n")
+    ranked = fits.select("lang", "h", "n", late.alias("late"), most.alias("t")).withColumn("r", F.row_number().over(w))
+    got = ranked.where((F.col("r") <= SAMPLE_ROWS) & ((F.col("late") < 2) | (F.col("r") == 1))).orderBy("lang", "r").select("lang", "t").collect()
+    out: dict[str, str] = {}
+    for r in got:
+        if len(out.get(r["lang"], "")) + len(r["t"]) <= SAMPLE_CHARS:
+            out[r["lang"]] = (out.get(r["lang"], "") + " " + r["t"]).lstrip()
+    return out
+
+
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id") -> Languages | None:
+    """Learns from a bounded sample of the rows with a language; None without any."""
+    texts = sample(labelled, text, lang, order)
     if not texts:
         return None
     names = sorted(texts)
-    from collections import Counter
-
     letters = Counter(c for t in texts.values() for c in t if c.isalpha())
     symbol_of = np.array([UNSEEN if chr(k).isalpha() else OTHER for k in range(0x110000)], dtype=np.int32)
     symbol_of[[9, 10, 11, 12, 13, 32]] = SPACE
@@ -130,18 +154,17 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str
         if len(c.upper()) == 1:
             symbol_of[ord(c.upper())] = k
     width = UNSEEN + 1 + len(letters)
-    tables, root, base, rare = [], [], 0, []
+    moves: list[dict[int, int]] = []
+    root = []
     for name in names:
         sym = symbol_of[np.frombuffer(texts[name].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
         sym = sym[(sym != OTHER) & ~((sym == SPACE) & np.concatenate([[False], sym[:-1] == SPACE]))]
-        moves = automaton_moves(sym.tolist())
-        rare += [((s + base) * width + c, t + base) for s, m in enumerate(moves) for c, t in m.items() if c >= ALPHABET]
-        t = dense(moves, ALPHABET)
+        base = len(moves)
         root.append(base)
-        tables.append(np.where(t >= 0, t + base, -1))
-        base += len(moves)
-    listed = np.array(sorted(rare), dtype=np.int64).reshape(-1, 2)
-    return Languages(names, symbol_of, np.concatenate(tables).ravel().astype(np.int32), np.array(root, dtype=np.int32), width, listed[:, 0].copy(), listed[:, 1].astype(np.int32))
+        moves += [{c: t + base for c, t in m.items()} for m in automaton_moves(sym.tolist())]
+    columns = max(UNSEEN + 1, min(ALPHABET, TABLE_BYTES // (4 * len(moves))))
+    rare = np.array(sorted((s * width + c, t) for s, m in enumerate(moves) for c, t in m.items() if c >= columns), dtype=np.int64).reshape(-1, 2)
+    return Languages(names, symbol_of, columns, dense(moves, columns).ravel(), np.array(root, dtype=np.int32), width, rare[:, 0].copy(), rare[:, 1].astype(np.int32))
 
 
 def phrases(model: Languages, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -178,29 +201,29 @@ def phrases(model: Languages, texts: list[str]) -> tuple[np.ndarray, np.ndarray]
     return total, size
 
 
-def identify(df: DataFrame, model: Languages | None, text: str = "text") -> DataFrame:
-    """df with lang_pred and score: one minus the winner's phrases over the runner-up's."""
+def identify(df: DataFrame, model: Languages | None, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """df with the language (pred) and one minus the winner's phrases over the runner-up's (score)."""
     spark = df.sparkSession
     small_batches(spark)
     held = spark.sparkContext.broadcast(model)
-    keep = [c for c in df.columns if c not in ("lang_pred", "score")]
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    keep = [c for c in df.columns if c.lower() not in (pred.lower(), score.lower())]
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
+    place = keep.index(text)
 
     def run(batches):
         m = held.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            texts = [t or "" for t in batch.column(place).to_pylist()]
             lettered = [any(map(str.isalpha, t)) for t in texts]
             names, scores = ["und"] * len(texts), np.zeros(len(texts))
             if m is not None and texts:
                 total, size = phrases(m, texts)
                 best = total.argmin(axis=1)
                 two = np.sort(total, axis=1)
-                score = 1 - two[:, 0] / np.maximum(two[:, min(1, two.shape[1] - 1)], 1) if two.shape[1] > 1 else np.ones(len(texts))
+                lead = 1 - two[:, 0] / np.maximum(two[:, min(1, two.shape[1] - 1)], 1) if two.shape[1] > 1 else np.ones(len(texts))
                 names = [m.names[b] if x else "und" for b, x in zip(best.tolist(), lettered, strict=True)]
-                scores = np.where(lettered, np.where(size > 0, score, 0.0), 0.0)
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, type=pa.string()), pa.array(scores, type=pa.float64())], names=[*keep, "lang_pred", "score"])
+                scores = np.where(lettered, np.where(size > 0, lead, 0.0), 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, type=pa.string()), pa.array(scores, type=pa.float64())], names=[*keep, pred, score])
 
     return df.select(*keep).mapInArrow(run, schema)
 

@@ -1,18 +1,19 @@
 """Secret scans by corpus-wide ownership frequency.
 
 Regular expressions find candidates in whole texts. Each candidate's value is hashed, and the corpus is
-asked in how many distinct repositories and by how many distinct owners the hash occurs. A value that
-many owners hold is a copied example; one that few owners hold looks live. The fixed kinds (assign,
-access, hex) are always reported with that class; the further kinds only where they look live and don't
-overlap a fixed one.
+asked in how many distinct repositories and by how many distinct owners the hash occurs. A value of one
+owner looks live, in however many repositories the owner keeps it. A value of several owners is a copied
+example if there are more than max_owners of them, or more than max_repos repositories; a few copies, as
+forks and mirrors make them, still look live. The fixed kinds (assign, access, hex) are always reported
+with that class; the further kinds only where they look live and don't overlap a fixed one.
 
-Everything runs as DataFrame operations. Only spans and hashes are shuffled, never texts. Counting
-distinct owners is pre-aggregated by (hash, owner), and the join back to the spans is salted, so that a
-value which a third of all rows hold does not meet in one task.
+Everything runs as DataFrame operations. Texts are searched once and never shuffled by scan; redact deals
+out only those that hold a candidate. Counting distinct owners and repositories is pre-aggregated, and a
+value that very many rows hold is split when it is joined back, so it does not meet in one task.
 
 Defined results: a null text is the empty text, which has no spans; a null owner counts as one owner of
-its own, likewise a null repository; repeated rows are reported each; further columns are ignored by
-scan and kept by redact.
+its own, likewise a null repository; repeated rows are reported each; further columns, of any name, are
+ignored by scan and kept by redact; an empty table has an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ FURTHER = [
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s+[A-Za-z0-9+/=\s]{32,}", 0, 48),
     ("quoted", r"""(?<=["'])[A-Za-z0-9+/_=-]{24,}(?=["'])""", 0, 24),
 ]
+#: Owners, and repositories of several owners, up to which a value looks live.
+MAX_OWNERS, MAX_REPOS = 2, 8
 SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
 
 
@@ -77,42 +80,51 @@ def _list(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source", max_owners: int = 2) -> DataFrame:
-    """One row per row of df: key, base_spans, spans (array of start, rank, end, kind, value, n_repos, n_owners, live).
+def is_live(max_owners: int, max_repos: int) -> Column:
+    """Over n_repos and n_owners of a value."""
+    return (F.col("n_owners") == 1) | ((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
 
-    A value that more than max_owners owners hold is an example.
-    """
-    found = with_spans(df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner")), "text").drop("text")
-    found = written(found.withColumn("row", F.monotonically_increasing_id()), "secret-spans")
+
+def searched(rows: DataFrame) -> DataFrame:
+    """rows (text and others) with base_spans, further_spans and a number for each row, without text, as a written table."""
+    return written(with_spans(rows).drop("text").withColumn("row", F.monotonically_increasing_id()), "secret-spans")
+
+
+def classified(found: DataFrame, max_owners: int, max_repos: int) -> DataFrame:
+    """(row, spans) of the rows with candidates, with the class of each value; found has row, repo, owner and both lists of spans."""
     all_spans = F.concat("base_spans", "further_spans")
-    some = found.where(F.size(all_spans) > 0)
-    each = some.select("row", "key", "repo", "owner", "base_spans", F.explode(all_spans).alias("s")).withColumn("hash", F.md5(F.col("s.value").cast("binary")))
+    each = found.where(F.size(all_spans) > 0).select("row", "repo", "owner", F.explode(all_spans).alias("s")).withColumn("hash", F.md5(F.col("s.value").cast("binary")))
     joined = salted_left_join(each.drop("repo", "owner"), ownership(each.select("hash", "repo", "owner")), "hash", F.col("row"))
-    live = F.col("n_owners") <= max_owners
+    live = is_live(max_owners, max_repos)
     span = F.struct("s.start", "s.rank", "s.end", "s.kind", "s.value", "n_repos", "n_owners", live.alias("live"))
     kept = F.when(live | (F.col("s.rank") < len(BASE)), span)
-    full = joined.groupBy("row", "key").agg(F.first("base_spans").alias("base_spans"), F.array_sort(F.collect_list(kept)).alias("spans"))
-    empty = found.where(F.size(all_spans) == 0).select("row", "key", "base_spans", F.array().cast(full.schema["spans"].dataType).alias("spans"))
-    return full.unionByName(empty).drop("row").withColumnRenamed("key", key)
+    return joined.groupBy("row").agg(F.array_sort(F.collect_list(kept)).alias("spans"))
 
 
-def redact(df: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source", max_owners: int = 2, mark: str = "[SECRET]") -> DataFrame:
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """One row per row of df: key, base_spans, spans (array of start, rank, end, kind, value, n_repos, n_owners, live)."""
+    found = searched(df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner")))
+    spans = classified(found, max_owners, max_repos)
+    full = found.where(F.size("base_spans") + F.size("further_spans") > 0).join(spans, "row").select("key", "base_spans", "spans")
+    empty = found.where(F.size("base_spans") + F.size("further_spans") == 0).select("key", "base_spans", F.array().cast(full.schema["spans"].dataType).alias("spans"))
+    return full.unionByName(empty).withColumnRenamed("key", key)
+
+
+def redact(df: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS, mark: str = "[SECRET]") -> DataFrame:
     """df with every live-looking value in text replaced by a mark; other rows, columns and texts are unchanged.
 
-    Rows without candidates pass by; those with some meet their values by the hash of key and text.
+    Rows without candidates pass by; the others meet their spans by row number.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    any_hit = F.lit(False)
-    for _, pattern, _, _ in [*BASE, *FURTHER]:
-        any_hit = any_hit | t.rlike(pattern)
-    name = F.md5(F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("")), t).cast("binary"))
-    hits = df.where(any_hit).withColumn("_name", name)
-    found = scan(hits, "_name", text, repo, owner, max_owners)
-    values = found.select("_name", F.explode("spans").alias("s")).where("s.live").groupBy("_name").agg(F.collect_set("s.value").alias("_values"))
-    values = values.withColumn("_values", F.array_sort("_values", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)))
-    masked = salted_left_join(hits, values, "_name", F.col(key).cast("string"))
-    clean = F.when(F.col("_values").isNull(), F.col(text)).otherwise(F.aggregate("_values", F.col(text), lambda x, v: F.replace(x, v, F.lit(mark))))
-    return masked.withColumn(text, clean).select(*df.columns).unionByName(df.where(~any_hit))
+    doc = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    found = searched(df.select(doc.alias("doc"), F.col(text).alias("text"), F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner")))
+    some = F.size("base_spans") + F.size("further_spans") > 0
+    values = F.array_distinct(F.transform(F.filter("spans", lambda s: s["live"]), lambda s: s["value"]))
+    # Longer values first, so that one inside another does not break it.
+    values = F.array_sort(values, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    spans = classified(found.select("row", "repo", "owner", "base_spans", "further_spans"), max_owners, max_repos).select("row", values.alias("values"))
+    clean = F.aggregate("values", F.col(f"doc.`{text}`"), lambda x, v: F.replace(x, v, F.lit(mark)))
+    masked = found.where(some).join(spans, "row").select(F.col("doc").withField(f"`{text}`", clean).alias("doc"))
+    return masked.unionByName(found.where(~some).select("doc")).select("doc.*")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,14 @@ Only documents have labels: the gradient of the document's likelihood reaches ea
 proportion to its own score, so the weights settle on the sentences that explain the label, and these
 are then reported as the offending ones.
 
-The weights are learned on the driver from a bounded sample of labelled rows (TRAIN_ROWS documents of at
-most TRAIN_CHARS characters) and sent out as one table of fixed size. Scoring goes through whole texts.
+The weights are learned on the driver from a bounded sample of labelled rows (about TRAIN_ROWS whole
+documents; those longer than TRAIN_CHARS characters are left out of it) and sent out as one table of fixed
+size. Scoring goes through whole texts.
 
 Defined results: a null or empty text, or one without letters, has no sentence and scores 0; equal texts
 get equal scores; without labelled rows every score is 0; labels of 0 and 1 count, null labels don't, and
-of several labels of a document the highest.
+of several labels of a document the highest; an empty table has an empty result; columns of the input
+stay, but those that have the names of the two results are replaced.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from folioflow.llm.wordhash import words_of
 
 TRAIN_ROWS, TRAIN_CHARS = 8_000, 20_000
 DIM_BITS = 18
+LARGEST = (1 << 63) - 1
 #: About one word in a million without any bearing passes this.
 SCREEN = 24.0
 THRESHOLD = 0.3
@@ -87,6 +90,15 @@ def telling(bags: Bags, labels: np.ndarray) -> np.ndarray:
     return np.flatnonzero((n > 0) & (pos > n * base) & (g > SCREEN))
 
 
+def gradient(w: np.ndarray, word: np.ndarray, sentence: np.ndarray, doc: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Slope of the mean negative log-likelihood of the documents' labels; w ends with the bias, doc is each sentence's document."""
+    z = np.bincount(sentence, weights=w[word], minlength=len(doc)) + w[-1]
+    total = np.bincount(doc, weights=np.logaddexp(0, z), minlength=len(labels))
+    slope = np.where(labels > 0, -1 / np.expm1(np.clip(total, 1e-6, 50)), 1.0)
+    per_sentence = slope[doc] / (1 + np.exp(-z)) / len(labels)
+    return np.append(np.bincount(word, weights=per_sentence[sentence], minlength=len(w) - 1), per_sentence.sum())
+
+
 def train(texts: list[bytes], labels: np.ndarray, rounds: int = 300, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch Adam on the documents' likelihood; only telling words get a weight."""
     bags = bags_of(texts)
@@ -102,11 +114,7 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 300, rate: float
     w[-1] = np.log(rate_pos / max(1.0, len(bags.begin) / len(texts)))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        z = np.bincount(sentence, weights=w[word], minlength=len(bags.begin)) + w[-1]
-        total = np.bincount(bags.doc, weights=np.logaddexp(0, z), minlength=bags.n_docs)
-        slope = np.where(labels > 0, -1 / np.expm1(np.clip(total, 1e-6, 50)), 1.0)
-        g_s = slope[bags.doc] / (1 + np.exp(-z)) / len(texts)
-        g = np.append(np.bincount(word, weights=g_s[sentence], minlength=len(used)), g_s.sum())
+        g = gradient(w, word, sentence, bags.doc, labels)
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -121,10 +129,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     n = known.count()
     if not n:
         return None
-    share = min(1.0, rows / n)
-    known = known.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * rows)
-    short = docs.select(key, F.substring(F.col(text), 1, TRAIN_CHARS).alias("_t")).where(F.col("_t") != "")
-    got = short.join(F.broadcast(known), key).select("_t", "_y").limit(2 * rows).collect()  # at most 2 * rows ids are sent out
+    if n > rows:
+        known = known.where(F.shiftrightunsigned(F.xxhash64(key), 1) < min(LARGEST, int(LARGEST * rows / n))).limit(2 * rows)
+    whole = docs.select(key, F.col(text).alias("_t")).where(F.length("_t").between(1, TRAIN_CHARS))
+    got = whole.join(F.broadcast(known), key).select("_t", "_y").limit(2 * rows).collect()  # at most 2 * rows ids are sent out
     y = np.array([r["_y"] for r in got])
     if not len(y) or y.min() == y.max():
         return None
@@ -136,14 +144,15 @@ def score(df: DataFrame, model: tuple[np.ndarray, float] | None, text: str = "te
     spark = df.sparkSession
     small_batches(spark)
     held = spark.sparkContext.broadcast(model)
-    keep = [c for c in df.columns if c not in ("score", "offending")]
+    keep = [c for c in df.columns if c.lower() not in ("score", "offending")]
+    place = keep.index(text)
     kind = T.ArrayType(T.StructType([T.StructField("sentence", T.StringType()), T.StructField("score", T.DoubleType())]))
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("score", T.DoubleType()), T.StructField("offending", kind)])
     arrow_kind = pa.list_(pa.struct([("sentence", pa.string()), ("score", pa.float64())]))
 
     def run(batches):
         for batch in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(place).to_pylist()]
             scores, found = np.zeros(len(texts)), [[] for _ in texts]
             if held.value is not None and texts:
                 bags = bags_of(texts)
@@ -152,8 +161,7 @@ def score(df: DataFrame, model: tuple[np.ndarray, float] | None, text: str = "te
                 for i in np.flatnonzero(logits >= np.log(least / (1 - least))).tolist():
                     a, b = bags.span[i].tolist()
                     found[bags.doc[i]].append({"sentence": texts[bags.doc[i]][a:b].decode("utf-8", "replace"), "score": float(1 / (1 + np.exp(-logits[i])))})
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, type=pa.float64()), pa.array(found, type=arrow_kind)], names=[*keep, "score", "offending"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, type=pa.float64()), pa.array(found, type=arrow_kind)], names=[*keep, "score", "offending"])
 
     return df.select(*keep).mapInArrow(run, schema)
 

@@ -68,3 +68,11 @@ def runs(values: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         acc = acc * _MULTIPLY + values[k : len(values) - n + 1 + k]
     return mix(acc)
+
+
+def runs_at(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n values from each place in `at`; places run past the end at the last value (callers leave those out)."""
+    acc = np.zeros(len(at), dtype=np.uint64)
+    for k in range(n):
+        acc = acc * _MULTIPLY + values[np.minimum(at + k, len(values) - 1)]
+    return mix(acc ^ np.uint64(n))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -50,13 +51,62 @@ def planted():
     return rows + [(None, rows[1][1], None), (2000, rows[1][1], None)]
 
 
-@pytest.mark.parametrize("hot, group", [(2000, 20_000), (5, 40), (1, 1)])
+@pytest.mark.parametrize("hot, group", [(2000, 20_000), (20, 40), (5, 40), (1, 1)])
 def test_all_windows(spark, hot, group):
     rows = planted()
     got = substring_dedup.dedup(spark.createDataFrame(rows, SCHEMA), hot=hot, group=group).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == brute(rows)
 
 
+def test_prefixes_are_lengthened_until_they_fit(spark):
+    rng = random.Random(7)
+    make = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    common, ways = make(40), [make(60) for _ in range(10)]
+    rows = planted() + [(3000 + k, " ".join(make(5) + common + ways[k % 10]), None) for k in range(40)]  # one start, ten ways to go on
+    got = substring_dedup.dedup(spark.createDataFrame(rows, SCHEMA), hot=6, group=40).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == brute(rows)
+    named = substring_dedup._named(spark.createDataFrame(rows, SCHEMA), "doc_id", "text")
+    lengths = {}
+    for hot in (6, 2000):
+        trees, nodes = substring_dedup.partitioned(named, hot)
+        sizes = trees.groupBy("n_prefix", "gram").agg({"spans": "count"}).collect()
+        assert all(r["cnt"] <= hot for r in trees.select("cnt").collect())
+        lengths[hot] = {r["n_prefix"] for r in sizes} | {r["n_prefix"] for r in nodes.select("n_prefix").distinct().collect()}
+    assert lengths[6] == {20, 35, 50} and lengths[2000] == {20}
+
+
+def test_tree_is_the_sorted_suffixes():
+    rng = np.random.default_rng(2)
+    rows = rng.integers(1, 3, size=(60, 8)).astype(np.int32)
+    size = rng.integers(0, 9, size=60)
+    rows[np.arange(8) >= size[:, None]] = 0
+    tree = substring_dedup.Tree(rows, size)
+    for depth in range(9):
+        nodes = tree.nodes(depth)
+        for i in range(60):
+            for j in range(60):
+                if size[i] >= depth and size[j] >= depth:
+                    assert (nodes[i] == nodes[j]) == (rows[i, :depth] == rows[j, :depth]).all()
+
+
+@pytest.mark.parametrize("hot, group", [(2000, 20_000), (5, 40)])
+def test_maximal_repeats(spark, hot, group):
+    rows = [r for r in planted() if r[0] is not None]
+    rows = list({r[0]: r for r in rows}.values())
+    got = substring_dedup.maximal_repeats(spark.createDataFrame(rows, SCHEMA), hot=hot, group=group).collect()
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t, _ in rows}
+    first = {}
+    for i, w in sorted(words.items()):
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), i)
+    want = []
+    for i, w in words.items():
+        hit = [first[tuple(w[k : k + 50])] < i for k in range(len(w) - 49)]
+        starts = [k for k, h in enumerate(hit) if h and not (k and hit[k - 1])]
+        want += [(i, k, next((j for j in range(k, len(hit)) if not hit[j]), len(hit)) - k + 49) for k in starts]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_empty(spark):
     assert substring_dedup.dedup(spark.createDataFrame([], SCHEMA)).collect() == []
 

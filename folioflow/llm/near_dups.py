@@ -15,7 +15,10 @@ joins two components is lost.
 Defined results: a text without words (also a null one) has an empty set, is linked with nothing and is
 its own component; fewer words than a shingle make one shingle of the whole sequence; rows with equal
 ids are judged by their texts; a row with a null id belongs to the component of its text, whose id is the
-smallest non-null one, or null; kept is true where doc_id equals component_id, nulls being equal.
+smallest non-null one, or null; kept is true where doc_id equals component_id, nulls being equal. Further
+columns, of any name, are ignored by near_dups and kept by first_rows, which leaves exactly one row of each
+component: the one with the smallest id, nulls last, then with the smallest hash of its text; of equal rows,
+one; rows without words all stay. An empty table has an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.common import salted_left_join, small_batches, table, written
+from folioflow.llm.common import drop_written, free_name, hot_keys, salted_left_join, small_batches, table, written
 from folioflow.llm.wordhash import mix, runs, words_of
 
 SHINGLE = 5
@@ -58,9 +61,9 @@ def shingle_sets(texts: list[str | None], n: int = SHINGLE) -> list[np.ndarray]:
 
 
 def signatures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, set_key, tokens): tokens are the coordinate-value pairs as numbers."""
+    """(key, n_shingles, set_key, tokens, row_hash): tokens are the coordinate-value pairs as numbers, row_hash is of the text as it stands."""
     small_batches(df.sparkSession)
-    schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.StringType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.StringType()), T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("row_hash", T.LongType())])
 
     def run(batches):
         for batch in batches:
@@ -76,9 +79,9 @@ def signatures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             ends = np.concatenate([[0], np.cumsum(np.where(size > 0, COORDINATES, 0))]).astype(np.int32)
             keys = [hashlib.md5(s.tobytes()).hexdigest() if len(s) else None for s in sets]
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(keys, type=pa.string()), lists], names=["key", "n_shingles", "set_key", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(keys, type=pa.string()), lists, batch.column(2)], names=["key", "n_shingles", "set_key", "tokens", "row_hash"])
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("row_hash")).mapInArrow(run, schema)
 
 
 def least_matches(threshold: int) -> int:
@@ -110,39 +113,28 @@ def _sized(a: str, b: str, threshold: int):
     return (F.col(a) * threshold <= F.col(b) * 100) & (F.col(b) * threshold <= F.col(a) * 100)
 
 
-def _of_class(found: DataFrame) -> DataFrame:
-    """One text for each class: of rows that share an id, those whose own set is the class's."""
-
-    def run(batches):
-        for batch in batches:
-            t = batch.column(1).to_pylist()
-            keys = [hashlib.md5(s.tobytes()).hexdigest() for s in shingle_sets(t)]
-            keep = pa.array([k == w for k, w in zip(keys, batch.column(2).to_pylist(), strict=True)], type=pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["id", "text"]).filter(keep)
-
-    return found.select("id", "text", "set_key").mapInArrow(run, "id long, text string").dropDuplicates(["id"])
-
-
 def candidates(posts: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, tokens, text) of the classes that share a prefix token; the only time whole texts are dealt out."""
-    wanted = posts.select("id").distinct().join(classes.select("id", "label", "set_key", "tokens"), "id")
-    named = docs.select(F.coalesce(F.col("key").cast("string"), F.lit("\0null")).alias("name"), "text")
-    texts = _of_class(named.join(wanted.select("id", "set_key", F.coalesce(F.col("label").cast("string"), F.lit("\0null")).alias("name")), "name"))
-    return written(texts.join(wanted.select("id", "tokens"), "id"), "near-dup-candidates")
+    """(id, tokens, text) of the classes that share a prefix token: the text of the class's first row; the only time whole texts are dealt out."""
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0null")).alias("name")
+    wanted = posts.select("id").distinct().join(classes.select("id", name("label.key"), "label.row_hash", "tokens"), "id")
+    named = docs.select(name("key"), F.xxhash64("text").alias("row_hash"), "text")
+    return written(named.join(wanted, ["name", "row_hash"]).select("id", "tokens", "text").dropDuplicates(["id"]), "near-dup-candidates")
 
 
-def _attach(pairs: DataFrame, cands: DataFrame, column: str, side: str, other: str) -> DataFrame:
-    """The column of one side's class; only classes that occur there are copied for the salts."""
-    used = cands.select(F.col("id").alias(side), F.col(column).alias(f"{column}_{side}")).join(pairs.select(side).distinct(), side, "left_semi")
-    return salted_left_join(pairs, used, side, F.col(other))
+def _attach(pairs: DataFrame, cands: DataFrame, column: str, side: str, other: str, hot: list) -> DataFrame:
+    """The column of one side's class."""
+    return salted_left_join(pairs, cands.select(F.col("id").alias(side), F.col(column).alias(f"{column}_{side}")), side, F.col(other), hot)
 
 
-def confirmed(pairs: DataFrame, cands: DataFrame, threshold: int) -> DataFrame:
+def confirmed(pairs: DataFrame, cands: DataFrame, threshold: int, done: tuple[DataFrame, ...] = ()) -> DataFrame:
     """The pairs (a, b) that agree in enough coordinates and whose full shingle sets reach the threshold."""
-    both = _attach(_attach(pairs, cands, "tokens", "a", "b"), cands, "tokens", "b", "a")
+    pairs = written(pairs, "near-dup-pairs", done)
+    hot = {side: hot_keys(pairs, side) for side in "ab"}
+    both = _attach(_attach(pairs, cands, "tokens", "a", "b", hot["a"]), cands, "tokens", "b", "a", hot["b"])
     same = F.size(F.filter(F.zip_with("tokens_a", "tokens_b", lambda x, y: x == y), lambda x: x))
-    agreeing = written(both.where(same >= least_matches(threshold)).select("a", "b"), "near-dup-agreeing")
-    texts = _attach(_attach(agreeing, cands, "text", "a", "b"), cands, "text", "b", "a")
+    agreeing = written(both.where(same >= least_matches(threshold)).select("a", "b"), "near-dup-agreeing", (pairs,))
+    used = cands.join(agreeing.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+    texts = _attach(_attach(agreeing, used, "text", "a", "b", hot["a"]), used, "text", "b", "a", hot["b"])
 
     def run(batches):
         for batch in batches:
@@ -153,7 +145,7 @@ def confirmed(pairs: DataFrame, cands: DataFrame, threshold: int) -> DataFrame:
                 keep.append(common > 0 and 100 * common >= threshold * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
-    return written(texts.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "near-dup-links")
+    return written(texts.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "near-dup-links", (agreeing,))
 
 
 def starred(posts: DataFrame, threshold: int) -> DataFrame:
@@ -171,8 +163,8 @@ def parities(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(size), PARITY_BITS // 64)
 
 
-def prefix_pairs(open_: DataFrame, cands: DataFrame, threshold: int) -> DataFrame:
-    """(a, b) of different components that share a shingle early enough, in a common order by rarity, to reach the threshold.
+def prefix_pairs(open_: DataFrame, cands: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, a table to delete behind them): pairs are (a, b) of different components that share a shingle early enough, in a common order by rarity, to reach the threshold.
 
     open_ has id, comp, n. The prefix filter on the full sets is exact, and sharp: a copy with more edits of
     its own than the threshold allows has only rare shingles in its prefix and meets nobody. Of those that
@@ -200,14 +192,14 @@ def prefix_pairs(open_: DataFrame, cands: DataFrame, threshold: int) -> DataFram
     rare = F.col("n") - F.size("s")  # shingles nobody else has stand before those in s
     room = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1 - rare
     posts = ranked.where(room > 0).select("id", "comp", "n", *words, rare.alias("rare"), F.posexplode(F.slice("s", F.lit(1), room.cast("int"))).alias("k", "s"))
-    posts = written(posts.select("s.shingle", "id", "comp", "n", *words, (F.col("k") + F.col("rare")).alias("pos")), "near-dup-prefixes")
+    posts = written(posts.select("s.shingle", "id", "comp", "n", *words, (F.col("k") + F.col("rare")).alias("pos")), "near-dup-prefixes", (sets,))
     x, y = (posts.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "comp", "n", "pos", *words)]) for side in "ab")
     need = F.ceil((F.col("n_a") + F.col("n_b")) * threshold / (100 + threshold))
     near = (F.col("pos_a") <= F.col("n_a") - need) & (F.col("pos_b") <= F.col("n_b") - need)
     differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in words), F.lit(0))
     alike = differ <= F.col("n_a") + F.col("n_b") - 2 * need
     met = x.join(y, "shingle").where((F.col("comp_a") != F.col("comp_b")) & (F.col("id_a") < F.col("id_b")) & _sized("n_a", "n_b", threshold) & near & alike)
-    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), posts
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -215,14 +207,16 @@ def components(edges: DataFrame) -> DataFrame:
     both = written(edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v").distinct(), "near-dup-edges")
     labels = both.groupBy("u").agg(F.least("u", F.min("v")).alias("comp"))
     labels = written(labels, "near-dup-labels")
+    hot = hot_keys(both, "v")
     while True:
-        near = salted_left_join(both, labels.select(F.col("u").alias("v"), "comp"), "v", F.col("u")).groupBy("u").agg(F.min("comp").alias("near"))
+        near = salted_left_join(both, labels.select(F.col("u").alias("v"), "comp"), "v", F.col("u"), hot).groupBy("u").agg(F.min("comp").alias("near"))
         spread = labels.join(near, "u").select("u", F.least("comp", "near").alias("to"), F.col("comp").alias("was"))
         jumped = salted_left_join(spread, labels.select(F.col("u").alias("to"), F.col("comp").alias("far")), "to", F.col("u"))
-        new = written(jumped.select("u", F.least("to", F.coalesce("far", "to")).alias("comp"), "was"), "near-dup-labels")
+        new = written(jumped.select("u", F.least("to", F.coalesce("far", "to")).alias("comp"), "was"), "near-dup-labels", (labels,))
         changed = new.where("comp <> was").limit(1).count()
         labels = new.select("u", "comp")
         if not changed:
+            drop_written(both)
             return labels.withColumnRenamed("u", "id")
 
 
@@ -240,27 +234,52 @@ def link(classes: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
         return at.join(main.where("lo <> hi").select("token", "main"), "token")
 
     # What is apart from the first hub is compared with a second one.
-    links = links.unionByName(confirmed(starred(placed().where("comp <> main").select("token", "id", "n", "weight"), threshold), cands, threshold))
-    comps = components(links)
+    second = confirmed(starred(placed().where("comp <> main").select("token", "id", "n", "weight"), threshold), cands, threshold)
+    once, comps = comps, components(links.unionByName(second))
     # What is still apart, across components.
-    open_ = placed().select("id", "comp", "n").distinct()
-    late = confirmed(prefix_pairs(written(open_, "near-dup-open"), cands, threshold), cands, threshold)
-    return components(links.unionByName(late))
+    open_ = written(placed().select("id", "comp", "n").distinct(), "near-dup-open", (once, posts))
+    pairs, prefixes = prefix_pairs(open_, cands, threshold)
+    late = confirmed(pairs, cands, threshold, (prefixes, open_))
+    once, comps = comps, components(links.unionByName(second).unionByName(late))
+    drop_written(once, links, second, late, cands)
+    return comps
 
 
-def near_dups(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """(key, n_shingles, component_id, kept), one row per row of df; threshold: per cent of Jaccard similarity from which two are linked."""
+def judged(df: DataFrame, key: str, text: str, threshold: int) -> DataFrame:
+    """(key, row_hash, n_shingles, label), one row per row of df: label is the first row (no_key, key, row_hash) of the component, null without words."""
     sigs = written(signatures(df, key, text), "near-dup-signatures")
-    classes = sigs.where("n_shingles > 0").groupBy("set_key").agg(F.min("key").alias("label"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
+    label = F.struct(F.col("key").isNull().alias("no_key"), "key", "row_hash")
+    classes = sigs.where("n_shingles > 0").groupBy("set_key").agg(F.min(label).alias("label"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "near-dup-classes")
     comps = link(classes, df.select(F.col(key).alias("key"), F.col(text).alias("text")), threshold)
     named = classes.select("id", "set_key", "label").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    smallest = named.groupBy("comp").agg(F.min("label").alias("component_id"))
-    by_set = salted_left_join(named, smallest, "comp", F.col("id")).select("set_key", "component_id")
-    out = salted_left_join(sigs.select("key", "n_shingles", F.coalesce("set_key", F.concat(F.lit("none-"), F.coalesce(F.col("key").cast("string"), F.lit("")))).alias("set_key"), (F.col("n_shingles") > 0).alias("some")), by_set, "set_key", F.col("key").cast("string"))
-    out = out.withColumn("component_id", F.when(F.col("some"), F.col("component_id")).otherwise(F.col("key")))
+    smallest = named.groupBy("comp").agg(F.min("label").alias("label"))
+    by_set = written(salted_left_join(named.drop("label"), smallest, "comp", F.col("id")).select("set_key", "label"), "near-dup-labelled", (comps, classes))
+    some, none = sigs.where("n_shingles > 0"), sigs.where("n_shingles = 0")
+    columns = ["key", "row_hash", "n_shingles"]
+    met = salted_left_join(some.select(*columns, "set_key"), by_set, "set_key", F.xxhash64("key", "row_hash"))
+    return met.select(*columns, "label").unionByName(none.select(*columns, F.lit(None).cast(by_set.schema["label"].dataType).alias("label")))
+
+
+def near_dups(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """(key, n_shingles, component_id, kept), one row per row of df; threshold: per cent of Jaccard similarity from which two are linked."""
+    out = judged(df, key, text, threshold).withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("label.key")).otherwise(F.col("key")))
     return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def first_rows(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of df that are the first of their component, or have no words."""
+    seen = written(judged(df, key, text, threshold), "near-dup-judged")
+    first = F.col("key").eqNullSafe(F.col("label.key")) & (F.col("row_hash") == F.col("label.row_hash"))
+    name = free_name(df, "_row_hash")
+    rows = df.withColumn(name, F.xxhash64(text))
+    gone = seen.where((F.col("n_shingles") > 0) & ~first)
+    out = rows.join(gone, rows[key].eqNullSafe(gone["key"]) & (rows[name] == gone["row_hash"]), "left_anti")
+    if seen.where((F.col("n_shingles") > 0) & first).groupBy("key", "row_hash").count().where("count > 1").limit(1).count():
+        has_words = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        out = out.where(has_words).dropDuplicates([key, name]).unionByName(out.where(~has_words))
+    return out.drop(name)
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups(table(spark, sf_dir, "documents"), threshold=THRESHOLD)

@@ -118,12 +118,27 @@ def shared(entries: DataFrame) -> DataFrame:
 
 
 def lengthened(entries: DataFrame) -> DataFrame:
-    """(gram, _doc, _row, spans) with the longer prefixes of the halves of each run; lists are bounded by a document's own length."""
-    s = entries.select("_doc", "_row", F.explode("spans").alias("s")).select("_doc", "_row", "s.*")
-    near = F.when(F.col("s1") > F.col("at") - HALF, F.struct(F.col("near").alias("gram"), "at", F.greatest("s0", F.col("at") - HALF + 1).alias("s0"), "s1"))
-    far = F.when(F.col("s0") <= F.col("at") - HALF, F.struct(F.col("far").alias("gram"), (F.col("at") - HALF).alias("at"), "s0", F.least("s1", F.col("at") - HALF).alias("s1")))
-    halves = s.select("_doc", "_row", F.explode(F.array_compact(F.array(near, far))).alias("h")).select("_doc", "_row", "h.*")
-    return halves.groupBy("gram", "_doc", "_row").agg(F.array_sort(F.collect_list(F.struct("at", "s0", "s1"))).alias("spans"))
+    """(gram, _doc, _row, spans) with the longer prefixes of the halves of each run.
+
+    A longer prefix holds the shorter one at a fixed place, so each entry is lengthened on its own.
+    """
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            entry = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            at, s0, s1, near, far = (lists.flatten().field(k).to_numpy() for k in range(5))
+            a, b = np.flatnonzero(s1 > at - HALF), np.flatnonzero(s0 <= at - HALF)
+            entry, gram = np.concatenate([entry[a], entry[b]]), np.concatenate([near[a], far[b]])
+            places = {"at": np.concatenate([at[a], at[b] - HALF]), "s0": np.concatenate([np.maximum(s0[a], at[a] - HALF + 1), s0[b]]), "s1": np.concatenate([s1[a], np.minimum(s1[b], at[b] - HALF)])}
+            order = np.lexsort((places["s0"], gram, entry))
+            entry, gram = entry[order], gram[order]
+            new = _starts(entry, gram)
+            own = pa.array(entry[new])
+            spans = _lists(np.append(new, len(entry)), **{k: v[order].astype(np.int32) for k, v in places.items()})
+            yield pa.RecordBatch.from_arrays([pa.array(gram[new]), batch.column(0).take(own), batch.column(1).take(own), spans], names=["gram", "_doc", "_row", "spans"])
+
+    return entries.select("_doc", "_row", "spans").mapInArrow(run, "gram long, _doc long, _row long, spans array<struct<at:int,s0:int,s1:int>>")
 
 
 def _per_document(filed_: DataFrame, docs: DataFrame) -> DataFrame:

@@ -82,6 +82,50 @@ def test_odd_rows(spark):
     assert got == sorted([(None, 2, 7, False), (7, 2, 7, True), (7, 2, 7, True), (7, 1, 7, True), (3, 0, 3, True), (3, 0, 3, True)], key=str)
 
 
+def test_first_rows(spark):
+    """One row of each group, whatever the ids: nulls and repeated ids included."""
+    rng = random.Random(11)
+    make = lambda n: [f"w{rng.randrange(900)}" for _ in range(n)]
+    groups = [make(120) for _ in range(6)]
+    rows = []
+    for g, words in enumerate(groups):
+        rows += [(rng.choice([None, None, 1, 2, 10 * g + k]), edited(rng, words, k % 4), f"s{k % 2}") for k in range(6)]
+    rows += [(50, " ".join(groups[0]), "a"), (50, " ".join(groups[1]), "a"), (50, "a text of its own is here", "a"), (None, None, "n"), (None, "", "n"), (3, " ", "n"), (3, " ", "n")]
+    rows += [(70, "equal rows one two three", "e")] * 3
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(i, t, s, i, 5) for i, t, s in rows], "doc_id long, text string, source string, key long, _row_hash int")
+    got = [tuple(r) for r in near_dups.first_rows(df).collect()]
+    sets = [shingles(t) for _, t, *_ in got]
+    assert sum(not s for s in sets) == 4  # rows without words stay
+    some = [(r, s) for r, s in zip(got, sets, strict=True) if s]
+    assert not [1 for k, (_, a) in enumerate(some) for _, b in some[:k] if 100 * len(a & b) >= 85 * len(a | b)]
+    parts = defaultdict(list)
+    for k, _, comp, _ in brute([(k, t) for k, (_, t, _) in enumerate(rows)]):
+        parts[comp].append(rows[k])
+    left = {(r[0], r[1]) for r, _ in some}
+    for v in parts.values():
+        if shingles(v[0][1]):
+            least = min((x[0] for x in v if x[0] is not None), default=None)
+            assert [x[0] for x in set(v) if (x[0], x[1]) in left and x[0] == least]
+    assert all(r[3] == r[0] and r[4] == 5 for r in got)
+    assert near_dups.first_rows(df.limit(0)).collect() == []
+
+
+def test_hot_classes_are_split(spark, monkeypatch):
+    from folioflow.llm import common
+
+    calls = []
+
+    def hot_keys(left, key, **kw):
+        calls.append(out := common.hot_keys(left, key, least=3, share=100))
+        return out
+
+    monkeypatch.setattr(near_dups, "hot_keys", hot_keys)
+    rows = planted()
+    assert result(spark, rows) == brute(rows)
+    assert any(calls)
+
+
 def test_empty(spark):
     assert result(spark, []) == []
 

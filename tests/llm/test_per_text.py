@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from folioflow.llm import decontaminate, language_id, media, sentencepiece_codec, sharding, toxicity
 from folioflow.llm.common import table
@@ -116,10 +117,10 @@ def test_phrases_equal_plain_parsing(spark):
             for a in range(0, len(sym), language_id.BLOCK):
                 state, n = root, n + 1
                 for c in sym[a : a + language_id.BLOCK]:
-                    nxt = model.step[state * language_id.ALPHABET + c]
+                    nxt = model.step[state * model.columns + c]
                     if nxt < 0:
                         n += 1
-                        nxt = model.step[root * language_id.ALPHABET + c]
+                        nxt = model.step[root * model.columns + c]
                         nxt = root if nxt < 0 else nxt
                     state = nxt
             assert got[i, k] == n
@@ -160,6 +161,61 @@ def test_languages_of_many_letters(spark, monkeypatch):
         language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
 
 
+def test_any_number_of_languages_and_letters(spark, monkeypatch):
+    """70 languages with letters of their own, more than 6,000 in all; the dense table has room for the least alphabet only."""
+    rng = random.Random(12)
+    monkeypatch.setattr(language_id, "TABLE_BYTES", 1 << 20)
+    words = {f"l{n:02d}": ["".join(chr(0x4E00 + 90 * n + rng.randrange(90)) for _ in range(4)) for _ in range(80)] for n in range(70)}
+    make = lambda n: " ".join(rng.choices(words[n], k=40))
+    rows = [(k, make(n), n) for k, n in enumerate([*words] * 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert len(model.names) == 70 and model.width > 6_000 and model.columns < language_id.ALPHABET
+    fresh = spark.createDataFrame([(k, make(n), n) for k, n in enumerate([*words] * 2)], "doc_id long, text string, lang string")
+    assert all(r.lang_pred == r.lang and r.score > 0.5 for r in language_id.identify(fresh, model).collect())
+
+
+def test_sample_is_whole_rows(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "RANKED", 2)
+    rng = random.Random(13)
+    rows = [(k, f"row{k} " + "word " * rng.randrange(12, 300), "aa") for k in range(3000)] + [(k, "x" * 30_000 + f"y{k}", "bb") for k in range(5)] + [(9, "short", "cc"), (None, None, "cc"), (8, "12", "dd"), (7, "text", None)]
+    got = language_id.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(got) == {"aa", "bb", "cc"} and got["cc"] == "short" and set(got["bb"]) == {"x"} and len(got["bb"]) == language_id.SAMPLE_CHARS
+    assert 0.8 * language_id.SAMPLE_CHARS < len(got["aa"]) <= language_id.SAMPLE_CHARS
+    whole = {t.strip() for _, t, n in rows if n == "aa"}
+    assert all("row" + x.strip() in whole for x in got["aa"].split("row")[1:])
+
+
+EMPTY = "doc_id long, text string, lang string, score string, Lang_Pred int, slot int, ids string, offending int"
+
+
+@pytest.mark.parametrize("go", [
+    lambda df: language_id.identify(df, language_id.fit(df)), lambda df: language_id.identify(df, None), lambda df: sharding.place(df, "doc_id", ["a", "b"], 101),
+    lambda df: sentencepiece_codec.encode_decode(df, MODEL), lambda df: toxicity.score(df, None), lambda df: toxicity.score(df, toxicity.fit(df, df.selectExpr("doc_id", "slot AS toxic"))),
+    lambda df: df.withColumn("media", media.sniff(F.col("text").cast("binary"), "text")),
+])
+def test_empty_tables_and_clashing_names(spark, go):
+    df = spark.createDataFrame([], EMPTY)
+    assert go(df).collect() == []
+    some = spark.createDataFrame([(1, "some text here", "en", "99", 7, 3, "i", 4), (None, None, None, None, None, None, None, None)], EMPTY)
+    out = go(some)
+    assert out.count() == 2 and len({c.lower() for c in out.columns}) == len(out.columns) and {"doc_id", "text", "lang"} <= set(out.columns)
+
+
+def test_media_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert media.op7(spark, str(tmp_path)).collect() == []
+
+
+def test_language_names_can_be_chosen(spark):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(1, "the and of", None, 99.0, "x")], "doc_id long, text string, lang string, score double, _lang string")
+    labelled = df.unionByName(spark.createDataFrame([(k, f"the and of thing{k} here " * 4, "en", 1.0, "y") for k in range(20)], df.schema))
+    got = {r.doc_id: r for r in corpus_pipeline.identify_language(spark, labelled, "").collect()}
+    assert len(got) == 20 and got[0].score == 1.0 and got[0]._lang == "y"
+
+
 # --- media ------------------------------------------------------------------------------------------
 
 
@@ -224,6 +280,59 @@ def test_noisy_or_is_exact():
     assert np.allclose(toxicity.document_scores(bags, np.log(p / (1 - p))), [1 - np.prod(1 - p), 0, 0])
 
 
+def plain_score(text, weight, bias):
+    """Noisy-or by the definition, word by word."""
+    import re
+
+    left = 1.0
+    for sentence in re.split(rb"[.!?\n]", text):
+        words = re.findall(rb"[a-z\x80-\xff]+", sentence.lower())
+        if words:
+            left *= 1 - 1 / (1 + np.exp(-bias - sum(weight(w) for w in words)))
+    return 1 - left
+
+
+def test_scores_and_gradient_against_brute_force():
+    rng = random.Random(14)
+    vocab = [b"bad", b"worse", b"fine", b"the", "é😀".encode(), b"Thing"]
+    texts_ = [b" ".join(rng.choice([*vocab, b".", b"!", b"\n", b"12"]) for _ in range(rng.randrange(0, 40))) for _ in range(60)] + [b"", b"..."]
+    place = {w: int(toxicity.bags_of([w]).feature[0]) for w in vocab}
+    assert len(set(place.values())) == len(vocab)
+    weights = np.zeros(1 << toxicity.DIM_BITS)
+    for f in place.values():
+        weights[f] = rng.uniform(-2, 2)
+    bags = toxicity.bags_of(texts_)
+    got = toxicity.document_scores(bags, toxicity.sentence_logits(bags, weights, -0.7))
+    want = [plain_score(t, lambda w: weights[{k.lower(): v for k, v in place.items()}[w]], -0.7) for t in texts_]
+    assert np.allclose(got, want)
+
+    labels = np.array([rng.randrange(2) for _ in texts_])
+    labels[-2:] = 0  # documents without a sentence have no slope
+    sentence = np.repeat(np.arange(len(bags.begin)), np.diff(np.append(bags.begin, len(bags.feature))))
+    used = sorted(place.values())
+    word = np.searchsorted(used, bags.feature)
+    w = np.append(weights[used], -0.7)
+
+    def loss(w):
+        p = np.array([plain_score(t, lambda x: w[used.index({k.lower(): v for k, v in place.items()}[x])], w[-1]) for t in texts_])
+        return -np.mean(np.log(np.where(labels > 0, p, 1 - p)))
+
+    slope = [(loss(w + h) - loss(w - h)) / 2e-5 for h in np.eye(len(w)) * 1e-5]
+    assert np.allclose(toxicity.gradient(w, word, sentence, bags.doc, labels), slope, atol=1e-6)
+
+
+def test_sampling_of_labels_works_at_any_number(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: taken.append(len(texts)) or (np.zeros(1 << toxicity.DIM_BITS, dtype=np.float32), 0.0))
+    labels = spark.range(20_000).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS toxic")
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    assert toxicity.fit(docs, labels, rows=500) and 350 < taken[0] < 650
+    for n in (10**10, 10**14, 10**18):  # the share of the hash range stays above 0
+        assert 0 < int(toxicity.LARGEST * toxicity.TRAIN_ROWS / n) <= toxicity.LARGEST * toxicity.TRAIN_ROWS // n + 2**20
+    long = docs.where("doc_id < 4").selectExpr("doc_id", f"repeat('long text ', {toxicity.TRAIN_CHARS}) AS text")
+    assert toxicity.fit(long, labels) is None  # rows that are too long are left out whole
+
+
 def test_toxicity_held_out(spark):
     got = {r.doc_id: r for r in toxicity.op10(spark, "/root/testdata/sf0.1").collect()}
     labels = table(spark, "/root/testdata/sf0.1", "labels").collect()

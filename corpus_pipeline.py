@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import decontaminate, language_id, near_dups, secrets, sentencepiece_codec
-from folioflow.llm.common import held_out, table, written
+from folioflow.llm.common import free_name, held_out, table, written
 
 ORACLE_SQL = None
 #: Per cent of Jaccard similarity from which documents of the pipeline are near duplicates; op9 has its own contract.
@@ -27,18 +27,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language_id.fit(docs.where(~held_out(F.col("doc_id"))))
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    seen = language_id.identify(docs, model).where(F.col("lang_pred") != "und")
-    return seen.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    pred, score = free_name(docs, "_lang"), free_name(docs, "_lang_score")
+    seen = language_id.identify(docs, model, pred=pred, score=score).where(F.col(pred) != "und")
+    return seen.withColumn("lang", F.coalesce("lang", pred)).select(*docs.columns)
 
 
 def drop_near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates; of equal rows, one."""
-    judged = written(near_dups.near_dups(docs, threshold=NEAR_DUPS), "near-dups")
-    kept = judged.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    if judged.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
-    return out
+    """Keeps one row of each group of near duplicates: the smallest id, nulls last, then the smallest hash of the text; of equal rows, one."""
+    return near_dups.first_rows(docs, threshold=NEAR_DUPS)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,6 +64,6 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}", done=(docs,) if i else ())
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -192,7 +192,7 @@ EMPTY = "doc_id long, text string, lang string, score string, Lang_Pred int, slo
 @pytest.mark.parametrize("go", [
     lambda df: language_id.identify(df, language_id.fit(df)), lambda df: language_id.identify(df, None), lambda df: sharding.place(df, "doc_id", ["a", "b"], 101),
     lambda df: sentencepiece_codec.encode_decode(df, MODEL), lambda df: toxicity.score(df, None), lambda df: toxicity.score(df, toxicity.fit(df, df.selectExpr("doc_id", "slot AS toxic"))),
-    lambda df: df.withColumn("media", media.sniff(F.col("text").cast("binary"), "text")),
+    lambda df: df.withColumn("blob", F.col("text").cast("binary")).withColumn("media", media.sniff("blob", "text")),
 ])
 def test_empty_tables_and_clashing_names(spark, go):
     df = spark.createDataFrame([], EMPTY)

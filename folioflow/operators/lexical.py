@@ -9,6 +9,10 @@ from folioflow.functions import fixed_values as V
 from folioflow.functions.text import count_of
 
 
+#: Phrases that go to every task at once.
+BLOCK_PHRASES = 2_000
+
+
 def smoothed_idf(df_col, n: Column) -> Column:
     return F.log((n + 1) / (F.col(df_col) + 1)) + 1
 
@@ -20,15 +24,23 @@ def corpus_idf(docs: DataFrame, tokens: Column, min_df: int = 1) -> DataFrame:
     return df.join(F.broadcast(n)).select("token", "df", smoothed_idf("df", F.col("n")).alias("idf"))
 
 
-def phrase_idf(docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(phrase, df, idf): in how many documents a phrase stands. Phrases meet the documents that hold their first word."""
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[^\s]+"), F.lit(0))
+def phrase_idf(docs: DataFrame, phrases: DataFrame, block: int = BLOCK_PHRASES) -> DataFrame:
+    """(phrase, df, idf): in how many documents a phrase stands, as plain containment without regard to case.
+
+    Blocks of phrases go to every task, so texts are scanned in place and only hits are shuffled.
+    """
     n = docs.where(F.coalesce(F.trim("text"), F.lit("")) != "").agg(F.count("*").alias("n"))
-    held = phrases.withColumn("first", words(F.col("phrase"))[0])
-    spread = docs.select("doc_id", F.lower("text").alias("low"), F.explode(F.array_distinct(words(F.col("text")))).alias("first"))
-    hit = spread.join(held, "first").where(F.col("low").contains(F.lower("phrase")))
-    df = hit.groupBy("phrase").agg(F.count_distinct("doc_id").alias("df"))
-    return phrases.join(df, "phrase", "left").fillna(0, ["df"]).join(F.broadcast(n)).select("phrase", "df", smoothed_idf("df", F.col("n")).alias("idf"))
+    held = phrases.select("phrase", F.lower("phrase").alias("low")).distinct()
+    blocks = max(1, -(-held.count() // block))
+    hits = None
+    for b in range(blocks):
+        listed = held.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == b).agg(F.collect_list(F.struct("phrase", "low")).alias("listed"))
+        # The join keeps the lower-cased text from being computed anew for each phrase.
+        spread = docs.select(F.lower("text").alias("_low")).where(F.col("_low") != "").join(F.broadcast(listed))
+        found = spread.select(F.explode(F.filter("listed", lambda p: F.col("_low").contains(p["low"]))).alias("p")).select("p.phrase")
+        hits = found if hits is None else hits.unionByName(found)
+    df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
+    return held.select("phrase").join(df, "phrase", "left").fillna(0, ["df"]).join(F.broadcast(n)).select("phrase", "df", smoothed_idf("df", F.col("n")).alias("idf"))
 
 
 def top_terms(scored: DataFrame, group: list[str], score: str, token: str, k: int) -> DataFrame:

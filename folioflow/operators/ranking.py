@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import fixed_values as V
 from folioflow.functions import scoring as S
+from folioflow.functions.text import count_of, token_count
+from folioflow.sources.scratch import written
 
-#: Users are few and go to every task; beyond this many the join is left to the optimiser.
-BROADCAST_USERS = 10_000
+#: Users whose vectors and phrases go to every task at once; more are taken in blocks of this size.
+BLOCK_USERS = 500
+#: Files a distributed rank is spread over.
+RANK_PARTS = 64
 
 
 def centroids(vectors: DataFrame, by: str, vector: str = "embedding", weight: str | None = None) -> DataFrame:
@@ -26,40 +32,84 @@ def candidates(items: DataFrame, verdicts: DataFrame, vectors: DataFrame, key: s
     return items.join(relevant, key, "left_semi").join(vectors, key)
 
 
-def pair_up(items: DataFrame, users: DataFrame) -> DataFrame:
-    """All items for all users: the query set against all rows. users must be a small table."""
-    if (n := users.count()) > BROADCAST_USERS:
-        raise ValueError(f"{n} users: pass them in blocks of at most {BROADCAST_USERS}")
-    return items.join(F.broadcast(users))
+def pair_up(items: DataFrame, users: DataFrame, block: int = BLOCK_USERS) -> DataFrame:
+    """All items for all users: the query set, in blocks, against all rows; a block of users goes to every task."""
+    blocks = -(-users.count() // block)
+    parts = [users if blocks <= 1 else users.where(F.pmod(F.xxhash64("user"), F.lit(blocks)) == b) for b in range(max(1, blocks))]
+    return reduce(DataFrame.unionByName, (items.join(F.broadcast(u)) for u in parts))
+
+
+def with_counts(items: DataFrame, users: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(items with tf and n_words instead of text, users with places): how often each phrase of any user stands in a text, once a text.
+
+    tf has a place for each distinct phrase; places are those of a user's own phrases. What is crossed
+    with the users then carries numbers, never texts.
+    """
+    listed = users.select(F.explode("phrases.phrase").alias("p")).agg(F.array_sort(F.collect_set("p")).alias("listed"))
+    place = users.join(F.broadcast(listed)).withColumn("places", F.transform("phrases", lambda p: F.array_position("listed", p["phrase"]).cast("int"))).drop("listed")
+    # The join keeps low and n_words from being computed anew for each phrase.
+    low = items.withColumn("_low", F.lower(text)).withColumn("n_words", token_count(text)).drop(text).join(F.broadcast(listed))
+    return low.withColumn("tf", F.transform("listed", lambda p: count_of("_low", p))).drop("_low", "listed"), place
+
+
+def keyword_score(tf="tf", phrases="phrases", places="places", n_words="n_words") -> Column:
+    """BM25 of a pair from the counts of with_counts()."""
+    both = F.zip_with(phrases, places, lambda p, i: F.struct(p["score"].alias("score"), F.get(tf, i - 1).alias("tf")))
+    norm = 1 - V.BM25_B + V.BM25_B * F.col(n_words) / V.BM25_AVG_LENGTH
+    return F.aggregate(both, F.lit(0.0), lambda s, x: s + x["score"] * (x["tf"] * (V.BM25_K1 + 1) / (x["tf"] + V.BM25_K1 * norm)))
+
+
+def pairs(items: DataFrame, users: DataFrame, block: int = BLOCK_USERS) -> DataFrame:
+    """All pairs with cos and raw_kw: items have item, text, embedding; users have user, query, phrases. matched: the user's phrases in the text, which stays behind."""
+    counted, placed = with_counts(items, users)
+    met = pair_up(counted, placed, block)
+    matched = F.transform(F.filter(F.zip_with("phrases", "places", lambda p, i: F.struct(p["phrase"].alias("phrase"), F.get("tf", i - 1).alias("n"))), lambda x: x["n"] > 0), lambda x: x["phrase"])
+    return met.withColumns({"cos": S.cosine("embedding", "query"), "raw_kw": keyword_score(), "matched": matched}).drop("embedding", "query", "tf", "places", "n_words")
 
 
-def score(pairs: DataFrame, mode: str = "phrases") -> DataFrame:
-    """Adds cos, raw_kw, composite to pairs with embedding, query, text, phrases, dim, n_combos.
+def score(scored: DataFrame, mode: str = "phrases") -> DataFrame:
+    """Adds composite to pairs with cos, raw_kw, phrases, dim, n_combos (plain needs neither raw_kw nor phrases).
 
     mode: plain (no phrases), phrases or rrf (ranks of the three signals fused); auto takes rrf for users
     with one to three phrases, plain for those with none. Floors differ: plain drops low cosines, phrases
     only those that have no phrase either, rrf none.
     """
-    out = pairs.withColumn("cos", S.cosine("embedding", "query"))
-    raw = F.lit(0.0) if mode == "plain" else S.bm25(F.lower("text"), "phrases")
-    out = out.withColumn("raw_kw", raw)
     low = F.greatest("cos", F.lit(0.0)) < V.COS_FLOOR
+    plain = lambda df: df.where(~low).withColumn("composite", S.composite_plain("cos", "dim", "n_combos"))
+    phrases = lambda df: df.where(~(low & (S.kw_norm("raw_kw") < V.KW_FLOOR))).withColumn("composite", S.composite_phrases("cos", "dim", "n_combos", "raw_kw"))
     if mode == "plain":
-        return out.where(~low).withColumn("composite", S.composite_plain("cos", "dim", "n_combos"))
+        return plain(scored)
     if mode == "phrases":
-        return out.where(~(low & (S.kw_norm("raw_kw") < V.KW_FLOOR))).withColumn("composite", S.composite_phrases("cos", "dim", "n_combos", "raw_kw"))
+        return phrases(scored)
     if mode == "rrf":
-        return fuse(out)
+        return fuse(scored)
     n = F.size("phrases")
-    fused = fuse(out.where(n.between(1, V.RRF_PHRASES)))
-    plain = out.where((n < 1) & ~low).withColumn("composite", S.composite_plain("cos", "dim", "n_combos"))
-    many = out.where((n > V.RRF_PHRASES) & ~(low & (S.kw_norm("raw_kw") < V.KW_FLOOR))).withColumn("composite", S.composite_phrases("cos", "dim", "n_combos", "raw_kw"))
-    return fused.unionByName(plain, allowMissingColumns=True).unionByName(many, allowMissingColumns=True)
+    parts = fuse(scored.where(n.between(1, V.RRF_PHRASES))), plain(scored.where(n < 1)), phrases(scored.where(n > V.RRF_PHRASES))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def ranked(df: DataFrame, by: str, order: list[Column], name: str, parts: int = RANK_PARTS) -> DataFrame:
+    """df with `name`, the place of each row among those of its group: a group's rows are sorted by many tasks.
+
+    Rows are dealt out by ranges of (by, *order), each range numbers its own rows, and the numbers of rows
+    in the ranges before are added. The ranges are written, as sampling them again could move their bounds.
+    """
+    dealt = df.repartitionByRange(parts, F.col(by), *order).withColumn("_part", F.spark_partition_id())
+    dealt = written(dealt, "ranges")
+    counts = dealt.groupBy(by, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.withColumn("_before", before).drop("_n")
+    local = F.row_number().over(Window.partitionBy(by, "_part").orderBy(*order))
+    return dealt.withColumn("_local", local).join(offsets, [by, "_part"]).withColumn(name, (F.col("_local") + F.col("_before")).cast("int")).drop("_part", "_local", "_before")
 
 
 def fuse(scored: DataFrame) -> DataFrame:
-    ranks = {f"rank_{name}": F.row_number().over(Window.partitionBy("user").orderBy(F.desc(F.round(c, 9)), "item")) for name, c in (("cos", "cos"), ("dim", "dim"), ("kw", "raw_kw"))}
-    return scored.withColumns(ranks).withColumn("composite", S.rrf(*ranks))
+    out = scored
+    names = []
+    for name, c in (("cos", "cos"), ("dim", "dim"), ("kw", "raw_kw")):
+        names.append(f"rank_{name}")
+        out = ranked(out, "user", [F.desc(F.round(c, 9)), F.col("item")], names[-1])
+    return out.withColumn("composite", S.rrf(*names))
 
 
 def quotas(users: DataFrame, mix: Column, cap: int = V.QUEUE_CAP) -> DataFrame:
@@ -85,6 +135,19 @@ def serve(queue: DataFrame, answered: DataFrame, out_of_scope: DataFrame, k: int
     return open_.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def rerank(queue: DataFrame, prefs: DataFrame, combos: Column) -> DataFrame:
+    """Stored queue rows scored anew with the latest preferences: composite, tier and the three signals behind them.
+
+    queue has user, item, cos and tags (map dim -> codes); prefs has user and prefs (map dim -> map code -> weight);
+    a user without any keeps the cosine alone. The stored rank stays for ties.
+    """
+    fresh = queue.drop("dim", "n_combos", "composite", "tier").join(prefs.select("user", "prefs"), "user", "left")
+    bag = F.coalesce(F.flatten(F.map_values("tags")), F.array().cast("array<string>"))
+    fresh = fresh.withColumn("dim", F.coalesce(S.dim_score("tags", "prefs"), F.lit(0.0))).withColumn("n_combos", F.coalesce(F.size(S.combo_hits(bag, combos, S.pref_codes("prefs"))), F.lit(0)))
+    fresh = fresh.withColumn("n_combos", F.greatest("n_combos", F.lit(0)))
+    return fresh.withColumn("composite", S.composite_plain("cos", "dim", "n_combos")).withColumn("tier", S.absolute_tier("cos", "dim", "n_combos")).drop("prefs")
+
+
 def carryover(scored: DataFrame, least: int = 7) -> DataFrame:
     """Per unit the best item if it reaches `least`, with the next four as carry-over; else a reason."""
     w = Window.partitionBy("unit").orderBy(F.desc("composite"), F.desc("mean_score"), "item")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions import fixed_values as V
-from folioflow.functions.text import _lcs, doi_root, indel_ratio
+from folioflow.functions.text import doi_root, indel_ratio
 from folioflow.operators.filters import is_preprint_doi
+from folioflow.sources.scratch import written
 
 
 def union_sources(sources: dict[str, DataFrame]) -> DataFrame:
@@ -77,69 +77,108 @@ def length_band(a: Column, b: Column, least: float) -> Column:
     return (2 * F.least(a, b)) >= F.lit(least) * (a + b)
 
 
-def gram_blocks(key: Column, pieces: int) -> Column:
-    """Pieces of a key, one of which an edited copy keeps whole. An edit touches one piece at most."""
-    n = F.ceil(F.length(key) / pieces).cast("int")
-    return F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.concat(i.cast("string"), F.lit(":"), F.substring(key, i * n + 1, n)))
+#: Numbers of 64 bits that a title's parity signature has.
+PARITY_WORDS = 4
+
+
+def _signature(key: str) -> list[Column]:
+    """Parities of the numbers of a key's 2-grams that fall on each of 64 * PARITY_WORDS places."""
+    grams = f"transform(sequence(1, greatest(length({key}) - 1, 1)), i -> xxhash64(substring({key}, i, 2)))"
+    bit = "shiftleft(1L, CAST(pmod(x, 64) AS INT))"
+    return [F.expr(f"aggregate(filter({grams}, x -> pmod(shiftright(x, 8), {PARITY_WORDS}) = {k}), 0L, (acc, x) -> acc ^ {bit})").alias(f"sig{k}") for k in range(PARITY_WORDS)]
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, least: float, same: list[str] = (), before: bool = False) -> DataFrame:
+    """(a, b) of the ids (canonical_id) of left and right whose title keys have an indel ratio of at least `least`; lossless.
+
+    same: columns that must be equal as well; before: only pairs in which a's canonical_id sorts before b's.
+
+    An insertion or deletion breaks four 4-grams of a title at most, so two similar titles share one of
+    the rarest grams of the shorter (prefix filter); those that meet carry ids, lengths and the parities of their
+    2-grams, not titles. One edit changes three 2-grams at most, hence parities of similar titles differ in few bits.
+    What is left meets its titles and is compared exactly.
+    """
+    grams = lambda key: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - 3, F.lit(1))), lambda i: F.substring(key, i, 4)))
+    signs = [f"sig{k}" for k in range(PARITY_WORDS)]
+
+    def keyed(df: DataFrame) -> DataFrame:
+        titled = df.where(F.coalesce("title_norm", F.lit("")) != "").select("canonical_id", "title_norm", *same)
+        return titled.select("canonical_id", *same, "title_norm", F.length("title_norm").alias("len"), *_signature("title_norm"))
+
+    a, b = keyed(left), keyed(right)
+    ga = a.select("canonical_id", *same, "len", *signs, F.explode(grams("title_norm")).alias("gram"))
+    gb = b.select("canonical_id", *same, "len", *signs, F.explode(grams("title_norm")).alias("gram"))
+    df = gb.groupBy("gram").agg(F.count("*").alias("df"))
+    # A partner is (2 - least) / least times as long at most, which bounds the edits and so the grams they break.
+    lost = F.ceil(F.col("len") * 2 * (1 - least) / least) * 4 + 1
+    first = ga.join(df, "gram").groupBy("canonical_id", *same, "len", *signs).agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    prefix = first.select(*[F.col(c).alias(f"{c}_a") for c in ("canonical_id", *same, "len", *signs)], F.explode(F.slice("g", F.lit(1), lost.cast("int"))).alias("g")).withColumn("gram", F.col("g.gram")).drop("g")
+    other = gb.select(*[F.col(c).alias(f"{c}_b") for c in ("canonical_id", *same, "len", *signs)], "gram")
+    edits = (1 - least) * (F.col("len_a") + F.col("len_b"))
+    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in signs), F.lit(0))
+    near = length_band(F.col("len_a"), F.col("len_b"), least) & (differ <= 3 * edits + 1e-6)
+    for c in same:
+        near = near & (F.col(f"{c}_a") == F.col(f"{c}_b"))
+    if before:
+        near = near & (F.col("canonical_id_a") < F.col("canonical_id_b"))
+    met = prefix.join(other, "gram").where(near).select(F.col("canonical_id_a").alias("a"), F.col("canonical_id_b").alias("b")).distinct()
+    titles = lambda df, c: df.select(F.col("canonical_id").alias(c), F.col("title_norm").alias(f"t{c}"))
+    both = met.join(titles(a, "a"), "a").join(titles(b, "b"), "b")
+    return both.where(indel_ratio("ta", "tb") >= least).select("a", "b")
 
 
 def fuzzy_within_year(df: DataFrame, least: float = V.FUZZY_YEAR) -> DataFrame:
     """(alias, keeper): greedy collapse of similar titles of one year, longest raw title first, first fit wins.
 
-    Greedy order matters, so a year is one group; it is cut by length bands that no similar pair spans,
-    which keeps groups small without losing a pair.
+    The similar pairs come first and are few. Over them the greedy order is followed in rounds: a record all
+    of whose earlier partners are aliases is a keeper, and a partner of an earlier keeper is an alias. Each
+    round decides at least the first record of every chain, all in parallel.
     """
-    usable = df.where(F.col("year").isNotNull() & (F.coalesce("title_norm", F.lit("")) != "")).select("year", "canonical_id", "title", "title_norm")
-    # A gap in the sorted lengths of a year wider than the band allows separates groups for good.
-    sizes = usable.select("year", F.length("title_norm").alias("n")).distinct()
-    before = F.lag("n").over(Window.partitionBy("year").orderBy("n"))
-    breaks = sizes.withColumn("new", (before.isNull() | (2 * before < least * (before + F.col("n")))).cast("int"))
-    band = breaks.withColumn("band", F.sum("new").over(Window.partitionBy("year").orderBy("n"))).select("year", "n", "band")
-    banded = usable.withColumn("n", F.length("title_norm")).join(band, ["year", "n"])
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(raw=-pdf["title"].fillna("").str.len()).sort_values(["raw", "canonical_id"])
-        kept, out = [], []
-        for cid, key in zip(pdf["canonical_id"], pdf["title_norm"], strict=True):
-            for k, other in kept:
-                if 2 * min(len(key), len(other)) >= least * (len(key) + len(other)) and 2 * _lcs(key, other) >= least * (len(key) + len(other)):
-                    out.append((cid, k))
-                    break
-            else:
-                kept.append((cid, key))
-        return pd.DataFrame(out, columns=["alias", "keeper"])
-
-    return banded.groupBy("year", "band").applyInPandas(greedy, "alias string, keeper string")
+    usable = df.where(F.col("year").isNotNull() & (F.coalesce("title_norm", F.lit("")) != ""))
+    pairs = similar_pairs(usable, usable, least, ["year"], before=True)
+    place = lambda c: usable.select(F.col("canonical_id").alias(c), F.struct((-F.length(F.coalesce("title", F.lit("")))).alias("n"), "canonical_id").alias(f"at_{c}"))
+    met = pairs.join(place("a"), "a").join(place("b"), "b")
+    swap = F.col("at_b") < F.col("at_a")
+    edges = written(met.select(F.when(swap, F.col("at_b")).otherwise(F.col("at_a")).alias("lo"), F.when(swap, F.col("at_a")).otherwise(F.col("at_b")).alias("hi")), "similar-titles")
+    # kept is null while undecided.
+    state = written(edges.select(F.explode(F.array("lo", "hi")).alias("at")).distinct().withColumn("kept", F.lit(None).cast("boolean")), "greedy")
+    while state.where("kept IS NULL").limit(1).count():
+        earlier = edges.join(state.select(F.col("at").alias("lo"), F.col("kept").alias("lo_kept")), "lo")
+        seen = earlier.groupBy(F.col("hi").alias("at")).agg(F.bool_or(F.coalesce("lo_kept", F.lit(False))).alias("taken"), F.bool_or(F.col("lo_kept").isNull()).alias("open"))
+        decided = F.when(F.coalesce("taken", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
+        state = written(state.join(seen, "at", "left").select("at", F.coalesce("kept", decided).alias("kept")), "greedy", (state,))
+    keepers = edges.join(state.where("kept").select(F.col("at").alias("lo")), "lo", "left_semi")
+    aliases = keepers.join(state.where("NOT kept").select(F.col("at").alias("hi")), "hi", "left_semi")
+    return aliases.groupBy("hi").agg(F.min("lo").alias("lo")).select(F.col("hi.canonical_id").alias("alias"), F.col("lo.canonical_id").alias("keeper"))
 
 
 def fuzzy_preprint(df: DataFrame, least: float = V.FUZZY_PREPRINT) -> DataFrame:
-    """(alias, keeper): each preprint goes to the first published record with a similar title, whatever the year.
+    """(alias, keeper): each preprint goes to the first published record with a similar title, whatever the year."""
+    pre = df.where(F.col("is_preprint") & (F.length("title_norm") >= V.TITLE_LEAST))
+    pub = df.where(~F.col("is_preprint"))
+    hit = similar_pairs(pre, pub, least).join(pub.select(F.col("canonical_id").alias("b"), "seq"), "b")
+    return hit.groupBy(F.col("a").alias("alias")).agg(F.min_by("b", F.struct("seq", "b")).alias("keeper"))
+
 
-    Candidates share a 4-gram among the rarest of the preprint's: a similar pair keeps all but a bounded
-    number of grams, so the prefix of the rarest ones is enough (prefix filter, lossless).
+def close_aliases(aliases: DataFrame) -> DataFrame:
+    """(alias, keeper) with keepers that are no aliases themselves; each round doubles the paths it follows, until none is left.
+
+    An alias of itself is left out; of a circle, every member goes to the smallest one.
     """
-    grams = lambda key: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - 3, F.lit(1))), lambda i: F.substring(key, i, 4)))
-    base = df.where(F.coalesce("title_norm", F.lit("")) != "").select("canonical_id", "title_norm", "is_preprint", "seq").withColumn("len", F.length("title_norm")).withColumn("g", grams(F.col("title_norm")))
-    each = base.select("canonical_id", "is_preprint", "len", "title_norm", "seq", F.explode("g").alias("gram"))
-    df_ = each.groupBy("gram").agg(F.count("*").alias("df"))
-    pre = each.where(F.col("is_preprint") & (F.col("len") >= V.TITLE_LEAST)).join(df_, "gram")
-    # lcs >= least/(2-least) * len at the shortest partner; a lost character breaks 4 grams.
-    lost = F.ceil(F.col("len") * (1 - least / (2 - least))) * 4 + 1
-    rank = F.row_number().over(Window.partitionBy("canonical_id").orderBy("df", "gram"))
-    prefix = pre.withColumn("r", rank).where(F.col("r") <= lost).select("gram", F.col("canonical_id").alias("alias"), F.col("title_norm").alias("ta"), F.col("len").alias("la"))
-    pub = each.where(~F.col("is_preprint")).select("gram", F.col("canonical_id").alias("keeper"), F.col("title_norm").alias("tb"), F.col("len").alias("lb"), "seq")
-    pairs = prefix.join(pub, "gram").where(length_band(F.col("la"), F.col("lb"), least)).select("alias", "ta", "keeper", "tb", "seq").distinct()
-    hit = pairs.where(indel_ratio("ta", "tb") >= least)
-    return hit.groupBy("alias").agg(F.min_by("keeper", F.struct("seq", "keeper")).alias("keeper"))
-
-
-def close_aliases(aliases: DataFrame, rounds: int = 8) -> DataFrame:
-    """(alias, keeper) with keepers that are no aliases themselves; each round doubles the path it follows."""
-    out = aliases.select("alias", "keeper")
-    for _ in range(rounds):
-        step = out.select(F.col("alias").alias("keeper"), F.col("keeper").alias("further"))
-        out = out.join(step, "keeper", "left").select("alias", F.coalesce("further", "keeper").alias("keeper"))
-    return out
+    out = written(aliases.select("alias", "keeper", F.least("alias", "keeper").alias("low")).where("alias <> keeper"), "aliases")
+    n, rounds = out.count(), 0
+    while True:
+        step = out.select(F.col("alias").alias("keeper"), F.col("keeper").alias("further"), F.col("low").alias("lower"))
+        met = out.join(step, "keeper", "left").select("alias", F.coalesce("further", "keeper").alias("keeper"), F.least("low", F.coalesce("lower", "low")).alias("low"), F.col("further").isNotNull().alias("moved"))
+        new = written(met, "aliases", (out,))
+        rounds += 1
+        moved = new.where("moved").limit(1).count()
+        out = new.drop("moved")
+        if not moved:
+            return out.select("alias", "keeper")
+        if 2**rounds > 2 * n:  # only circles are left: every path was followed beyond its length
+            ring = out.join(out.select(F.col("alias").alias("keeper")).distinct(), "keeper", "left_semi").select("alias", F.col("low").alias("keeper")).where("alias <> keeper")
+            return out.join(out.select(F.col("alias").alias("keeper")).distinct(), "keeper", "left_anti").select("alias", "keeper").unionByName(ring)
 
 
 def apply_aliases(sources: DataFrame, aliases: DataFrame, key: str = "canonical_id") -> DataFrame:

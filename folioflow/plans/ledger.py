@@ -150,6 +150,26 @@ def fsm_states(spark: SparkSession, d: str) -> DataFrame:
     return streams.conversations_batch(replies, AS_OF)
 
 
+_OPEN = "{s} IN ('awaiting', 'reminded', 'awaiting_decision') AND {d} <= {t}"
+
+
+def _sql_due(s: str, d: str, t: str) -> str:
+    over = _OPEN.format(s=s, d=d, t=t)
+    return f"CASE WHEN {over} THEN CASE WHEN {s} = 'awaiting' THEN 'reminded' ELSE 'timeout' END ELSE {s} END AS {s}_, CASE WHEN {over} THEN CASE WHEN {s} = 'awaiting' THEN {d} + 86400000 END ELSE {d} END AS {d}_"
+
+
+FSM_STATES = f"""WITH RECURSIVE e AS (SELECT member, cycle, start, ts, signal, picked, row_number() OVER (PARTITION BY member, cycle ORDER BY ts, signal, picked) AS r FROM (
+  SELECT user_id AS member, {CYCLE} AS cycle, epoch_ms(time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-02 05:00:00')) AS start, epoch_ms(ts) AS ts,
+    CASE event_type WHEN 'purchase' THEN 'thumbs_up' WHEN 'error' THEN 'thumbs_down' ELSE 'thread_reply' END AS signal, event_id % 50 = 0 AS picked FROM events)),
+walk AS (SELECT DISTINCT member, cycle, CAST(0 AS BIGINT) AS r, 'awaiting' AS s, start + 86400000 AS d, CAST(NULL AS BIGINT) AS last, 0 AS n FROM e UNION ALL
+  SELECT member, cycle, r, CASE WHEN deaf THEN s__ ELSE state END, CASE WHEN deaf THEN d__ WHEN state = 'awaiting_decision' THEN ts + 43200000 END, CASE WHEN deaf THEN last ELSE ts END, n + CAST(NOT deaf AS INTEGER) FROM (
+    SELECT *, s__ IN ('decided', 'passed', 'timeout', 'no_rec') OR coalesce(ts <= last, false) AS deaf, CASE WHEN picked THEN 'decided' WHEN signal = 'thumbs_up' THEN 'decided' WHEN signal = 'thumbs_down' THEN 'passed' ELSE 'awaiting_decision' END AS state FROM (
+      SELECT *, {_sql_due('s_', 'd_', 'ts')} FROM (SELECT w.member, w.cycle, e.r, e.ts, e.signal, e.picked, w.last, w.n, {_sql_due('s', 'd', 'e.ts')} FROM walk w JOIN e ON e.member = w.member AND e.cycle = w.cycle AND e.r = w.r + 1)))),
+done AS (SELECT member, cycle, arg_max(s, r) AS s, arg_max(struct_pack(d := d), r).d AS d, max(n) AS n FROM walk GROUP BY ALL),
+once AS (SELECT *, {_sql_due('s', 'd', f"epoch_ms(TIMESTAMP '{AS_OF}')")} FROM done)
+SELECT member, cycle, s__ AS state, n AS reply_count FROM (SELECT *, {_sql_due('s_', 'd_', f"epoch_ms(TIMESTAMP '{AS_OF}')")} FROM once)"""
+
+
 def upsert_papers(spark: SparkSession, d: str) -> DataFrame:
     p = papers(spark, d).select("doc_id", "title", F.col("text").alias("abstract"), "year", "is_preprint")
     old = p.where("doc_id % 2 = 0").withColumn("abstract", F.substring("abstract", 1, 500))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import scoring as S
@@ -10,6 +10,7 @@ from folioflow.functions.dates import age_chunk
 from folioflow.functions.text import keyword_tokens
 from folioflow.operators import feedback, lexical, ranking
 from folioflow.plans.base import ANSWERS, AS_OF_YEAR, CHUNK, PAPERS, STOP, answers, papers, table
+from folioflow.plans.documents import COMBOS, DIM_SQL, bags
 
 PHRASES = 15
 
@@ -36,7 +37,7 @@ def _users(spark: SparkSession, d: str, phrases: int = PHRASES) -> DataFrame:
 
 def _pairs(spark: SparkSession, d: str, phrases: int = PHRASES) -> DataFrame:
     zero = {"dim": F.lit(0.0), "n_combos": F.lit(0)}
-    return ranking.pair_up(_items(spark, d).drop("label"), _users(spark, d, phrases)).withColumns(zero)
+    return ranking.pairs(_items(spark, d).drop("label", "year"), _users(spark, d, phrases)).withColumns(zero)
 
 
 SQL_ITEMS = f"""WITH {PAPERS},
@@ -79,8 +80,8 @@ scored AS (SELECT *, (1 - exp(-3 * greatest(c, k))) * (0.45 * c + 0.30 * k) AS c
 def queue_no_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     """Without phrases, of documents that labels call good; absolute tiers."""
     good = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("item"))
-    pairs = ranking.pair_up(_items(spark, d).drop("label").join(good, "item", "left_semi"), ranking.centroids(table(spark, d, "embeddings"), "label").withColumnRenamed("label", "user"))
-    scored = ranking.score(pairs.withColumns({"dim": F.lit(0.0), "n_combos": F.lit(0)}), "plain")
+    pairs = ranking.pair_up(_items(spark, d).drop("label", "text").join(good, "item", "left_semi"), ranking.centroids(table(spark, d, "embeddings"), "label").withColumnRenamed("label", "user"))
+    scored = ranking.score(pairs.withColumns({"cos": S.cosine("embedding", "query"), "dim": F.lit(0.0), "n_combos": F.lit(0)}), "plain")
     return ranking.cut(scored).select("user", "item", "chunk", "rank_in_chunk", F.round("composite", 6).alias("composite"), S.absolute_tier("cos", "dim", "n_combos").alias("tier"))
 
 
@@ -139,9 +140,8 @@ SELECT "user", item, chunk, composite, CAST(place AS INTEGER) AS place FROM r WH
 
 def explain_signals(spark: SparkSession, d: str) -> DataFrame:
     pairs = ranking.score(_pairs(spark, d, 3), "phrases")
-    kw = F.filter("phrases", lambda p: F.lower("text").contains(p["phrase"]))
     none = F.array().cast("array<string>")
-    return pairs.select("user", "item", F.array_join(S.signals(kw, none, F.col("cos")), ",").alias("signals"), F.size(kw).alias("n_matched"))
+    return pairs.select("user", "item", F.array_join(S.signals("matched", none, F.col("cos")), ",").alias("signals"), F.size("matched").alias("n_matched"))
 
 
 EXPLAIN_SIGNALS = SQL_ITEMS + SQL_KW.replace("{k}", "3") + """,
@@ -150,6 +150,96 @@ raw AS (SELECT item, "user", cos, greatest(0, cos) AS c, coalesce(tanh(raw_kw /
 SELECT "user", item, CASE WHEN n_matched > 0 THEN 'kw' WHEN cos >= 0.40 THEN 'cos' ELSE '' END AS signals, n_matched FROM raw JOIN m USING (item, "user") WHERE NOT (c < 0.18 AND k < 0.20)"""
 
 
+#: Weights of the facet codes of the even and of the odd users.
+PREFS = {0: {"focus": {"IDI": 0.9, "CLO": 0.4}, "method": {"ER": 0.6, "ING": 1.0}}, 1: {"method": {"ER": 1.0}, "subj": {"CHE": 0.8}}}
+
+
+def _prefs(kind) -> Column:
+    """Map dim -> map code -> weight by 0 or 1."""
+    as_map = lambda m: F.create_map(*[x for k, v in m.items() for x in (F.lit(k), as_map(v) if isinstance(v, dict) else F.lit(v))])
+    return F.when(kind == 0, as_map(PREFS[0])).otherwise(as_map(PREFS[1]))
+
+
+def _combos() -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("id"), F.lit(r).alias("role"), F.array(*map(F.lit, c)).alias("codes")) for i, r, c in COMBOS])
+
+
+def _with_facets(pairs: DataFrame, tags: DataFrame, kind) -> DataFrame:
+    """Adds tags, dim and n_combos to pairs."""
+    met = pairs.join(tags.select(F.col("doc_id").alias("item"), "tags"), "item", "left").withColumn("prefs", _prefs(kind))
+    bag = F.coalesce(F.flatten(F.map_values("tags")), F.array().cast("array<string>"))
+    return met.withColumns({"dim": S.dim_score("tags", "prefs"), "n_combos": F.size(S.combo_hits(bag, _combos(), S.pref_codes("prefs")))}).drop("prefs")
+
+
+def _facet_queue(spark: SparkSession, d: str) -> DataFrame:
+    users = ranking.centroids(table(spark, d, "embeddings"), "label").withColumnRenamed("label", "user")
+    pairs = ranking.pair_up(_items(spark, d).drop("label", "text"), users).withColumn("cos", S.cosine("embedding", "query")).drop("embedding", "query")
+    return ranking.cut(ranking.score(_with_facets(pairs, bags(spark, d), F.col("user") % 2), "plain"))
+
+
+def queue_facets(spark: SparkSession, d: str) -> DataFrame:
+    """Cosine, facet score and combos of users without phrases; absolute tiers."""
+    q = _facet_queue(spark, d)
+    return q.select("user", "item", "chunk", "rank_in_chunk", F.round("dim", 6).alias("dim"), "n_combos", F.round("composite", 6).alias("composite"), S.absolute_tier("cos", "dim", "n_combos").alias("tier"))
+
+
+_VALUES = ", ".join(f"({k}, '{dim}', '{code}', {w})" for k, v in PREFS.items() for dim, codes in v.items() for code, w in codes.items())
+_CODES = {k: "[" + ", ".join(f"'{c}'" for codes in v.values() for c in codes) + "]" for k, v in PREFS.items()}
+
+
+def _sql_facets(kind: str, pairs: str = "cosines") -> str:
+    """CTEs facets (item, user, dim) and combos (item, user, n) of the pairs, by the kind of a user's weights."""
+    wanted = "[" + ", ".join(f"{{'codes': {c}}}" for _, r, c in COMBOS if r != "guard") + "]"
+    return f""",
+tg AS (SELECT doc_id AS item, dim, code FROM tags WHERE r <= 3), bag AS (SELECT item, list(code) AS bag FROM tg GROUP BY item),
+pw AS (SELECT kind, dim, code, CAST(w AS DOUBLE) AS w FROM (VALUES {_VALUES}) v(kind, dim, code, w)),
+best AS (SELECT c.item, c."user", p.dim, max(CASE WHEN t.code IS NULL THEN 0 ELSE p.w END) AS b FROM {pairs} c JOIN pw p ON p.kind = {kind} LEFT JOIN tg t ON t.item = c.item AND t.dim = p.dim AND t.code = p.code GROUP BY ALL),
+facets AS (SELECT item, "user", sum(b) / count(*) AS dim FROM best GROUP BY ALL),
+combos AS (SELECT c.item, c."user", len(list_filter({wanted}, lambda x: list_has_all(bag, x.codes) AND list_has_any(x.codes, CASE WHEN {kind} = 0 THEN {_CODES[0]} ELSE {_CODES[1]} END))) AS n FROM {pairs} c JOIN bag USING (item))"""
+
+
+ABSOLUTE = "CASE WHEN cos >= 0.40 AND dim >= 0.50 AND n_combos >= 1 THEN 'S' WHEN (cos >= 0.40 AND dim >= 0.30) OR (cos >= 0.30 AND dim >= 0.60) THEN 'A' WHEN cos >= 0.30 THEN 'B' ELSE 'C' END"
+SQL_FACET_QUEUE = SQL_ITEMS + f", {DIM_SQL}" + _sql_facets('(c."user" % 2)') + """,
+scored AS (SELECT c.item, c."user", c.chunk, c.cos, f.dim, CAST(coalesce(n, 0) AS INTEGER) AS n_combos, 0.55 * greatest(0, cos) + 0.30 * dim + least(0.15, 0.05 * coalesce(n, 0)) AS composite
+  FROM cosines c JOIN facets f USING (item, "user") LEFT JOIN combos USING (item, "user") WHERE cos >= 0.18),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY "user", chunk ORDER BY round(composite, 9) DESC, round(cos, 9) DESC, item) AS rank_in_chunk FROM scored),
+kept AS (SELECT * FROM ranked WHERE rank_in_chunk <= CASE chunk WHEN 'recent' THEN 120 WHEN 'mid' THEN 60 ELSE 20 END)"""
+QUEUE_FACETS = SQL_FACET_QUEUE + f"""
+SELECT "user", item, chunk, CAST(rank_in_chunk AS INTEGER) AS rank_in_chunk, round(dim, 6) AS dim, n_combos, round(composite, 6) AS composite, {ABSOLUTE} AS tier FROM kept"""
+
+
+def queue_facets_linear(spark: SparkSession, d: str) -> DataFrame:
+    """Phrases, facets and combos together; tiers by rank."""
+    pairs = ranking.pairs(_items(spark, d).drop("label", "year"), _users(spark, d))
+    return _shown(ranking.cut(ranking.score(_with_facets(pairs, bags(spark, d), F.col("user") % 2), "phrases")))
+
+
+QUEUE_FACETS_LINEAR = SQL_ITEMS + SQL_KW.replace("{k}", "15") + f", {DIM_SQL}" + _sql_facets('(c."user" % 2)') + """,
+raw AS (SELECT c.item, c.chunk, c."user", cos, greatest(0, cos) AS c, coalesce(tanh(raw_kw / 25), 0) AS k, dim, least(0.15, 0.05 * coalesce(n, 0)) AS bonus
+  FROM cosines c LEFT JOIN kw USING (item, "user") JOIN facets USING (item, "user") LEFT JOIN combos USING (item, "user")),
+scored AS (SELECT item, chunk, "user", cos, (1 - exp(-3 * greatest(c, k))) * (0.45 * c + 0.20 * dim + 0.30 * k + bonus) AS composite FROM raw WHERE NOT (c < 0.18 AND k < 0.20))""" + SQL_CUT
+
+
+def serve_fresh(spark: SparkSession, d: str) -> DataFrame:
+    """Three next items of the stored facet queue by the latest weights: every user's newest profile that has any."""
+    queue = _facet_queue(spark, d).select("user", "item", "chunk", "rank_in_chunk", "cos", "tags")
+    users = table(spark, d, "embeddings").select(F.col("label").alias("user")).distinct()
+    versions = users.select("user", F.explode(F.array(*map(F.lit, (1, 2)))).alias("version"))
+    kept = F.when(F.col("version") == 1, _prefs(F.col("user") % 2)).when(F.col("user") % 3 != 0, _prefs((F.col("user") + 1) % 2))
+    latest = feedback.latest(versions.withColumn("prefs", kept).where(F.col("prefs").isNotNull()), ["user"], ["version"], ["prefs"])
+    fresh = ranking.rerank(queue, latest, _combos())
+    none = users.select("user", F.lit(None).cast("long").alias("item")).limit(0)
+    out = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("item"))
+    return ranking.serve(fresh, none, out, 3).select("user", "item", "chunk", F.round("composite", 6).alias("composite"), "tier", "place")
+
+
+SERVE_FRESH = SQL_FACET_QUEUE + _sql_facets('(CASE WHEN c."user" % 3 = 0 THEN c."user" % 2 ELSE (c."user" + 1) % 2 END)', "kept").replace("tg AS", "tg2 AS").replace("bag AS", "bag2 AS").replace("pw AS", "pw2 AS").replace("best AS", "best2 AS").replace("facets AS", "facets2 AS").replace("combos AS", "combos2 AS").replace("FROM best ", "FROM best2 ") + f""",
+fresh AS (SELECT k."user", k.item, chunk, rank_in_chunk, cos, f.dim, CAST(coalesce(c.n, 0) AS INTEGER) AS n_combos, 0.55 * greatest(0, cos) + 0.30 * f.dim + least(0.15, 0.05 * coalesce(c.n, 0)) AS composite
+  FROM kept k JOIN facets2 f USING (item, "user") LEFT JOIN combos2 c USING (item, "user") WHERE k.item NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY CASE chunk WHEN 'recent' THEN 0 WHEN 'mid' THEN 1 ELSE 2 END, round(composite, 9) DESC, rank_in_chunk, item) AS place FROM fresh)
+SELECT "user", item, chunk, round(composite, 6) AS composite, {ABSOLUTE} AS tier, CAST(place AS INTEGER) AS place FROM r2 WHERE place <= 3"""
+
+
 def weighted_query_vector(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").withColumn("w", F.col("vec_id") % 4)
     mean = ranking.centroids(e, "label", weight="w")
@@ -197,5 +287,5 @@ REPLACE_QUEUE = f"""WITH {ANSWERS}, n AS (SELECT DISTINCT "user", item, 'rebuilt
 SELECT DISTINCT "user", item, choice FROM answers WHERE "user" NOT IN (SELECT "user" FROM n) UNION ALL SELECT * FROM n"""
 
 
-QUERIES = {f.__name__: f for f in (queue_linear, queue_no_fingerprint, queue_rrf, tier_percentile, quota_cap, serve_next, explain_signals, weighted_query_vector, cosine_topk, carryover, replace_queue)}
+QUERIES = {f.__name__: f for f in (queue_linear, queue_no_fingerprint, queue_rrf, queue_facets, queue_facets_linear, serve_fresh, tier_percentile, quota_cap, serve_next, explain_signals, weighted_query_vector, cosine_topk, carryover, replace_queue)}
 ORACLES = {k: globals()[k.upper()] for k in QUERIES}

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions.dates import cycle_id, cycle_start
@@ -44,48 +44,83 @@ def run_conversation(start: datetime, replies: list[tuple[datetime, str, bool]],
     return state, n
 
 
+def _expired(s, now: Column):
+    """The state struct after one deadline at `now`."""
+    over = s["due"].isNotNull() & (s["due"] <= now)
+    first = s["state"] == "awaiting"
+    state = F.when(over & first, "reminded").when(over, "timeout").otherwise(s["state"])
+    due_at = F.when(over & first, s["due"] + _ms(GIVE_UP)).when(~over, s["due"])
+    return F.struct(state.alias("state"), due_at.alias("due"), s["last"].alias("last"), s["n"].alias("n"))
+
+
+def _ms(span: timedelta) -> int:
+    return int(span.total_seconds() * 1000)
+
+
 def conversations_batch(replies: DataFrame, as_of: datetime) -> DataFrame:
-    """(member, cycle, state, reply_count) of replies (member, ts, signal, picked, idem_key) by weekly cycle."""
-    once = replies.dropDuplicates(["idem_key"]).withColumn("cycle", cycle_id(F.col("ts"))).withColumn("start", cycle_start(F.col("ts")))
+    """(member, cycle, state, reply_count) of replies (member, ts, signal, picked, idem_key) by weekly cycle, at as_of (UTC).
+
+    The replies of one conversation are folded in order by the state machine, without leaving the JVM.
+    """
+    once = replies.dropDuplicates(["idem_key"]).withColumn("cycle", cycle_id(F.col("ts"))).withColumn("start", F.unix_millis(cycle_start(F.col("ts"))))
+    said = F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), "signal", "picked")
+    talks = once.groupBy("member", "cycle").agg(F.min("start").alias("start"), F.array_sort(F.collect_list(said)).alias("said"))
+    answer = lambda x: F.when(x["picked"], "decided").otherwise(F.coalesce(*[F.when(x["signal"] == k, v) for k, v in AFTER.items()], F.lit("awaiting_decision")))
+
+    def step(acc, x):
+        # Two deadlines at most lie before a reply; each is null in a terminal state.
+        return F.transform(F.array(_expired(acc, x["ts"])), lambda s: F.transform(F.array(_expired(s, x["ts"])), lambda t: _heard(t, x, answer(x)))[0])[0]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(zip(pdf["ts"].dt.to_pydatetime(), pdf["signal"], pdf["picked"], strict=True))
-        state, n = run_conversation(pdf["start"].iloc[0].to_pydatetime(), rows, as_of)
-        return pd.DataFrame([(key[0], key[1], state, n)], columns=["member", "cycle", "state", "reply_count"])
+    start = F.struct(F.lit("awaiting").alias("state"), (F.col("start") + _ms(REMIND)).alias("due"), F.lit(None).cast("long").alias("last"), F.lit(0).alias("n"))
+    end = F.lit(int(as_of.replace(tzinfo=UTC).timestamp() * 1000))
+    last = F.aggregate("said", start, step, lambda s: F.transform(F.array(_expired(s, end)), lambda t: _expired(t, end))[0])
+    return talks.select("member", "cycle", last.alias("s")).select("member", "cycle", "s.state", F.col("s.n").alias("reply_count"))
 
-    return once.groupBy("member", "cycle").applyInPandas(run, "member long, cycle string, state string, reply_count int")
+
+def _heard(s, x, state: Column):
+    """The state struct after a reply that counts."""
+    deaf = s["state"].isin(*TERMINAL) | F.coalesce(x["ts"] <= s["last"], F.lit(False))
+    due_at = F.when(deaf, s["due"]).when(state == "awaiting_decision", x["ts"] + _ms(DECIDE))
+    return F.struct(F.when(deaf, s["state"]).otherwise(state).alias("state"), due_at.alias("due"), F.when(deaf, s["last"]).otherwise(x["ts"]).alias("last"), (s["n"] + (~deaf).cast("int")).alias("n"))
 
 
 def conversations_stream(replies: DataFrame) -> DataFrame:
-    """The same as a stream: state by member and cycle, deadlines as event-time timeouts, a row for each change."""
+    """The same as a stream: state by member and cycle, deadlines as event-time timeouts, a row for each change.
+
+    A finished conversation is kept until its week is over, as late replies must still find it closed, and then removed.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    once = replies.withWatermark("ts", "7 days").dropDuplicatesWithinWatermark(["idem_key"]).withColumn("cycle", cycle_id(F.col("ts"))).withColumn("start", cycle_start(F.col("ts")))
+    once = replies.withWatermark("ts", "7 days").dropDuplicatesWithinWatermark(["idem_key"]).withColumn("cycle", cycle_id(F.col("ts")))
+    once = once.withColumns({"at": F.unix_millis(F.col("ts")), "start": F.unix_millis(cycle_start(F.col("ts")))})
     schema = "member long, cycle string, state string, reply_count int"
+    at = lambda ms: None if ms is None else datetime.fromtimestamp(ms / 1000, UTC).replace(tzinfo=None)
+    ms = lambda t: None if t is None else round(t.replace(tzinfo=UTC).timestamp() * 1000)
 
-    def run(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         member, cycle = key
-        state, due_ms, last_ms, n = held.get if held.exists else (None, None, None, 0)
-        at = lambda ms: None if ms is None else datetime.fromtimestamp(ms / 1000)
-        if held.hasTimedOut:
-            state, due_at = due(state, at(due_ms))
-            last = at(last_ms)
-        else:
-            due_at, last = at(due_ms), at(last_ms)
-            rows = pd.concat(list(batches)).sort_values("ts")
+        state, due_at, last, n, end = held.get if held.exists else (None, None, None, 0, None)
+        before, due_at, last = (state, n), at(due_at), at(last)
+        if not held.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values(["at", "signal", "picked"])
             if state is None:
-                state, due_at = "awaiting", rows["start"].iloc[0].to_pydatetime() + REMIND
-            for ts, signal, picked in zip(rows["ts"].dt.to_pydatetime(), rows["signal"], rows["picked"], strict=True):
-                before = last
-                state, due_at, last = advance(state, due_at, last, ts, signal, picked)
-                n += last != before
-        ms = lambda t: None if t is None else int(t.timestamp() * 1000)
-        held.update((state, ms(due_at), ms(last), n))
-        if due_at is not None and ms(due_at) > held.getCurrentWatermarkMs():
-            held.setTimeoutTimestamp(ms(due_at))
-        yield pd.DataFrame([(member, cycle, state, n)], columns=["member", "cycle", "state", "reply_count"])
-
-    return once.groupBy("member", "cycle").applyInPandasWithState(run, schema, "state string, due long, last long, n int", "update", GroupStateTimeout.EventTimeTimeout)
+                start = int(rows["start"].iloc[0])
+                state, due_at, end = "awaiting", at(start) + REMIND, start + _ms(timedelta(days=7))
+            for ts, signal, picked in zip(rows["at"], rows["signal"], rows["picked"], strict=True):
+                heard = last
+                state, due_at, last = advance(state, due_at, last, at(int(ts)), signal, picked)
+                n += last != heard
+        now = held.getCurrentWatermarkMs()
+        while state not in TERMINAL and due_at is not None and ms(due_at) <= now:
+            state, due_at = due(state, due_at)
+        if held.hasTimedOut and state in TERMINAL and end <= now:
+            held.remove()
+        else:
+            held.update((state, ms(due_at), ms(last), n, end))
+            held.setTimeoutTimestamp(max(now + 1, ms(due_at) if state not in TERMINAL and due_at is not None else end))
+        yield pd.DataFrame([(member, cycle, state, n)] if (state, n) != before else [], columns=["member", "cycle", "state", "reply_count"])
+
+    return once.groupBy("member", "cycle").applyInPandasWithState(run, schema, "state string, due long, last long, n int, end long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def reviews_stream(answers: DataFrame, every: int = 10) -> DataFrame:

@@ -230,7 +230,7 @@ def test_title_collapse_gap(spark):
 
 def test_aliases_close(spark):
     df = spark.createDataFrame([(str(i), str(i + 1)) for i in range(9)], "alias string, keeper string")
-    assert {r.keeper for r in resolve.close_aliases(df, 4).collect()} == {"9"}
+    assert {r.keeper for r in resolve.close_aliases(df).collect()} == {"9"}
 
 
 def test_upsert_is_idempotent(spark):

@@ -311,3 +311,72 @@ def test_conversations_stream(spark, tmp_path):
     last = {r.member: (r.state, r.reply_count) for r in spark.table("talks").collect()}
     want = {r.member: (r.state, r.reply_count) for r in streams.conversations_batch(df, datetime(2024, 1, 5, 10)).collect()}
     assert last == want == {1: ("decided", 1), 2: ("passed", 2)}
+
+
+def test_conversations_stream_deadlines(spark, tmp_path):
+    """Deadlines that the watermark jumps over, late replies, and conversations whose week is over: as the batch form at the end."""
+    friday = datetime(2024, 1, 5, 6)
+    h = lambda n: friday + timedelta(hours=n)
+    steps = [
+        [(1, h(30), "thread_reply", False, "a"), (2, h(1), "thread_reply", False, "b"), (3, h(2), "saved", False, "c")],
+        [(3, h(5), "thumbs_down", False, "d"), (1, h(31), "thread_reply", True, "e"), (9, h(24 * 30), "saved", False, "f")],
+        [(9, h(24 * 31), "saved", False, "g")],
+        [(9, h(24 * 32), "saved", False, "h")],
+    ]
+    schema = "member long, ts timestamp, signal string, picked boolean, idem_key string"
+    for k, rows in enumerate(steps):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        sink = streams.conversations_stream(stream).writeStream.foreachBatch(lambda df, i, k=k: df.write.mode("append").parquet(str(tmp_path / f"out{k}")))
+        sink.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    last = {}
+    for k in range(len(steps)):
+        out = tmp_path / f"out{k}"
+        for r in spark.read.schema("member long, cycle string, state string, reply_count int").parquet(str(out)).collect() if out.exists() else []:
+            last[r.member, r.cycle] = max(last.get((r.member, r.cycle), (0, "")), (r.reply_count, r.state), key=lambda x: (x[0], x[1] in ("timeout", "decided", "passed")))
+    df = spark.createDataFrame([r for rows in steps for r in rows], schema)
+    want = {(r.member, r.cycle): (r.reply_count, r.state) for r in streams.conversations_batch(df, h(24 * 33)).collect() if r.member < 9}
+    assert {k: v for k, v in last.items() if k[0] < 9} == want
+    assert sorted(v for v in want.values()) == [(1, "decided"), (1, "timeout"), (2, "decided")]
+
+
+def test_batch_conversations_equal_plain_python(spark):
+    import random
+
+    rng = random.Random(5)
+    signals = [*streams.AFTER, "other"]
+    start = datetime(2024, 1, 5, 5)
+    rows = [(rng.randrange(40), start + timedelta(minutes=rng.randrange(7 * 24 * 60)), rng.choice(signals), rng.random() < 0.1, f"k{rng.randrange(300)}") for _ in range(400)]
+    rows = list({r[4]: r for r in rows}.values())
+    as_of = start + timedelta(days=6)
+    got = {r.member: (r.state, r.reply_count) for r in streams.conversations_batch(spark.createDataFrame(rows, "member long, ts timestamp, signal string, picked boolean, idem_key string"), as_of).collect()}
+    want = {m: streams.run_conversation(start, [(ts, s, p) for n, ts, s, p, _ in rows if n == m], as_of) for m in {r[0] for r in rows}}
+    assert got == want
+
+
+def test_close_aliases_long_chains_and_circles(spark):
+    chain = [(f"{k:05d}", f"{k + 1:05d}") for k in range(700)]
+    circle = [("x", "y"), ("y", "z"), ("z", "x"), ("self", "self")]
+    got = {r.alias: r.keeper for r in resolve.close_aliases(spark.createDataFrame(chain + circle, "alias string, keeper string")).collect()}
+    assert got == {a: "00700" for a, _ in chain} | {"y": "x", "z": "x"}
+
+
+def test_ranked_by_many_tasks(spark):
+    import random
+
+    from folioflow.operators import ranking
+
+    rng = random.Random(6)
+    rows = [(u, i, rng.choice([0.0, 0.0, round(rng.random(), 1)])) for u in range(3) for i in range(400)]
+    got = ranking.ranked(spark.createDataFrame(rows, "user int, item int, x double"), "user", [F.desc("x"), F.col("item")], "r", 7).collect()
+    want = {(u, i): k for u in range(3) for k, (_, i) in enumerate(sorted((-x, i) for v, i, x in rows if v == u), 1)}
+    assert {(r.user, r.item): r.r for r in got} == want
+
+
+def test_users_in_blocks(spark):
+    from folioflow.operators import ranking
+
+    items = spark.createDataFrame([(k, f"word{k} alpha", [1.0, float(k)]) for k in range(6)], "item int, text string, embedding array<double>")
+    users = spark.createDataFrame([(u, [1.0, 0.5], [(f"word{u}", 2.0), ("alpha", 1.0)]) for u in range(5)], "user int, query array<double>, phrases array<struct<phrase:string,score:double>>")
+    whole, parts = (sorted(map(str, ranking.pairs(items, users, block).collect())) for block in (500, 2))
+    assert len(whole) == 30 and whole == parts

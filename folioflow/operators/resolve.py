@@ -81,11 +81,16 @@ def length_band(a: Column, b: Column, least: float) -> Column:
 PARITY_WORDS = 4
 
 
-def _signature(key: str) -> list[Column]:
-    """Parities of the numbers of a key's 2-grams that fall on each of 64 * PARITY_WORDS places."""
-    grams = f"transform(sequence(1, greatest(length({key}) - 1, 1)), i -> xxhash64(substring({key}, i, 2)))"
+def _hashed(key: str, n: int) -> str:
+    """SQL of the hashes of a key's n-grams; the characters are split off once, as places in a string cost a walk each."""
+    gram = ", ".join(f"get(c, i + {k})" for k in range(n))
+    return f"transform(array(split({key}, '')), c -> transform(sequence(0, greatest(length({key}) - {n}, 0)), i -> xxhash64({gram})))[0]"
+
+
+def _signature(hashes: str) -> list[Column]:
+    """Parities of the numbers of 2-grams that fall on each of 64 * PARITY_WORDS places."""
     bit = "shiftleft(1L, CAST(pmod(x, 64) AS INT))"
-    return [F.expr(f"aggregate(filter({grams}, x -> pmod(shiftright(x, 8), {PARITY_WORDS}) = {k}), 0L, (acc, x) -> acc ^ {bit})").alias(f"sig{k}") for k in range(PARITY_WORDS)]
+    return [F.expr(f"aggregate(filter({hashes}, x -> pmod(shiftright(x, 8), {PARITY_WORDS}) = {k}), 0L, (acc, x) -> acc ^ {bit})").alias(f"sig{k}") for k in range(PARITY_WORDS)]
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, least: float, same: list[str] = (), before: bool = False) -> DataFrame:
@@ -98,16 +103,16 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float, same: list[st
     2-grams, not titles. One edit changes three 2-grams at most, hence parities of similar titles differ in few bits.
     What is left meets its titles and is compared exactly.
     """
-    grams = lambda key: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - 3, F.lit(1))), lambda i: F.substring(key, i, 4)))
     signs = [f"sig{k}" for k in range(PARITY_WORDS)]
 
     def keyed(df: DataFrame) -> DataFrame:
         titled = df.where(F.coalesce("title_norm", F.lit("")) != "").select("canonical_id", "title_norm", *same)
-        return titled.select("canonical_id", *same, "title_norm", F.length("title_norm").alias("len"), *_signature("title_norm"))
+        hashed = titled.withColumn("two", F.expr(_hashed("title_norm", 2))).withColumn("grams", F.array_distinct(F.expr(_hashed("title_norm", 4))))
+        return written(hashed.select("canonical_id", *same, "title_norm", F.length("title_norm").alias("len"), "grams", *_signature("two")), "title-keys")
 
-    a, b = keyed(left), keyed(right)
-    ga = a.select("canonical_id", *same, "len", *signs, F.explode(grams("title_norm")).alias("gram"))
-    gb = b.select("canonical_id", *same, "len", *signs, F.explode(grams("title_norm")).alias("gram"))
+    a = keyed(left)
+    b = a if right is left else keyed(right)
+    ga, gb = (x.select("canonical_id", *same, "len", *signs, F.explode("grams").alias("gram")) for x in (a, b))
     df = gb.groupBy("gram").agg(F.count("*").alias("df"))
     # A partner is (2 - least) / least times as long at most, which bounds the edits and so the grams they break.
     lost = F.ceil(F.col("len") * 2 * (1 - least) / least) * 4 + 1

@@ -280,8 +280,8 @@ def test_noisy_or_is_exact():
     assert np.allclose(toxicity.document_scores(bags, np.log(p / (1 - p))), [1 - np.prod(1 - p), 0, 0])
 
 
-def plain_score(text, weight, bias):
-    """Noisy-or by the definition, word by word."""
+def plain_left(text, weight, bias):
+    """The chance that no sentence is toxic, by the definition, word by word."""
     import re
 
     left = 1.0
@@ -289,7 +289,7 @@ def plain_score(text, weight, bias):
         words = re.findall(rb"[a-z\x80-\xff]+", sentence.lower())
         if words:
             left *= 1 - 1 / (1 + np.exp(-bias - sum(weight(w) for w in words)))
-    return 1 - left
+    return left
 
 
 def test_scores_and_gradient_against_brute_force():
@@ -303,19 +303,19 @@ def test_scores_and_gradient_against_brute_force():
         weights[f] = rng.uniform(-2, 2)
     bags = toxicity.bags_of(texts_)
     got = toxicity.document_scores(bags, toxicity.sentence_logits(bags, weights, -0.7))
-    want = [plain_score(t, lambda w: weights[{k.lower(): v for k, v in place.items()}[w]], -0.7) for t in texts_]
+    want = [1 - plain_left(t, lambda w: weights[{k.lower(): v for k, v in place.items()}[w]], -0.7) for t in texts_]
     assert np.allclose(got, want)
 
     labels = np.array([rng.randrange(2) for _ in texts_])
-    labels[-2:] = 0  # documents without a sentence have no slope
+    labels[np.array(want) == 0] = 0  # without a sentence the likelihood of label 1 is 0 whatever the weights
     sentence = np.repeat(np.arange(len(bags.begin)), np.diff(np.append(bags.begin, len(bags.feature))))
     used = sorted(place.values())
     word = np.searchsorted(used, bags.feature)
     w = np.append(weights[used], -0.7)
 
     def loss(w):
-        p = np.array([plain_score(t, lambda x: w[used.index({k.lower(): v for k, v in place.items()}[x])], w[-1]) for t in texts_])
-        return -np.mean(np.log(np.where(labels > 0, p, 1 - p)))
+        left = np.array([plain_left(t, lambda x: w[used.index({k.lower(): v for k, v in place.items()}[x])], w[-1]) for t in texts_])
+        return -np.mean(np.log(np.where(labels > 0, 1 - left, left)))
 
     slope = [(loss(w + h) - loss(w - h)) / 2e-5 for h in np.eye(len(w)) * 1e-5]
     assert np.allclose(toxicity.gradient(w, word, sentence, bags.doc, labels), slope, atol=1e-6)

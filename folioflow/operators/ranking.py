@@ -70,10 +70,16 @@ def pairs(items: DataFrame, users: DataFrame, block: int = BLOCK_USERS) -> DataF
 def score(scored: DataFrame, mode: str = "phrases") -> DataFrame:
     """Adds composite to pairs with cos, raw_kw, phrases, dim, n_combos (plain needs neither raw_kw nor phrases).
 
+    cos and raw_kw are worked out of embedding, query, text and phrases where a pair does not have them.
+
     mode: plain (no phrases), phrases or rrf (ranks of the three signals fused); auto takes rrf for users
     with one to three phrases, plain for those with none. Floors differ: plain drops low cosines, phrases
     only those that have no phrase either, rrf none.
     """
+    if "cos" not in scored.columns:
+        scored = scored.withColumn("cos", S.cosine("embedding", "query"))
+    if "raw_kw" not in scored.columns and mode != "plain":
+        scored = scored.withColumn("raw_kw", S.bm25(F.lower("text"), "phrases"))
     low = F.greatest("cos", F.lit(0.0)) < V.COS_FLOOR
     plain = lambda df: df.where(~low).withColumn("composite", S.composite_plain("cos", "dim", "n_combos"))
     phrases = lambda df: df.where(~(low & (S.kw_norm("raw_kw") < V.KW_FLOOR))).withColumn("composite", S.composite_phrases("cos", "dim", "n_combos", "raw_kw"))

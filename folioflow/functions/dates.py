@@ -45,3 +45,19 @@ def cycle_id(ts: Column) -> Column:
 
 def seoul_text(ts: Column) -> Column:
     return F.concat(F.date_format(F.from_utc_timestamp(ts, "Asia/Seoul"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+09:00"))
+
+
+def not_before(date, is_preprint, journal: str, preprint: str) -> Column:
+    """Whether a date text is not before the cut of its kind, compared as text; no date is too old."""
+    date, pre = (F.col(x) if isinstance(x, str) else x for x in (date, is_preprint))
+    return F.coalesce((date != "") & (date >= F.when(pre, F.lit(preprint)).otherwise(F.lit(journal))), F.lit(False))
+
+
+def hours_left(deadline: Column, as_of: Column) -> Column:
+    """Hours until the deadline; negative once it has passed."""
+    return (F.unix_timestamp(deadline) - F.unix_timestamp(as_of)) / 3600
+
+
+def age_days(ts: Column, as_of: Column) -> Column:
+    """Whole days from ts to as_of, rounded down."""
+    return F.floor((F.unix_timestamp(as_of) - F.unix_timestamp(ts)) / 86400)

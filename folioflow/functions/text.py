@@ -310,3 +310,40 @@ def string_leaves(docs: pd.Series) -> pd.Series:
             return []
 
     return docs.map(one)
+
+
+def month(x) -> Column:
+    """Year and month of a date text."""
+    return F.substring(_c(x), 1, 7)
+
+
+def unit_file(x) -> Column:
+    """A unit's id as part of a file name."""
+    return F.replace(_c(x), F.lit("+"), F.lit("_"))
+
+
+def note(x) -> Column:
+    """A note that ends in punctuation; notes of the classifier stay as they are."""
+    x = _c(x)
+    bare = F.trim(x)
+    return F.when(x.startswith("keyword-classifier ("), x).when(bare.rlike(r"[.!?]$"), bare).otherwise(F.concat(bare, F.lit(".")))
+
+
+def one_of(x, allowed: list[str], default: str) -> Column:
+    """A value of a closed list; anything else is the default."""
+    return F.when(_c(x).isin(allowed), _c(x)).otherwise(F.lit(default))
+
+
+def as_array(x) -> Column:
+    """Strings of a JSON list; another value is a list of one, none an empty list."""
+    x = F.trim(_c(x))
+    items = F.from_json(x, "array<string>")
+    return F.when(F.coalesce(x, F.lit("")).isin("", "null"), F.array().cast("array<string>")).when(x.startswith("["), F.coalesce(items, F.array(x))).otherwise(F.array(x))
+
+
+def frameworks_ok(x) -> Column:
+    """Whether a JSON text is a list of objects that each have a string as name."""
+    x = F.trim(_c(x))
+    each = F.from_json(x, "array<string>")
+    sound = F.forall(each, lambda f: F.coalesce(f.startswith("{") & F.get_json_object(f, "$.name").isNotNull() & f.rlike(r'"name"\s*:\s*"'), F.lit(False)))
+    return F.coalesce(x.startswith("[") & sound, F.lit(False))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folioflow.plans import documents, ledger, queues
+from folioflow.plans import documents, ledger, people, queues
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (queues, documents, ledger):
+for module in (queues, documents, ledger, people):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)

@@ -32,11 +32,16 @@ def candidates(items: DataFrame, verdicts: DataFrame, vectors: DataFrame, key: s
     return items.join(relevant, key, "left_semi").join(vectors, key)
 
 
+def _blocks(users: DataFrame, block: int) -> list[DataFrame]:
+    """users in parts of about `block`. They are written once, as every part would work them out anew."""
+    users = written(users, "users")
+    blocks = max(1, -(-users.count() // block))
+    return [users if blocks == 1 else users.where(F.pmod(F.xxhash64("user"), F.lit(blocks)) == b) for b in range(blocks)]
+
+
 def pair_up(items: DataFrame, users: DataFrame, block: int = BLOCK_USERS) -> DataFrame:
     """All items for all users: the query set, in blocks, against all rows; a block of users goes to every task."""
-    blocks = -(-users.count() // block)
-    parts = [users if blocks <= 1 else users.where(F.pmod(F.xxhash64("user"), F.lit(blocks)) == b) for b in range(max(1, blocks))]
-    return reduce(DataFrame.unionByName, (items.join(F.broadcast(u)) for u in parts))
+    return reduce(DataFrame.unionByName, (items.join(F.broadcast(u)) for u in _blocks(users, block)))
 
 
 def with_counts(items: DataFrame, users: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -61,8 +66,9 @@ def keyword_score(tf="tf", phrases="phrases", places="places", n_words="n_words"
 
 def pairs(items: DataFrame, users: DataFrame, block: int = BLOCK_USERS) -> DataFrame:
     """All pairs with cos and raw_kw: items have item, text, embedding; users have user, query, phrases. matched: the user's phrases in the text, which stays behind."""
-    counted, placed = with_counts(items, users)
-    met = pair_up(counted, placed, block)
+    # A block counts its own phrases only, which bounds the width of tf.
+    counted = (with_counts(items, u) for u in _blocks(users, block))
+    met = reduce(DataFrame.unionByName, (c.join(F.broadcast(placed)) for c, placed in counted))
     matched = F.transform(F.filter(F.zip_with("phrases", "places", lambda p, i: F.struct(p["phrase"].alias("phrase"), F.get("tf", i - 1).alias("n"))), lambda x: x["n"] > 0), lambda x: x["phrase"])
     return met.withColumns({"cos": S.cosine("embedding", "query"), "raw_kw": keyword_score(), "matched": matched}).drop("embedding", "query", "tf", "places", "n_words")
 
@@ -110,7 +116,8 @@ def ranked(df: DataFrame, by: str, order: list[Column], name: str, parts: int =
 
 
 def fuse(scored: DataFrame) -> DataFrame:
-    out = scored
+    """Adds composite by the ranks of the three signals. phrases and n_combos, which it does not need, go; pairs are written, as finding ranges reads them again."""
+    out = written(scored.drop("phrases", "n_combos"), "pairs")
     names = []
     for name, c in (("cos", "cos"), ("dim", "dim"), ("kw", "raw_kw")):
         names.append(f"rank_{name}")
@@ -128,8 +135,12 @@ def quotas(users: DataFrame, mix: Column, cap: int = V.QUEUE_CAP) -> DataFrame:
 def cut(scored: DataFrame, quota: Column | None = None) -> DataFrame:
     """Top rows by user and age band, then the tier by rank within the cut. Scores are compared to nine places."""
     w = Window.partitionBy("user", "chunk").orderBy(F.desc(F.round("composite", 9)), F.desc(F.round("cos", 9)), "item")
-    most = quota if quota is not None else F.coalesce(*[F.when(F.col("chunk") == c, n) for c, n in V.CHUNK_MIX.items()])
-    kept = scored.withColumn("rank_in_chunk", F.row_number().over(w)).where(F.col("rank_in_chunk") <= most)
+    numbered = scored.withColumn("rank_in_chunk", F.row_number().over(w))
+    if quota is None:
+        # The plain bound lets every task drop what cannot rank before the shuffle.
+        numbered = numbered.where(F.col("rank_in_chunk") <= max(V.CHUNK_MIX.values()))
+        quota = F.coalesce(*[F.when(F.col("chunk") == c, n) for c, n in V.CHUNK_MIX.items()])
+    kept = numbered.where(F.col("rank_in_chunk") <= quota)
     return kept.withColumn("tier", S.percentile_tier(F.round("composite", 9), "cos", "user", "chunk"))
 
 

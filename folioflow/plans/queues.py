@@ -27,9 +27,11 @@ def _users(spark: SparkSession, d: str, phrases: int = PHRASES) -> DataFrame:
     items = _items(spark, d).select("item", "label", "text")
     words = items.select("item", "label", F.explode(keyword_tokens("text", STOP)).alias("token"))
     n = items.agg(F.count("*").alias("n"))
-    df = words.groupBy("token").agg(F.count_distinct("item").alias("df"))
+    # An item has one label, so the items of a token are those of its labels together: texts are read once.
+    each = words.groupBy("item", "label", "token").agg(F.count("*").alias("tf")).groupBy("label", "token").agg(F.sum("tf").alias("tf"), F.count("*").alias("items"))
+    df = each.groupBy("token").agg(F.sum("items").alias("df"))
     idf = df.join(F.broadcast(n)).select("token", F.round(lexical.smoothed_idf("df", F.col("n")), 6).alias("idf"))
-    tf = words.groupBy("label", "token").agg(F.count("*").alias("tf")).join(idf, "token").withColumn("score", F.round(F.col("tf") * F.col("idf"), 6))
+    tf = each.drop("items").join(idf, "token").withColumn("score", F.round(F.col("tf") * F.col("idf"), 6))
     top = lexical.top_terms(tf, ["label"], "score", "token", phrases)
     lists = top.groupBy("label").agg(F.array_sort(F.collect_list(F.struct(F.col("token").alias("phrase"), F.col("idf").alias("score")))).alias("phrases"))
     return mean.join(lists, "label", "left").select(F.col("label").alias("user"), "query", F.coalesce("phrases", F.array().cast("array<struct<phrase:string,score:double>>")).alias("phrases"))

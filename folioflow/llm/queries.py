@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import decontaminate, language_id, media, near_dups, secrets, sentencepiece_codec, sharding, substring_dedup, toxicity, url_rules
+from folioflow.llm import decontaminate, language_id, media, near_dups, quality_rules, secrets, sentencepiece_codec, sharding, substring_dedup, toxicity, url_rules
 
 QUERIES = {
     "op1_url_rules": url_rules.op1,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8,
     "op9_near_dups": near_dups.op9,
     "op10_toxicity": toxicity.op10,
+    "op11_quality_rules": quality_rules.op11,
 }
 
 ORACLES: dict[str, str] = {
     "op2_sharding": sharding.op2_sql(),
+    "op11_quality_rules": quality_rules.op11_sql(),
 }

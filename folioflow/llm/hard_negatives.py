@@ -95,12 +95,12 @@ class Tree:
         return np.sqrt(np.maximum(2 * self.most - 2 * (self.x[a] @ self.x[b].T + np.outer(self.more[a], self.more[b])), 0))
 
     def deal(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(leaf, distances from the vantage points on the way, padded with NaN) of further rows."""
+        """(leaf, distances from the vantage points on the way, padded with zeros) of further rows."""
         v = self.x[self.points]
         more = np.sqrt(np.maximum(self.most - (x**2).sum(1), 0))
         d = np.sqrt(np.maximum(2 * self.most - 2 * (x @ v.T + np.outer(more, self.more[self.points])), 0))
         now = np.full(len(x), 0 if self.nodes else -1)
-        way = np.full((len(x), max(map(len, self.paths))), np.nan)
+        way = np.zeros((len(x), max(map(len, self.paths))))
         for level in range(way.shape[1]):
             i = np.flatnonzero(now >= 0)
             way[i, level] = d[i, now[i]]
@@ -215,7 +215,7 @@ class Index:
             for b in batches:
                 cell, way = tree.deal(_matrix(b.column(2), width).astype(np.float64))
                 offsets = pa.array(np.arange(len(cell) + 1) * way.shape[1], pa.int32())
-                distances = pa.ListArray.from_arrays(offsets, pa.array(way.ravel(), from_pandas=True))
+                distances = pa.ListArray.from_arrays(offsets, pa.array(way.ravel()))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), distances], names=[*b.schema.names, "cell", "way"])
 
         schema = padded.select("id", "label", "v", "anchor", "row", F.lit(0).alias("cell"), F.array(F.lit(0.0)).alias("way")).schema

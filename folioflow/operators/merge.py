@@ -18,12 +18,37 @@ POLICIES = {
 }
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], policies: dict[str, str], default: str = "new", protect: Column | None = None, protected: list[str] = ()) -> DataFrame:
-    """old with new merged in by keys. Where `protect` (over the old row's columns) holds, the protected columns keep the old value."""
+def last_rows(df: DataFrame, keys: list[str], order: list[str] = ()) -> DataFrame:
+    """One row for each key, null keys too: the last one by `order`, and of equal ones the largest by the other columns, so the result is the same in any layout."""
+    others = [c for c in df.columns if c not in keys]
+    ranked = F.struct(*[F.col(c) for c in order], *[F.to_json(F.struct(F.col(c))) for c in others])
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*others), ranked).alias("_r")).select(*keys, "_r.*").select(*df.columns) if others else df.dropDuplicates(keys)
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str, flag: str = "_hit") -> DataFrame:
+    """left joined to right, whose keys are unique and whose other columns have names of their own; null keys meet each other."""
+    named = right.withColumnsRenamed({k: f"_{i}_{k}" for i, k in enumerate(keys)})
+    on = [left[k].eqNullSafe(named[f"_{i}_{k}"]) for i, k in enumerate(keys)]
+    both = left.join(named, on, how)
+    if how in ("left_semi", "left_anti"):
+        return both
+    if how == "full":
+        # A row of right alone has no left key; `flag` tells it from a left row whose key is null.
+        both = both.withColumns({k: F.when(F.col(flag).isNull(), F.col(f"_{i}_{k}")).otherwise(F.col(k)) for i, k in enumerate(keys)})
+    return both.drop(*[f"_{i}_{k}" for i, k in enumerate(keys)])
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], policies: dict[str, str], default: str = "new", protect: Column | None = None, protected: list[str] = (), order: list[str] = ()) -> DataFrame:
+    """old with new merged in by keys. Where `protect` (over the old row's columns) holds, the protected columns keep the old value.
+
+    Of new rows with one key the last by `order` counts (columns of new that old need not have; without them, or
+    where they are equal, the largest row). Keys that are null are equal to each other. A key that old repeats stays
+    repeated, and each of its rows is merged.
+    """
     columns = [c for c in old.columns if c not in keys]
     o = old.select(*keys, F.struct(*columns).alias("_o"))
-    n = new.select(*keys, F.struct(*columns).alias("_n"))
-    both = o.join(n, keys, "full")
+    n = last_rows(new.select(*keys, *columns, *[c for c in order if c not in old.columns]), keys, list(order)).select(*keys, F.struct(*columns).alias("_n"))
+    both = null_safe(o, n, keys, "full", "_o")
     held = F.lit(False)
     if protect is not None:
         both = both.select("*", *[F.col(f"_o.{c}").alias(c) for c in columns])
@@ -39,15 +64,15 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], policies: dict[str,
 
 
 def insert_if_absent(old: DataFrame, new: DataFrame, keys: list[str], first_by: list[str]) -> DataFrame:
-    """Rows of new whose key is not in old; of equal keys in new the first."""
+    """Rows of new whose key is not in old; of equal keys in new the first. Null keys are equal to each other."""
     columns = [c for c in new.columns if c not in keys]
     firsts = new.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.struct(*first_by)).alias("r")).select(*keys, "r.*")
-    return firsts.join(old.select(*keys), keys, "left_anti")
+    return null_safe(firsts, old.select(*keys), keys, "left_anti")
 
 
 def replace_groups(old: DataFrame, new: DataFrame, group: str) -> DataFrame:
-    """old without the groups that new has, and new: what a dynamic partition overwrite leaves."""
-    return old.join(new.select(group).distinct(), group, "left_anti").unionByName(new)
+    """old without the groups that new has, and new: what a dynamic partition overwrite leaves. Rows without a group are one group."""
+    return null_safe(old, new.select(group).distinct(), [group], "left_anti").unionByName(new)
 
 
 def overwrite_groups(new: DataFrame, path: str, group: str) -> None:
@@ -56,7 +81,8 @@ def overwrite_groups(new: DataFrame, path: str, group: str) -> None:
 
 
 def missing_keys(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
-    return expected.select(*keys).distinct().join(actual.select(*keys), keys, "left_anti")
+    """Keys of expected that actual lacks, each once; null keys are equal to each other."""
+    return null_safe(expected.select(*keys).distinct(), actual.select(*keys), keys, "left_anti")
 
 
 def retire_choice(df: DataFrame, old: str, new: str, marker: str) -> DataFrame:

@@ -80,21 +80,23 @@ def derived_prefs(tagged: DataFrame) -> DataFrame:
 def preference_chain(users: DataFrame, verified: DataFrame, fingerprints: DataFrame, derived: DataFrame) -> DataFrame:
     """(user, prefs, source): the verified preferences, else those of a usable fingerprint, else derived ones, else none.
 
-    A fingerprint with an error or without phrases is none; so are preferences that are null or empty.
+    A fingerprint with an error or without phrases is none; so are preferences that are null or empty. Of several
+    rows of a user in one source the one with the largest text counts, so a user has one row.
     """
     some = lambda c: F.when(F.size(c) > 0, F.col(c))
     usable = fingerprints.where(F.col("error").isNull() & (F.size("phrases") > 0))
     out = users.select("user").distinct()
     for name, df in (("verified", verified), ("fingerprint", usable), ("auto", derived)):
-        out = out.join(df.select("user", F.col("prefs").alias(name)), "user", "left")
+        one = df.where(F.size("prefs") > 0).groupBy("user").agg(F.max_by("prefs", F.to_json("prefs")).alias(name))
+        out = out.join(one, "user", "left")
     names = ["verified", "fingerprint", "auto"]
     return out.select("user", F.coalesce(*map(some, names)).alias("prefs"), F.coalesce(*[F.when(some(n).isNotNull(), n) for n in names], F.lit("none")).alias("source"))
 
 
 def missing_vectors(items: DataFrame, verdicts: DataFrame, vectors: DataFrame, key: str = "canonical_id") -> DataFrame:
-    """Items that no verdict calls irrelevant and that have no vector yet: what an embedding batch has to do."""
+    """Items that no verdict calls irrelevant and that have no vector yet: what an embedding batch has to do. Items without a key have nothing to file a vector under and go."""
     out = verdicts.where(~F.coalesce("is_lab_relevant", F.lit(True))).select(key)
-    return items.join(out, key, "left_anti").join(vectors.select(key), key, "left_anti")
+    return items.where(F.col(key).isNotNull()).join(out, key, "left_anti").join(vectors.select(key), key, "left_anti")
 
 
 def embed(items: DataFrame, encode, text: str = "text", key: str = "canonical_id", batch: int = 16) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.operators.merge import last_rows
+
 
 def score_histogram(scored: DataFrame, score: str = "score", hard: str = "hard") -> DataFrame:
     """(bucket, n) of exclusion scores; a hard hit has its own bucket."""
@@ -31,8 +33,9 @@ def table_digest(df: DataFrame, by: str, columns: list[str], digits: int = 16) -
 
 
 def with_flags(df: DataFrame, verdicts: DataFrame, key: str, flags: list[str]) -> DataFrame:
-    """df with the flags of its verdict; no verdict, or a null flag, counts as true."""
-    return df.join(verdicts.select(key, *flags), key, "left").withColumns({f: F.coalesce(f, F.lit(True)) for f in flags})
+    """df with the flags of its verdict; no verdict, or a null flag, counts as true. Of several verdicts of a key each flag holds that holds in all of them."""
+    one = verdicts.groupBy(key).agg(*[F.bool_and(F.coalesce(f, F.lit(True))).alias(f) for f in flags])
+    return df.join(one, key, "left").withColumns({f: F.coalesce(f, F.lit(True)) for f in flags})
 
 
 def without_refused(df: DataFrame, verdicts: DataFrame, key: str, flag: str) -> DataFrame:
@@ -40,9 +43,13 @@ def without_refused(df: DataFrame, verdicts: DataFrame, key: str, flag: str) ->
     return df.join(verdicts.where(~F.coalesce(F.col(flag), F.lit(True))).select(key), key, "left_anti")
 
 
-def looked_up(df: DataFrame, table: DataFrame, key: str, value: str, default: Column) -> DataFrame:
-    """df with `value` of a lookup table; the last row of a key wins, a missing one gives the default."""
-    return df.join(table.select(key, value), key, "left").withColumn(value, F.coalesce(value, default))
+def looked_up(df: DataFrame, table: DataFrame, key: str, value: str, default: Column, order: list[str] = ()) -> DataFrame:
+    """df with `value` of a lookup table, as many rows as df has; a missing key or a null value gives the default.
+
+    Of several rows of a key the last by `order` (columns of table) wins, and of equal ones the one with the largest value.
+    """
+    one = last_rows(table.where(F.col(key).isNotNull()).select(key, value, *order), [key], list(order)).select(key, value)
+    return df.join(one, key, "left").withColumn(value, F.coalesce(value, default))
 
 
 def nested(df: DataFrame, prefix: str, into: str, probes: list[str]) -> DataFrame:

@@ -168,9 +168,13 @@ def fuzzy_preprint(df: DataFrame, least: float = V.FUZZY_PREPRINT) -> DataFrame:
 def close_aliases(aliases: DataFrame) -> DataFrame:
     """(alias, keeper) with keepers that are no aliases themselves; each round doubles the paths it follows, until none is left.
 
-    An alias of itself is left out; of a circle, every member goes to the smallest one.
+    Of several keepers of an alias the smallest counts. An alias of itself is left out; of a circle, every member goes
+    to the smallest one, and so does every tail that leads into the circle. Null aliases and keepers are left out.
     """
-    out = written(aliases.select("alias", "keeper", F.least("alias", "keeper").alias("low")).where("alias <> keeper"), "aliases")
+    once = aliases.where("alias <> keeper").groupBy("alias").agg(F.min("keeper").alias("keeper"))
+    first = written(once, "alias-links")
+    # low: the smallest keeper that the path has passed; on a circle, once gone round, its smallest member.
+    out = written(first.select("alias", "keeper", F.col("keeper").alias("low")), "aliases")
     n, rounds = out.count(), 0
     while True:
         step = out.select(F.col("alias").alias("keeper"), F.col("keeper").alias("further"), F.col("low").alias("lower"))
@@ -181,9 +185,15 @@ def close_aliases(aliases: DataFrame) -> DataFrame:
         out = new.drop("moved")
         if not moved:
             return out.select("alias", "keeper")
-        if 2**rounds > 2 * n:  # only circles are left: every path was followed beyond its length
-            ring = out.join(out.select(F.col("alias").alias("keeper")).distinct(), "keeper", "left_semi").select("alias", F.col("low").alias("keeper")).where("alias <> keeper")
-            return out.join(out.select(F.col("alias").alias("keeper")).distinct(), "keeper", "left_anti").select("alias", "keeper").unionByName(ring)
+        if 2**rounds > 2 * n:
+            break
+    # Only circles move on: every other path was followed to its end, so what is still an alias lies on a circle.
+    inside = out.join(out.select(F.col("alias").alias("keeper")), "keeper", "left_semi").select("alias", F.col("keeper").alias("member"))
+    # A member's own path has gone round, so its least keeper is the circle's least member, whatever tails lead there.
+    least = out.select(F.col("alias").alias("member"), F.col("low").alias("keeper"))
+    ring = inside.join(least, "member").select("alias", "keeper").where("alias <> keeper")
+    done = out.join(out.select(F.col("alias").alias("keeper")), "keeper", "left_anti").select("alias", "keeper")
+    return done.unionByName(ring)
 
 
 def apply_aliases(sources: DataFrame, aliases: DataFrame, key: str = "canonical_id") -> DataFrame:

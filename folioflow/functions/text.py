@@ -94,14 +94,22 @@ def token_count(x) -> Column:
     return F.greatest(F.lit(1), F.size(F.filter(F.split(_c(x), r"(?U)\s+"), lambda t: t != "")))
 
 
+# --- fixed values: tokens of the corpus table, and of salvage ----------------------------------------
+CORPUS_TOKEN = r"[A-Za-z0-9_À-ɏᄀ-ᇿ぀-ヿ一-鿿가-힣]+"
+SALVAGE_TOKEN = r"[A-Za-z0-9]{2,}(?:[-_][A-Za-z0-9]{2,})*|[가-힣]{2,}"
+SALVAGE_LEAST = 4
+
+
 def corpus_tokens(x) -> Column:
-    found = F.regexp_extract_all(F.lower(_c(x)), F.lit(r"[A-Za-z0-9_À-ɏᄀ-ᇿ가-힣぀-ヿ一-鿿]+"), F.lit(0))
-    return F.filter(found, lambda t: (F.length(t) >= 3) & ~t.rlike(r"^\d+$"))
+    """Tokens of a document for the corpus table: three characters at least, not digits alone."""
+    found = F.regexp_extract_all(F.lower(_c(x)), F.lit(CORPUS_TOKEN), F.lit(0))
+    return F.filter(found, lambda t: (F.length(t) >= 3) & ~t.rlike(r"^[0-9]+$"))
 
 
 def salvage_tokens(x, stop: list[str]) -> Column:
-    found = F.regexp_extract_all(F.lower(_c(x)), F.lit(r"[a-zÀ-ɏ][a-z0-9À-ɏ]*(?:[-_][a-z0-9À-ɏ]+)*|[가-힣]+"), F.lit(0))
-    return F.filter(found, lambda t: (F.length(t) >= 4) & ~t.isin(stop) & ~t.rlike(r"^\d+$"))
+    """Tokens of sparse project texts: runs of letters and digits, joined by - or _, or of Hangul; no stop words, not digits alone."""
+    found = F.regexp_extract_all(F.lower(_c(x)), F.lit(SALVAGE_TOKEN), F.lit(0))
+    return F.filter(found, lambda t: (F.length(t) >= SALVAGE_LEAST) & ~t.isin(stop) & ~t.rlike(r"^[0-9]+$"))
 
 
 def keyword_tokens(x, stop: list[str]) -> Column:
@@ -266,30 +274,6 @@ def titles_equal(a, b, least: float = 0.9) -> Column:
     return F.when((a == b) & (a != ""), True).otherwise(matching_blocks_ratio(a, b) >= least)
 
 
-def phrase_hits(phrases: list[str]):
-    """UDF: the phrases in a text, longest first; each claims its span, so shorter ones inside don't count."""
-    ordered = sorted({p.lower() for p in phrases if p}, key=lambda p: (-len(p), p))
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def scan(texts: pd.Series) -> pd.Series:
-        def one(t):
-            t, taken, out = (t or "").lower(), [], []
-            for p in ordered:
-                at = t.find(p)
-                while at >= 0:
-                    if all(at >= b or at + len(p) <= a for a, b in taken):
-                        taken.append((at, at + len(p)))
-                        out.append((at, p))
-                        at = t.find(p, at + len(p))
-                    else:
-                        at = t.find(p, at + 1)
-            return [p for _, p in sorted(out)]
-
-        return texts.map(one)
-
-    return scan
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def string_leaves(docs: pd.Series) -> pd.Series:
     """Strings in a JSON value, objects to a depth of four; lists don't stop the walk."""

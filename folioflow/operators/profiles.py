@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import doi_normalize
+from folioflow.functions import fixed_values as V
+from folioflow.functions.rounding import half_even
+from folioflow.functions.text import doi_normalize, salvage_tokens
+from folioflow.operators.phrases import CHANNEL_WEIGHTS, channel_hits
+from folioflow.sources.scratch import written
 
 PHASES = ["data_collection", "analysis", "manuscript_draft"]  # fixed values
 SURE = 0.7
@@ -61,6 +65,38 @@ def fingerprint(hits: DataFrame, salvage: DataFrame, few: int = FEW_PHRASES, mos
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
+def salvage(texts: DataFrame, idf: DataFrame, weights: dict[str, float] = CHANNEL_WEIGHTS, stop: list[str] = V.SALVAGE_STOP, least: float = V.SALVAGE_IDF, top: int = V.SALVAGE_TOP) -> DataFrame:
+    """(user, phrase, score, n_hits): leading tokens of a user's texts (user, channel, text) by weighted frequency times idf.
+
+    idf has token and idf; tokens that it lacks, or that are not rare enough, go. Ties go by token.
+    """
+    weight = F.coalesce(*[F.when(F.col("channel") == c, F.lit(w)) for c, w in weights.items()])
+    counted = texts.where(F.col("user").isNotNull()).select("user", "channel", F.explode(salvage_tokens("text", stop)).alias("token")).groupBy("user", "channel", "token").agg(F.count("*").alias("n"))
+    tf = counted.groupBy("user", "token").agg(F.sum(F.col("n") * weight).alias("tf")).where("tf IS NOT NULL")
+    worth = tf.join(idf.where(F.col("idf") >= least).select("token", "idf"), "token")
+    scored = worth.select("user", F.col("token").alias("phrase"), half_even(F.col("tf") * F.col("idf"), 3).alias("score"), half_even("tf").cast("long").alias("n_hits"))
+    w = Window.partitionBy("user").orderBy(F.desc("score"), "phrase")
+    return scored.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= top).drop("_rank")
+
+
+def text_fingerprint(texts: DataFrame, lexicon: DataFrame, phrase_idf: DataFrame, token_idf: DataFrame, few: int = FEW_PHRASES, most: int = MOST_PHRASES) -> DataFrame:
+    """(user, phrase, score, channels, n_hits, rank): the fingerprint of users' texts (user, channel, text).
+
+    First the lexicon pass, of which the best `most` phrases stay. Users with `few` of them or fewer get salvaged tokens
+    behind those, but for tokens that are among their phrases in any case of letters.
+    """
+    hits = channel_hits(texts, lexicon, phrase_idf)
+    w = Window.partitionBy("user").orderBy(F.desc("score"), "phrase")
+    kept = written(hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most), "lexicon-hits")
+    n = kept.groupBy("user").agg(F.count("*").alias("n"))
+    poor = texts.select("user").distinct().join(n, "user", "left").where(F.coalesce("n", F.lit(0)) <= few).select("user", F.coalesce("n", F.lit(0)).alias("n"))
+    more = salvage(texts.join(poor.select("user"), "user", "left_semi"), token_idf)
+    fresh = more.withColumn("_low", F.lower("phrase")).join(kept.select("user", F.lower("phrase").alias("_low")), ["user", "_low"], "left_anti").drop("_low")
+    placed = fresh.join(poor, "user").withColumn("rank", (F.col("n") + F.row_number().over(w)).cast("int"))
+    columns = ["user", "phrase", "score", "channels", "n_hits", "rank"]
+    return kept.select(*columns).unionByName(placed.withColumn("channels", F.array(F.lit(V.SALVAGE_CHANNEL))).select(*columns))
+
+
 def novel_terms(phrases: DataFrame, keywords: DataFrame, most: int = MOST_NOVEL) -> DataFrame:
     """(user, phrase, place): leading phrases of a fingerprint that the taxonomy does not have as keyword, whatever the case."""
     new = phrases.withColumn("_low", F.lower("phrase")).join(keywords.select(F.lower("keyword").alias("_low")).distinct(), "_low", "left_anti")

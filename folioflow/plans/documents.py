@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioflow.functions import fixed_values as V
 from folioflow.functions import text as X
+from folioflow.functions.rounding import half_even
 from folioflow.functions.scoring import bm25, combo_hits, dim_score, pref_codes
-from folioflow.operators import filters, lexical, resolve
+from folioflow.operators import filters, lexical, phrases, profiles, resolve
 from folioflow.plans.base import PAPERS, STOP, papers, table
 
 #: Small synthetic parameter tables from the vocabulary of the test data; real ones are passed in.
@@ -22,30 +24,76 @@ WANTED = ["thing", "onand", "ereth", "keit", "queio", "ciónes"]
 UNWANTED = ["idiot", "moron", "casino", "license", "token", "###", "!!"]
 
 
+def _token_idf(spark: SparkSession, d: str) -> DataFrame:
+    out = lexical.corpus_idf(table(spark, d, "documents"), X.corpus_tokens("text"))
+    return out.select("token", "df", half_even("idf", 3).alias("idf"))
+
+
 def corpus_idf(spark: SparkSession, d: str) -> DataFrame:
-    out = lexical.corpus_idf(table(spark, d, "documents"), X.keyword_tokens("text", []), 2)
-    return out.select("token", "df", F.round("idf", 6).alias("idf"))
+    return _token_idf(spark, d)
+
+
+SQL_R3 = "CAST(printf('%.3f', {x}) AS DOUBLE)"
+SQL_N = "n AS (SELECT count(*) AS n FROM documents WHERE trim(coalesce(text, '')) <> '')"
+SQL_IDF = f"""tokens AS (SELECT DISTINCT doc_id, unnest([t FOR t IN regexp_extract_all(lower(text), '{X.CORPUS_TOKEN}') IF length(t) >= 3 AND NOT regexp_matches(t, '^[0-9]+$')]) AS token FROM documents), {SQL_N},
+tidf AS (SELECT token, df, {SQL_R3.format(x="ln((n + 1) / (df + 1)) + 1")} AS idf FROM (SELECT token, count(*) AS df FROM tokens GROUP BY token), n)"""
+CORPUS_IDF = f"WITH {SQL_IDF} SELECT token, df, idf FROM tidf"
 
 
-CORPUS_IDF = """SELECT token, df, round(ln((n + 1) / (df + 1)) + 1, 6) AS idf FROM
-(SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS token FROM documents) GROUP BY token HAVING count(*) >= 2),
-(SELECT count(*) AS n FROM documents WHERE trim(coalesce(text, '')) <> '')"""
+def _item_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Whole benchmark items, and the sentences that they consist of."""
+    items = table(spark, d, "benchmark").where("trim(text) <> ''")
+    pieces = items.select(F.explode(F.split("text", r"\. ")).alias("phrase")).where("trim(phrase) <> ''")
+    return items.select(F.col("text").alias("phrase")).unionByName(pieces).distinct()
 
 
 def phrase_idf(spark: SparkSession, d: str) -> DataFrame:
-    phrases = table(spark, d, "benchmark").select(F.concat_ws(" ", F.slice(F.split("text", " "), 1, 2)).alias("phrase")).distinct()
-    return lexical.phrase_idf(table(spark, d, "documents"), phrases).select("phrase", "df", F.round("idf", 6).alias("idf"))
+    out = lexical.phrase_idf(table(spark, d, "documents"), _item_phrases(spark, d))
+    return out.select("phrase", "df", half_even("idf", 3).alias("idf"))
 
 
-PHRASE_IDF = """WITH p AS (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:2], ' ') AS phrase FROM benchmark),
+PHRASE_IDF = f"""WITH {SQL_N}, p AS (SELECT text AS phrase FROM benchmark WHERE trim(text) <> '' UNION SELECT phrase FROM (SELECT unnest(string_split(text, '. ')) AS phrase FROM benchmark) WHERE trim(phrase) <> ''),
 c AS (SELECT phrase, count(doc_id) AS df FROM p LEFT JOIN (SELECT doc_id, lower(text) AS low FROM documents) ON contains(low, lower(phrase)) GROUP BY phrase)
-SELECT phrase, df, round(ln((n + 1) / (df + 1)) + 1, 6) AS idf FROM c, (SELECT count(*) AS n FROM documents WHERE trim(coalesce(text, '')) <> '')"""
+SELECT phrase, df, {SQL_R3.format(x="ln((n + 1) / (df + 1)) + 1")} AS idf FROM c, n"""
+
+
+def _user_texts(spark: SparkSession, d: str, user: str) -> DataFrame:
+    """documents as project texts in three channels."""
+    channel = F.element_at(F.array(*map(F.lit, ["anchor", "paradigm", "context"])), (F.col("doc_id") % 3 + 1).cast("int"))
+    return table(spark, d, "documents").select(F.col(user).alias("user"), channel.alias("channel"), "text")
+
+
+def fingerprint_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprints of sources as users: whole benchmark items as lexicon, salvage where few of them stand in a user's texts."""
+    docs = table(spark, d, "documents")
+    lexicon = table(spark, d, "benchmark").where("trim(text) <> ''").select(F.col("text").alias("phrase")).distinct()
+    idf = lexical.phrase_idf(docs, lexicon).select("phrase", half_even("idf", 3).alias("idf"))
+    out = profiles.text_fingerprint(_user_texts(spark, d, "source"), lexicon, idf, _token_idf(spark, d))
+    return out.select("user", "phrase", "score", F.array_join("channels", ",").alias("channels"), "n_hits", "rank")
+
+
+SQL_TEXTS = """t AS (SELECT {user} AS "user", ['anchor', 'paradigm', 'context'][doc_id % 3 + 1] AS channel, lower(text) AS low FROM documents WHERE {user} IS NOT NULL),
+w AS (SELECT * FROM (VALUES ('anchor', 1.0), ('paradigm', 0.8), ('context', 0.4)) v(channel, w))"""
+SQL_SALVAGE = f"""words AS (SELECT "user", channel, unnest([x FOR x IN regexp_extract_all(low, '{X.SALVAGE_TOKEN}') IF length(x) >= 4 AND NOT regexp_matches(x, '^[0-9]+$') AND x NOT IN ({", ".join(f"'{x}'" for x in V.SALVAGE_STOP)})]) AS token FROM t),
+tf AS (SELECT "user", token, sum(n * w) AS tf FROM (SELECT "user", channel, token, CAST(count(*) AS DOUBLE) AS n FROM words GROUP BY ALL) JOIN w USING (channel) GROUP BY ALL),
+salvaged AS (SELECT "user", token AS phrase, {SQL_R3.format(x="tf * idf")} AS score, CAST(round_even(tf, 0) AS BIGINT) AS n_hits FROM tf JOIN tidf USING (token) WHERE idf >= 4.0
+  QUALIFY row_number() OVER (PARTITION BY "user" ORDER BY score DESC, phrase) <= 15)"""
+FINGERPRINT_TEXTS = f"""WITH {SQL_IDF}, {SQL_TEXTS.format(user="source")}, {SQL_SALVAGE},
+p AS (SELECT DISTINCT text AS phrase, lower(text) AS low FROM benchmark WHERE trim(text) <> ''),
+pidf AS (SELECT phrase, low, {SQL_R3.format(x="ln((n + 1) / (df + 1)) + 1")} AS idf FROM (SELECT phrase, p.low, count(d.low) AS df FROM p LEFT JOIN (SELECT lower(text) AS low FROM documents) d ON contains(d.low, p.low) GROUP BY ALL), n),
+h AS (SELECT "user", phrase, channel, idf, sum((length(t.low) - length(replace(t.low, p.low, ''))) // length(p.low)) AS k FROM t JOIN pidf p ON contains(t.low, p.low) GROUP BY ALL),
+hits AS (SELECT "user", phrase, {SQL_R3.format(x="sum(k * (w * idf))")} AS score, string_agg(channel, ',' ORDER BY channel) AS channels, CAST(sum(k) AS BIGINT) AS n_hits FROM h JOIN w USING (channel) GROUP BY ALL),
+kept AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY score DESC, phrase) AS r FROM hits QUALIFY r <= 50),
+few AS (SELECT u."user", count(k.phrase) AS n FROM (SELECT DISTINCT "user" FROM t) u LEFT JOIN kept k USING ("user") GROUP BY ALL HAVING count(k.phrase) <= 3)
+SELECT "user", phrase, score, channels, n_hits, CAST(r AS INTEGER) AS rank FROM kept
+UNION ALL SELECT s."user", phrase, score, '{V.SALVAGE_CHANNEL}', n_hits, CAST(n + row_number() OVER (PARTITION BY s."user" ORDER BY score DESC, phrase) AS INTEGER) FROM salvaged s JOIN few USING ("user")
+  WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k."user" = s."user" AND lower(k.phrase) = lower(s.phrase))"""
 
 
 def bm25_top(spark: SparkSession, d: str) -> DataFrame:
     """Twenty best documents for five fixed phrases: a top-k report."""
-    phrases = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(w).alias("score")) for p, w in (("idiot", 5.0), ("thing", 2.0), ("license", 4.0), ("keit", 1.5), ("the and", 3.0))])
-    s = table(spark, d, "documents").select("doc_id", F.round(bm25(F.lower("text"), phrases), 6).alias("score"))
+    weighted = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(w).alias("score")) for p, w in (("idiot", 5.0), ("thing", 2.0), ("license", 4.0), ("keit", 1.5), ("the and", 3.0))])
+    s = table(spark, d, "documents").select("doc_id", F.round(bm25(F.lower("text"), weighted), 6).alias("score"))
     return s.orderBy(F.desc("score"), "doc_id").limit(20)
 
 
@@ -60,16 +108,12 @@ def _by_lang(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tfidf_salvage(spark: SparkSession, d: str) -> DataFrame:
-    """Fifteen leading words of each language among the rarer ones."""
-    idf = lexical.corpus_idf(table(spark, d, "documents"), X.keyword_tokens("text", STOP), 2).where("idf >= 4.0")
-    tf = _by_lang(spark, d).groupBy("lang", "token").agg(F.count("*").alias("tf")).join(idf.select("token", "idf"), "token")
-    return lexical.top_terms(tf.select("lang", "token", F.round(F.col("tf") * F.col("idf"), 6).alias("score")), ["lang"], "score", "token", 15)
+    """Fifteen leading tokens of each language among the rarer ones."""
+    out = profiles.salvage(_user_texts(spark, d, "lang"), _token_idf(spark, d))
+    return out.select(F.col("user").alias("lang"), F.col("phrase").alias("token"), "score", "n_hits")
 
 
-TFIDF_SALVAGE = """WITH w AS (SELECT doc_id, lang, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]{4,}'), lambda t: t NOT IN ('that', 'with', 'this', 'from', 'have'))) AS token FROM documents),
-i AS (SELECT token, ln((n + 1) / (df + 1)) + 1 AS idf FROM (SELECT token, count(DISTINCT doc_id) AS df FROM w GROUP BY token HAVING count(DISTINCT doc_id) >= 2), (SELECT count(*) AS n FROM documents WHERE trim(coalesce(text, '')) <> '')),
-s AS (SELECT lang, token, round(count(*) * idf, 6) AS score FROM w JOIN i USING (token) WHERE idf >= 4.0 GROUP BY lang, token, idf)
-SELECT lang, token, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, token) AS r FROM s) WHERE r <= 15"""
+TFIDF_SALVAGE = f"""WITH {SQL_IDF}, {SQL_TEXTS.format(user="lang")}, {SQL_SALVAGE} SELECT "user" AS lang, phrase AS token, score, n_hits FROM salvaged"""
 
 
 def keyword_top25(spark: SparkSession, d: str) -> DataFrame:
@@ -85,9 +129,9 @@ SELECT lang, token, n, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() O
 def phrase_greedy(spark: SparkSession, d: str) -> DataFrame:
     """Longest-first phrase hits by language, with summed scores."""
     idf = {"the and": 2.0, "and": 1.0, "idiot": 5.0, "ing": 0.5, "thing": 2.5, "license": 4.0}
-    hits = table(spark, d, "documents").select("lang", "source", F.explode(X.phrase_hits(list(idf))("text")).alias("phrase"))
-    weight = F.create_map(*[F.lit(x) for kv in idf.items() for x in kv])
-    scored = hits.withColumn("score", weight[F.col("phrase")]).withColumnRenamed("source", "channel")
+    lexicon = spark.createDataFrame(list(idf.items()), "phrase string, idf double")
+    hits = phrases.phrase_spans(table(spark, d, "documents").select("lang", "source", "text"), lexicon)
+    scored = hits.join(F.broadcast(lexicon), "phrase").select("lang", F.col("source").alias("channel"), "phrase", F.col("idf").alias("score"))
     return lexical.merge_phrase_scores(scored, ["lang"]).select("lang", "phrase", F.round("score", 6).alias("score"), F.size("channels").alias("n_channels"), "n_hits")
 
 
@@ -119,6 +163,22 @@ def dim_tags(spark: SparkSession, d: str) -> DataFrame:
 DIM_TAGS = f"WITH {DIM_SQL} SELECT doc_id, dim, code, hits, round(strength, 6) AS strength, CAST(r AS INTEGER) AS rank FROM tags WHERE r <= 3"
 
 
+def tag_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items as codes, their sentences as terms: the first six that stand in a document are the evidence."""
+    pieces = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", r"\. ")).alias("place", "term"))
+    taxonomy = pieces.where("length(term) > 5 AND contains(trim(term), ' ')").select(F.concat(F.lit("b"), (F.col("item_id") % 5).cast("string")).alias("dim"), F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("code"), "term", "place")
+    tags = lexical.dim_tags(table(spark, d, "documents").select("doc_id", "text"), taxonomy, place="place")
+    return tags.select("doc_id", "dim", "code", "hits", half_even("strength", 3).alias("strength"), "rank", F.md5(F.array_join("evidence", "|")).alias("evidence"))
+
+
+TAG_EVIDENCE = f"""WITH p AS (SELECT item_id, unnest(string_split(text, '. ')) AS term, generate_subscripts(string_split(text, '. '), 1) AS place FROM benchmark),
+tax AS (SELECT 'b' || (item_id % 5) AS dim, 'i' || item_id AS code, term, place, count(*) OVER (PARTITION BY item_id) AS n FROM p WHERE length(term) > 5 AND contains(trim(term), ' ')),
+met AS (SELECT doc_id, dim, code, n, list(term ORDER BY place, term) AS terms FROM documents JOIN tax ON contains(lower(text), lower(term)) GROUP BY ALL),
+strong AS (SELECT *, least(1.0, len(terms) / sqrt(n)) AS s FROM met),
+top AS (SELECT *, row_number() OVER (PARTITION BY doc_id, dim ORDER BY s DESC, code) AS r FROM strong WHERE s >= 0.15)
+SELECT doc_id, dim, code, CAST(len(terms) AS INTEGER) AS hits, {SQL_R3.format(x="s")} AS strength, CAST(r AS INTEGER) AS rank, md5(array_to_string(terms[1:6], '|')) AS evidence FROM top WHERE r <= 3"""
+
+
 def bags(spark: SparkSession, d: str) -> DataFrame:
     by_dim = _tags(spark, d).groupBy("doc_id", "dim").agg(F.array_sort(F.collect_list("code")).alias("codes"))
     return by_dim.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "codes"))).alias("tags"))
@@ -330,7 +390,7 @@ def title_norm(spark: SparkSession, d: str) -> DataFrame:
 TITLE_NORM = f"WITH {PAPERS} SELECT doc_id, regexp_replace(strip_accents(lower(title)), '[^a-z0-9]', '', 'g') AS key FROM papers"
 
 QUERIES = {f.__name__: f for f in (
-    corpus_idf, phrase_idf, bm25_top, tfidf_salvage, keyword_top25, phrase_greedy, dim_tags, taxonomy_priors, scope_match, filter_verdict, oos_classify, abstract_gate, merge_exact,
+    corpus_idf, phrase_idf, fingerprint_texts, bm25_top, tfidf_salvage, keyword_top25, phrase_greedy, dim_tags, tag_evidence, taxonomy_priors, scope_match, filter_verdict, oos_classify, abstract_gate, merge_exact,
     title_collapse, doi_root_collapse, fuzzy_within_year, fuzzy_preprint, alias_closure, candidate_round_robin, inverted_index_roundtrip, xml_strip, html_main, doi_normalize, title_norm,
 )} | {"dim_score": dim_score_query, "combo_hits": combo_query}
 QUERIES["inverted_index_whole"] = inverted_index_roundtrip  # its name while the round trip was cut to twenty words

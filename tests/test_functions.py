@@ -107,10 +107,6 @@ def test_ratios(spark):
         assert math.isclose(r[1], difflib.SequenceMatcher(None, a, b).ratio())
 
 
-def test_phrase_hits_claim_spans(spark):
-    assert one(spark, X.phrase_hits(["memory", "working memory", "working"])("x"), x="Working memory and memory") == ["working memory", "memory"]
-
-
 def test_string_leaves(spark):
     assert one(spark, X.string_leaves("x"), x='{"a": ["p", {"b": "q"}], "c": {"d": {"e": {"f": {"g": "deep"}}}}}') == ["p", "q"]
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import unicodedata
 from html.parser import HTMLParser
 
@@ -274,29 +273,6 @@ def titles_equal(a, b, least: float = 0.9) -> Column:
     return F.when((a == b) & (a != ""), True).otherwise(matching_blocks_ratio(a, b) >= least)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def string_leaves(docs: pd.Series) -> pd.Series:
-    """Strings in a JSON value, objects to a depth of four; lists don't stop the walk."""
-
-    def walk(x, depth):
-        if isinstance(x, str):
-            yield x
-        elif isinstance(x, dict) and depth > 0:
-            for v in x.values():
-                yield from walk(v, depth - 1)
-        elif isinstance(x, list):
-            for v in x:
-                yield from walk(v, depth)
-
-    def one(s):
-        try:
-            return list(walk(json.loads(s), 4)) if s else []
-        except ValueError:
-            return []
-
-    return docs.map(one)
-
-
 def month(x) -> Column:
     """Year and month of a date text."""
     return F.substring(_c(x), 1, 7)

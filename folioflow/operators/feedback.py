@@ -39,6 +39,43 @@ def drift(answers: DataFrame, by: str, stale: DataFrame | None = None) -> DataFr
     return out.withColumn("flags", F.array_compact(F.array(*flags))).drop("stale")
 
 
+#: What rates are made of.
+COUNTS = ["n", "saved", "rejected", "read"]
+
+
+def choice_counts() -> list[Column]:
+    """Aggregates over rows with a choice."""
+    of = lambda c: F.count_if(F.col("choice") == c)
+    return [F.count("*").alias("n"), of("save_later").alias("saved"), of("not_relevant").alias("rejected"), of("already_read").alias("read")]
+
+
+def rates(df: DataFrame) -> DataFrame:
+    """df, which has the COUNTS, with precision, read_rate and flags; few answers give no flag."""
+    out = df.withColumn("precision", F.try_divide("saved", F.col("saved") + F.col("rejected"))).withColumn("read_rate", F.try_divide("read", "n"))
+    enough = F.col("n") >= V.DRIFT_LEAST
+    flags = [F.when(enough & (F.col("precision") < V.DRIFT_PRECISION), "low_precision"), F.when(enough & (F.col("read_rate") > V.DRIFT_READ_RATE), "high_read_rate")]
+    return out.withColumn("flags", F.array_compact(F.array(*flags)))
+
+
+def rolling_rates(answers: DataFrame, days: int = V.LOOKBACK_DAYS) -> DataFrame:
+    """(user, day, COUNTS, precision, read_rate, flags) for each day on which a user answered: over the `days` days that end with it.
+
+    answers: user, ts, choice. A user's answers are counted by day before the shuffle, so the frame, a range of days,
+    goes over one row a day however many answers a user has. Answers without a time are left out; a null user is a user.
+    """
+    daily = answers.where("ts IS NOT NULL").groupBy("user", F.to_date("ts").alias("day")).agg(*choice_counts())
+    w = Window.partitionBy("user").orderBy(F.unix_date("day")).rangeBetween(1 - days, 0)
+    return rates(daily.select("user", "day", *[F.sum(c).over(w).alias(c) for c in COUNTS]))
+
+
+def lookback(answers: DataFrame, now: Column, days: int = V.LOOKBACK_DAYS) -> DataFrame:
+    """(user, n_all, COUNTS, precision, read_rate, flags): all answers of a user, and those of the `days` days before `now`; one pass."""
+    recent = (F.col("ts") >= now - F.make_dt_interval(F.lit(days))) & (F.col("ts") < now)
+    marked = answers.withColumn("choice", F.when(recent, F.coalesce("choice", F.lit(""))))
+    counted = marked.groupBy("user").agg(F.count("*").alias("n_all"), F.count("choice").alias("n"), *choice_counts()[1:])
+    return rates(counted)
+
+
 def breakdown(answers: DataFrame, by: str, dims: list[str]) -> DataFrame:
     """Counts of answers by choice and by each dimension and choice, in one pass: (by, dim, value, choice, n)."""
     each = F.array(F.struct(F.lit("all").alias("dim"), F.lit("all").alias("value")), *[F.struct(F.lit(d).alias("dim"), F.coalesce(F.col(d), F.lit("unknown")).alias("value")) for d in dims])

@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.functions import fixed_values as V
 from folioflow.functions.dates import cycle_id, cycle_start
+from folioflow.operators import feedback
 
 REMIND, GIVE_UP, DECIDE = timedelta(hours=24), timedelta(hours=24), timedelta(hours=12)
 TERMINAL = ("decided", "passed", "timeout", "no_rec")
@@ -140,7 +142,13 @@ def reviews_stream(answers: DataFrame, every: int = 10) -> DataFrame:
     return answers.groupBy("user").applyInPandasWithState(run, "user long, n_answers long, saved int, rejected int", "n long, recent string", "append", GroupStateTimeout.NoTimeout)
 
 
-def rolling_rates(answers: DataFrame, days: int = 30) -> DataFrame:
-    """Counts of answers over sliding windows of 30 days, one a day."""
-    w = F.window("ts", f"{days} days", "1 day")
-    return answers.withWatermark("ts", "1 day").groupBy(w, "user").agg(F.count("*").alias("n"), F.count_if(F.col("choice") == "save_later").alias("saved"))
+def rolling_rates(answers: DataFrame, days: int = V.LOOKBACK_DAYS, late: str = "1 day") -> DataFrame:
+    """(day, user, n, saved, rejected, read) of the `days` days that end with `day`, once the watermark has passed it.
+
+    Answers (user, ts, choice) are counted by day first and the days' counts by sliding windows, so an answer is copied into
+    no more than one state row, and a user's windows are made from days. Answers that come up to `late` late count.
+    """
+    daily = answers.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "user").agg(*feedback.choice_counts())
+    sliding = F.window(F.window_time("w"), f"{days} days", "1 day").alias("rolling")
+    out = daily.groupBy(sliding, "user").agg(*[F.sum(c).alias(c) for c in feedback.COUNTS])
+    return out.select(F.to_date(F.col("rolling.end") - F.expr("INTERVAL 1 DAY")).alias("day"), "user", *feedback.COUNTS)

@@ -107,10 +107,6 @@ def test_ratios(spark):
         assert math.isclose(r[1], difflib.SequenceMatcher(None, a, b).ratio())
 
 
-def test_string_leaves(spark):
-    assert one(spark, X.string_leaves("x"), x='{"a": ["p", {"b": "q"}], "c": {"d": {"e": {"f": {"g": "deep"}}}}}') == ["p", "q"]
-
-
 def test_html_main(spark):
     html = "<html><body><nav>menu</nav><article>Main <b>text</b><script>x()</script></article>foot</body></html>"
     assert one(spark, X.html_main("x"), x=html) == "Main text"

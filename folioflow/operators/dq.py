@@ -44,12 +44,3 @@ def readiness(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
         one = df.agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows")).withColumn("ready", F.col("n_rows") > 0)
         out = one if out is None else out.unionByName(one)
     return out
-
-
-def read_only(statement: str) -> bool:
-    """Whether a statement is a single query. Everything the library runs is; this is for SQL handed in."""
-    import re
-
-    bare = re.sub(r"--[^\n]*|/\*.*?\*/", " ", statement, flags=re.S)
-    bare = re.sub(r"'(?:[^']|'')*'", "''", bare).strip().rstrip(";").strip()
-    return ";" not in bare and re.match(r"(?i)(select|with|explain|describe|show)\b", bare) is not None and not re.search(r"(?i)\b(insert|update|delete|truncate|drop|alter|merge|copy|create)\b", bare)

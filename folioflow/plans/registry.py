@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folioflow.plans import documents, ledger, people, queues, values
+from folioflow.plans import documents, incremental, ledger, people, queues, values
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (queues, documents, ledger, people, values):
+for module in (queues, documents, ledger, people, values, incremental):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)

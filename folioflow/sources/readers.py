@@ -51,13 +51,6 @@ def read_pdf_dir(spark: SparkSession, path: str) -> DataFrame:
     return named.where(~F.col("name").startswith(".")).select("path", "name", "content")
 
 
-def pdf_probe(files: DataFrame) -> DataFrame:
-    """(path, page_count): page objects counted in the bytes; null where none are visible, never an error."""
-    text = F.decode("content", "ISO-8859-1")
-    pages = F.regexp_count(text, F.lit(r"/Type\s*/Page[^s]"))
-    return files.select("path", F.when(pages > 0, pages).alias("page_count"))
-
-
 def read_terms(spark: SparkSession, path: str) -> list[str]:
     """Term list of a lexicon file: blank lines and comments go, lower case, longest first. A bounded parameter table."""
     lines = spark.read.text(path).select(F.lower(F.trim("value")).alias("t")).where((F.col("t") != "") & ~F.col("t").startswith("#")).distinct()
@@ -76,9 +69,9 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 
 def sql(spark: SparkSession, query: str, **args) -> DataFrame:
     """A parameterised query; values are bound, never spliced."""
-    from folioflow.operators.dq import read_only
+    from folioflow.operators.guard import read_only
 
-    if not read_only(query):
+    if not read_only(spark, query):
         raise ValueError("only single queries are allowed")
     return spark.sql(query, args=args)
 
@@ -132,3 +125,15 @@ def choose_author(found: DataFrame, hint: Column) -> DataFrame:
     words = F.filter(F.split(F.lower(hint), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 4)
     score = F.size(F.filter(words, lambda w: F.lower(F.coalesce(F.col("affiliation"), F.lit(""))).contains(w)))
     return found.groupBy("name").agg(F.max_by("author_id", F.struct(score, "works_count", "author_id")).alias("author_id"))
+
+
+def full_text(df: DataFrame, least: int = 1500) -> DataFrame:
+    """df (xml, pdf as bytes, html; each may be null) with mode and text: the first of the three whose text is longer than `least`, else unavailable."""
+    from folioflow.functions.text import html_main, xml_text
+    from folioflow.sources.pdf import pdf_text
+
+    forms = [("xml", xml_text("xml")), ("pdf", pdf_text("pdf")), ("html", F.regexp_replace(html_main("html"), r"\s+", " "))]
+    texts = df.withColumns({f"_{m}": t for m, t in forms})
+    fit = [F.when(F.length(f"_{m}") > least, F.struct(F.lit(m).alias("mode"), F.col(f"_{m}").alias("text"))) for m, _ in forms]
+    none = F.struct(F.lit("unavailable").alias("mode"), F.lit(None).cast("string").alias("text"))
+    return texts.withColumn("_r", F.coalesce(*fit, none)).select(*df.columns, "_r.mode", "_r.text")

@@ -98,6 +98,7 @@ def test_tags_equal_plain_version(spark, block):
     taxonomy += [("m", "G", f"term number {i}") for i in range(9)]
     pieces = ["EEG", "eeg", "brain", "wave", "rat", "strategy", "Memory", "한국어", "c+", "c+d", "LONGACRONYM", "longacronym", "rat_", *[f"term number {i}" for i in range(9)]]
     texts = ["".join(w + rnd.choice([" ", "", "-", "_", ". "]) for w in rnd.choices(pieces, k=rnd.randint(0, 14))) for _ in range(150)]
+    texts += ["가EEG나", "éEEG EEGé", "EEG²", "(EEG)"]
     df = spark.createDataFrame([*enumerate(texts), (None, "EEG"), (999, None)], "doc_id int, text string")
     tax = spark.createDataFrame([(*x, i) for i, x in enumerate(taxonomy)] + [("m", "G", " ", 99)], "dim string, code string, term string, place int")
     got = {}

@@ -12,28 +12,35 @@ n - q + 1 - qk of its runs of q words, all within k places of one diagonal, and
 windows on such diagonals are embedded. This loses no match. A text with fewer words than the item is one
 window, filled up with PAD, so what stands before or after it in a batch makes no difference.
 
-The benchmark is the query set: blocks of BLOCK_ITEMS items go to all workers, however many there are.
+The benchmark is the query set: blocks of bounded size go to all workers, however many there are, each block one
+pass over the texts.
 
 Defined results: words are runs of letters and digits, A-Z lower-cased; items and texts without words,
-also null ones, match nothing; repeated rows are each reported; the limit is EDITS of the item's words,
-rounded down, so items under five words must stand verbatim.
+also null ones, match nothing; repeated rows are each reported, and so are null ids, of rows and of items; the limit
+is EDITS of the item's words, rounded down, so items under five words must stand verbatim. An empty benchmark
+matches nothing, an empty table has an empty result. leaks() reads only the columns it is told; clean() keeps all
+columns, of any name, and all rows of an empty benchmark.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from folioflow.llm.common import small_batches, table
 from folioflow.llm.wordhash import mix, runs, words_of
 
 EDITS = 0.2
 REPEATS, SAMPLED = 16, 2
-BLOCK_ITEMS = 20_000
+#: Items of a block at most, and characters of all its items at most unless one alone has more.
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16 << 20
 PAD = np.uint64(0x1234567890ABCDEF)
 NO_WORD = np.ones(256, dtype=bool)
 NO_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -89,7 +96,14 @@ def walks(values: np.ndarray, start: np.ndarray, n: np.ndarray, end: np.ndarray,
     return out.reshape(repeats, windows)
 
 
-def make_items(rows: list[tuple[int, str | None]], seed: int = 11) -> Items | None:
+def _objects(values: list) -> np.ndarray:
+    """Values of any type, lists too, one a place."""
+    out = np.empty(len(values), dtype=object)
+    out[:] = values
+    return out
+
+
+def make_items(rows: list[tuple], seed: int = 11) -> Items | None:
     w = words_of([(t or "").encode("utf-8", "surrogatepass") for _, t in rows], fold=True, breaks=NO_WORD)
     n_all = np.diff(w.first)
     some = [i for i in range(len(rows)) if n_all[i]]
@@ -113,7 +127,7 @@ def make_items(rows: list[tuple[int, str | None]], seed: int = 11) -> Items | No
     flat, begin = np.concatenate(words), np.concatenate([[0], np.cumsum(n)])[:-1]
     codes = walks(flat, begin, n, begin + n, plans).ravel()
     order = np.argsort(codes, kind="stable")
-    return Items(np.array([rows[i][0] for i in some], dtype=object), words, grams, codes[order], np.tile(np.arange(len(words)), REPEATS)[order], plans)
+    return Items(_objects([rows[i][0] for i in some]), words, grams, codes[order], np.tile(np.arange(len(words)), REPEATS)[order], plans)
 
 
 def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -201,15 +215,29 @@ def matches(items: Items, texts: list[str | None]) -> list[tuple[int, int, int,
     return [(d, i, *v) for (d, i), v in sorted(best.items())]
 
 
+def _blocks(benchmark: DataFrame, key: Column, text: str) -> Iterator[Items | None]:
+    """The query set in blocks of bounded size; the driver lists one block at a time. None where a block has no words."""
+    rows: list[tuple] = []
+    size = 0
+    for r in benchmark.select(key.alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).toLocalIterator():
+        if rows and (len(rows) >= BLOCK_ITEMS or size + len(r["text"]) > BLOCK_CHARS):
+            yield make_items(rows)
+            rows, size = [], 0
+        rows.append((r["id"], r["text"]))
+        size += len(r["text"])
+    yield make_items(rows)
+
+
 def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, item_id, edits, first_word, end_word): one row for each text that holds a benchmark item."""
+    """(key, item_id, edits, first_word, end_word): one row for each text that holds a benchmark item. Keys and item ids may be of any type."""
     spark = df.sparkSession
     small_batches(spark, 1000)
-    items = [(r[0], r[1]) for r in benchmark.select(item_key, item_text).where(F.col(item_text).isNotNull()).toLocalIterator()]
+    kind = benchmark.schema[item_key].dataType
+    id_type = to_arrow_type(kind)
     out = None
-    schema = f"key {df.schema[key].dataType.simpleString()}, item_id {benchmark.schema[item_key].dataType.simpleString()}, edits int, first_word int, end_word int"
-    for i in range(0, max(1, len(items)), BLOCK_ITEMS):
-        held = spark.sparkContext.broadcast(make_items(items[i : i + BLOCK_ITEMS]))
+    schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("item_id", kind), *[T.StructField(c, T.IntegerType()) for c in ("edits", "first_word", "end_word")]])
+    for items in _blocks(benchmark, F.col(item_key), item_text):
+        held = spark.sparkContext.broadcast(items)
 
         def run(batches, held=held):
             for batch in batches:
@@ -217,25 +245,26 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
                 at = pa.array([f[0] for f in found], type=pa.int64())
                 ids = [held.value.ids[f[1]] for f in found]
                 rest = [pa.array([f[k] for f in found], type=pa.int32()) for k in (2, 3, 4)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(ids, type=pa.int64()), *rest], names=["key", "item_id", "edits", "first_word", "end_word"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(ids, type=id_type), *rest], names=["key", "item_id", "edits", "first_word", "end_word"])
 
         block = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
         out = block if out is None else out.unionByName(block)
     return out.withColumnRenamed("key", key)
 
 
-def clean(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
     """The rows of df whose text holds no benchmark item; one pass in place, no shuffle for one block of items."""
     spark = df.sparkSession
     small_batches(spark, 1000)
-    items = [(r[0], r[1]) for r in benchmark.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator()]
     place = df.columns.index(text)
-    for i in range(0, len(items), BLOCK_ITEMS):
-        held = spark.sparkContext.broadcast(make_items(items[i : i + BLOCK_ITEMS]))
+    for items in _blocks(benchmark, F.lit(None), item_text):
+        if items is None:
+            continue
+        held = spark.sparkContext.broadcast(items)
 
         def run(batches, held=held):
             for batch in batches:
-                bad = {f[0] for f in matches(held.value, batch.column(place).to_pylist())} if held.value is not None else set()
+                bad = {f[0] for f in matches(held.value, batch.column(place).to_pylist())}
                 yield batch.filter(pa.array([k not in bad for k in range(batch.num_rows)], type=pa.bool_()))
 
         df = df.mapInArrow(run, df.schema)

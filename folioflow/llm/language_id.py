@@ -12,16 +12,21 @@ Parsing is vectorised: texts are cut into blocks, the blocks of a batch advance
 step, and the phrases of the blocks add up. Cutting adds at most one phrase a block, to every language
 alike; no part of a text is left out.
 
+Languages come in blocks of LANGUAGES, in their order: with more of them, the texts are parsed against one block
+after the other, and the two lowest counts are carried on in a written table. A language's count doesn't depend on
+the others, so the results are those of one block of all.
+
 Defined results: null texts and texts without a letter get "und" and score 0; equal texts get equal
-results; ties go to the language that sorts first; without any labelled row everything is "und"; labelled
-rows of more than MAX_LANGUAGES languages are refused; an empty table has an empty result; columns of the
-input stay, but those that have the names of the two results are replaced (pass other names for these).
+results; ties go to the language that sorts first; without any labelled row everything is "und"; an empty table
+has an empty result; columns of the input stay, but those that have the names of the two results are replaced
+(pass other names for these).
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.common import held_out, small_batches, table
+from folioflow.llm.common import free_name, held_out, small_batches, table, written
 
 #: The sample: characters for each language, in whole rows, of at most so many labelled rows of at most so many characters.
 SAMPLE_CHARS, SAMPLE_ROWS, ROW_CHARS = 24_000, 200, 1_200
@@ -37,8 +42,8 @@ SAMPLE_CHARS, SAMPLE_ROWS, ROW_CHARS = 24_000, 200, 1_200
 SHORT = 60
 #: Rows of a language that are ranked, as many times SAMPLE_ROWS, however many there are.
 RANKED = 20
-#: With a sample each, what goes to every task stays under 300 MB.
-MAX_LANGUAGES = 256
+#: Languages of a block: with a sample each, what goes to every task stays under 300 MB.
+LANGUAGES = 256
 #: Bound of the dense part of the transition table, and most symbols that have a column.
 TABLE_BYTES, ALPHABET = 1 << 27, 64
 BLOCK = 1024
@@ -56,6 +61,7 @@ class Languages:
     width: int  # symbols in all
     rare: np.ndarray  # sorted state * width + symbol of the transitions by symbols from `columns` on
     rare_to: np.ndarray  # and the states they lead to
+    more: Callable[[], Languages | None] | None = None  # learns the next block of languages
 
     def move(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """(languages x places) next states, or -1; symbol has one entry a place."""
@@ -112,15 +118,20 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
     return dense(automaton_moves(symbols), width)
 
 
-def sample(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id") -> dict[str, str]:
-    """lang -> joined whole rows, SAMPLE_CHARS characters at most: a hash of `order` spreads them over the table.
+def sample(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", after: str | None = None) -> tuple[dict[str, str], str | None]:
+    """(lang -> joined whole rows, SAMPLE_CHARS characters at most; the last language of the block if there are more): a hash of `order` spreads the rows over the table.
 
-    Counting the rows of each language first leaves about RANKED * SAMPLE_ROWS of them to be ranked.
+    The block begins with the first language behind `after`. Counting the rows of each language first leaves about
+    RANKED * SAMPLE_ROWS of them to be ranked.
     """
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(order), F.col(text)).alias("h"), F.col(text).alias("t")).where("lang IS NOT NULL AND t IS NOT NULL")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"labelled rows have more than {MAX_LANGUAGES} languages")
+    if after is not None:
+        rows = rows.where(F.col("lang") > after)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(LANGUAGES + 1).collect()
+    last = None
+    if len(counts) > LANGUAGES:
+        counts, last = counts[:LANGUAGES], counts[LANGUAGES - 1]["lang"]
+        rows = rows.where(F.col("lang") <= last)
     share = {r["lang"]: min(1.0, RANKED * SAMPLE_ROWS / r["n"]) for r in counts}
     fewer = {k: v for k, v in share.items() if v < 1}
     if fewer:
@@ -137,14 +148,15 @@ def sample(labelled: DataFrame, text: str = "text", lang: str = "lang", order: s
     for r in got:
         if len(out.get(r["lang"], "")) + len(r["t"]) <= SAMPLE_CHARS:
             out[r["lang"]] = (out.get(r["lang"], "") + " " + r["t"]).lstrip()
-    return out
+    return out, last
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id") -> Languages | None:
-    """Learns from a bounded sample of the rows with a language; None without any."""
-    texts = sample(labelled, text, lang, order)
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", after: str | None = None) -> Languages | None:
+    """Learns the first block of languages (behind `after`) from a bounded sample of the rows with a language; None without any."""
+    texts, last = sample(labelled, text, lang, order, after)
+    more = None if last is None else lambda: fit(labelled, text, lang, order, last)
     if not texts:
-        return None
+        return more() if more else None
     names = sorted(texts)
     letters = Counter(c for t in texts.values() for c in t if c.isalpha())
     symbol_of = np.array([UNSEEN if chr(k).isalpha() else OTHER for k in range(0x110000)], dtype=np.int32)
@@ -164,7 +176,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str
         moves += [{c: t + base for c, t in m.items()} for m in automaton_moves(sym.tolist())]
     columns = max(UNSEEN + 1, min(ALPHABET, TABLE_BYTES // (4 * len(moves))))
     rare = np.array(sorted((s * width + c, t) for s, m in enumerate(moves) for c, t in m.items() if c >= columns), dtype=np.int64).reshape(-1, 2)
-    return Languages(names, symbol_of, columns, dense(moves, columns).ravel(), np.array(root, dtype=np.int32), width, rare[:, 0].copy(), rare[:, 1].astype(np.int32))
+    return Languages(names, symbol_of, columns, dense(moves, columns).ravel(), np.array(root, dtype=np.int32), width, rare[:, 0].copy(), rare[:, 1].astype(np.int32), more)
 
 
 def phrases(model: Languages, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -201,31 +213,56 @@ def phrases(model: Languages, texts: list[str]) -> tuple[np.ndarray, np.ndarray]
     return total, size
 
 
-def identify(df: DataFrame, model: Languages | None, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """df with the language (pred) and one minus the winner's phrases over the runner-up's (score)."""
+#: More phrases than any text has: no language.
+NONE = 1 << 62
+
+
+def _parsed(df: DataFrame, model: Languages | None, text: str, names: list[str]) -> DataFrame:
+    """df with names: language, score, least and second least number of phrases; where df has them, of an earlier block, the block's own are merged in."""
     spark = df.sparkSession
-    small_batches(spark)
-    held = spark.sparkContext.broadcast(model)
-    keep = [c for c in df.columns if c.lower() not in (pred.lower(), score.lower())]
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
-    place = keep.index(text)
+    held = spark.sparkContext.broadcast(replace(model, more=None) if model else None)
+    keep = [c for c in df.columns if c not in names]
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(c, t) for c, t in zip(names, (T.StringType(), T.DoubleType(), T.LongType(), T.LongType()), strict=True)])
+    place, carried = keep.index(text), len(keep) < len(df.columns)
 
     def run(batches):
         m = held.value
         for batch in batches:
             texts = [t or "" for t in batch.column(place).to_pylist()]
-            lettered = [any(map(str.isalpha, t)) for t in texts]
-            names, scores = ["und"] * len(texts), np.zeros(len(texts))
+            lettered = np.array([any(map(str.isalpha, t)) for t in texts], dtype=bool)
+            found, least, second = ["und"] * len(texts), np.full(len(texts), NONE), np.full(len(texts), NONE)
+            if carried:
+                found, least, second = batch.column(len(keep)).to_pylist(), *(np.array(batch.column(len(keep) + k), dtype=np.int64) for k in (2, 3))
+            size = np.zeros(len(texts), dtype=np.int64)
             if m is not None and texts:
                 total, size = phrases(m, texts)
                 best = total.argmin(axis=1)
-                two = np.sort(total, axis=1)
-                lead = 1 - two[:, 0] / np.maximum(two[:, min(1, two.shape[1] - 1)], 1) if two.shape[1] > 1 else np.ones(len(texts))
-                names = [m.names[b] if x else "und" for b, x in zip(best.tolist(), lettered, strict=True)]
-                scores = np.where(lettered, np.where(size > 0, lead, 0.0), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, type=pa.string()), pa.array(scores, type=pa.float64())], names=[*keep, pred, score])
+                two = np.sort(np.concatenate([total, np.full((len(texts), 1), NONE)], axis=1), axis=1)[:, :2]
+                better = two[:, 0] < least
+                found = [m.names[b] if x and y else f for b, x, y, f in zip(best.tolist(), better.tolist(), lettered.tolist(), found, strict=True)]
+                second = np.where(better, np.minimum(least, two[:, 1]), np.minimum(second, two[:, 0]))
+                least = np.minimum(least, two[:, 0])
+            lead = np.where(second == NONE, 1.0, 1 - least / np.maximum(second, 1))
+            score = np.where(lettered & (size > 0), lead, 0.0)
+            made = [pa.array(found, type=pa.string()), pa.array(score, type=pa.float64()), pa.array(least), pa.array(second)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=schema.names)
 
-    return df.select(*keep).mapInArrow(run, schema)
+    return df.select(*keep, *(names if carried else [])).mapInArrow(run, schema)
+
+
+def identify(df: DataFrame, model: Languages | None, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """df with the language (pred) and one minus the winner's phrases over the runner-up's (score)."""
+    small_batches(df.sparkSession)
+    keep = [c for c in df.columns if c.lower() not in (pred.lower(), score.lower())]
+    names = [pred, score, free_name(df, "_least"), free_name(df, "_second")]
+    out = _parsed(df.select(*keep), model, text, names)
+    done: tuple[DataFrame, ...] = ()
+    while model is not None and model.more is not None:
+        model = model.more()
+        if model is not None:
+            cut = written(out, "languages", done)
+            out, done = _parsed(cut, model, text, names), (cut,)
+    return out.select(*keep, pred, score)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

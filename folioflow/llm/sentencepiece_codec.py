@@ -10,7 +10,8 @@ Merging several occurrences at once equals one merge at a time as long as no mer
 ranks as high; the occurrences behind such a merge wait for the next round.
 
 Defined results: a null text is encoded as the empty text, which has no ids; the ids of a null or empty
-list decode to the empty text; every other column, also one named like a result, is left alone.
+list decode to the empty text; repeated rows have equal results; an empty table has an empty result; all columns of the
+input stay as they are, and results that would have the name of one, in any case, get underscores behind theirs.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.common import small_batches
+from folioflow.llm.common import free_name, small_batches
 
 MARK = "▁"
 NONE = np.int64(1 << 40)
@@ -289,52 +290,60 @@ _CODECS: dict[int, Codec] = {}
 
 
 def _codec(held) -> Codec:
-    """One codec for each worker and model."""
+    """The codec of a model; a worker that is used again keeps only the last one, with its word cache."""
     if held.value is None:
         raise ValueError("the model was not sent")
-    return _CODECS.setdefault(id(held.value), Codec(held.value))
+    if id(held.value) not in _CODECS:
+        _CODECS.clear()
+        _CODECS[id(held.value)] = Codec(held.value)
+    return _CODECS[id(held.value)]
+
+
+def result_names(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> tuple[str, str]:
+    """The names that encode_decode() gives its results: those asked for, with underscores behind them where df has such a column in any case."""
+    return free_name(df, ids), free_name(df, decoded)
 
 
 def encode_decode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """df with the ids of each whole text and with the text that these ids decode to.
+    """df with the ids of each whole text and with the text that these ids decode to, under result_names(df, ids, decoded).
 
     Arrow batches go through Python once and in place: no shuffle, no state beyond a bounded word cache.
     """
     spark = df.sparkSession
     small_batches(spark)
     held = spark.sparkContext.broadcast(load_model(model_path))
-    keep = [c for c in df.columns if c not in (ids, decoded)]
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
+    ids, decoded = result_names(df, ids, decoded)
+    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
+    place = df.columns.index(text)
 
     def run(batches):
         codec = _codec(held)
         for batch in batches:
-            flat, ends = codec.encode(batch.column(batch.schema.get_field_index(text)).to_pylist())
+            flat, ends = codec.encode(batch.column(place).to_pylist())
             back = codec.decode(flat, ends)
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, type=pa.int32()))
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(back, type=pa.binary()).cast(pa.string())], names=[*keep, ids, decoded])
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(back, type=pa.binary()).cast(pa.string())], names=schema.names)
 
-    return df.select(*keep).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """df with the text of each list of ids."""
+    """df with the text of each list of ids, under a name that is free."""
     spark = df.sparkSession
     small_batches(spark)
     held = spark.sparkContext.broadcast(load_model(model_path))
-    keep = [c for c in df.columns if c != decoded]
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(decoded, T.StringType())])
+    schema = T.StructType([*df.schema.fields, T.StructField(free_name(df, decoded), T.StringType())])
+    place = df.columns.index(ids)
 
     def run(batches):
         codec = _codec(held)
         for batch in batches:
-            lists = [x or [] for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
+            lists = [x or [] for x in batch.column(place).to_pylist()]
             flat = np.array([i for x in lists for i in x], dtype=np.int32)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codec.decode(flat, ends), type=pa.binary()).cast(pa.string())], names=[*keep, decoded])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codec.decode(flat, ends), type=pa.binary()).cast(pa.string())], names=schema.names)
 
-    return df.select(*keep).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def digests(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -4,15 +4,17 @@ import gzip
 import io
 import random
 import struct
+import time
 import zipfile
 import zlib
+from decimal import Decimal
 
 import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from folioflow.llm import decontaminate, language_id, media, sentencepiece_codec, sharding, toxicity
+from folioflow.llm import decontaminate, language_id, media, sentencepiece_codec, sharding, toxicity, wordhash
 from folioflow.llm.common import table
 
 SF = "/root/testdata/sf0.01"
@@ -60,7 +62,24 @@ def test_codec_equals_library(spark):
     assert len(got) == len(rows)
     for r in got:
         ids = sp.encode(r.text or "")
-        assert r.ids == ids and r.decoded == sp.decode(ids)
+        assert r.ids == "x" and r.ids_ == ids and r.decoded == sp.decode(ids)
+
+
+def test_codec_leaves_columns_alone(spark):
+    df = spark.createDataFrame([("a text", "kept", 7)], "text string, Decoded string, IDS int")
+    out = sentencepiece_codec.encode_decode(df, MODEL)
+    assert out.columns == ["text", "Decoded", "IDS", "ids_", "decoded_"] == [*df.columns, *sentencepiece_codec.result_names(df)]
+    assert out.first()[1:3] == ("kept", 7) and out.first()[4] == "a text"
+    assert sentencepiece_codec.decode(out, MODEL, "ids_", "decoded").first()["decoded__"] == "a text"
+
+
+def test_worker_keeps_one_codec(monkeypatch):
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(sentencepiece_codec, "_CODECS", {})
+    a, b = (SimpleNamespace(value=sentencepiece_codec.load_model(MODEL)) for _ in range(2))
+    first = sentencepiece_codec._codec(a)
+    assert sentencepiece_codec._codec(a) is first and sentencepiece_codec._codec(b) is not first and len(sentencepiece_codec._CODECS) == 1
 
 
 def test_decode_any_ids(spark):
@@ -156,9 +175,21 @@ def test_languages_of_many_letters(spark, monkeypatch):
         total, size = language_id.phrases(model, texts_[n])
         assert (size == [len(t) for t in texts_[n]]).all() and (np.delete(total, k, axis=1) > 2 * total[:, [k]]).all()
     assert language_id.phrases(model, ["\u0e01\u0e02 \U00030000"])[1].tolist() == [4]  # letters of no sample count
-    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 5)
-    with pytest.raises(ValueError):
-        language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
+@pytest.mark.parametrize("size", [1, 3, 69])
+def test_blocks_of_languages_equal_one_block(spark, monkeypatch, size):
+    rng = random.Random(14)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{n:02d}": ["".join(rng.choices(letters[n % 13 : n % 13 + 12], k=5)) for _ in range(8)] for n in range(70 if size == 69 else 7)}
+    make = lambda n: " ".join(rng.choices(words[n], k=12))
+    rows = [(k, make(n), n) for k, n in enumerate([*words] * 6)] + [(999, "1 2 3", "l03a"), (998, "4", "zz")]  # a block may have nothing to learn from
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fresh = spark.createDataFrame([(k, make(n), "x") for k, n in enumerate(words)] + [(-1, None, "x"), (-2, "", "x"), (-3, "12", "x"), (-4, "日本", "x"), (-5, "a", None)], "doc_id long, text string, _least string")
+    go = lambda: sorted(map(tuple, language_id.identify(fresh, language_id.fit(df)).collect()))
+    want = go()
+    monkeypatch.setattr(language_id, "LANGUAGES", size)
+    assert go() == want
 
 
 def test_any_number_of_languages_and_letters(spark, monkeypatch):
@@ -179,7 +210,7 @@ def test_sample_is_whole_rows(spark, monkeypatch):
     monkeypatch.setattr(language_id, "RANKED", 2)
     rng = random.Random(13)
     rows = [(k, f"row{k} " + "word " * rng.randrange(12, 300), "aa") for k in range(3000)] + [(k, "x" * 30_000 + f"y{k}", "bb") for k in range(5)] + [(9, "short", "cc"), (None, None, "cc"), (8, "12", "dd"), (7, "text", None)]
-    got = language_id.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got, _ = language_id.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert set(got) == {"aa", "bb", "cc"} and got["cc"] == "short" and set(got["bb"]) == {"x"} and len(got["bb"]) == language_id.SAMPLE_CHARS
     assert 0.8 * language_id.SAMPLE_CHARS < len(got["aa"]) <= language_id.SAMPLE_CHARS
     whole = {t.strip() for _, t, n in rows if n == "aa"}
@@ -445,3 +476,38 @@ def test_items_with_words_missing_stand_alone():
             for at, batch in ((0, [short, "more words " * 40]), (1, ["words before", short]), (1, ["", short, None, short])):
                 assert [(i, *rest) for d, i, *rest in decontaminate.matches(held, batch) if d == at] == alone
     assert missed <= 0.02 * sum(decontaminate.limit(len(t)) for t in texts_)
+
+
+@pytest.mark.parametrize("long", [10, 1 << 30])
+def test_word_hashes_do_not_depend_on_the_way(monkeypatch, long):
+    rng = random.Random(15)
+    texts_ = [" ".join("".join(rng.choices("abcéZ", k=rng.randrange(1, 90))) for _ in range(rng.randrange(9))).encode() for _ in range(60)] + [b"x" * 200_000 + b" y"]
+    monkeypatch.setattr(wordhash, "SIDE_BY_SIDE", long)
+    w = wordhash.words_of(texts_[:-1] if long > 100 else texts_, fold=True)
+    for k, i in zip(w.start.tolist(), w.end.tolist(), strict=True):
+        acc = 0
+        for byte in w.raw[k:i].tolist():
+            acc = (acc * int(wordhash._MULTIPLY) + int(wordhash._RANDOM[byte])) % 2**64
+        assert wordhash.mix(np.array([acc], dtype=np.uint64))[0] == w.hash[np.searchsorted(w.start, k)]
+
+
+def test_long_words_are_quick():
+    began = time.time()
+    w = wordhash.words_of([b"A" * 20_000_000 + b" b", b"a" * 20_000_000], fold=True)
+    assert len(w.hash) == 3 and w.hash[0] == w.hash[2] and time.time() - began < 20
+
+
+@pytest.mark.parametrize("kind, ids", [("string", ["a", None, "c"]), ("struct<x:int,y:string>", [(1, "p"), None, (3, "q")]), ("decimal(20,2)", [Decimal("1.50"), None, Decimal("3.00")])])
+def test_items_with_any_ids(spark, monkeypatch, kind, ids):
+    items = ["one two three four five six", "seven eight nine ten eleven", "alpha beta gamma delta epsilon zeta"]
+    benchmark = spark.createDataFrame([(i, t, "x") for i, t in zip(ids, items, strict=True)] + [(ids[0], None, "x"), (None, "...", "x")], f"item_id {kind}, question string, text string")
+    df = spark.createDataFrame([("k", f"so {t} it is", 1) for t in items] + [(None, items[0], 2), ("k", "nothing here", 3), ("k", None, 4)], "key string, text string, item_id int")
+    want = decontaminate.leaks(df, benchmark, "key", item_text="question").collect()
+    shown = [str(r[0]) for r in spark.createDataFrame([(i,) for i in ids], f"i {kind}").collect()]
+    assert sorted((str(r["key"]), str(r["item_id"])) for r in want) == sorted([("None", shown[0]), *(("k", x) for x in shown)])
+    kept = decontaminate.clean(df, benchmark, item_text="question")
+    assert sorted(r["item_id"] for r in kept.collect()) == [3, 4]
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 30)  # each item a block of its own
+    assert sorted(map(str, decontaminate.leaks(df, benchmark, "key", item_text="question").collect())) == sorted(map(str, want))
+    assert decontaminate.clean(df, benchmark, item_text="question").count() == 2
+    assert decontaminate.clean(df, benchmark.limit(0), item_text="question").count() == 6 and decontaminate.leaks(df, benchmark.limit(0), "key", item_text="question").count() == 0

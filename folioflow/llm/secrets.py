@@ -5,7 +5,9 @@ asked in how many distinct repositories and by how many distinct owners the hash
 owner looks live, in however many repositories the owner keeps it. A value of several owners is a copied
 example if there are more than max_owners of them, or more than max_repos repositories; a few copies, as
 forks and mirrors make them, still look live. The fixed kinds (assign, access, hex) are always reported
-with that class; the further kinds only where they look live and don't overlap a fixed one.
+with that class; the further kinds only where they look live and don't overlap a fixed one. The last kind
+is no pattern of secrets at all: a long run of mixed characters anywhere is a candidate, and only that
+the whole corpus has one owner for it makes it one.
 
 Everything runs as DataFrame operations. Texts are searched once and never shuffled by scan; redact deals
 out only those that hold a candidate. Counting distinct owners and repositories is pre-aggregated, and a
@@ -36,6 +38,9 @@ FURTHER = [
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s+[A-Za-z0-9+/=\s]{32,}", 0, 48),
     ("quoted", r"""(?<=["'])[A-Za-z0-9+/_=-]{24,}(?=["'])""", 0, 24),
 ]
+#: Runs without a pattern of their own: long, of small and capital letters and digits, of many different characters, outside all other spans.
+TOKEN = ("token", r"[A-Za-z0-9+/_-]{20,}", 0, 20)
+TOKEN_CHARACTERS = 12
 #: Owners, and repositories of several owners, up to which a value looks live.
 MAX_OWNERS, MAX_REPOS = 2, 8
 SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
@@ -66,8 +71,12 @@ def with_spans(df: DataFrame, text: str = "text") -> DataFrame:
     kinds = [(i, *k) for i, k in enumerate([*BASE, *FURTHER])]
     base = F.array_sort(F.concat(*[_spans(t, *k) for k in kinds[: len(BASE)]]))
     out = df.withColumn("base_spans", base)
-    clear = lambda x: ~F.exists("base_spans", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return out.withColumn("further_spans", F.filter(F.concat(*[_spans(t, *k) for k in kinds[len(BASE) :]]), clear))
+    clear = lambda of: lambda x: ~F.exists(of, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    out = out.withColumn("_known", F.filter(F.concat(*[_spans(t, *k) for k in kinds[len(BASE) :]]), clear("base_spans")))
+    mixed = lambda x: x["value"].rlike("[a-z]") & x["value"].rlike("[A-Z]") & x["value"].rlike("[0-9]") & (F.size(F.array_distinct(F.split(x["value"], ""))) >= TOKEN_CHARACTERS)
+    tokens = F.filter(_spans(t, len(kinds), *TOKEN), mixed)
+    out = out.withColumn("_tokens", F.filter(F.filter(tokens, clear("base_spans")), clear("_known")))
+    return out.withColumn("further_spans", F.concat("_known", "_tokens")).drop("_known", "_tokens")
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -95,7 +104,7 @@ def classified(found: DataFrame, max_owners: int, max_repos: int) -> DataFrame:
     all_spans = F.concat("base_spans", "further_spans")
     each = found.where(F.size(all_spans) > 0).select("row", "repo", "owner", F.explode(all_spans).alias("s")).withColumn("hash", F.md5(F.col("s.value").cast("binary")))
     joined = salted_left_join(each.drop("repo", "owner"), ownership(each.select("hash", "repo", "owner")), "hash", F.col("row"))
-    live = is_live(max_owners, max_repos)
+    live = is_live(max_owners, max_repos) & ((F.col("s.kind") != TOKEN[0]) | (F.col("n_owners") == 1))
     span = F.struct("s.start", "s.rank", "s.end", "s.kind", "s.value", "n_repos", "n_owners", live.alias("live"))
     kept = F.when(live | (F.col("s.rank") < len(BASE)), span)
     return joined.groupBy("row").agg(F.array_sort(F.collect_list(kept)).alias("spans"))
@@ -113,6 +122,8 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "do
 def redact(df: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS, mark: str = "[SECRET]") -> DataFrame:
     """df with every live-looking value in text replaced by a mark; other rows, columns and texts are unchanged.
 
+    A value that looks live goes wherever it stands in its row's text, inside longer words too.
+
     Rows without candidates pass by; the others meet their spans by row number.
     """
     doc = F.struct(*[F.col(f"`{c}`") for c in df.columns])

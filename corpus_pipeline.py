@@ -49,8 +49,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, their number, and whether they decode to the text."""
+    ids, decoded = sentencepiece_codec.result_names(docs)
     out = sentencepiece_codec.encode_decode(docs, sentencepiece_codec.piece_model_path())
-    return out.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("round_trip", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))).drop("decoded")
+    n, same = free_name(docs, "n_tokens"), free_name(docs, "round_trip")
+    return out.withColumn(n, F.size(ids).cast("long")).withColumn(same, F.col(decoded).eqNullSafe(F.coalesce("text", F.lit("")))).drop(decoded)
 
 
 STAGES = [

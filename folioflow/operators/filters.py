@@ -62,12 +62,12 @@ def scope_tags(text, venue=None, terms: dict[str, list[str]] = V.SCOPE_TERMS, ve
     return F.array_compact(F.array(*tags))
 
 
-def relevance(tags, source) -> Column:
+def relevance(tags, source, curated: str = V.CURATED_SOURCE) -> Column:
     """Tagged, or from the curated source."""
-    return (F.size(_c(tags)) > 0) | _false(_c(source) == V.CURATED_SOURCE)
+    return (F.size(_c(tags)) > 0) | _false(_c(source) == curated)
 
 
-def verdicts(df: DataFrame, terms: dict[str, list[str]] = V.SCOPE_TERMS, venues: list[str] = V.SCOPE_VENUES, carry_type: bool = True) -> DataFrame:
+def verdicts(df: DataFrame, terms: dict[str, list[str]] = V.SCOPE_TERMS, venues: list[str] = V.SCOPE_VENUES, carry_type: bool = True, curated: str = V.CURATED_SOURCE) -> DataFrame:
     """Adds the five flags, tags, relevance and reasons to (canonical_id, filename, title, abstract, venue, source, source_type, doi, page_count).
 
     carry_type=False ignores the source type, as callers without the payload do.
@@ -82,7 +82,7 @@ def verdicts(df: DataFrame, terms: dict[str, list[str]] = V.SCOPE_TERMS, venues:
         "lab_scope_tags": scope_tags(F.concat_ws(" ", "title", "abstract"), "venue", terms, venues),
     })
     flags = ["is_draft", "is_poster", "is_textbook", "is_review_doc", "is_conf_abstract"]
-    relevant = relevance("lab_scope_tags", "source")
+    relevant = relevance("lab_scope_tags", "source", curated)
     none = ~(F.col(flags[0]) | F.col(flags[1]) | F.col(flags[2]) | F.col(flags[3]) | F.col(flags[4]))
     why = F.when(F.col("page_count") >= V.TEXTBOOK_PAGES, F.concat(F.lit("page_count="), F.col("page_count"))).when(F.col("doi").isNotNull(), "book DOI prefix").otherwise("title keyword")
     reasons = F.create_map(

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from folioflow.functions.rounding import half_even
 
@@ -44,6 +44,16 @@ class Automaton:
     def held(self, text: str) -> set[int]:
         return {i for _, i in self.ends(text)}
 
+    def counts(self, text: str) -> dict[int, int]:
+        """Phrase number -> occurrences that do not overlap, from the left."""
+        out: dict[int, int] = {}
+        behind: dict[int, int] = {}
+        for last, i in self.ends(text):
+            start = last - len(self.phrases[i]) + 1
+            if start >= behind.get(i, 0):
+                out[i], behind[i] = out.get(i, 0) + 1, last + 1
+        return out
+
     def claimed(self, text: str, rank: list[int]) -> list[tuple[int, int, int]]:
         """(start, end, number) by start: phrases take turns by rank, which never puts a shorter one first.
 
@@ -126,6 +136,38 @@ def document_counts(docs: DataFrame, phrases: DataFrame, text: str = "text", phr
     return every.join(total, "low", "left").select("phrase", F.coalesce("df", F.lit(0)).alias("df"))
 
 
+def phrase_counts(docs: DataFrame, phrases: list[str], text: str = "text", out: str = "tf") -> DataFrame:
+    """docs without text, and with `out`: how often each of the phrases stands in the lower-cased text, in their order.
+
+    phrases are taken as they are, so they have to be lower-cased; a blank one stands nowhere.
+    """
+    import pyarrow as pa
+
+    smaller_batches(docs.sparkSession)
+    distinct = list(dict.fromkeys(p for p in phrases if p))
+    at = {p: i for i, p in enumerate(distinct)}
+    places = [at.get(p, -1) for p in phrases]
+    sent = _send(docs.sparkSession, distinct)
+
+    def count(batches):
+        import numpy as np
+
+        auto = _automaton(sent)
+        where = np.array(places, dtype=np.int64)
+        for batch in batches:
+            tf = np.zeros((batch.num_rows, len(distinct) + 1), dtype=np.int32)  # the last place is that of blank phrases
+            for k, t in enumerate(batch.column(1).to_pylist()):
+                for i, n in auto.counts(t or "").items():
+                    tf[k, i] = n
+            offsets = pa.array(np.arange(batch.num_rows + 1) * len(where), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(tf[:, where].ravel(), pa.int32()))], names=["row", "tf"])
+
+    others = [c for c in docs.columns if c != text]
+    fed = docs.select(F.struct(*others).alias("row"), F.lower(text).alias("low"))
+    schema = StructType([fed.schema["row"], StructField("tf", ArrayType(IntegerType()))])
+    return fed.mapInArrow(count, schema).select("row.*", F.col("tf").alias(out))
+
+
 def lexicon_list(lexicon: DataFrame, phrase: str = "phrase", place: str | None = None) -> list[tuple[str, str]]:
     """(phrase, lower-cased) of a lexicon, longest first, then by place if there is one, then by phrase; of equal lower-cased ones the first."""
     rows = lexicon.select(F.col(phrase).alias("phrase"), F.lower(phrase).alias("low"), (F.col(place) if place else F.lit(0)).alias("place")).where(F.trim("low") != "").distinct()

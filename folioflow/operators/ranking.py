@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import fixed_values as V
 from folioflow.functions import scoring as S
-from folioflow.functions.text import count_of, token_count
+from folioflow.functions.text import token_count
+from folioflow.operators.phrases import phrase_counts
 from folioflow.sources.scratch import written
 
 #: Users whose vectors and phrases go to every task at once; more are taken in blocks of this size.
 BLOCK_USERS = 500
-#: Files a distributed rank is spread over.
-RANK_PARTS = 64
+#: Rows of a range of a distributed rank: their number follows the rows.
+RANK_ROWS = 500_000
 
 
 def centroids(vectors: DataFrame, by: str, vector: str = "embedding", weight: str | None = None) -> DataFrame:
@@ -45,16 +46,15 @@ def pair_up(items: DataFrame, users: DataFrame, block: int = BLOCK_USERS) -> Dat
 
 
 def with_counts(items: DataFrame, users: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(items with tf and n_words instead of text, users with places): how often each phrase of any user stands in a text, once a text.
+    """(items with tf and n_words instead of text, users with places): how often each phrase of any user stands in a text, by one scan of each text.
 
     tf has a place for each distinct phrase; places are those of a user's own phrases. What is crossed
-    with the users then carries numbers, never texts.
+    with the users then carries numbers, never texts. users are a block, so their phrases are bounded.
     """
-    listed = users.select(F.explode("phrases.phrase").alias("p")).agg(F.array_sort(F.collect_set("p")).alias("listed"))
-    place = users.join(F.broadcast(listed)).withColumn("places", F.transform("phrases", lambda p: F.array_position("listed", p["phrase"]).cast("int"))).drop("listed")
-    # The join keeps low and n_words from being computed anew for each phrase.
-    low = items.withColumn("_low", F.lower(text)).withColumn("n_words", token_count(text)).drop(text).join(F.broadcast(listed))
-    return low.withColumn("tf", F.transform("listed", lambda p: count_of("_low", p))).drop("_low", "listed"), place
+    listed = [r[0] for r in users.select(F.explode("phrases.phrase").alias("p")).where("p IS NOT NULL").distinct().orderBy("p").collect()]
+    known = F.array(*map(F.lit, listed)) if listed else F.array().cast("array<string>")
+    place = users.withColumn("places", F.transform("phrases", lambda p: F.array_position(known, p["phrase"]).cast("int")))
+    return phrase_counts(items.withColumn("n_words", token_count(text)), listed, text), place
 
 
 def keyword_score(tf="tf", phrases="phrases", places="places", n_words="n_words") -> Column:
@@ -100,8 +100,8 @@ def score(scored: DataFrame, mode: str = "phrases") -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def ranked(df: DataFrame, by: str, order: list[Column], name: str, parts: int = RANK_PARTS) -> DataFrame:
-    """df with `name`, the place of each row among those of its group: a group's rows are sorted by many tasks.
+def ranked(df: DataFrame, by: str, order: list[Column], name: str, parts: int) -> DataFrame:
+    """df with `name`, the place of each row among those of its group: a group's rows are sorted by `parts` tasks.
 
     Rows are dealt out by ranges of (by, *order), each range numbers its own rows, and the numbers of rows
     in the ranges before are added. The ranges are written, as sampling them again could move their bounds.
@@ -118,10 +118,11 @@ def ranked(df: DataFrame, by: str, order: list[Column], name: str, parts: int =
 def fuse(scored: DataFrame) -> DataFrame:
     """Adds composite by the ranks of the three signals. phrases and n_combos, which it does not need, go; pairs are written, as finding ranges reads them again."""
     out = written(scored.drop("phrases", "n_combos"), "pairs")
+    parts = max(int(out.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-out.count() // RANK_ROWS))
     names = []
     for name, c in (("cos", "cos"), ("dim", "dim"), ("kw", "raw_kw")):
         names.append(f"rank_{name}")
-        out = ranked(out, "user", [F.desc(F.round(c, 9)), F.col("item")], names[-1])
+        out = ranked(out, "user", [F.desc(F.round(c, 9)), F.col("item")], names[-1], parts)
     return out.withColumn("composite", S.rrf(*names))
 
 

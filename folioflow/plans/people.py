@@ -10,6 +10,7 @@ from folioflow.functions import scoring as S
 from folioflow.functions import text as X
 from folioflow.operators import drafts, feedback, filters, merge, profiles, reports, resolve, sessions
 from folioflow.plans.base import ANSWERS, PAPERS, answers, papers, table
+from folioflow.plans.documents import OOS_CLASSIFY, UNWANTED, WANTED, XML_STRIP
 
 AS_OF = "2001-01-01"
 BANNED = ["1-urgent"]
@@ -85,13 +86,15 @@ ACTIVE_USERS = "SELECT o_custkey AS init, count(*) AS n FROM orders WHERE o_orde
 
 
 def project_weights(spark: SparkSession, d: str) -> DataFrame:
-    """Weights that a customer gives three projects; some are negative, missing or all zero."""
-    k = F.col("c_custkey")
-    w = F.when(k % 7 == 0, F.array((k % 4).cast("double"), F.lit(1.0))).when(k % 5 == 0, F.array(F.lit(-1.0), F.lit(2.0), F.lit(3.0))).otherwise(F.array((k % 4).cast("double"), (k % 3).cast("double"), (k % 2).cast("double")))
-    return table(spark, d, "customer").select("c_custkey", F.posexplode(profiles.project_weights(w, F.lit(3))).alias("i", "w")).select("c_custkey", "i", F.round("w", 6).alias("w"))
+    """A customer's balance and spending on closed and open orders as weights of three projects: some are negative, or missing."""
+    spent = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(*[F.sum(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice"))).alias(s) for s in ("F", "O")])
+    w = F.when(F.col("c_mktsegment") == "BUILDING", F.array("c_acctbal", "F")).otherwise(F.array("c_acctbal", "F", "O"))
+    met = table(spark, d, "customer").join(spent, "c_custkey", "left")
+    return met.select("c_custkey", F.posexplode(profiles.project_weights(w, F.lit(3))).alias("i", "w")).select("c_custkey", "i", F.round("w", 6).alias("w"))
 
 
-PROJECT_WEIGHTS = """WITH w AS (SELECT c_custkey, c_custkey % 4 AS a, c_custkey % 3 AS b, c_custkey % 2 AS c, c_custkey % 7 = 0 OR c_custkey % 5 = 0 OR c_custkey % 12 = 0 AS bad FROM customer)
+PROJECT_WEIGHTS = """WITH s AS (SELECT o_custkey AS k, sum(o_totalprice) FILTER (o_orderstatus = 'F') AS b, sum(o_totalprice) FILTER (o_orderstatus = 'O') AS c FROM orders GROUP BY 1),
+w AS (SELECT c_custkey, c_acctbal AS a, b, c, c_mktsegment = 'BUILDING' OR c_acctbal < 0 OR coalesce(b < 0, TRUE) OR coalesce(c < 0, TRUE) OR a + b + c = 0 AS bad FROM customer LEFT JOIN s ON k = c_custkey)
 SELECT c_custkey, CAST(i AS INTEGER) AS i, round(CASE WHEN bad THEN 1 / 3 ELSE [a, b, c][i + 1] / (a + b + c) END, 6) AS w FROM w, range(3) r(i)"""
 
 
@@ -105,15 +108,27 @@ CHANNEL_TEXTS = """WITH p AS (SELECT *, CASE WHEN p_size % 3 = 1 THEN p_brand EN
 SELECT p_partkey, concat_ws(' · ', p_name, b, p_type) AS channel, concat_ws(chr(10), b, p_name) AS interest FROM p"""
 
 
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Words and sentences of documents, from which cells and studies are made."""
+    word = lambda k: F.get(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), F.lit(k))
+    sentence = lambda k: F.get(F.split("text", r"\."), F.lit(k))
+    return table(spark, d, "documents").select("doc_id", "text", "lang", "source", word(0).alias("w1"), word(1).alias("w2"), sentence(0).alias("s1"), sentence(1).alias("s2"))
+
+
+PIECES = "pieces AS (SELECT doc_id, text, lang, source, regexp_extract_all(text, '[A-Za-z]+')[1] AS w1, regexp_extract_all(text, '[A-Za-z]+')[2] AS w2, string_split(text, '.')[1] AS s1, string_split(text, '.')[2] AS s2 FROM documents)"
+
+
 def anchor_dois(spark: SparkSession, d: str) -> DataFrame:
-    """DOIs of the studies a project names: objects, strings, objects without DOI, blanks."""
-    k = F.col("o_orderkey").cast("string")
-    studies = F.concat(F.lit('["https://doi.org/10.1/A'), k, F.lit('", {"doi": "doi:10.2/B'), k, F.lit('", "title": "x"}, {"title": "no"}, ""]'))
-    studies = F.when(F.col("o_orderkey") % 3 == 0, "[]").when(F.col("o_orderkey") % 3 == 1, studies)
-    return table(spark, d, "orders").select("o_orderkey", F.array_join(profiles.harvest_dois(studies), ",").alias("dois"))
+    """DOIs of the studies that a document names in JSON: objects, with sentences as titles, strings, objects without DOI, blanks."""
+    p = _pieces(spark, d)
+    bare = F.to_json(F.array(F.concat(F.lit("https://doi.org/10.1000/"), "w1"), F.lit("")))
+    objects = F.to_json(F.array(F.struct(F.concat(F.lit("doi:10.1000/"), "w2").alias("doi"), F.col("s1").alias("title")), F.struct(F.lit(None).cast("string").alias("doi"), F.col("s2").alias("title"))))
+    joined = F.concat(F.substring(bare, F.lit(1), F.length(bare) - 1), F.lit(","), F.substring(objects, F.lit(2), F.length(objects) - 1))
+    studies = F.when(F.col("source") != "src1", joined)
+    return p.where("w1 IS NOT NULL AND w2 IS NOT NULL").select("doc_id", F.array_join(profiles.harvest_dois(studies), ",").alias("dois"))
 
 
-ANCHOR_DOIS = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN '10.1/a' || o_orderkey || ',10.2/b' || o_orderkey ELSE '' END AS dois FROM orders"
+ANCHOR_DOIS = f"WITH {PIECES} SELECT doc_id, CASE WHEN source <> 'src1' THEN '10.1000/' || lower(w1) || ',10.1000/' || lower(w2) ELSE '' END AS dois FROM pieces WHERE w1 IS NOT NULL AND w2 IS NOT NULL"
 
 
 def _fingerprint(spark: SparkSession, d: str) -> DataFrame:
@@ -157,17 +172,20 @@ SELECT "user", dim, code, round(n / max(n) OVER (PARTITION BY "user", dim), 3) A
 
 
 def preference_source(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("user")
-    users = table(spark, d, "customer").select(F.col("c_custkey").alias("user"))
-    prefs = lambda ok, v: F.when(ok, F.create_map(F.lit("c"), F.lit(v))).otherwise(F.create_map().cast("map<string,double>"))
-    verified = users.where(k % 5 == 0).withColumn("prefs", prefs(k % 10 == 0, 1.0))
-    prints = users.where(k % 3 == 0).select("user", F.when(k % 4 == 0, "bad").alias("error"), F.when(k % 9 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("p"))).alias("phrases"), prefs(F.lit(True), 0.5).alias("prefs"))
-    derived = users.where(k % 2 == 0).withColumn("prefs", prefs(k % 7 != 0, 0.25))
+    """Customers: weights by pending orders, else by events as fingerprint, unless an error spoils it, else by a positive balance."""
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("user"), "c_acctbal")
+    prefs = lambda v: F.create_map(F.lit("c"), v.cast("double"))
+    verified = table(spark, d, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("user")).agg(F.count("*").alias("n")).select("user", prefs(F.col("n")).alias("prefs"))
+    events = table(spark, d, "events").groupBy(F.col("user_id").alias("user"))
+    prints = events.agg(F.max(F.when((F.col("event_type") == "error") & (F.col("value") > 20), "bad")).alias("error"), F.collect_set(F.when(F.col("value") > 25, F.col("event_type"))).alias("phrases"), prefs(F.max("value")).alias("prefs"))
+    derived = users.select("user", F.when(F.col("c_acctbal") > 0, prefs(F.col("c_acctbal"))).alias("prefs"))
     return profiles.preference_chain(users, verified, prints, derived).select("user", "source", F.coalesce(F.col("prefs")["c"], F.lit(0.0)).alias("weight"))
 
 
-PREFERENCE_SOURCE = """WITH u AS (SELECT c_custkey AS k FROM customer), s AS (SELECT k, CASE WHEN k % 10 = 0 THEN 'verified' WHEN k % 3 = 0 AND k % 4 <> 0 AND k % 9 <> 0 THEN 'fingerprint' WHEN k % 2 = 0 AND k % 7 <> 0 THEN 'auto' ELSE 'none' END AS source FROM u)
-SELECT k AS "user", source, CAST(CASE source WHEN 'verified' THEN 1 WHEN 'fingerprint' THEN 0.5 WHEN 'auto' THEN 0.25 ELSE 0 END AS DOUBLE) AS weight FROM s"""
+PREFERENCE_SOURCE = """WITH v AS (SELECT o_custkey AS k, count(*) AS w FROM orders WHERE o_orderstatus = 'P' GROUP BY 1),
+f AS (SELECT user_id AS k, max(value) AS w FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'error' AND value > 20) = 0 AND count(*) FILTER (value > 25) > 0)
+SELECT c_custkey AS "user", CASE WHEN v.k IS NOT NULL THEN 'verified' WHEN f.k IS NOT NULL THEN 'fingerprint' WHEN c_acctbal > 0 THEN 'auto' ELSE 'none' END AS source,
+CAST(coalesce(v.w, f.w, CASE WHEN c_acctbal > 0 THEN c_acctbal END, 0) AS DOUBLE) AS weight FROM customer LEFT JOIN v ON v.k = c_custkey LEFT JOIN f ON f.k = c_custkey"""
 
 
 def embedding_batch(spark: SparkSession, d: str) -> DataFrame:
@@ -259,11 +277,12 @@ AND NOT (o_custkey % 3 = 0 AND lower(o_orderpriority) LIKE '%urgent%') AND day(o
 
 
 def score_histogram(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select((F.col("o_orderkey") % 9 - 4).alias("score"), F.when(F.col("o_orderkey") % 13 == 0, True).alias("hard"))
-    return reports.score_histogram(o)
+    """Exclusion scores of documents."""
+    s = filters.exclusion_score("title", "text", WANTED, UNWANTED)
+    return reports.score_histogram(papers(spark, d).withColumn("s", s).select("s.score", (F.col("s.score") == -99).alias("hard")))
 
 
-SCORE_HISTOGRAM = """SELECT CASE WHEN o_orderkey % 13 = 0 THEN 'hard' WHEN s <= -2 THEN '<=-2' WHEN s <= 0 THEN '-1..0' WHEN s <= 2 THEN '1..2' ELSE '>=3' END AS bucket, count(*) AS n FROM (SELECT *, o_orderkey % 9 - 4 AS s FROM orders) GROUP BY 1"""
+SCORE_HISTOGRAM = f"SELECT CASE WHEN score = -99 THEN 'hard' WHEN score <= -2 THEN '<=-2' WHEN score <= 0 THEN '-1..0' WHEN score <= 2 THEN '1..2' ELSE '>=3' END AS bucket, count(*) AS n FROM ({OOS_CLASSIFY}) GROUP BY 1"
 
 
 def run_report(spark: SparkSession, d: str) -> DataFrame:
@@ -435,14 +454,17 @@ SMALL_TEXTS = """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, 'a_
 
 
 def json_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Cells that should be lists: lists, bare strings, nulls; frameworks with and without names."""
-    k = F.col("p_partkey") % 5
-    cell = F.when(k == 0, '["a", "b"]').when(k == 1, "plain").when(k == 2, "null").when(k == 3, "[]")
-    fw = F.when(k == 0, '[{"name": "x"}, {"name": "y", "role": "z"}]').when(k == 1, '[{"role": "z"}]').when(k == 2, '["x"]').when(k == 3, '[{"name": 5}]').otherwise('{"name": "x"}')
-    return table(spark, d, "part").select("p_partkey", F.array_join(X.as_array(cell), ",").alias("items"), F.size(X.as_array(cell)).alias("n"), X.frameworks_ok(fw).alias("ok"))
+    """Cells of words and sentences that should be lists: lists, bare strings, nulls; frameworks with and without names."""
+    k = F.col("doc_id") % 5
+    p = _pieces(spark, d).where("w1 IS NOT NULL AND w2 IS NOT NULL")
+    cell = F.when(k == 0, F.to_json(F.array("w1", "s1", "w2"))).when(k == 1, F.trim("s1")).when(k == 2, "null").when(k == 3, "[]")
+    name, role = F.col("w1").alias("name"), F.col("s1").alias("role")
+    fw = F.when(k == 0, F.to_json(F.array(F.struct(name, role), F.struct(name, role)))).when(k == 1, F.to_json(F.array(F.struct(role)))).when(k == 2, F.to_json(F.array("w1"))).when(k == 3, F.to_json(F.array(F.struct(F.col("doc_id").alias("name"))))).otherwise(F.to_json(F.struct(name)))
+    return p.select("doc_id", F.md5(F.array_join(X.as_array(cell), ",")).alias("items"), F.size(X.as_array(cell)).alias("n"), X.frameworks_ok(fw).alias("ok"))
 
 
-JSON_CELLS = "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'a,b' WHEN 1 THEN 'plain' ELSE '' END AS items, CASE p_partkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS n, p_partkey % 5 = 0 AS ok FROM part"
+JSON_CELLS = f"""WITH {PIECES} SELECT doc_id, md5(CASE doc_id % 5 WHEN 0 THEN w1 || ',' || s1 || ',' || w2 WHEN 1 THEN trim(s1) ELSE '' END) AS items,
+CASE doc_id % 5 WHEN 0 THEN 3 WHEN 1 THEN CAST(trim(s1) <> '' AS INTEGER) ELSE 0 END AS n, doc_id % 5 = 0 AS ok FROM pieces WHERE w1 IS NOT NULL AND w2 IS NOT NULL"""
 
 
 def recent_answers(spark: SparkSession, d: str) -> DataFrame:
@@ -504,22 +526,39 @@ TYPED_ANSWERS = "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'save_later' WHE
 
 
 def doi_cells(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey").cast("string")
-    cell = F.concat(F.lit("https://doi.org/10.1/A"), k, F.lit("; 10.2/b"), k, F.lit(", 10.1/a"), k, F.lit(";;"))
-    first, long = F.lit("a"), F.array(F.repeat(F.lit("w "), (F.col("o_orderkey") % 90).cast("int")))
-    return table(spark, d, "orders").select(
-        "o_orderkey", F.array_join(X.split_values(cell), "|").alias("dois"), F.length(X.gist(F.array(first), long)).alias("n_gist"),
-        X.full_text(F.repeat(F.lit("x"), (F.col("o_orderkey") % 1600).cast("int")), F.when(F.col("o_orderkey") % 2 == 0, F.repeat(F.lit("p"), 1501)), F.lit("h")).substr(1, 1).alias("form"),
-    )
+    """Cells of several DOIs, and gists of the first two sentences."""
+    p = _pieces(spark, d).where("w1 IS NOT NULL AND w2 IS NOT NULL")
+    cell = F.concat(F.lit("https://doi.org/10.1000/"), "w1", F.lit("; 10.1000/"), "w2", F.lit(", 10.1000/"), F.upper("w1"), F.lit(";;"))
+    return p.select("doc_id", F.array_join(X.split_values(cell), "|").alias("dois"), F.md5(X.gist(F.array("s1"), F.array(F.coalesce("s2", F.lit(""))))).alias("gist"))
+
+
+DOI_CELLS = rf"""WITH {PIECES}, g AS (SELECT doc_id, w1, w2, regexp_split_to_array(trim(concat_ws(' ', s1, CASE WHEN length(coalesce(s2, '')) < 200 THEN coalesce(s2, '') ELSE '' END)), '\s+') AS p FROM pieces WHERE w1 IS NOT NULL AND w2 IS NOT NULL)
+SELECT doc_id, '10.1000/' || lower(w1) || CASE WHEN lower(w1) <> lower(w2) THEN '|10.1000/' || lower(w2) ELSE '' END AS dois, md5(array_to_string(p[1:60], ' ') || CASE WHEN len(p) > 60 THEN '…' ELSE '' END) AS gist FROM g"""
+
+
+def full_text_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Pages: the stripped body if it is long enough, else the address if that is, else the page as it came."""
+    forms = X.full_text(X.xml_text("html"), "url", "html", 800)
+    return table(spark, d, "pages").select("page_id", F.md5(forms).alias("md5"))
+
+
+_STRIPPED = XML_STRIP.split("md5(", 1)[1].rsplit(") AS md5", 1)[0]
+FULL_TEXT_FORMS = f"SELECT page_id, md5(CASE WHEN length(s) > 800 THEN s WHEN length(url) > 800 THEN url WHEN length(html) > 800 THEN html ELSE 'unavailable' END) AS md5 FROM (SELECT *, {_STRIPPED} AS s FROM pages)"
+
+
+def text_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Last lines of documents as notes that end in punctuation, and file names of their units."""
+    last = F.element_at(F.split("text", "\n"), -1)
+    return table(spark, d, "documents").where("text <> ''").select("doc_id", F.md5(X.note(last)).alias("note"), X.unit_file(F.concat_ws("+", "source", "lang")).alias("unit"))
 
 
-DOI_CELLS = """SELECT o_orderkey, '10.1/a' || o_orderkey || '|10.2/b' || o_orderkey AS dois, CAST(CASE WHEN k = 0 THEN 1 WHEN k >= 60 THEN 120 ELSE 2 * k + 1 END AS INTEGER) AS n_gist,
-CASE WHEN o_orderkey % 1600 > 1500 THEN 'x' WHEN o_orderkey % 2 = 0 THEN 'p' ELSE 'u' END AS form FROM (SELECT *, o_orderkey % 90 AS k FROM orders)"""
+TEXT_NOTES = r"""SELECT doc_id, md5(CASE WHEN starts_with(l, 'keyword-classifier (') THEN l WHEN regexp_matches(trim(l), '[.!?]$') THEN trim(l) ELSE trim(l) || '.' END) AS note, replace(concat_ws('+', source, lang), '+', '_') AS unit
+FROM (SELECT *, string_split(text, chr(10))[-1] AS l FROM documents WHERE text <> '')"""
 
 QUERIES = {f.__name__: f for f in (
     session_open, session_close, answer_handshake, session_counters, active_projects, active_users, project_weights, channel_texts, anchor_dois, fingerprint_build, novel_terms, derived_prefs,
     preference_source, embedding_batch, draft_alternates, drafts_assembled, followup_drafts, acknowledgement_drafts, barred_candidates, carry_over, score_histogram, run_report, tier_counts,
     candidate_counts, table_digest, last_updated, verdict_flags, not_refused, channel_lookup, decorated_items, first_source, mirror_fallback, stale_tags, tag_mirror, unit_briefs,
-    feedback_in_cycle, citing_papers, small_texts, json_cells, recent_answers, sound_updates, template_rows, unwritten_keys, aliases_applied, typed_answers, doi_cells,
+    feedback_in_cycle, citing_papers, small_texts, full_text_forms, text_notes, json_cells, recent_answers, sound_updates, template_rows, unwritten_keys, aliases_applied, typed_answers, doi_cells,
 )}
 ORACLES = {k: globals()[k.upper()] for k in QUERIES if k.upper() in globals()}

@@ -95,15 +95,9 @@ FROM ranked WHERE r <= CASE chunk WHEN 'recent' THEN 120 WHEN 'mid' THEN 60 ELSE
 
 
 def queue_rrf(spark: SparkSession, d: str) -> DataFrame:
-    """Users with three phrases: auto mode fuses ranks."""
-    return _shown(ranking.cut(ranking.score(_pairs(spark, d, 3), "auto")))
-
-
-QUEUE_RRF = SQL_ITEMS + SQL_KW.replace("{k}", "3") + """,
-raw AS (SELECT item, chunk, "user", cos, coalesce(raw_kw, 0) AS raw_kw FROM cosines LEFT JOIN kw USING (item, "user")),
-ranks AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY round(cos, 9) DESC, item) AS a, row_number() OVER (PARTITION BY "user" ORDER BY item) AS b,
-    row_number() OVER (PARTITION BY "user" ORDER BY round(raw_kw, 9) DESC, item) AS c FROM raw),
-scored AS (SELECT *, (1 / (60 + a) + 1 / (60 + b) + 1 / (60 + c)) * 60 / 3 AS composite FROM ranks)""" + SQL_CUT
+    """Users with three phrases: auto mode fuses the ranks of cosine, facets and phrases."""
+    pairs = ranking.pairs(_items(spark, d).drop("label", "year"), _users(spark, d, 3))
+    return _shown(ranking.cut(ranking.score(_with_facets(pairs, bags(spark, d), F.col("user") % 2).drop("tags"), "auto")))
 
 
 def tier_percentile(spark: SparkSession, d: str) -> DataFrame:
@@ -140,18 +134,6 @@ r AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY CASE chunk WHEN
 SELECT "user", item, chunk, composite, CAST(place AS INTEGER) AS place FROM r WHERE place <= 3"""
 
 
-def explain_signals(spark: SparkSession, d: str) -> DataFrame:
-    pairs = ranking.score(_pairs(spark, d, 3), "phrases")
-    none = F.array().cast("array<string>")
-    return pairs.select("user", "item", F.array_join(S.signals("matched", none, F.col("cos")), ",").alias("signals"), F.size("matched").alias("n_matched"))
-
-
-EXPLAIN_SIGNALS = SQL_ITEMS + SQL_KW.replace("{k}", "3") + """,
-m AS (SELECT c.item, c."user", CAST(count(t.token) AS INTEGER) AS n_matched FROM cosines c LEFT JOIN top t ON t.label = c."user" AND t.r <= 3 AND contains(lower(c.text), t.token) GROUP BY ALL),
-raw AS (SELECT item, "user", cos, greatest(0, cos) AS c, coalesce(tanh(raw_kw / 25), 0) AS k FROM cosines LEFT JOIN kw USING (item, "user"))
-SELECT "user", item, CASE WHEN n_matched > 0 THEN 'kw' WHEN cos >= 0.40 THEN 'cos' ELSE '' END AS signals, n_matched FROM raw JOIN m USING (item, "user") WHERE NOT (c < 0.18 AND k < 0.20)"""
-
-
 #: Weights of the facet codes of the even and of the odd users.
 PREFS = {0: {"focus": {"IDI": 0.9, "CLO": 0.4}, "method": {"ER": 0.6, "ING": 1.0}}, 1: {"method": {"ER": 1.0}, "subj": {"CHE": 0.8}}}
 
@@ -222,6 +204,28 @@ raw AS (SELECT c.item, c.chunk, c."user", cos, greatest(0, cos) AS c, coalesce(t
 scored AS (SELECT item, chunk, "user", cos, (1 - exp(-3 * greatest(c, k))) * (0.45 * c + 0.20 * dim + 0.30 * k + bonus) AS composite FROM raw WHERE NOT (c < 0.18 AND k < 0.20))""" + SQL_CUT
 
 
+QUEUE_RRF = SQL_ITEMS + SQL_KW.replace("{k}", "3") + f", {DIM_SQL}" + _sql_facets('(c."user" % 2)') + """,
+raw AS (SELECT c.item, chunk, c."user", cos, coalesce(raw_kw, 0) AS raw_kw, f.dim FROM cosines c LEFT JOIN kw USING (item, "user") JOIN facets f USING (item, "user")),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY round(cos, 9) DESC, item) AS a, row_number() OVER (PARTITION BY "user" ORDER BY round(dim, 9) DESC, item) AS b,
+    row_number() OVER (PARTITION BY "user" ORDER BY round(raw_kw, 9) DESC, item) AS c FROM raw),
+scored AS (SELECT *, (1 / (60 + a) + 1 / (60 + b) + 1 / (60 + c)) * 60 / 3 AS composite FROM ranks)""" + SQL_CUT
+
+
+def explain_signals(spark: SparkSession, d: str) -> DataFrame:
+    """What speaks for an item: phrases of the user in it, combos of its facets, and a high cosine if neither does."""
+    pairs = _with_facets(ranking.pairs(_items(spark, d).drop("label", "year"), _users(spark, d, 3)), bags(spark, d), F.col("user") % 2)
+    bag = F.coalesce(F.flatten(F.map_values("tags")), F.array().cast("array<string>"))
+    scored = ranking.score(pairs.withColumn("combos", S.combo_hits(bag, _combos(), S.pref_codes(_prefs(F.col("user") % 2)))), "phrases")
+    return scored.select("user", "item", F.array_join(S.signals("matched", "combos", F.col("cos")), ",").alias("signals"), F.size("matched").alias("n_matched"), F.size("combos").alias("n_combos"))
+
+
+EXPLAIN_SIGNALS = SQL_ITEMS + SQL_KW.replace("{k}", "3") + f", {DIM_SQL}" + _sql_facets('(c."user" % 2)') + """,
+m AS (SELECT c.item, c."user", CAST(count(t.token) AS INTEGER) AS n_matched FROM cosines c LEFT JOIN top t ON t.label = c."user" AND t.r <= 3 AND contains(lower(c.text), t.token) GROUP BY ALL),
+raw AS (SELECT item, "user", cos, greatest(0, cos) AS c, coalesce(tanh(raw_kw / 25), 0) AS k FROM cosines LEFT JOIN kw USING (item, "user"))
+SELECT item, "user", CASE WHEN n_matched > 0 AND coalesce(n, 0) > 0 THEN 'kw,combo' WHEN n_matched > 0 THEN 'kw' WHEN coalesce(n, 0) > 0 THEN 'combo' WHEN cos >= 0.40 THEN 'cos' ELSE '' END AS signals, n_matched, CAST(coalesce(n, 0) AS INTEGER) AS n_combos
+FROM raw JOIN m USING (item, "user") LEFT JOIN combos USING (item, "user") WHERE NOT (c < 0.18 AND k < 0.20)"""
+
+
 def serve_fresh(spark: SparkSession, d: str) -> DataFrame:
     """Three next items of the stored facet queue by the latest weights: every user's newest profile that has any."""
     queue = _facet_queue(spark, d).select("user", "item", "chunk", "rank_in_chunk", "cos", "tags")

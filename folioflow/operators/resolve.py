@@ -99,7 +99,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float, same: list[st
     same: columns that must be equal as well; before: only pairs in which a's canonical_id sorts before b's.
 
     An insertion or deletion breaks four 4-grams of a title at most, so two similar titles share one of
-    the rarest grams of the shorter (prefix filter); those that meet carry ids, lengths and the parities of their
+    the rarest grams of both (prefix filter); those that meet carry ids, lengths and the parities of their
     2-grams, not titles. One edit changes three 2-grams at most, hence parities of similar titles differ in few bits.
     What is left meets its titles and is compared exactly.
     """
@@ -112,13 +112,21 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float, same: list[st
 
     a = keyed(left)
     b = a if right is left else keyed(right)
-    ga, gb = (x.select("canonical_id", *same, "len", *signs, F.explode("grams").alias("gram")) for x in (a, b))
-    df = gb.groupBy("gram").agg(F.count("*").alias("df"))
+    fields = ["canonical_id", *same, "len", *signs]
+    grams = lambda x: x.select(*fields, F.explode("grams").alias("gram"))
+    df = grams(b).groupBy("gram").agg(F.count("*").alias("df"))
     # A partner is (2 - least) / least times as long at most, which bounds the edits and so the grams they break.
     lost = F.ceil(F.col("len") * 2 * (1 - least) / least) * 4 + 1
-    first = ga.join(df, "gram").groupBy("canonical_id", *same, "len", *signs).agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
-    prefix = first.select(*[F.col(c).alias(f"{c}_a") for c in ("canonical_id", *same, "len", *signs)], F.explode(F.slice("g", F.lit(1), lost.cast("int"))).alias("g")).withColumn("gram", F.col("g.gram")).drop("g")
-    other = gb.select(*[F.col(c).alias(f"{c}_b") for c in ("canonical_id", *same, "len", *signs)], "gram")
+
+    def rarest(x: DataFrame) -> DataFrame:
+        first = grams(x).join(df, "gram").groupBy(*fields).agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
+        return first.select(*fields, F.explode(F.slice("g", F.lit(1), lost.cast("int"))).alias("g")).select(*fields, "g.gram")
+
+    # Of each side only the rarest grams, in one order, have to meet: two sets that differ in so few grams share one of those.
+    pa = rarest(a)
+    pb = pa if b is a else rarest(b)
+    side = lambda x, name: x.select(*[F.col(c).alias(f"{c}_{name}") for c in fields], "gram")
+    prefix, other = side(pa, "a"), side(pb, "b")
     edits = (1 - least) * (F.col("len_a") + F.col("len_b"))
     differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in signs), F.lit(0))
     near = length_band(F.col("len_a"), F.col("len_b"), least) & (differ <= 3 * edits + 1e-6)

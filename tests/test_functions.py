@@ -80,8 +80,11 @@ def test_inverted_index_whole_keeps_late_words(spark, tmp_path):
 
     rows = [(1, " ".join(f"w{k % 30}" for k in range(75))), (1, "again  the\n same id"), (None, "x " * 25), (3, None), (4, "")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = registry.QUERIES["inverted_index_whole"](spark, str(tmp_path)).collect()
+    got = registry.QUERIES["inverted_index_roundtrip"](spark, str(tmp_path)).collect()
     assert sorted(((r.doc_id, r.words) for r in got), key=str) == sorted(((i, None if t is None else " ".join(t.split())) for i, t in rows), key=str)
+    postings = registry.QUERIES["inverted_index_whole"](spark, str(tmp_path)).collect()
+    want = [(i, w, t.split().count(w), ",".join(str(k) for k, x in enumerate(t.split()) if x == w)) for i, t in rows if t for w in set(t.split())] + [(4, "", 1, "0")]
+    assert sorted(map(tuple, postings), key=str) == sorted(want, key=str)
 
 
 def test_inverted_index(spark):

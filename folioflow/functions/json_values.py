@@ -50,3 +50,35 @@ def string_leaves(x, depth: int = 4) -> Column:
     # Bound once: the tokens are named several times.
     read_once = F.transform(F.array(tokens), read)[0]
     return F.when(F.try_parse_json(x).isNotNull(), read_once).otherwise(F.array().cast("array<string>"))
+
+
+def _fields(x) -> Column:
+    """A JSON object as map of variants, the last of equal keys; what is no object is an empty one."""
+    m = F.from_json(_c(x), "map<string,variant>")
+    none = F.from_json(F.lit("{}"), "map<string,variant>")
+    last = F.filter(F.map_entries(m), lambda e, i: ~F.exists(F.slice(F.map_entries(m), i + 2, F.greatest(F.size(m), F.lit(1))), lambda o: o["key"] == e["key"]))
+    return F.coalesce(F.when(F.size(m) > 0, F.map_from_entries(last)), none)
+
+
+def json_size(x) -> Column:
+    """Items of a JSON list; 0 for null and for what is no list."""
+    return F.coalesce(F.json_array_length(_c(x)), F.lit(0))
+
+
+def json_has(x, key: str) -> Column:
+    """Whether a JSON object has a key, a null value included."""
+    return F.map_contains_key(_fields(x), key)
+
+
+def json_merged(x, y) -> Column:
+    """One object of two, as text: of keys that both have, the second's value. What is no object counts as an empty one."""
+    a, b = _fields(x), _fields(y)
+    return F.to_json(F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b))
+
+
+def like_any(x, *patterns: str) -> Column:
+    """ILIKE any of some patterns; null is none."""
+    out = F.lit(False)
+    for p in patterns:
+        out = out | F.ilike(_c(x), F.lit(p))
+    return F.coalesce(out, F.lit(False))

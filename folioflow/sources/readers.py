@@ -12,6 +12,10 @@ PAPER = (
 SYNOPSIS = "canonical_id string, core_question string, coverage string, frameworks array<struct<name:string,role:string,one_line:string>>, out_of_scope_note string, review_status string"
 
 
+#: Schemas that no ledger may be in.
+RESERVED_SCHEMAS = ("public", "information_schema", "pg_catalog")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -44,6 +48,46 @@ def read_json_dir(spark: SparkSession, path: str, schema: str = SYNOPSIS, key: s
     return good.withColumn(key, F.col("_key")).drop("_key", "_bad").dropDuplicates([key]), problems
 
 
+def read_stage(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The one object of a stage's JSON file; a missing file is an error, as the stage before has not run."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+CANDIDATE_FILE = "doi string, title string, venue string, date string, composite double, best_dim string, tier string, grounding string"
+
+
+def read_candidates(spark: SparkSession, path: str, units: DataFrame, prefix: str = "scout_") -> DataFrame:
+    """(unit_id, position, the fields of CANDIDATE_FILE) of the candidate files of some units: <prefix><unit>.json with a list `candidates`."""
+    from folioflow.functions.text import unit_file
+
+    raw = spark.read.schema(f"candidates array<struct<{CANDIDATE_FILE.replace(' ', ':').replace(',:', ',')}>>").option("multiLine", True).option("pathGlobFilter", f"{prefix}*.json").json(path)
+    named = raw.withColumn("_file", F.regexp_extract(F.col("_metadata.file_name"), rf"^{prefix}(.*)\.json$", 1))
+    files = units.select("unit_id", unit_file("unit_id").alias("_file")).distinct()
+    each = named.join(files, "_file").select("unit_id", F.posexplode("candidates").alias("position", "c"))
+    return each.select("unit_id", (F.col("position") + 1).alias("position"), "c.*")
+
+
+def paper_rows(df: DataFrame, now: Column) -> DataFrame:
+    """Records in the shape of PAPER: missing columns are null, lists and flags have defaults, both timestamps are always set."""
+    fields = [c.strip().split(" ", 1) for c in PAPER.split(", ")]
+    defaults = {"authors": F.array().cast("array<string>"), "is_preprint": F.lit(False), "title_norm": F.lit(""), "first_seen_at": now, "last_updated_at": now}
+    there = {c.lower() for c in df.columns}
+    value = lambda c, kind: F.coalesce(F.col(c).cast(kind) if c in there else F.lit(None).cast(kind), *([defaults[c].cast(kind)] if c in defaults else []))
+    return df.select(*[value(c, kind).alias(c) for c, kind in fields])
+
+
+def schema_name(name: str, foreign: tuple[str, ...] = ()) -> str:
+    """A schema's name that may stand in a statement: a plain word, and none that is reserved or belongs to someone else (foreign)."""
+    import re
+
+    name = name.strip()
+    if name in (*RESERVED_SCHEMAS, *foreign) or not re.fullmatch(r"[a-zA-Z_][a-zA-Z0-9_]*", name):
+        raise ValueError(f"{name!r} cannot be the schema")
+    return name
+
+
 def read_pdf_dir(spark: SparkSession, path: str) -> DataFrame:
     """(path, name, content) of PDF files below a folder, without hidden ones."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][dD][fF]").load(path)

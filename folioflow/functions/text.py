@@ -234,12 +234,18 @@ def chars_without_space(x) -> Column:
     return F.length(F.regexp_replace(_c(x), r"(?U)\s", ""))
 
 
-def gist(titles, question, words: int = 60) -> Column:
-    """Titles and short questions, cut to so many words."""
-    short = F.filter(_c(question), lambda q: F.length(q) < 200)
-    parts = F.split(F.trim(F.concat_ws(" ", F.array_join(_c(titles), " / "), F.array_join(short, " "))), r"\s+")
-    cut = F.array_join(F.slice(parts, 1, words), " ")
-    return F.when(F.size(parts) > words, F.concat(cut, F.lit("…"))).otherwise(cut)
+NO_GIST = "(no project description available)"  # fixed value
+
+
+def gist(titles, questions, words: int = 60) -> Column:
+    """Each project's title and its question, if that is under 200 characters, in one line cut to so many words. Blank ones are left out."""
+    short = lambda q: F.when(F.length(q) < 200, q)
+    some = lambda x: F.nullif(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), F.lit(""))
+    parts = F.array_compact(F.flatten(F.zip_with(_c(titles), _c(questions), lambda t, q: F.array(some(t), some(short(q))))))
+    raw = F.array_join(parts, " ")
+    split = F.filter(F.split(raw, r"(?U)\s+"), lambda w: w != "")
+    cut = F.when(F.size(split) > words, F.concat(F.array_join(F.slice(split, 1, words), " "), F.lit("…"))).otherwise(raw)
+    return F.coalesce(F.nullif(cut, F.lit("")), F.lit(NO_GIST))
 
 
 def _lcs(a: str, b: str) -> int:

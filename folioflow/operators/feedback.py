@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import fixed_values as V
+from folioflow.functions.text import pattern_tokens
 
 STATUS = {"save_later": "saved", "already_read": "read", "not_relevant": "rejected", "skipped": "skipped"}
 
@@ -131,6 +132,31 @@ def token_patterns(events: DataFrame, tokens: Column, by: str, at: list[Column],
     return last.where(F.col("_n") <= recent).select(*([by] if by else []), F.explode(tokens).alias("token")).groupBy(*([by] if by else []), "token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+# --- fixed values: the latest events that an evolution pass looks at, and how often a word makes a pattern ----
+EVOLUTION_EVENTS, PATTERN_LEAST = 200, 2
+SILENT = ["timeout", "no_rec"]
+
+
+def evolution(events: DataFrame, cycles: DataFrame, cycle: str) -> DataFrame:
+    """(change_type, unit_id, detail_json, source): what an evolution pass over a cycle logs. It only logs: no rule changes by it.
+
+    events: event_id, occurred_at, signal, member, unit_id, doi, text, of which the latest EVOLUTION_EVENTS count; cycles: cycle_id,
+    member, unit_id, state, doi, reply_count. Logged are the latest exclusions that belong to the cycle, words that several
+    of the latest refusals share, and units silent in this cycle and in the member's one before.
+    """
+    last = events.orderBy(F.desc("occurred_at"), F.desc("event_id")).limit(EVOLUTION_EVENTS)
+    now = cycles.where(F.col("cycle_id") == cycle)
+    barred = last.where(F.col("signal").isin("thumbs_down", "already_read")).join(now.select("member", "doi"), ["member", "doi"], "left_semi")
+    kind = F.when(F.col("signal") == "already_read", "read_doi").otherwise("exclusion_keyword")
+    first = barred.select(kind.alias("change_type"), F.coalesce("unit_id", F.lit("")).alias("unit_id"), F.to_json(F.struct("doi", "signal", "member")).alias("detail_json"), F.lit("feedback").alias("source"))
+    words = last.where("signal = 'thumbs_down'").select(F.explode(pattern_tokens("text")).alias("token")).groupBy("token").agg(F.count("*").alias("count")).where(F.col("count") >= PATTERN_LEAST)
+    second = words.select(F.lit("query_seed_drop").alias("change_type"), F.lit("").alias("unit_id"), F.to_json(F.struct("token", "count")).alias("detail_json"), F.lit("feedback:pattern").alias("source"))
+    before = cycles.where(F.col("cycle_id") < cycle).groupBy("member").agg(F.max_by(F.coalesce("reply_count", F.lit(0)), "cycle_id").alias("_before"))
+    quiet = now.where((F.coalesce("reply_count", F.lit(0)) == 0) & F.col("state").isin(SILENT)).join(before.where("_before = 0"), "member")
+    third = quiet.select(F.lit("criteria").alias("change_type"), F.coalesce("unit_id", F.lit("")).alias("unit_id"), F.to_json(F.struct(F.lit("silence_streak_2").alias("flag"), "member")).alias("detail_json"), F.lit("silence_pattern").alias("source"))
+    return first.unionByName(second).unionByName(third)
+
+
 def non_repliers(drafts: DataFrame, replies: DataFrame, by: str = "member") -> DataFrame:
     return drafts.join(replies.select(by).distinct(), by, "left_anti")
 

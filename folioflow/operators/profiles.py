@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import fixed_values as V
 from folioflow.functions.rounding import half_even
-from folioflow.functions.text import doi_normalize, salvage_tokens
+from folioflow.functions.json_values import string_leaves
+from folioflow.functions.text import NO_GIST, doi_normalize, gist, keyword_tokens, salvage_tokens
 from folioflow.operators.phrases import CHANNEL_WEIGHTS, channel_hits
 from folioflow.sources.scratch import written
 
@@ -65,6 +66,39 @@ def fingerprint(hits: DataFrame, salvage: DataFrame, few: int = FEW_PHRASES, mos
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
+# --- fixed values: keywords of a topic bundle, and words that its gist is made of at most --------------
+BUNDLE_KEYWORDS, GIST_PARTS = 25, 60
+
+
+def topic_bundles(units: DataFrame, projects: DataFrame, stop: list[str], most: int = BUNDLE_KEYWORDS) -> DataFrame:
+    """(unit_id, members, n_projects, keywords, anchor_dois, gist) of units with projects.
+
+    units: unit_id, member, place; projects: init, project_slug, title and JSON texts purpose, variables, graph, background. Keywords
+    are the commonest tokens of questions, hypotheses, variables and shared paradigms, of equal ones the first to
+    appear, by members in their order, then by slug. Units without a project are left out.
+    """
+    p = projects.withColumnRenamed("init", "member").join(units.select("unit_id", "member", "place"), "member")
+    leaves = [string_leaves(F.get_json_object(c, f"$.{f}")) for c, f in (("variables", "independent_vars"), ("variables", "dependent_vars"), ("graph", "shared_paradigm_with"))]
+    texts = F.concat(F.array_compact(F.array(F.get_json_object("purpose", "$.research_question"), F.get_json_object("purpose", "$.hypothesis"))), *leaves)
+    tokens = F.flatten(F.transform(texts, lambda t: keyword_tokens(t, stop)))
+    each = p.select("unit_id", "place", "project_slug", F.posexplode(tokens).alias("at", "token"))
+    counted = each.groupBy("unit_id", "token").agg(F.count("*").alias("n"), F.min(F.struct("place", "project_slug", "at")).alias("first"))
+    w = Window.partitionBy("unit_id").orderBy(F.desc("n"), "first")
+    top = counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).groupBy("unit_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]).alias("keywords"))
+    dois = p.select("unit_id", F.explode(harvest_dois(F.get_json_object("background", "$.prior_studies"))).alias("doi")).groupBy("unit_id").agg(F.sort_array(F.collect_set("doi")).alias("anchor_dois"))
+    # A gist has sixty words, so the first sixty projects with a title hold it.
+    w = Window.partitionBy("unit_id").orderBy("place", "project_slug")
+    titled = p.select("unit_id", "place", "project_slug", F.coalesce(F.nullif("title", F.lit("")), "project_slug").alias("title"), F.coalesce(F.get_json_object("purpose", "$.research_question"), F.lit("")).alias("question"))
+    early = titled.where(F.trim("title") != "").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= GIST_PARTS + 1)
+    listed = early.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("_r", "title", "question"))).alias("l"))
+    gists = listed.select("unit_id", gist(F.transform("l", lambda x: x["title"]), F.transform("l", lambda x: x["question"]), GIST_PARTS).alias("gist"))
+    slugs = p.groupBy("unit_id").agg(F.count("*").alias("n_projects"))
+    members = units.groupBy("unit_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "member"))), lambda x: x["member"]).alias("members"))
+    none = F.array().cast("array<string>")
+    out = slugs.join(members, "unit_id").join(top, "unit_id", "left").join(dois, "unit_id", "left").join(gists, "unit_id", "left")
+    return out.select("unit_id", "members", "n_projects", F.coalesce("keywords", none).alias("keywords"), F.coalesce("anchor_dois", none).alias("anchor_dois"), F.coalesce("gist", F.lit(NO_GIST)).alias("gist"))
+
+
 def salvage(texts: DataFrame, idf: DataFrame, weights: dict[str, float] = CHANNEL_WEIGHTS, stop: list[str] = V.SALVAGE_STOP, least: float = V.SALVAGE_IDF, top: int = V.SALVAGE_TOP) -> DataFrame:
     """(user, phrase, score, n_hits): leading tokens of a user's texts (user, channel, text) by weighted frequency times idf.
 

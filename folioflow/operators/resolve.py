@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions import fixed_values as V
-from folioflow.functions.text import doi_root, indel_ratio
+from folioflow.functions.text import doi_root, indel_ratio, title_clean
 from folioflow.operators.filters import is_preprint_doi
 from folioflow.sources.scratch import written
 
@@ -213,14 +213,28 @@ def drop_orphans(df: DataFrame, aliases: DataFrame, key: str = "canonical_id") -
     return df.join(aliases.select(F.col("alias").alias(key)), key, "left_anti")
 
 
-def round_robin(candidates: DataFrame, limit: int = 40) -> DataFrame:
+def round_robin(candidates: DataFrame, limit: int | None = 40) -> DataFrame:
     """Candidates of several lanes in turn, deduplicated: of equal keys the longest abstract, at the first one's place.
 
-    candidates: lane, pos, doi, title, date, abstract. The key is the DOI, else the start of the title's key.
+    candidates: lane, pos, doi, title, date, abstract and others, which stay. The key is the DOI, else the first 80 characters of the title in
+    lower case with single blanks. Rows without a title go. limit=None keeps all, unordered.
     """
     titled = candidates.where(F.coalesce("title", F.lit("")) != "")
     place = F.struct("pos", "lane")
-    key = F.coalesce(F.nullif("doi", F.lit("")), F.substring(F.regexp_replace(F.lower("title"), "[^a-z0-9]", ""), 1, 80))
+    key = F.coalesce(F.nullif("doi", F.lit("")), F.substring(title_clean("title"), 1, 80))
     keyed = titled.withColumn("key", key).withColumn("place", place)
-    best = F.max_by(F.struct("doi", "title", "date", "abstract"), F.struct(F.length(F.coalesce("abstract", F.lit(""))), -F.col("pos"), F.col("lane")))
-    return keyed.groupBy("key").agg(F.min("place").alias("place"), best.alias("r")).orderBy("place", "key").limit(limit).select("key", "place.pos", "place.lane", "r.*")
+    rest = [c for c in candidates.columns if c not in ("lane", "pos")]
+    best = F.max_by(F.struct(*rest), F.struct(F.length(F.coalesce("abstract", F.lit(""))), -F.col("pos"), F.col("lane")))
+    out = keyed.groupBy("key").agg(F.min("place").alias("place"), best.alias("r"))
+    return (out if limit is None else out.orderBy("place", "key").limit(limit)).select("key", "place.pos", "place.lane", "r.*")
+
+
+def federated(lanes: DataFrame, since: str, since_preprint: str | None = None, limit: int = 30) -> DataFrame:
+    """What a search over several sources returns: their results in turn, each once, new enough, the first `limit`.
+
+    lanes: lane, pos, doi, title, date (ISO text), is_preprint, abstract. Sources keep their order of relevance, so the
+    result is not sorted by date. A row without a date is not new enough.
+    """
+    met = round_robin(lanes, None)
+    bar = F.when(F.coalesce("is_preprint", F.lit(False)), since_preprint or since).otherwise(since)
+    return met.where(F.col("date") >= bar).orderBy("pos", "lane", "key").limit(limit)

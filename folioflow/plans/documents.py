@@ -348,8 +348,8 @@ def candidate_round_robin(spark: SparkSession, d: str) -> DataFrame:
     return resolve.round_robin(lanes, 40).select("key", "pos", "lane", F.length("abstract").alias("n"))
 
 
-CANDIDATE_ROUND_ROBIN = f"""WITH {PAPERS}, l AS (SELECT source AS lane, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, doi, title, text FROM papers),
-k AS (SELECT *, coalesce(doi, substr(regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), 1, 80)) AS key FROM l WHERE title <> ''),
+CANDIDATE_ROUND_ROBIN = rf"""WITH {PAPERS}, l AS (SELECT source AS lane, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, doi, title, text FROM papers),
+k AS (SELECT *, coalesce(doi, substr(regexp_replace(trim(lower(title)), '\s+', ' ', 'g'), 1, 80)) AS key FROM l WHERE title <> ''),
 g AS (SELECT key, min(struct_pack(pos := pos, lane := lane)) AS p, max(length(text)) AS n FROM k GROUP BY key)
 SELECT key, CAST(p.pos AS INTEGER) AS pos, p.lane AS lane, CAST(n AS INTEGER) AS n FROM g ORDER BY p.pos, p.lane, key LIMIT 40"""
 

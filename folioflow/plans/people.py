@@ -532,8 +532,10 @@ def doi_cells(spark: SparkSession, d: str) -> DataFrame:
     return p.select("doc_id", F.array_join(X.split_values(cell), "|").alias("dois"), F.md5(X.gist(F.array("s1"), F.array(F.coalesce("s2", F.lit(""))))).alias("gist"))
 
 
-DOI_CELLS = rf"""WITH {PIECES}, g AS (SELECT doc_id, w1, w2, regexp_split_to_array(trim(concat_ws(' ', s1, CASE WHEN length(coalesce(s2, '')) < 200 THEN coalesce(s2, '') ELSE '' END)), '\s+') AS p FROM pieces WHERE w1 IS NOT NULL AND w2 IS NOT NULL)
-SELECT doc_id, '10.1000/' || lower(w1) || CASE WHEN lower(w1) <> lower(w2) THEN '|10.1000/' || lower(w2) ELSE '' END AS dois, md5(array_to_string(p[1:60], ' ') || CASE WHEN len(p) > 60 THEN '…' ELSE '' END) AS gist FROM g"""
+DOI_CELLS = rf"""WITH {PIECES}, r AS (SELECT doc_id, w1, w2, concat_ws(' ', nullif(regexp_replace(s1, '^\s+|\s+$', '', 'g'), ''), CASE WHEN length(s2) < 200 THEN nullif(regexp_replace(s2, '^\s+|\s+$', '', 'g'), '') END) AS raw FROM pieces WHERE w1 IS NOT NULL AND w2 IS NOT NULL),
+g AS (SELECT *, [x FOR x IN regexp_split_to_array(raw, '\s+') IF x <> ''] AS p FROM r)
+SELECT doc_id, '10.1000/' || lower(w1) || CASE WHEN lower(w1) <> lower(w2) THEN '|10.1000/' || lower(w2) ELSE '' END AS dois,
+md5(CASE WHEN raw = '' THEN '(no project description available)' WHEN len(p) > 60 THEN array_to_string(p[1:60], ' ') || '…' ELSE raw END) AS gist FROM g"""
 
 
 def full_text_forms(spark: SparkSession, d: str) -> DataFrame:

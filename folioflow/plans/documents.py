@@ -135,6 +135,19 @@ def phrase_greedy(spark: SparkSession, d: str) -> DataFrame:
     return lexical.merge_phrase_scores(scored, ["lang"]).select("lang", "phrase", F.round("score", 6).alias("score"), F.size("channels").alias("n_channels"), "n_hits")
 
 
+def _sql_greedy() -> str:
+    """Each phrase is counted where no longer one was: those are blotted out first. No phrase overlaps itself."""
+    ordered = [("license", 4.0), ("the and", 2.0), ("idiot", 5.0), ("thing", 2.5), ("and", 1.0), ("ing", 0.5)]
+    text, parts = "lower(text)", []
+    for p, w in ordered:
+        parts.append(f"SELECT lang, source, '{p}' AS phrase, {w} AS w, (length(t) - length(replace(t, '{p}', ''))) // {len(p)} AS n FROM (SELECT lang, source, {text} AS t FROM documents)")
+        text = f"replace({text}, '{p}', repeat(chr(1), {len(p)}))"
+    return " UNION ALL ".join(parts)
+
+
+PHRASE_GREEDY = f"SELECT lang, phrase, round(CAST(sum(n * w) AS DOUBLE), 6) AS score, CAST(count(DISTINCT source) AS INTEGER) AS n_channels, CAST(sum(n) AS BIGINT) AS n_hits FROM ({_sql_greedy()}) WHERE n > 0 GROUP BY lang, phrase"
+
+
 def _tags(spark: SparkSession, d: str) -> DataFrame:
     rows = [(dim, code, t) for (dim, code), terms in TAXONOMY.items() for t in terms]
     return lexical.dim_tags(table(spark, d, "documents").select("doc_id", "text"), spark.createDataFrame(rows, "dim string, code string, term string"))
@@ -385,6 +398,22 @@ def html_main(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", X.html_main("html").alias("main"))
 
 
+def _sql_main() -> str:
+    """Blocks that are no content go, then the first of article, main and body that holds something is stripped of its tags."""
+    rest = "html"
+    for tag in ("script", "style", "nav", "header", "footer", "aside", "noscript"):
+        rest = rf"regexp_replace({rest}, '(?is)<{tag}\b.*?</{tag}>', '', 'g')"
+    rest = f"regexp_replace({rest}, '(?s)<!--.*?-->', '', 'g')"
+    inner = ", ".join(rf"nullif(regexp_extract(d, '(?is)<{tag}\b[^>]*>(.*?)</{tag}>', 1), '')" for tag in ("article", "main", "body"))
+    text = f"regexp_replace(coalesce({inner}, d), '(?s)<[^>]+>', ' ', 'g')"
+    for entity, char in (("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("nbsp", "' '"), ("amp", "'&'")):
+        text = f"regexp_replace({text}, '&{entity};?', {char}, 'g')"  # the parser knows these names without a semicolon too
+    return rf"SELECT page_id, trim(regexp_replace({text}, '\s+', ' ', 'g')) AS main FROM (SELECT page_id, {rest} AS d FROM pages)"
+
+
+HTML_MAIN = _sql_main()
+
+
 def doi_normalize(spark: SparkSession, d: str) -> DataFrame:
     raw = F.concat(F.lit("https://doi.org/"), F.upper("doi"), F.element_at(F.array(*map(F.lit, [".", ",", ");", ""])), (F.col("doc_id") % 4 + 1).cast("int")))
     p = papers(spark, d).withColumn("raw", raw)

@@ -78,8 +78,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def hot_keys(left: DataFrame, key: str, least: int = 10_000, share: int = 1_000) -> list:
-    """Keys with more than `least` rows and more than one in `share` of all rows: `share` keys at most, whatever the table's size."""
+def hot_keys(left: DataFrame, key: str, least: int = 10_000, share: int = 1_000, rows: int | None = None) -> list:
+    """Keys with more than `least` rows and more than one in `share` of all rows: `share` keys at most, whatever the table's size.
+
+    rows: a bound of the table's rows, if the caller knows one; within `least` no key can have more.
+    """
+    if rows is not None and rows <= least:
+        return []
     counts = left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col(key).isNotNull() & (F.col("_n") > least))
     big = counts.orderBy(F.desc("_n")).limit(share).collect()
     if not big:
@@ -88,13 +93,13 @@ def hot_keys(left: DataFrame, key: str, least: int = 10_000, share: int = 1_000)
     return [r[0] for r in big if r["_n"] > bar]
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread: Column, hot: list | None = None, salts: int = 64) -> DataFrame:
+def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread: Column, hot: list | None = None, salts: int = 64, rows: int | None = None) -> DataFrame:
     """left LEFT JOIN right on key, right having one row for each key: a hot key's rows go to `salts` tasks.
 
     Only the hot keys' rows of right are copied. `spread` is any column of left that differs within a key;
-    hot is what hot_keys() says of left, if the caller knows it.
+    hot is what hot_keys() says of left, and rows a bound of left's rows, if the caller knows them.
     """
-    hot = hot_keys(left, key) if hot is None else hot
+    hot = hot_keys(left, key, rows=rows) if hot is None else hot
     if not hot:
         return left.join(right, key, "left")
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))

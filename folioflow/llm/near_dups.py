@@ -24,6 +24,7 @@ one; rows without words all stay. An empty table has an empty result.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -42,6 +43,8 @@ COORDINATES = 32
 MISSED = 6e-7
 #: Sets of a few hundred shingles are told apart; longer ones are left to the confirmation.
 PARITY_BITS = 512
+#: Prefixes that one shingle may stand in before it takes two shingles to meet.
+COMMON = 1_000
 _SEEDS = np.random.default_rng(8675309).integers(1, 1 << 63, size=(2, COORDINATES), dtype=np.uint64) | np.uint64(1)
 
 
@@ -129,7 +132,11 @@ def _attach(pairs: DataFrame, cands: DataFrame, column: str, side: str, other: s
 def confirmed(pairs: DataFrame, cands: DataFrame, threshold: int, done: tuple[DataFrame, ...] = ()) -> DataFrame:
     """The pairs (a, b) that agree in enough coordinates and whose full shingle sets reach the threshold."""
     pairs = written(pairs, "near-dup-pairs", done)
-    hot = {side: hot_keys(pairs, side) for side in "ab"}
+    n = pairs.count()
+    if not n:
+        drop_written(pairs)
+        return pairs.sparkSession.createDataFrame([], "a long, b long")
+    hot = {side: hot_keys(pairs, side, rows=n) for side in "ab"}
     both = _attach(_attach(pairs, cands, "tokens", "a", "b", hot["a"]), cands, "tokens", "b", "a", hot["b"])
     same = F.size(F.filter(F.zip_with("tokens_a", "tokens_b", lambda x, y: x == y), lambda x: x))
     agreeing = written(both.where(same >= least_matches(threshold)).select("a", "b"), "near-dup-agreeing", (pairs,))
@@ -148,10 +155,10 @@ def confirmed(pairs: DataFrame, cands: DataFrame, threshold: int, done: tuple[Da
     return written(texts.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "near-dup-links", (agreeing,))
 
 
-def starred(posts: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): in each token's list the heaviest class against the others; posts have token, id, n, weight."""
+def starred(posts: DataFrame, threshold: int, rows: int) -> DataFrame:
+    """(a, b): in each token's list the heaviest class against the others; posts have token, id, n, weight, and no more than `rows` rows."""
     hubs = posts.groupBy("token").agg(F.max_by(F.struct(F.col("id").alias("a"), F.col("n").alias("an")), F.struct("weight", -F.col("id"))).alias("h")).select("token", "h.a", "h.an")
-    met = salted_left_join(posts, hubs, "token", F.col("id")).where((F.col("id") != F.col("a")) & _sized("n", "an", threshold))
+    met = salted_left_join(posts, hubs, "token", F.col("id"), rows=rows).where((F.col("id") != F.col("a")) & _sized("n", "an", threshold))
     return met.select("a", F.col("id").alias("b")).distinct()
 
 
@@ -191,27 +198,48 @@ def prefix_pairs(open_: DataFrame, cands: DataFrame, threshold: int) -> tuple[Da
     ranked = each.join(df, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s")).join(sets.drop("set"), "id")
     rare = F.col("n") - F.size("s")  # shingles nobody else has stand before those in s
     room = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1 - rare
-    posts = ranked.where(room > 0).select("id", "comp", "n", *words, rare.alias("rare"), F.posexplode(F.slice("s", F.lit(1), room.cast("int"))).alias("k", "s"))
+    # One place more than the prefix: sets at the threshold share one shingle within the prefix, and two within one place more.
+    longer = F.slice("s", F.lit(1), (room + 1).cast("int"))
+    posts = ranked.where(room > 0).select("id", "comp", "n", *words, rare.alias("rare"), F.posexplode(longer).alias("k", "s"))
     posts = written(posts.select("s.shingle", "id", "comp", "n", *words, (F.col("k") + F.col("rare")).alias("pos")), "near-dup-prefixes", (sets,))
-    x, y = (posts.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "comp", "n", "pos", *words)]) for side in "ab")
+    common = posts.groupBy("shingle").agg(F.count("*").alias("cnt")).where(F.col("cnt") > COMMON).select("shingle")
+    common = written(common, "near-dup-common")
+    if common.isEmpty():
+        return met_pairs(posts, "shingle", threshold, words, 0), posts
+    # A shingle that very many prefixes hold pairs nobody by itself: two sets share a further one, which is rarer or as common.
+    held = posts.join(common, "shingle")
+    lists = held.groupBy("id", "comp", "n", *words).agg(F.array_sort(F.collect_list(F.struct("pos", "shingle"))).alias("c"))
+    twos = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.size("c")), lambda y: F.struct(F.xxhash64(x["shingle"], y["shingle"]).alias("two"), y["pos"].alias("pos")))))
+    both = lists.select("id", "comp", "n", *words, F.explode(twos).alias("t")).select("t.two", "id", "comp", "n", *words, "t.pos")
+    alone = met_pairs(posts.join(common, "shingle", "left_anti"), "shingle", threshold, words, 1)
+    return alone.unionByName(met_pairs(both, "two", threshold, words, 1)).distinct(), posts
+
+
+def met_pairs(posts: DataFrame, key: str, threshold: int, words: list[str], beyond: int) -> DataFrame:
+    """(a, b) of different components that share a key within the prefix of the pair, or `beyond` places behind it, and whose parities may reach the threshold."""
+    x, y = (posts.select(key, *[F.col(c).alias(f"{c}_{side}") for c in ("id", "comp", "n", "pos", *words)]) for side in "ab")
     need = F.ceil((F.col("n_a") + F.col("n_b")) * threshold / (100 + threshold))
-    near = (F.col("pos_a") <= F.col("n_a") - need) & (F.col("pos_b") <= F.col("n_b") - need)
+    near = (F.col("pos_a") <= F.col("n_a") - need + beyond) & (F.col("pos_b") <= F.col("n_b") - need + beyond)
     differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in words), F.lit(0))
     alike = differ <= F.col("n_a") + F.col("n_b") - 2 * need
-    met = x.join(y, "shingle").where((F.col("comp_a") != F.col("comp_b")) & (F.col("id_a") < F.col("id_b")) & _sized("n_a", "n_b", threshold) & near & alike)
-    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), posts
+    met = x.join(y, key).where((F.col("comp_a") != F.col("comp_b")) & (F.col("id_a") < F.col("id_b")) & _sized("n_a", "n_b", threshold) & near & alike)
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp): the smallest id that each linked id reaches. Labels spread and then jump, so rounds grow with the log of a path."""
     both = written(edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v").distinct(), "near-dup-edges")
+    n = both.count()
+    if not n:
+        drop_written(both)
+        return both.sparkSession.createDataFrame([], "id long, comp long")
     labels = both.groupBy("u").agg(F.least("u", F.min("v")).alias("comp"))
     labels = written(labels, "near-dup-labels")
-    hot = hot_keys(both, "v")
+    hot = hot_keys(both, "v", rows=n)
     while True:
         near = salted_left_join(both, labels.select(F.col("u").alias("v"), "comp"), "v", F.col("u"), hot).groupBy("u").agg(F.min("comp").alias("near"))
         spread = labels.join(near, "u").select("u", F.least("comp", "near").alias("to"), F.col("comp").alias("was"))
-        jumped = salted_left_join(spread, labels.select(F.col("u").alias("to"), F.col("comp").alias("far")), "to", F.col("u"))
+        jumped = salted_left_join(spread, labels.select(F.col("u").alias("to"), F.col("comp").alias("far")), "to", F.col("u"), rows=n)
         new = written(jumped.select("u", F.least("to", F.coalesce("far", "to")).alias("comp"), "was"), "near-dup-labels", (labels,))
         changed = new.where("comp <> was").limit(1).count()
         labels = new.select("u", "comp")
@@ -223,9 +251,18 @@ def components(edges: DataFrame) -> DataFrame:
 def link(classes: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """(id, comp) of the classes that are linked with another one."""
     posts = written(postings(classes, threshold), "near-dup-postings")
+    n = posts.count()
     cands = candidates(posts, classes, docs)
-    links = confirmed(starred(posts, threshold), cands, threshold)
-    comps = components(links)
+    links = [confirmed(starred(posts, threshold, n), cands, threshold)]
+    comps = components(links[0])
+
+    def more(found: DataFrame) -> None:
+        """Takes further links in, if there are any."""
+        nonlocal comps
+        if not found.isEmpty():
+            links.append(found)
+            comps, old = components(reduce(DataFrame.unionByName, links)), comps
+            drop_written(old)
 
     def placed() -> DataFrame:
         """Lists that still hold several components."""
@@ -234,14 +271,12 @@ def link(classes: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
         return at.join(main.where("lo <> hi").select("token", "main"), "token")
 
     # What is apart from the first hub is compared with a second one.
-    second = confirmed(starred(placed().where("comp <> main").select("token", "id", "n", "weight"), threshold), cands, threshold)
-    once, comps = comps, components(links.unionByName(second))
+    more(confirmed(starred(placed().where("comp <> main").select("token", "id", "n", "weight"), threshold, n), cands, threshold))
     # What is still apart, across components.
-    open_ = written(placed().select("id", "comp", "n").distinct(), "near-dup-open", (once, posts))
+    open_ = written(placed().select("id", "comp", "n").distinct(), "near-dup-open", (posts,))
     pairs, prefixes = prefix_pairs(open_, cands, threshold)
-    late = confirmed(pairs, cands, threshold, (prefixes, open_))
-    once, comps = comps, components(links.unionByName(second).unionByName(late))
-    drop_written(once, links, second, late, cands)
+    more(confirmed(pairs, cands, threshold, (prefixes, open_)))
+    drop_written(*links, cands)
     return comps
 
 
@@ -251,13 +286,14 @@ def judged(df: DataFrame, key: str, text: str, threshold: int) -> DataFrame:
     label = F.struct(F.col("key").isNull().alias("no_key"), "key", "row_hash")
     classes = sigs.where("n_shingles > 0").groupBy("set_key").agg(F.min(label).alias("label"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "near-dup-classes")
+    n_classes = classes.count()
     comps = link(classes, df.select(F.col(key).alias("key"), F.col(text).alias("text")), threshold)
     named = classes.select("id", "set_key", "label").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     smallest = named.groupBy("comp").agg(F.min("label").alias("label"))
-    by_set = written(salted_left_join(named.drop("label"), smallest, "comp", F.col("id")).select("set_key", "label"), "near-dup-labelled", (comps, classes))
+    by_set = written(salted_left_join(named.drop("label"), smallest, "comp", F.col("id"), rows=n_classes).select("set_key", "label"), "near-dup-labelled", (comps, classes))
     some, none = sigs.where("n_shingles > 0"), sigs.where("n_shingles = 0")
     columns = ["key", "row_hash", "n_shingles"]
-    met = salted_left_join(some.select(*columns, "set_key"), by_set, "set_key", F.xxhash64("key", "row_hash"))
+    met = salted_left_join(some.select(*columns, "set_key"), by_set, "set_key", F.xxhash64("key", "row_hash"), rows=sigs.count())
     return met.select(*columns, "label").unionByName(none.select(*columns, F.lit(None).cast(by_set.schema["label"].dataType).alias("label")))
 
 

@@ -155,3 +155,65 @@ def test_threshold_of_the_stage(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     for limit, frame in ((0.8, corpus_pipeline.drop_near_dups(spark, docs, "")), (0.8, near_dups.near_dups(docs, threshold=80).where("kept")), (0.85, near_dups.near_dups(docs).where("kept"))):
         assert {r.doc_id for r in frame.collect()} == {i for i, *_ in rows} - {i for i, x in likeness.items() if x >= limit}
+
+
+def phrased(seed=21, n=220):
+    """Texts made of a few phrases, so that every shingle is common, and near copies of some of them."""
+    rng = random.Random(seed)
+    phrases = [[f"p{k}w{j}" for j in range(14)] for k in range(9)]
+    rows = []
+    for _ in range(n):
+        rows.append([w for k in rng.sample(range(9), 4) for w in phrases[k]])
+    rows += [[*rng.choice(rows)[:-1], f"own{k}"] for k in range(40)] + [[f"own{k}", *rng.choice(rows)[1:]] for k in range(40)]
+    rng.shuffle(rows)
+    return [(k, " ".join(t), None) for k, t in enumerate(rows)]
+
+
+def test_common_shingles_meet_by_two(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "COMMON", 5)
+    by_two = []
+    met = near_dups.met_pairs
+    monkeypatch.setattr(near_dups, "met_pairs", lambda posts, key, *a: by_two.append(key) or met(posts, key, *a))
+    for rows in (phrased(), planted()):
+        assert result(spark, rows) == brute(rows)
+    assert "two" in by_two
+
+
+def prefixes(spark, rows, comp=None):
+    """What prefix_pairs() lets meet, each row being a component of its own."""
+    sets = [shingles(t) for _, t, _ in rows]
+    cands = spark.createDataFrame([(i, t) for i, t, _ in rows], "id long, text string")
+    open_ = spark.createDataFrame([(i, i, len(s)) for (i, _, _), s in zip(rows, sets, strict=True)], "id long, comp long, n long")
+    return [tuple(r) for r in near_dups.prefix_pairs(open_, cands, 85)[0].collect()]
+
+
+def test_two_shingles_lose_no_pair(spark, monkeypatch):
+    rows = [(i, t, None) for i, t in enumerate({t for _, t, _ in phrased(22, 120)})]
+    sets = [shingles(t) for _, t, _ in rows]
+    want = {(a, b) for b in range(len(rows)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    monkeypatch.setattr(near_dups, "COMMON", 4)
+    got = prefixes(spark, rows)
+    assert want and want <= set(got) and len(got) == len(set(got))
+
+
+def test_one_shingle_of_all_sets_pairs_nobody(spark, monkeypatch):
+    """Sets that share one shingle, and have another that a few share: pairs don't grow with the square of the rows."""
+    monkeypatch.setattr(near_dups, "COMMON", 10)
+    found = []
+    for n in (200, 400):
+        rows = [(k, f"one shingle of all sets mine{k // 2} and {'x' if k % 2 else 'y'}", None) for k in range(n)]
+        found.append(len(prefixes(spark, rows)))
+    assert found[1] <= 2.5 * max(found[0], 1) and found[1] < 400 * 2
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs at exactly 85 per cent agree in enough coordinates."""
+    rng = random.Random(23)
+    rows = []
+    for k in range(2000):
+        words = [f"{rng.randrange(10**9):x}" for _ in range(189 + 15)]
+        rows += [(2 * k, " ".join(words[:189])), (2 * k + 1, " ".join(words[15:]))]
+    assert 100 * len(shingles(rows[0][1]) & shingles(rows[1][1])) == 85 * len(shingles(rows[0][1]) | shingles(rows[1][1]))
+    tokens = {r["key"]: np.array(r["tokens"]) for r in near_dups.signatures(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    agree = np.array([(tokens[2 * k] == tokens[2 * k + 1]).sum() for k in range(2000)])
+    assert agree.min() >= near_dups.least_matches(85) and abs(agree.mean() - 0.85 * near_dups.COORDINATES) < 0.3

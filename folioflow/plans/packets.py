@@ -60,16 +60,16 @@ SELECT member, CASE WHEN alts IS NULL THEN member ELSE 'c' || member END AS unit
 
 
 def review_packet(spark: SparkSession, d: str) -> DataFrame:
-    """Brands as units, parts of one size as candidates: the lines of all pages."""
-    p = table(spark, d, "part").where("p_size = 7")
+    """Brands as units, their forty dearest parts as the search's candidates: the lines of all pages."""
+    p = table(spark, d, "part")
     place = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey"))
-    c = p.select(F.col("p_brand").alias("unit_id"), place.alias("position"), F.concat(F.lit("10.1/"), "p_partkey").alias("doi"), F.col("p_name").alias("title"), F.col("p_brand").alias("venue"), F.lit("2024").alias("date"), F.col("p_retailprice").alias("composite"), F.lit("D1").alias("best_dim"), F.lit("strict").alias("tier"), F.col("p_type").alias("grounding"))
+    c = p.select(F.col("p_brand").alias("unit_id"), place.alias("position"), F.concat(F.lit("10.1/"), "p_partkey").alias("doi"), F.col("p_name").alias("title"), F.col("p_brand").alias("venue"), F.lit("2024").alias("date"), F.col("p_retailprice").alias("composite"), F.lit("D1").alias("best_dim"), F.lit("strict").alias("tier"), F.col("p_type").alias("grounding")).where("position <= 40")
     units = c.where("position = 1").select("unit_id", "doi")
     drafts = units.where("unit_id NOT LIKE '%5'").select("unit_id", F.concat(F.lit("On "), "doi").alias("channel_text"), F.lit(packet.LINK).alias("dm_ping_text"))
     return packet.packet_lines("r1", units, c, drafts)
 
 
-REVIEW_PACKET = """WITH c AS (SELECT p_brand AS u, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS pos, '10.1/' || p_partkey AS doi, p_name AS title, p_retailprice AS comp, p_type AS g FROM part WHERE p_size = 7),
+REVIEW_PACKET = """WITH c AS (SELECT p_brand AS u, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS pos, '10.1/' || p_partkey AS doi, p_name AS title, p_retailprice AS comp, p_type AS g FROM part QUALIFY pos <= 40),
 k AS (SELECT u, doi, title, comp, CAST(count(*) OVER (PARTITION BY u) AS VARCHAR) AS n, pos FROM c WHERE u NOT LIKE '%5'),
 t AS (SELECT * FROM k WHERE pos = 1),
 b AS (SELECT c.u, c.pos, '- **#' || c.pos || '** ' || c.comp || ' (D1) [strict]' || CASE WHEN c.pos = 1 THEN ' (chosen)' ELSE '' END || ' ' || c.title AS l1, '  ' || c.u || ' · 2024 · ' || c.doi AS l2, '  ' || substr(g, 1, 200) AS l3 FROM c JOIN t USING (u)),

@@ -24,10 +24,10 @@ def _sessions(spark: SparkSession, d: str) -> DataFrame:
 
 def session_open(spark: SparkSession, d: str) -> DataFrame:
     users = table(spark, d, "customer").select(F.col("c_custkey").alias("user"))
-    return sessions.open_or_reuse(users, _sessions(spark, d).where("session_id % 3 = 0"), -F.col("user") - 1)
+    return sessions.open_or_reuse(users, _sessions(spark, d), -F.col("user") - 1)
 
 
-SESSION_OPEN = """WITH o AS (SELECT o_custkey AS "user", arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS sid FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 3 = 0 GROUP BY 1)
+SESSION_OPEN = """WITH o AS (SELECT o_custkey AS "user", arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS sid FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
 SELECT c_custkey AS "user", coalesce(sid, -c_custkey - 1) AS session_id, sid IS NOT NULL AS reused FROM customer LEFT JOIN o ON o."user" = c_custkey"""
 
 
@@ -238,23 +238,23 @@ SELECT unit, doi, alternates, body, CAST(length(regexp_replace(body, '\s', '', '
 
 
 def followup_drafts(spark: SparkSession, d: str) -> DataFrame:
-    replied = table(spark, d, "events").where("event_type = 'click'").select(F.col("user_id").alias("unit")).where("unit % 2 = 0")
+    replied = table(spark, d, "events").where("event_type = 'click'").select(F.col("user_id").alias("unit"))
     return drafts.followups(_drafts(spark, d), replied, BANNED).select("unit", "doi", "body")
 
 
 FOLLOWUP_DRAFTS = f"""WITH {_DRAFTS} SELECT unit, doi, 'Did you see "' || title || '" (https://doi.org/' || doi || ')?' AS body FROM recs
-WHERE lower(title) <> '1-urgent' AND unit NOT IN (SELECT user_id FROM events WHERE event_type = 'click' AND user_id % 2 = 0)"""
+WHERE lower(title) <> '1-urgent' AND unit NOT IN (SELECT user_id FROM events WHERE event_type = 'click')"""
 
 
 def acknowledgement_drafts(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("user_id")
-    replies = table(spark, d, "events").where("event_id % 5 = 0").groupBy(k.alias("unit"), F.col("event_type").alias("signal")).agg(
+    replies = table(spark, d, "events").groupBy(k.alias("unit"), F.col("event_type").alias("signal")).agg(
         F.when(F.max("event_id") % 2 == 0, F.concat(F.lit("10.9/"), F.max("event_id"))).alias("picked"), F.when(F.max("event_id") % 3 == 0, "review").alias("excluded")
     )
     return drafts.acknowledgements(replies, _drafts(spark, d), {"click": "Noted.", "view": "Seen."}, "Thank you.", BANNED)
 
 
-ACKNOWLEDGEMENT_DRAFTS = f"""WITH {_DRAFTS}, r AS (SELECT user_id AS unit, event_type AS signal, max(event_id) AS e FROM events WHERE event_id % 5 = 0 GROUP BY ALL)
+ACKNOWLEDGEMENT_DRAFTS = f"""WITH {_DRAFTS}, r AS (SELECT user_id AS unit, event_type AS signal, max(event_id) AS e FROM events GROUP BY ALL)
 SELECT r.unit, signal, coalesce(doi, '') AS doi, concat_ws(' ', '"' || coalesce(title, '-') || '":', CASE signal WHEN 'click' THEN 'Noted.' WHEN 'view' THEN 'Seen.' ELSE 'Thank you.' END,
   CASE WHEN e % 2 = 0 THEN 'Next: 10.9/' || e || '.' END, CASE WHEN e % 3 = 0 THEN 'Excluded: review.' END) AS body FROM r LEFT JOIN recs ON recs.unit = r.unit WHERE lower(coalesce(title, '')) <> '1-urgent'"""
 

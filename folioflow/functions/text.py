@@ -177,41 +177,79 @@ def xml_text(x) -> Column:
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 
+# --- fixed values: where the main text of a page may be, in order, what is no text in it, and how long it must be ----
+MAIN_PLACES = ["article", "role=main", "main", ".article-fulltext", ".fulltext-view", "#bodymatter", ".c-article-body", "#content"]
+NO_TEXT = {"nav", "header", "footer", ".references", "#references", "role=navigation"}
+MAIN_LEAST = 1200
+_UNSEEN = {"script", "style", "noscript", "template"}
+_VOID = {"br", "img", "hr", "input", "meta", "link", "source", "area", "base", "col", "embed", "track", "wbr"}
+
+
 class _Main(HTMLParser):
-    skip = {"script", "style", "nav", "header", "footer", "aside", "noscript"}
-    void = {"br", "img", "hr", "input", "meta", "link", "source", "area", "base", "col", "embed", "track", "wbr"}
+    """Collects the text of the first element of each place: all that is shown, and what is left without NO_TEXT inside the element."""
 
     def __init__(self):
         super().__init__()
-        self.open, self.found = [], {}
+        self.open: list[str] = []
+        self.unseen, self.dropped = 0, []  # open elements that show nothing, depths of open NO_TEXT elements
+        self.begun: dict[str, int] = {"": 0}  # place -> depth; "" is the whole page
+        self.live = {""}
+        self.shown: dict[str, list[str]] = {"": []}
+        self.kept: dict[str, list[str]] = {"": []}
+
+    def _names(self, tag, attrs):
+        at = {k: v or "" for k, v in attrs}
+        return {tag, f"role={at.get('role', '').strip().lower()}", f"#{at.get('id', '')}", *(f".{c}" for c in at.get("class", "").split())}
 
     def handle_starttag(self, tag, attrs):
-        if tag not in self.void:
-            self.open.append((tag, "main" if dict(attrs).get("role") == "main" else tag))
+        if tag in _VOID:
+            return
+        names = self._names(tag, attrs)
+        depth = len(self.open) + 1
+        for place in (*MAIN_PLACES, "body"):
+            if place in names and place not in self.begun:
+                self.begun[place], self.shown[place], self.kept[place] = depth, [], []
+                self.live.add(place)
+        self.open.append(tag)
+        self.unseen += tag in _UNSEEN
+        if names & NO_TEXT:
+            self.dropped.append(depth)
 
     def handle_endtag(self, tag):
-        while self.open and self.open.pop()[0] != tag:
-            pass
+        if tag not in self.open:
+            return
+        while self.open:
+            depth, last = len(self.open), self.open.pop()
+            self.unseen -= last in _UNSEEN
+            if self.dropped and self.dropped[-1] == depth:
+                self.dropped.pop()
+            self.live = {p for p in self.live if self.begun[p] < depth}
+            if last == tag:
+                break
 
     def handle_data(self, data):
-        if data.strip() and not any(t in self.skip for t, _ in self.open):
-            for role in {r for _, r in self.open} | {"all"}:
-                self.found.setdefault(role, []).append(data)
+        if data.strip() and not self.unseen:
+            for place in self.live:
+                self.shown[place].append(data)
+                # Only what is inside the element can be taken out of it.
+                if not (self.dropped and self.dropped[-1] > self.begun[place]):
+                    self.kept[place].append(data)
 
 
-@F.pandas_udf(T.StringType())
-def html_main(pages: pd.Series) -> pd.Series:
-    """Main text of HTML pages: the first of article, main, body that has any, without navigation."""
+def main_text(html: str, least: int = MAIN_LEAST) -> str:
+    """The text of the first place that shows more than `least` characters, else of the body, else of the whole page."""
+    page = _Main()
+    page.feed(html)
+    page.close()
+    joined = lambda parts: " ".join(" ".join(parts).split())
+    place = next((p for p in MAIN_PLACES if len(joined(page.shown.get(p, []))) > least), "body" if "body" in page.begun else "")
+    return joined(page.kept[place])
 
-    def pick(html):
-        if html is None:
-            return None
-        p = _Main()
-        p.feed(html)
-        parts = next((p.found[k] for k in ("article", "main", "body", "all") if k in p.found), [])
-        return " ".join(" ".join(parts).split())
 
-    return pages.map(pick)
+@F.pandas_udf(T.StringType())
+def html_main(pages: pd.Series) -> pd.Series:
+    """main_text() of HTML pages; null stays null."""
+    return pages.map(lambda html: None if html is None else main_text(html))
 
 
 def full_text(xml, pdf, html, least: int = 1500) -> Column:

@@ -399,16 +399,20 @@ def html_main(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sql_main() -> str:
-    """Blocks that are no content go, then the first of article, main and body that holds something is stripped of its tags."""
-    rest = "html"
-    for tag in ("script", "style", "nav", "header", "footer", "aside", "noscript"):
-        rest = rf"regexp_replace({rest}, '(?is)<{tag}\b.*?</{tag}>', '', 'g')"
-    rest = f"regexp_replace({rest}, '(?s)<!--.*?-->', '', 'g')"
-    inner = ", ".join(rf"nullif(regexp_extract(d, '(?is)<{tag}\b[^>]*>(.*?)</{tag}>', 1), '')" for tag in ("article", "main", "body"))
-    text = f"regexp_replace(coalesce({inner}, d), '(?s)<[^>]+>', ' ', 'g')"
-    for entity, char in (("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("nbsp", "' '"), ("amp", "'&'")):
-        text = f"regexp_replace({text}, '&{entity};?', {char}, 'g')"  # the parser knows these names without a semicolon too
-    return rf"SELECT page_id, trim(regexp_replace({text}, '\s+', ' ', 'g')) AS main FROM (SELECT page_id, {rest} AS d FROM pages)"
+    """The article if it shows enough, else the body, without blocks that are no text."""
+    without = lambda x, tags: x if not tags else without(rf"regexp_replace({x}, '(?is)<{tags[0]}\b.*?</{tags[0]}>', '', 'g')", tags[1:])
+    inner = lambda tag: rf"coalesce(nullif(regexp_extract(d, '(?is)<{tag}\b[^>]*>(.*?)</{tag}>', 1), ''), nullif(regexp_extract(d, '(?is)<{tag}\b[^>]*>(.*)$', 1), ''), '')"
+
+    def text(x: str) -> str:
+        x = f"regexp_replace({x}, '(?s)<[^>]+>', ' ', 'g')"
+        for entity, char in (("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("nbsp", "' '"), ("amp", "'&'")):
+            x = f"regexp_replace({x}, '&{entity};?', {char}, 'g')"  # the parser knows these names without a semicolon too
+        return rf"trim(regexp_replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '\s+', ' ', 'g'))"
+
+    blocks = ["nav", "header", "footer"]
+    seen = f"regexp_replace({without('html', ['script', 'style', 'noscript', 'template'])}, '(?s)<!--.*?-->', '', 'g')"
+    long = f"length({text(inner('article'))}) > 1200"
+    return f"SELECT page_id, CASE WHEN {long} THEN {text(without(inner('article'), blocks))} ELSE {text(without(inner('body'), blocks))} END AS main FROM (SELECT page_id, {seen} AS d FROM pages)"
 
 
 HTML_MAIN = _sql_main()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,63 @@ def read_stage(spark: SparkSession, path: str, schema: str) -> DataFrame:
 CANDIDATE_FILE = "doi string, title string, venue string, date string, composite double, best_dim string, tier string, grounding string"
 
 
+def write_stage(df: DataFrame, path: str) -> None:
+    """Writes a table of one row as a stage's JSON file: beside it first, then under its name, so that a reader sees the old file or the new one."""
+    spark = df.sparkSession
+    rows = df.limit(2).toJSON().collect()
+    if len(rows) != 1:
+        raise ValueError("a stage is one object")
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(beside)
+    try:
+        out.write(bytearray(rows[0].encode()))
+    finally:
+        out.close()
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(kind, 1)
+    over[0] = kind.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration()).rename(files.makeQualified(beside), files.makeQualified(target), over)
+
+
+def read_vectors(spark: SparkSession, path: str, model: str, store: DataFrame | None = None) -> DataFrame:
+    """(canonical_id, embedding) of a model from a JSONL file, or, where there is no such file, from the store's table; the last row of an id counts.
+
+    store: canonical_id, model_name, embedding_json.
+    """
+    if exists(spark, path):
+        rows = read_jsonl(spark, path, "canonical_id string, model_name string, embedding_json array<double>").select("canonical_id", "model_name", F.col("embedding_json").alias("embedding"), F.monotonically_increasing_id().alias("_at"))
+    elif store is not None:
+        rows = store.select("canonical_id", "model_name", F.from_json("embedding_json", "array<double>").alias("embedding"), F.monotonically_increasing_id().alias("_at"))
+    else:
+        raise FileNotFoundError(path)
+    mine = rows.where((F.col("model_name") == model) & F.col("canonical_id").isNotNull())
+    return mine.groupBy("canonical_id").agg(F.max_by("embedding", "_at").alias("embedding"))
+
+
+def read_parameters(spark: SparkSession, path: str, schema: str, missing: str = "error") -> DataFrame:
+    """A parameter table from JSON; where the file is missing, an error, or no rows if `missing` is "empty"."""
+    if missing not in ("error", "empty"):
+        raise ValueError("missing is error or empty")
+    if not exists(spark, path):
+        if missing == "error":
+            raise FileNotFoundError(path)
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def tables_there(spark: SparkSession, wanted: dict[str, list[str]]) -> DataFrame:
+    """(table, column, there): whether the catalog has the tables and columns that a run needs; a table's own row has no column."""
+    rows = []
+    for name, columns in wanted.items():
+        there = spark.catalog.tableExists(name)
+        have = {c.name.lower() for c in spark.catalog.listColumns(name)} if there else set()
+        rows += [(name, None, there)] + [(name, c, c.lower() in have) for c in columns]
+    return spark.createDataFrame(rows, "table string, column string, there boolean")
+
+
 def read_candidates(spark: SparkSession, path: str, units: DataFrame, prefix: str = "scout_") -> DataFrame:
     """(unit_id, position, the fields of CANDIDATE_FILE) of the candidate files of some units: <prefix><unit>.json with a list `candidates`."""
     from folioflow.functions.text import unit_file

@@ -111,8 +111,15 @@ def test_ratios(spark):
 
 
 def test_html_main(spark):
-    html = "<html><body><nav>menu</nav><article>Main <b>text</b><script>x()</script></article>foot</body></html>"
-    assert one(spark, X.html_main("x"), x=html) == "Main text"
+    long = "word " * 300
+    page = lambda x: one(spark, X.html_main("x"), x=x)
+    assert page(f"<html><body><nav>menu</nav><article>Main <b>text</b><script>x()</script> {long}<footer>f</footer></article>foot</body></html>") == ("Main text " + long).strip()
+    assert page("<html><head><title>t</title></head><body><nav>menu</nav><article>Short <b>text</b><style>x</style></article>rest<footer>f</footer></body></html>") == "Short text rest"
+    assert page(f"<body><article>short</article><div role='main'>{long}<ul class='a references'>gone</ul></div><main>{long} other</main></body>") == long.strip()
+    assert page(f"<body><nav><div id=content>{long}</div></nav></body>") == long.strip()  # what is around a place doesn't count
+    assert page(f"<body><div class='x c-article-body'><nav>{long}</nav>left</div>b</body>") == "left"  # measured with what is taken out
+    assert page("a <b>bare</b> page &amp; &eacute;<br>x") == "a bare page & é x" and page("") == "" and page(None) is None
+    assert page("<body><p>unclosed <div>x</body>after") == "unclosed x" and page("<body></i>stray</body>") == "stray"
 
 
 def test_dates(spark):

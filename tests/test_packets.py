@@ -88,3 +88,33 @@ def test_json_operators(spark):
     assert got == [{"a": 1, "b": [True], "x": 'q"r'}, {"a": 2}, {}, {"a": 3}]
     assert [tuple(r) for r in df.select(json_has("x", "a"), json_has("y", "b"), json_size("y")).collect()] == [(True, True, 0), (False, False, 0), (False, False, 0), (True, False, 1)]
     assert [r[0] for r in spark.createDataFrame([("View",), (None,), ("x%y",)], "t string").select(like_any("t", "vi%", "%ERROR")).collect()] == [True, False, False]
+
+
+def test_stage_is_written_whole(spark, tmp_path):
+    path = str(tmp_path / "s.json")
+    for n in (1, 2):
+        readers.write_stage(spark.createDataFrame([("r", n, ["é"])], "run_id string, n int, l array<string>"), path)
+        assert readers.read_stage(spark, path, "run_id string, n int, l array<string>").collect() == [("r", n, ["é"])]
+    with pytest.raises(ValueError):
+        readers.write_stage(spark.range(2), path)
+    assert [f.name for f in tmp_path.iterdir() if not f.name.endswith(".crc")] == ["s.json"]
+
+
+def test_vectors_and_parameters(spark, tmp_path):
+    (tmp_path / "v.jsonl").write_text("\n".join(json.dumps(x) for x in ({"canonical_id": "a", "model_name": "m", "embedding_json": [1, 2]}, {"canonical_id": "a", "model_name": "m", "embedding_json": [3.5]}, {"canonical_id": "b", "model_name": "other", "embedding_json": [1]}, {"model_name": "m", "embedding_json": [1]})))
+    store = spark.createDataFrame([("z", "m", "[0.5, 1]"), ("y", "n", "[]")], "canonical_id string, model_name string, embedding_json string")
+    assert readers.read_vectors(spark, str(tmp_path / "v.jsonl"), "m", store).collect() == [("a", [3.5])]
+    assert readers.read_vectors(spark, str(tmp_path / "no.jsonl"), "m", store).collect() == [("z", [0.5, 1.0])]
+    with pytest.raises(FileNotFoundError):
+        readers.read_vectors(spark, str(tmp_path / "no.jsonl"), "m")
+    (tmp_path / "t.json").write_text('[{"id": "c1", "codes": ["A"]}]')
+    assert readers.read_parameters(spark, str(tmp_path / "t.json"), "id string, codes array<string>").collect() == [("c1", ["A"])]
+    assert readers.read_parameters(spark, str(tmp_path / "no.json"), "id string", "empty").count() == 0
+    with pytest.raises(FileNotFoundError):
+        readers.read_parameters(spark, str(tmp_path / "no.json"), "id string")
+
+
+def test_tables_of_the_catalog(spark):
+    spark.createDataFrame([(1,)], "k int").createOrReplaceTempView("there_is")
+    got = {(r["table"], r["column"]): r["there"] for r in readers.tables_there(spark, {"there_is": ["K", "x"], "there_is_not": ["k"]}).collect()}
+    assert got == {("there_is", None): True, ("there_is", "K"): True, ("there_is", "x"): False, ("there_is_not", None): False, ("there_is_not", "k"): False}

@@ -7,7 +7,8 @@ files further in are carved.
 
 Defined results: null or empty bytes have no type, no length and nothing carved; a declared type is kept
 where nothing valid starts at offset 0; files inside a validated file are reported too, files that are
-cut off are not.
+cut off are not; repeated rows have equal results; an empty table has an empty result; other columns stay, but
+store_text() replaces columns that have the names of its two results (pass other names for these).
 """
 
 from __future__ import annotations
@@ -241,12 +242,13 @@ def wav_of(payload: Column, rate: int = 8000) -> Column:
     )
 
 
-def store_text(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
-    """df with n_bytes and the text's UTF-8, padded by bytes 255 to whole frames, as a WAV file."""
+def store_text(df: DataFrame, text: str = "text", media: str = "media", n_bytes: str = "n_bytes") -> DataFrame:
+    """df with the size of the text's UTF-8 (n_bytes) and with it, padded by bytes 255 to whole frames, as a WAV file (media)."""
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     n = F.octet_length(raw)
     pad = F.greatest(F.ceil(n / FRAME), F.lit(1)) * FRAME - n
-    return df.withColumn("n_bytes", n.cast("long")).withColumn(media, wav_of(F.concat(raw, F.unhex(F.repeat(F.lit("FF"), pad.cast("int"))))))
+    whole = wav_of(F.concat(raw, F.unhex(F.repeat(F.lit("FF"), pad.cast("int")))))
+    return df.withColumns({n_bytes: n.cast("long"), media: whole})
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,9 +130,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if not n:
         return None
     if n > rows:
-        known = known.where(F.shiftrightunsigned(F.xxhash64(key), 1) < min(LARGEST, int(LARGEST * rows / n))).limit(2 * rows)
-    whole = docs.select(key, F.col(text).alias("_t")).where(F.length("_t").between(1, TRAIN_CHARS))
-    got = whole.join(F.broadcast(known), key).select("_t", "_y").limit(2 * rows).collect()  # at most 2 * rows ids are sent out
+        at = F.shiftrightunsigned(F.xxhash64(key), 1)
+        known = known.where(at < min(LARGEST, int(LARGEST * rows / n))).orderBy(at, key).limit(2 * rows)
+    whole = docs.select(key, F.col(text).alias("_t"), F.xxhash64(key, text).alias("_h")).where(F.length("_t").between(1, TRAIN_CHARS))
+    # At most 2 * rows ids are sent out. In one order, whatever the layout: sums of floats and so the model are the same.
+    got = whole.join(F.broadcast(known), key).select("_h", "_t", "_y").orderBy("_h", "_t", "_y").limit(2 * rows).collect()
     y = np.array([r["_y"] for r in got])
     if not len(y) or y.min() == y.max():
         return None

@@ -6,7 +6,9 @@ each rule under its rarest token, so that a URL meets only the rules whose rares
 other tokens of the rule are then checked. Hand-written (host, path) rules overrule what is mined.
 
 Everything runs as DataFrame operations. Defined results: a null URL, or one without "://", has an empty
-host and path, no tokens, and the verdict "allow"; rows with equal URLs get equal verdicts.
+host and path, no tokens, and the verdict "allow"; rows with equal URLs get equal verdicts, repeated rows one each; a null
+page_id stays null and has no label; without labels, or with none that is bad, no rule is mined; an empty table has an empty
+result; further columns, of any name, are ignored.
 """
 
 from __future__ import annotations

@@ -511,3 +511,27 @@ def test_items_with_any_ids(spark, monkeypatch, kind, ids):
     assert sorted(map(str, decontaminate.leaks(df, benchmark, "key", item_text="question").collect())) == sorted(map(str, want))
     assert decontaminate.clean(df, benchmark, item_text="question").count() == 2
     assert decontaminate.clean(df, benchmark.limit(0), item_text="question").count() == 6 and decontaminate.leaks(df, benchmark.limit(0), "key", item_text="question").count() == 0
+
+
+def test_shards_are_written_whole(spark, tmp_path):
+    df = spark.createDataFrame([(k if k % 9 else None, f"text {k}") for k in range(300)], "doc_id long, text string")
+    placed = sharding.place(df, "doc_id", sharding.shard_names(5), 101)
+    sharding.write_shards(placed, str(tmp_path / "s"), 3)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(map(str, back.select("doc_id", "text", "slot", "shard").collect())) == sorted(map(str, placed.select("doc_id", "text", "slot", "shard").collect()))
+    folders = [f for f in (tmp_path / "s").iterdir() if f.is_dir()]
+    assert len(folders) == 5 and all(1 <= len(list(f.glob("*.parquet"))) <= 3 for f in folders)
+
+
+def test_stored_text_takes_names(spark):
+    df = spark.createDataFrame([("é", "kept", 5), (None, "kept", 6)], "text string, media string, n_bytes int")
+    out = media.store_text(df, media="wav", n_bytes="size").orderBy("n_bytes").collect()
+    assert [(r["media"], r["n_bytes"], r["size"], len(r["wav"])) for r in out] == [("kept", 5, 2, 44 + 576), ("kept", 6, 0, 44 + 576)]
+    assert media.store_text(df).columns == ["text", "media", "n_bytes"] and media.store_text(df.limit(0)).count() == 0
+
+
+def test_training_does_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
+    a, b = (toxicity.fit(d, labels, rows=100) for d in (docs, docs.repartition(7)))
+    assert np.array_equal(a[0], b[0]) and a[1] == b[1]

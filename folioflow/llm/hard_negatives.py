@@ -197,8 +197,8 @@ class Index:
         self.width, self.most = max(width or 0, 1), float(most or 0)
         padded = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0), F.lit(self.width) - F.size("v"))))
         self.id_type = rows.schema["id"].dataType
-        some = padded.orderBy(F.xxhash64("id", "row"), "row").limit(SAMPLE).select("id", "label", "v").collect()
-        self.sample = (np.array([r["v"] for r in some], dtype=np.int64).reshape(len(some), self.width), [str(r["label"]) for r in some], [str(r["id"]) for r in some])
+        some = padded.orderBy(F.xxhash64("id", "row"), "row").limit(SAMPLE).select(F.col("id").cast("string").alias("id"), "label", "v").collect()
+        self.sample = (np.array([r["v"] for r in some], dtype=np.int64).reshape(len(some), self.width), [r["label"] for r in some], [r["id"] for r in some])
         self.tree = Tree(self.sample[0], self.most, max(len(some) // CELLS, 1) + 1)
         self.rows = self._dealt(padded)
         drop_written(rows)
@@ -224,23 +224,26 @@ class Index:
     def routed(self, queries: DataFrame, same: int = 0) -> DataFrame:
         """queries (row, id, label, v, low, high) with `cells` that may hold a score in a window; same: only the first so many of the label are sought, which the sample bounds from below."""
         tree, paths, width, blocks = self.tree, self.paths, self.width, np.array(self.blocks)
-        x, labels, ids = self.sample
-        labels, ids = np.array(labels, dtype=object), np.array(ids, dtype=object)
+        x, *texts = self.sample
+        # Equal texts get equal numbers; what the sample doesn't have gets -1.
+        known = [{t: i for i, t in enumerate(dict.fromkeys(col))} for col in texts]
+        labels, ids = (np.array([k[t] for t in col], dtype=np.int64) for k, col in zip(known, texts, strict=True))
 
         def route(batches):
             for b in batches:
                 q = _matrix(b.column(b.schema.names.index("v")), width)
                 low, high = (_matrix(b.column(b.schema.names.index(c))) for c in ("low", "high"))
                 if same and len(x) >= same and len(q):
-                    own = lambda c: np.array([str(v) for v in b.column(b.schema.names.index(c)).to_pylist()], dtype=object)
+                    label, own = (np.array([k.get(v, -1) for v in b.column(b.schema.names.index(c)).to_pylist()]) for k, c in zip(known, ("label", "own"), strict=True))
                     s = products(q, x)
-                    s[(own("label")[:, None] != labels[None, :]) | (own("id")[:, None] == ids[None, :])] = NONE
+                    s[(label[:, None] != labels[None, :]) | (own[:, None] == ids[None, :])] = NONE
                     low = np.maximum(low, np.partition(s, len(x) - same, axis=1)[:, len(x) - same][:, None])
                 top, least = tree.scores(q, paths)
                 live = ((top[:, None, :] >= low[:, :, None]) & (least[:, None, :] <= high[:, :, None]) & (low <= high)[:, :, None]).any(1) & (blocks > 0)[None, :]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([np.flatnonzero(r).astype(np.int32) for r in live], pa.list_(pa.int32()))], names=[*b.schema.names, "cells"])
 
-        return queries.mapInArrow(route, queries.select("*", F.array(F.lit(0)).alias("cells")).schema)
+        fed = queries.withColumn("own", F.col("id").cast("string"))  # as the sample has it, whatever the type of ids
+        return fed.mapInArrow(route, fed.select("*", F.array(F.lit(0)).alias("cells")).schema).drop("own")
 
     def search(self, queries: DataFrame, k: int, same: bool) -> DataFrame:
         """(row, window, rank, id, score): for each query and window the k nearest rows."""

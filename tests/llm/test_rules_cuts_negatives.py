@@ -195,3 +195,11 @@ def test_negatives_of_one_vector_only_and_of_nothing(spark, monkeypatch):
 def test_products_beyond_doubles_are_exact():
     a = np.array([[2**28 + 1, 3], [-(2**28) - 5, 7]], dtype=np.int64)
     assert hard_negatives.products(a, a).tolist() == [[sum(int(p) * int(q) for p, q in zip(x, y, strict=True)) for y in a] for x in a]
+
+
+def test_ids_and_labels_of_any_type(spark):
+    rows = vectors("spread", 80, np.random.default_rng(6))
+    want = [(f"2024-01-01 00:{i // 60:02d}:{i % 60:02d}", f"2024-01-01 00:{j // 60:02d}:{j % 60:02d}", *rest) for i, j, *rest in plain_mine(rows)]
+    df = spark.createDataFrame([(i, v, f"l{y}") for i, v, y, _ in rows], "i int, embedding array<float>, label string").withColumn("vec_id", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("i")))
+    got = hard_negatives.mine(df, F.col("i") % 5 == 0).select(F.col("anchor_id").cast("string"), F.col("positive_id").cast("string"), "rank", F.col("negative_id").cast("string"), "positive_score", "negative_score").collect()
+    assert sorted(map(str, ((a, p, k, s, t) for a, p, k, _, s, t in got))) == sorted(map(str, ((a, p, k, s, t) for a, p, k, _, s, t in want)))

@@ -180,9 +180,8 @@ def close_aliases(aliases: DataFrame) -> DataFrame:
     to the smallest one, and so does every tail that leads into the circle. Null aliases and keepers are left out.
     """
     once = aliases.where("alias <> keeper").groupBy("alias").agg(F.min("keeper").alias("keeper"))
-    first = written(once, "alias-links")
     # low: the smallest keeper that the path has passed; on a circle, once gone round, its smallest member.
-    out = written(first.select("alias", "keeper", F.col("keeper").alias("low")), "aliases")
+    out = written(once.select("alias", "keeper", F.col("keeper").alias("low")), "aliases")
     n, rounds = out.count(), 0
     while True:
         step = out.select(F.col("alias").alias("keeper"), F.col("keeper").alias("further"), F.col("low").alias("lower"))

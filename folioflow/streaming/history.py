@@ -77,10 +77,13 @@ def store_batch(batch: DataFrame, number: int, path: str, log: str, keys: list[s
     on = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*keys, "day"]]
     known = old.join(F.broadcast(days), "day", "left_semi")
     fresh.alias("n").join(known.alias("o"), on, "left_anti").write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={number}")
-    stored = read_store(spark, path, schema).where(F.col("batch") == number).agg(F.count("*").alias("stored"), F.max(at).cast("string").alias("newest"))
-    counts = stored.crossJoin(batch.agg(F.count("*").alias("received")))  # two rows of one count each
+    stored = read_store(spark, path, schema).where(F.col("batch") == number).select(F.lit(0).alias("received"), F.lit(1).alias("stored"), F.col(at).alias("newest"))
+    received = batch.select(F.lit(1).alias("received"), F.lit(0).alias("stored"), F.lit(None).cast(batch.schema[at].dataType).alias("newest"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    counts = stored.unionByName(received).agg(total("received"), total("stored"), F.max("newest").cast("string").alias("newest"))
     detail = F.to_json(F.struct(F.lit(number).alias("batch"), "received", "stored", "newest"))
-    append_log(counts.select(F.lit(f"{source}:{number}").alias("id"), F.current_timestamp().alias("applied_at"), F.lit(None).cast("string").alias("cycle_id"), F.lit("history_append").alias("change_type"), F.lit(None).cast("string").alias("unit_id"), detail.alias("detail_json"), F.lit(source).alias("source")), log, f"{source}-{number}")
+    row = counts.select(F.lit(f"{source}:{number}").alias("id"), F.current_timestamp().alias("applied_at"), F.lit(None).cast("string").alias("cycle_id"), F.lit("history_append").alias("change_type"), F.lit(None).cast("string").alias("unit_id"), detail.alias("detail_json"), F.lit(source).alias("source"))
+    append_log(row, log, f"{source}-{number}")
 
 
 def store_history(messages: DataFrame, path: str, log: str, checkpoint: str, keys: list[str], at: str = "ts", source: str = "history"):

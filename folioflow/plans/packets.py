@@ -9,6 +9,7 @@ from folioflow.functions import fixed_values as V
 from folioflow.functions.json_values import json_has, json_merged, json_size, like_any
 from folioflow.operators import packet
 from folioflow.plans.base import PAPERS, papers, table
+from folioflow.sources import readers
 
 
 def _drafts(spark: SparkSession, d: str) -> DataFrame:
@@ -93,5 +94,24 @@ def json_rewrite(spark: SparkSession, d: str) -> DataFrame:
 JSON_REWRITE = """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'old' WHEN event_type IN ('view', 'error') THEN event_type END AS marker,
 CASE WHEN event_id % 3 <> 0 AND event_type IN ('view', 'error') THEN value ELSE CAST(json_extract(props, '$.k') AS DOUBLE) END AS k, 2 AS n FROM events"""
 
-QUERIES = {f.__name__: f for f in (draft_problems, feedback_proposals, review_packet, json_rewrite)}
+def work_records(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as works in JSON, their lines as authors, some of them ghosts; DOIs of orders that are no work give stubs."""
+    k = F.col("l_orderkey")
+    author = F.struct((F.col("l_returnflag") == "R").alias("is_corresponding"), F.when(F.col("l_linenumber") % 4 != 3, F.struct(F.concat(F.lit("https://a/"), F.col("l_suppkey")).alias("id"), F.when(F.col("l_linenumber") % 4 != 2, F.concat(F.lit("S"), F.col("l_suppkey"))).alias("display_name"))).alias("author"))
+    lines = table(spark, d, "lineitem").groupBy(k.alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", author.alias("a")))), lambda x: x["a"]).alias("authorships"))
+    o = table(spark, d, "orders").join(lines, "o_orderkey", "left")
+    place = F.struct(F.struct(F.col("o_orderpriority").alias("display_name"), F.when(F.col("o_orderstatus") == "P", "Repository").alias("type")).alias("source"))
+    work = F.struct(F.concat(F.lit("W"), "o_orderkey").alias("id"), F.concat(F.lit(" Order "), "o_orderkey").alias("title"), F.concat(F.lit("https://doi.org/10.1/O"), "o_orderkey").alias("doi"), F.lit("article").alias("type"), F.date_format("o_orderdate", "yyyy").alias("publication_year"), F.when(F.col("o_orderstatus") != "F", place).alias("primary_location"), "authorships")
+    works = o.where("o_orderkey % 6 <> 0").select(F.from_json(F.to_json(work), readers.WORK).alias("w")).select("w.*")
+    dois = o.select(F.concat(F.lit("10.1/o"), "o_orderkey").alias("doi"))
+    out = readers.looked_up_papers(dois, works, F.lit("2024-01-01").cast("timestamp"))
+    return out.select("canonical_id", "doi", "title", "title_norm", F.array_join("authors", ",").alias("authors"), "venue", "year", "is_preprint", F.col("source_payload.work_id").alias("work_id"))
+
+
+WORK_RECORDS = """WITH a AS (SELECT l_orderkey AS k, string_agg('S' || l_suppkey, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) FILTER (l_linenumber % 4 NOT IN (2, 3)) AS authors FROM lineitem GROUP BY 1)
+SELECT substr(sha256('doi:10.1/o' || o_orderkey), 1, 32) AS canonical_id, '10.1/o' || o_orderkey AS doi, CASE WHEN w THEN 'Order ' || o_orderkey END AS title, CASE WHEN w THEN 'order' || o_orderkey ELSE '' END AS title_norm, CASE WHEN w THEN coalesce(authors, '') ELSE '' END AS authors,
+  CASE WHEN w AND o_orderstatus <> 'F' THEN o_orderpriority END AS venue, CASE WHEN w THEN CAST(year(o_orderdate) AS INTEGER) END AS year, w AND o_orderstatus = 'P' AS is_preprint, CASE WHEN w THEN 'W' || o_orderkey END AS work_id
+FROM (SELECT *, o_orderkey % 6 <> 0 AS w FROM orders) LEFT JOIN a ON k = o_orderkey"""
+
+QUERIES = {f.__name__: f for f in (draft_problems, feedback_proposals, review_packet, work_records, json_rewrite)}
 ORACLES = {k: globals()[k.upper()] for k in QUERIES if k.upper() in globals()}

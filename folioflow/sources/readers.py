@@ -128,13 +128,13 @@ def read_candidates(spark: SparkSession, path: str, units: DataFrame, prefix: st
     return each.select("unit_id", (F.col("position") + 1).alias("position"), "c.*")
 
 
-def paper_rows(df: DataFrame, now: Column) -> DataFrame:
-    """Records in the shape of PAPER: missing columns are null, lists and flags have defaults, both timestamps are always set."""
+def paper_rows(df: DataFrame, now: Column, *more: str) -> DataFrame:
+    """Records in the shape of PAPER, and further columns of df: missing columns are null, lists and flags have defaults, both timestamps are always set."""
     fields = [c.strip().split(" ", 1) for c in PAPER.split(", ")]
     defaults = {"authors": F.array().cast("array<string>"), "is_preprint": F.lit(False), "title_norm": F.lit(""), "first_seen_at": now, "last_updated_at": now}
     there = {c.lower() for c in df.columns}
     value = lambda c, kind: F.coalesce(F.col(c).cast(kind) if c in there else F.lit(None).cast(kind), *([defaults[c].cast(kind)] if c in defaults else []))
-    return df.select(*[value(c, kind).alias(c) for c, kind in fields])
+    return df.select(*[value(c, kind).alias(c) for c, kind in fields], *more)
 
 
 def schema_name(name: str, foreign: tuple[str, ...] = ()) -> str:
@@ -203,6 +203,49 @@ def from_works(df: DataFrame) -> DataFrame:
     return _shape(df, "works", title=F.col("title"), doi=doi_normalize("doi"), url=place["landing_page_url"], pdf_url=place["pdf_url"], authors=authors, venue=place["source"]["display_name"], date=F.col("publication_date"), is_preprint=preprint, abstract=inverted_index_text("abstract_inverted_index"))
 
 
+WORK = (
+    "id string, title string, doi string, type string, publication_date string, publication_year string, "
+    "primary_location struct<landing_page_url:string,pdf_url:string,source:struct<display_name:string,type:string>>, "
+    "authorships array<struct<is_corresponding:boolean,author:struct<id:string,display_name:string>>>, abstract_inverted_index map<string,array<int>>"
+)
+
+
+def work_papers(works: DataFrame, now: Column, author: Column | None = None) -> DataFrame:
+    """Records in the shape of PAPER from works (fields of WORK), with source_payload: id, type, and of `author`, the end of an id, position and whether corresponding.
+
+    Any part of a work may be missing, authors without an author too: blank names go, a year that is none is null.
+    """
+    from folioflow.functions.text import canonical_id, inverted_index_text, norm_doi, norm_title
+
+    place = F.col("primary_location.source")
+    names = F.filter(F.transform("authorships", lambda a: F.coalesce(a["author"]["display_name"], F.lit(""))), lambda n: n != "")
+    preprint = F.coalesce(F.lower("type").contains("preprint"), F.lit(False)) | F.coalesce(F.lower(place["type"]) == "repository", F.lit(False))
+    year = F.nullif(F.col("publication_year").try_cast("int"), F.lit(0))
+    is_them = lambda a: F.coalesce(F.coalesce(a["author"]["id"], F.lit("")).endswith(author), F.lit(False))
+    position = F.nullif(F.array_position(F.transform("authorships", is_them), True), F.lit(0)) if author is not None else F.lit(None).cast("long")
+    corresponding = F.coalesce(F.exists("authorships", lambda a: is_them(a) & F.coalesce(a["is_corresponding"], F.lit(False))), F.lit(False)) if author is not None else F.lit(None).cast("boolean")
+    payload = F.struct(F.col("id").alias("work_id"), F.col("type").alias("type"), position.alias("position"), corresponding.alias("is_corresponding"))
+    shaped = works.withColumn("_title", F.nullif(F.trim("title"), F.lit(""))).select(
+        norm_doi("doi").alias("doi"), F.col("_title").alias("title"), F.coalesce(norm_title("_title"), F.lit("")).alias("title_norm"), F.coalesce(names, F.array().cast("array<string>")).alias("authors"), F.nullif(place["display_name"], F.lit("")).alias("venue"),
+        year.alias("year"), F.nullif("publication_date", F.lit("")).alias("pub_date"), preprint.alias("is_preprint"), inverted_index_text("abstract_inverted_index").alias("abstract"), payload.alias("source_payload"),
+    )
+    named = shaped.withColumn("canonical_id", canonical_id("doi", "title_norm", "year"))
+    return paper_rows(named, now, "source_payload")
+
+
+def looked_up_papers(dois: DataFrame, works: DataFrame, now: Column) -> DataFrame:
+    """A record for each distinct DOI of `dois` (doi): of the work with this DOI, else a stub that has the DOI alone. Of several works the one with the largest id counts."""
+    from folioflow.functions.text import canonical_id, norm_doi
+
+    wanted = dois.select(norm_doi("doi").alias("doi")).where("doi IS NOT NULL").distinct()
+    known = work_papers(works, now).where("doi IS NOT NULL")
+    fields = [c for c in known.columns if c != "doi"]
+    one = known.groupBy("doi").agg(F.max_by(F.struct(*fields), F.coalesce("source_payload.work_id", F.lit(""))).alias("r"))
+    met = wanted.join(one, "doi", "left").select("doi", *[F.col(f"r.{c}").alias(c) for c in fields])
+    stub = met.withColumn("canonical_id", F.coalesce("canonical_id", canonical_id("doi", F.lit(None).cast("string"), F.lit(None).cast("int"))))
+    return paper_rows(stub, now, "source_payload")
+
+
 def from_europe(df: DataFrame) -> DataFrame:
     from folioflow.functions.text import doi_normalize
 

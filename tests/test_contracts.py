@@ -109,6 +109,22 @@ def test_works_to_candidates(spark):
     assert got["R"]["is_preprint"] and got["R"]["venue"] is None and not got[None]["is_preprint"] and list(got["T"].asDict()) == readers.CANDIDATE
 
 
+def test_works_and_stubs_to_papers(spark):
+    now = F.lit("2024-05-01").cast("timestamp")
+    full = {"id": "W2", "title": " T ", "doi": "https://doi.org/10.1/A.", "type": "Posted-Preprint", "publication_year": "2024", "publication_date": "", "authorships": [{"author": None}, {"author": {"id": None, "display_name": "G"}}, {"is_corresponding": True, "author": {"id": "http://x/A7", "display_name": "P"}}, {"author": {"id": "A7", "display_name": ""}}], "primary_location": {"source": {"display_name": "V", "type": "journal"}}, "abstract_inverted_index": {"a": [0]}}
+    rows_ = [full, full | {"id": "W1", "title": "older"}, {"id": "W3", "publication_year": "soon", "primary_location": {"source": {"type": "Repository"}}}, {"title": "No DOI", "publication_year": 0}]
+    works = spark.createDataFrame([(json.dumps(x),) for x in rows_], "j string").select(F.from_json("j", readers.WORK).alias("w")).select("w.*")
+    got = {r["source_payload"]["work_id"]: r for r in readers.work_papers(works, now, F.lit("A7")).collect()}
+    w = got["W2"]
+    assert (w["doi"], w["title"], w["title_norm"], w["authors"], w["venue"], w["year"], w["pub_date"], w["is_preprint"], w["abstract"]) == ("10.1/a", "T", "t", ["G", "P"], "V", 2024, None, True, "a")
+    assert (w["source_payload"]["position"], w["source_payload"]["is_corresponding"]) == (3, True) and w["first_seen_at"] == w["last_updated_at"]
+    assert (got["W3"]["year"], got["W3"]["is_preprint"], got["W3"]["authors"], got["W3"]["source_payload"]["position"], got["W3"]["source_payload"]["is_corresponding"]) == (None, True, [], None, False)
+    assert got[None]["year"] is None and len(got[None]["canonical_id"]) == 32
+    dois = spark.createDataFrame([("10.1/A",), ("doi.org/none",), ("10.1/a",), (None,)], "doi string")
+    found = {r["doi"]: (r["title"], r["is_preprint"], r["authors"], r["canonical_id"]) for r in readers.looked_up_papers(dois, works, now).collect()}
+    assert found["10.1/a"] == ("T", True, ["G", "P"], w["canonical_id"]) and found["doi.org/none"][:3] == (None, False, []) and len(found) == 2
+
+
 def test_other_records_to_candidates(spark):
     eu = readers.from_europe(spark.createDataFrame([("T", "10.1/X", "A B,  C D", "J", "2024-01-01", "PPR", "abs"), (None,) * 7], "title string, doi string, authorString string, journalTitle string, firstPublicationDate string, source string, abstractText string")).collect()
     assert (eu[0]["doi"], eu[0]["authors"], eu[0]["is_preprint"], eu[0]["source"]) == ("10.1/x", ["A B", "C D"], True, "europe") and eu[1]["is_preprint"] is False

@@ -144,3 +144,14 @@ def test_rounding_equals_python(spark):
     assert odd[0][0] is None and math.isnan(odd[1][0]) and odd[2][0] == math.inf
     with pytest.raises(ValueError):
         half_even(F.lit(1.0), 16)
+
+
+def test_phrase_counts_equal_plain_version(spark):
+    rnd = random.Random(12)
+    listed_ = ["aa", "aba", "", "b a", "é", "aa", "zz"]
+    texts = [None, "", "aaaa AAA", "ababa"] + ["".join(rnd.choices("ab éA", k=rnd.randint(0, 60))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    got = {r["id"]: r["tf"] for r in phrases.phrase_counts(df, listed_).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == [(t or "").lower().count(p) if p else 0 for p in listed_], t
+    assert [r["tf"] for r in phrases.phrase_counts(df.limit(2), []).collect()] == [[], []]

@@ -286,16 +286,25 @@ def gist(titles, questions, words: int = 60) -> Column:
     return F.coalesce(F.nullif(cut, F.lit("")), F.lit(NO_GIST))
 
 
-def _lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one machine word row per character of b."""
+def lcs_masks(a: str) -> dict[str, int]:
+    """Places of each character of a, as bits."""
     at: dict[str, int] = {}
     for i, ch in enumerate(a):
         at[ch] = at.get(ch, 0) | 1 << i
-    row, mask = (1 << len(a)) - 1, (1 << len(a)) - 1
+    return at
+
+
+def lcs_of(at: dict[str, int], n: int, b: str) -> int:
+    """Length of the longest common subsequence of a text of n characters, given by its masks, and b; one machine word row per character of b."""
+    row = mask = (1 << n) - 1
     for ch in b:
         hit = row & at.get(ch, 0)
         row = ((row + hit) | (row - hit)) & mask
-    return len(a) - row.bit_count()
+    return n - row.bit_count()
+
+
+def _lcs(a: str, b: str) -> int:
+    return lcs_of(lcs_masks(a), len(a), b)
 
 
 @F.pandas_udf(T.DoubleType())

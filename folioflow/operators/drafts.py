@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from folioflow.functions.dates import within_window
 from folioflow.functions.text import doi_normalize, title_clean, titles_equal
 from folioflow.operators.filters import banned_terms
-from folioflow.operators.resolve import similar_pairs
+from folioflow.operators.similar import similar_pairs
+from folioflow.sources.scratch import written
 
 #: Composite from which a candidate may be an alternate, and how many a draft names.
 ALTERNATE_LEAST, ALTERNATE_MOST = 5, 6
@@ -63,13 +64,15 @@ def barred(candidates: DataFrame, dois: DataFrame, titles: DataFrame, least: flo
     """
     norm = candidates.withColumn("_doi", doi_normalize("doi"))
     by_doi = norm.join(dois.select("unit", doi_normalize("doi").alias("_doi")).distinct(), ["unit", "_doi"], "left_semi").select("unit", "doi", F.lit("doi").alias("why"))
-    keyed = lambda df, key: df.select(F.to_json(F.struct("unit", key)).alias("canonical_id"), F.col("unit").cast("string").alias("unit"), title_clean("title").alias("title_norm")).dropDuplicates(["canonical_id"])
-    a, b = keyed(candidates, "doi"), keyed(titles, "title")
+    # Titles are compared once each in a unit, however many candidates have them.
+    titled = candidates.withColumn("title_norm", title_clean("title"))
+    keyed = lambda df: written(df.select("unit", "title_norm").distinct().withColumn("canonical_id", F.sha2(F.to_json(F.struct("unit", "title_norm")), 256)), "title-keys")
+    a, b = keyed(titled), keyed(titles.select("unit", title_clean("title").alias("title_norm")))
     # Matching blocks are a common subsequence, so the indel ratio is never below their ratio.
     met = similar_pairs(a, b, least, ["unit"])
-    named = lambda df, c: df.select(F.col("canonical_id").alias(c), F.col("title_norm").alias(f"t{c}"))
-    like = met.join(named(a, "a"), "a").join(named(b, "b"), "b").where(titles_equal("ta", "tb", least)).select(F.col("a").alias("_key")).distinct()
-    by_title = candidates.withColumn("_key", F.to_json(F.struct("unit", "doi"))).join(like, "_key", "left_semi").select("unit", "doi", F.lit("title").alias("why"))
+    named = lambda df, c, *more: df.select(F.col("canonical_id").alias(c), F.col("title_norm").alias(f"t{c}"), *more)
+    like = met.join(named(a, "a", "unit"), "a").join(named(b, "b"), "b").where(titles_equal("ta", "tb", least)).select("unit", F.col("ta").alias("title_norm")).distinct()
+    by_title = titled.join(like, ["unit", "title_norm"], "left_semi").select("unit", "doi", F.lit("title").alias("why"))
     return by_doi.unionByName(by_title).groupBy("unit", "doi").agg(F.min("why").alias("why"))
 
 

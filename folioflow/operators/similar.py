@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -14,10 +15,10 @@ from folioflow.sources.scratch import written
 
 #: Titles, and characters of them, that one side of a block holds at most on average.
 BLOCK_TITLES, BLOCK_CHARS = 8192, 2_000_000
-#: Bits of a title's unary letter counts, pairs whose bits are compared at once, and pairs whose n-grams are.
-BITS, AT_ONCE, GRAMS_AT_ONCE = 512, 1 << 17, 4096
-#: (n, bins) of the n-gram counts that what is left after the letters has to pass.
-GRAMS = ((2, 1024), (3, 2048))
+#: Bits of a title's unary letter counts, pairs whose bits are compared at once, and bins of the 2-grams that what is left has to pass.
+BITS, AT_ONCE, BINS = 512, 1 << 15, 1024
+#: Pairs that go through one filter together, and words that the masks or the characters of pairs take that are compared exactly together.
+TOGETHER, WORDS = 4096, 1 << 22
 
 
 def length_band(a: Column, b: Column, least: float) -> Column:
@@ -34,7 +35,6 @@ class _Titles:
         self.ids, self.titles, self.len = ids.to_numpy()[order], titles.to_numpy()[order], size[order]
         self.codes = np.frombuffer("".join(self.titles).encode("utf-32-le"), np.uint32).astype(np.uint64)
         self.start = np.concatenate(([0], np.cumsum(self.len)))
-        self.grams: dict[int, np.ndarray] = {}
 
     def counts(self, n: int, bins: int, most: int, kind: type) -> np.ndarray:
         """Counts of n-grams by bin, `most` at most; a thousand titles at a time."""
@@ -54,10 +54,11 @@ class _Titles:
             out[lo:hi] = np.minimum(np.bincount(at, minlength=(hi - lo) * bins).reshape(hi - lo, bins), most)
         return out
 
-    def gram_counts(self, n: int, bins: int) -> np.ndarray:
-        if n not in self.grams:
-            self.grams[n] = self.counts(n, bins, 255, np.uint8)
-        return self.grams[n]
+    @cached_property
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of 2-grams and their sums."""
+        c = self.counts(2, BINS, 255, np.uint8)
+        return c, c.sum(1, dtype=np.int64)
 
 
 def _letter_bits(a: _Titles, b: _Titles) -> tuple[np.ndarray, np.ndarray]:
@@ -90,14 +91,15 @@ def _met_by_letters(a: _Titles, b: _Titles, least: float) -> Iterator[tuple[np.n
     share_a, share_b = (((1 - least) * x.len + 1e-3).astype(np.float32) for x in (a, b))
     wide = (2 - least) / least
     step = max(1, AT_ONCE // len(b.len))
+    few = range(0, len(bits_a), 3)
     for lo in range(0, len(a.len), step):
         hi = min(lo + step, len(a.len))
         first, last = np.searchsorted(b.len, a.len[lo] / wide - 1e-6), np.searchsorted(b.len, a.len[hi - 1] * wide + 1e-6, "right")
         if first == last:
             continue
         differ = np.zeros((hi - lo, last - first), np.uint16)
-        for wa, wb in zip(bits_a, bits_b, strict=True):
-            differ += np.bitwise_count(wa[lo:hi, None] ^ wb[None, first:last])
+        for w in few:  # so few words that a byte holds their sum
+            differ += sum(np.bitwise_count(wa[lo:hi, None] ^ wb[None, first:last]) for wa, wb in zip(bits_a[w : w + 3], bits_b[w : w + 3], strict=True))
         i, j = np.nonzero(differ <= share_a[lo:hi, None] + share_b[None, first:last])
         i, j = i + lo, j + first
         band = 2 * np.minimum(a.len[i], b.len[j]) >= least * (a.len[i] + b.len[j]) - 1e-6
@@ -105,31 +107,67 @@ def _met_by_letters(a: _Titles, b: _Titles, least: float) -> Iterator[tuple[np.n
             yield i[band], j[band]
 
 
-def _met_by_grams(a: _Titles, b: _Titles, i: np.ndarray, j: np.ndarray, least: float, n: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of these pairs those whose n-gram counts allow the ratio: an insertion or deletion changes 2n - 1 of them at most."""
-    ca, cb = a.gram_counts(n, bins), b.gram_counts(n, bins)
-    na, nb = ca.sum(1, dtype=np.int64), cb.sum(1, dtype=np.int64)
-    ok = np.empty(len(i), bool)
-    for lo in range(0, len(i), GRAMS_AT_ONCE):
-        x, y = i[lo : lo + GRAMS_AT_ONCE], j[lo : lo + GRAMS_AT_ONCE]
-        shared = np.minimum(ca[x], cb[y]).sum(1, dtype=np.uint32).astype(np.int64)
-        ok[lo : lo + GRAMS_AT_ONCE] = na[x] + nb[y] - 2 * shared <= (2 * n - 1) * (1 - least) * (a.len[x] + b.len[y]) + 1e-6
-    return i[ok], j[ok]
+def _together(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs, TOGETHER at a time."""
+    held, n = [], 0
+    for p in pairs:
+        held.append(p)
+        n += len(p[0])
+        if n >= TOGETHER:
+            i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+            whole = n - n % TOGETHER
+            for lo in range(0, whole, TOGETHER):
+                yield i[lo : lo + TOGETHER], j[lo : lo + TOGETHER]
+            held, n = [(i[whole:], j[whole:])], n - whole
+    if n:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _met_by_grams(a: _Titles, b: _Titles, pairs: Iterator[tuple[np.ndarray, np.ndarray]], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of these pairs those whose 2-gram counts allow the ratio: an insertion or deletion changes three of them at most."""
+    for i, j in pairs:
+        (ca, na), (cb, nb) = a.grams, b.grams
+        shared = np.minimum(ca[i], cb[j]).sum(1, dtype=np.uint32).astype(np.int64)
+        ok = na[i] + nb[j] - 2 * shared <= 3 * (1 - least) * (a.len[i] + b.len[j]) + 1e-6
+        yield i[ok], j[ok]
+
+
+def _lcs_lengths(a: _Titles, b: _Titles, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of these pairs; lcs_of() for all of them in step, in words of 64 places of a."""
+    letters = np.unique(np.concatenate([a.codes, b.codes]))
+    wide, long = -(-int(a.len[i].max()) // 64), int(b.len[j].max())
+    most = max(1, WORDS // max((len(letters) + 1) * wide, long))
+    if len(i) > most:
+        return np.concatenate([_lcs_lengths(a, b, i[lo : lo + most], j[lo : lo + most]) for lo in range(0, len(i), most)])
+    # Calls of numpy outweigh whole numbers of any length where there are few pairs.
+    if 9 * wide * (0.8 + 5e-4 * len(i)) > len(i) * (0.2 + 8e-3 * wide):
+        return np.array([lcs_of(lcs_masks(a.titles[x]), int(a.len[x]), b.titles[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)])
+    own, at = np.unique(i, return_inverse=True)
+    masks = np.zeros((wide, len(own) * (len(letters) + 1)), np.uint64)
+    for k, x in enumerate(own.tolist()):
+        place = np.arange(a.len[x])
+        code = np.searchsorted(letters, a.codes[a.start[x] : a.start[x + 1]])
+        np.bitwise_or.at(masks, (place // 64, k * (len(letters) + 1) + code), np.uint64(1) << (place % 64).astype(np.uint64))
+    place = np.arange(long)[:, None]
+    code = np.where(place < b.len[j], np.searchsorted(letters, b.codes[np.minimum(b.start[j] + place, len(b.codes) - 1)]), len(letters)) + at * (len(letters) + 1)
+    row = np.full((wide, len(i)), np.uint64(2**64 - 1))
+    for c in code:
+        carry = np.uint64(0)
+        for w in range(wide):
+            old = row[w]
+            hit = old & masks[w].take(c)
+            total = old + hit + carry
+            carry = (hit | (old & ~total)) >> np.uint64(63)
+            row[w] = total | (old ^ hit)
+    return 64 * wide - np.bitwise_count(row).sum(0, dtype=np.int64)
 
 
 def similar_in_block(ids_a: pd.Series, titles_a: pd.Series, ids_b: pd.Series, titles_b: pd.Series, least: float) -> Iterator[tuple]:
-    """(id, id) of the titles of two sides with an indel ratio of at least `least`: letters, then n-grams, then exactly."""
+    """(id, id) of the titles of two sides with an indel ratio of at least `least`: letters, then 2-grams, then exactly."""
     a, b = _Titles(ids_a, titles_a), _Titles(ids_b, titles_b)
-    for i, j in _met_by_letters(a, b, least):
-        for n, bins in GRAMS:
-            i, j = _met_by_grams(a, b, i, j, least, n, bins)
-        at, masks = -1, {}
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            if x != at:
-                at, masks = x, lcs_masks(a.titles[x])
-            total = a.len[x] + b.len[y]
-            if 2 * lcs_of(masks, int(a.len[x]), b.titles[y]) / total >= least:
-                yield a.ids[x], b.ids[y]
+    for i, j in _together(_met_by_grams(a, b, _together(_met_by_letters(a, b, least)), least)):
+        ok = 2 * _lcs_lengths(a, b, i, j) / (a.len[i] + b.len[j]) >= least
+        yield from zip(a.ids[i[ok]], b.ids[j[ok]], strict=True)
 
 
 def similar_pairs(left: DataFrame, right: DataFrame | None, least: float, same: list[str] = ()) -> DataFrame:

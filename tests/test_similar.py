@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from folioflow.functions import text as X
@@ -35,6 +37,7 @@ def test_blocks_lose_no_pair(spark, monkeypatch, least, longest):
     monkeypatch.setattr(similar, "BLOCK_TITLES", 25)
     monkeypatch.setattr(similar, "BITS", 40)
     monkeypatch.setattr(similar, "AT_ONCE", 64)
+    monkeypatch.setattr(similar, "TOGETHER", 50)
     group = lambda i: None if i % 11 == 0 else i % 2
     t = titles(5, 160, longest)
     rows = [(f"{i:03d}", x, group(i)) for i, x in enumerate(t)]
@@ -71,3 +74,13 @@ def test_preprints_compare_each_title_once(spark, monkeypatch):
     first = {k: min((r[7], r[0]) for r in rows if not r[4] and ratio(r[1], k) >= 0.88)[1] for k in t}
     want = {r[0]: first[r[1]] for r in rows if r[4]}
     assert got == want
+
+
+def test_exact_lengths_in_step(monkeypatch):
+    t = titles(9, 60, 60)[:60]
+    sides = [similar._Titles(pd.Series(range(60)), pd.Series(t)) for _ in range(2)]
+    i, j = (np.repeat(np.arange(60), 60), np.tile(np.arange(60), 60))
+    want = [X._lcs(sides[0].titles[p], sides[1].titles[q]) for p, q in zip(i, j)]
+    assert similar._lcs_lengths(*sides, i, j).tolist() == want
+    monkeypatch.setattr(similar, "WORDS", 3000)
+    assert similar._lcs_lengths(*sides, i, j).tolist() == want

@@ -1,6 +1,7 @@
 """Message history that arrives in deliveries: each message is kept once, with a mark to read on from and an audit log.
 
-A store is a folder with one partition a batch of the stream, and below it one a day. A batch that is run again
+A store is a folder with one partition a batch of the stream, and below it one a month, in files of a useful size that
+are sorted by day: their number follows the rows, not the days. A batch that is run again
 writes its own partition again, and compares with earlier batches only, so a replay changes nothing. The audit log
 is written in the same way, after the data.
 """
@@ -41,18 +42,31 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{LOG}, run string").option("basePath", path).parquet(path)
 
 
-def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All messages of a store, with batch and day; empty where nothing was stored."""
-    whole = f"{schema}, batch long, day date"
+def _store(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """read_store() with the month that the rows are stored under."""
+    whole = f"{schema}, day date, batch long, _month date"
     if not exists(spark, path):
         return spark.createDataFrame([], whole)
     return spark.read.schema(whole).option("basePath", path).parquet(path)
 
 
+def _month(day: Column) -> Column:
+    return F.trunc(day, "month")
+
+
+def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All messages of a store, with batch and day; empty where nothing was stored."""
+    store = _store(spark, path, schema).drop("_month")
+    return store.select(*[c for c in store.columns if c not in ("batch", "day")], "batch", "day")
+
+
 def read_since(spark: SparkSession, path: str, schema: str, batch: int, at: str = "ts", since: Column | None = None) -> DataFrame:
     """What batches after `batch` stored, if wanted only from a time on: an incremental read that opens no earlier partition."""
-    new = read_store(spark, path, schema).where(F.col("batch") > batch)
-    return new if since is None else new.where((F.col("day") >= F.to_date(since)) & (F.col(at) >= since))
+    if since is None:
+        return read_store(spark, path, schema).where(F.col("batch") > batch)
+    # The month is a folder, by which files are left out unopened.
+    late = (F.col("_month") >= _month(F.to_date(since))) & (F.col("day") >= F.to_date(since)) & (F.col(at) >= since)
+    return _store(spark, path, schema).where((F.col("batch") > batch) & late).select(*read_store(spark, path, schema).columns)
 
 
 def mark(spark: SparkSession, log: str, source: str) -> int:
@@ -64,7 +78,7 @@ def mark(spark: SparkSession, log: str, source: str) -> int:
 def store_batch(batch: DataFrame, number: int, path: str, log: str, keys: list[str], at: str = "ts", source: str = "history") -> None:
     """Appends the rows of a batch that no earlier batch stored; equal keys of a batch are one row, the smallest.
 
-    Only the days of the batch are read from the store. Rows with a null key or time are of a day of their own and are
+    Only the months of the batch are compared. Rows with a null key or time are of a day of their own and are
     told apart by the other columns like any others.
     """
     spark = batch.sparkSession
@@ -72,11 +86,12 @@ def store_batch(batch: DataFrame, number: int, path: str, log: str, keys: list[s
     picked = batch.groupBy(*keys).agg(F.min_by(F.struct(*others), F.to_json(F.struct(*others))).alias("r")).select(*keys, "r.*") if others else batch.distinct()
     fresh = picked.select(*batch.columns).withColumn("day", F.to_date(at))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema.fields)
-    old = read_store(spark, path, schema).where(F.col("batch") < number)
-    days = fresh.select("day").distinct()
+    old = _store(spark, path, schema).where(F.col("batch") < number)
+    months = batch.select(_month(F.to_date(at)).alias("_month")).distinct()
     on = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*keys, "day"]]
-    known = old.join(F.broadcast(days), "day", "left_semi")
-    fresh.alias("n").join(known.alias("o"), on, "left_anti").write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={number}")
+    known = old.join(F.broadcast(months), old["_month"].eqNullSafe(months["_month"]), "left_semi").select(*keys, "day")
+    new = fresh.alias("n").join(known.alias("o"), on, "left_anti").withColumn("_month", _month(F.col("day")))
+    new.hint("rebalance", "_month").sortWithinPartitions("_month", "day").write.mode("overwrite").partitionBy("_month").parquet(f"{path}/batch={number}")
     stored = read_store(spark, path, schema).where(F.col("batch") == number).select(F.lit(0).alias("received"), F.lit(1).alias("stored"), F.col(at).alias("newest"))
     received = batch.select(F.lit(1).alias("received"), F.lit(0).alias("stored"), F.lit(None).cast(batch.schema[at].dataType).alias("newest"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)

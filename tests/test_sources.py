@@ -211,6 +211,23 @@ def test_deliveries_and_replay_store_each_row_once(spark, tmp_path):
     assert history.mark(spark, str(tmp_path / "none"), "history") == -1 and history.read_store(spark, str(tmp_path / "none"), ddl).count() == 0
 
 
+def test_files_of_a_store_follow_its_rows_not_its_days(spark, tmp_path):
+    store, log = str(tmp_path / "store"), str(tmp_path / "log")
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("k") * 43_200)
+    rows = spark.range(800).select(F.col("id").alias("k"), F.lit("x").alias("text")).repartition(4).withColumn("ts", F.when(F.col("k") % 100 > 0, at))
+    ddl = "k bigint, text string, ts timestamp"
+    for k, batch in enumerate([rows.where("k < 500"), rows.where("k >= 300")]):
+        history.store_batch(batch, k, store, log, ["k"])
+    got = history.read_store(spark, store, ddl)
+    # Rows without a time are stored once as well.
+    assert got.columns == ["k", "text", "ts", "batch", "day"] and sorted(r["k"] for r in got.collect()) == list(range(800))
+    assert got.where("day IS DISTINCT FROM to_date(ts)").count() == 0
+    # 400 days lie in 15 months at most; a batch has a file a month, one more for the rows without a time.
+    assert len(list((tmp_path / "store").rglob("*.parquet"))) < 2 * 17
+    late = F.lit(datetime(2024, 3, 15))
+    assert {r["k"] for r in history.read_since(spark, store, ddl, 0, since=late).collect()} == {r["k"] for r in rows.where((F.col("k") >= 500) & (F.col("ts") >= late)).collect()}
+
+
 # Embeddings
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from folioflow.functions import text as X
-from folioflow.operators import resolve, similar
+from folioflow.operators import drafts, resolve, similar
 
 RECORD = "canonical_id string, title_norm string, title string, year int, is_preprint boolean, abstract string, doi string, seq int"
 
@@ -84,3 +84,13 @@ def test_exact_lengths_in_step(monkeypatch):
     assert similar._lcs_lengths(*sides, i, j).tolist() == want
     monkeypatch.setattr(similar, "WORDS", 3000)
     assert similar._lcs_lengths(*sides, i, j).tolist() == want
+
+
+def test_barred_compares_each_title_once_and_every_title_of_a_doi(spark, monkeypatch):
+    like, other = "neural coding of memory in cortex", "nothing of the kind, really"
+    c = [("u", "10.1/a", other), ("u", "10.1/a", like), ("u", "10.1/b", like), ("u", "10.1/b", other), ("u", "10.1/c", other), ("v", "10.1/d", like), (None, "10.1/e", like)] * 20
+    t = [("u", like.upper() + "s"), (None, like)] * 30
+    seen = compared(monkeypatch, drafts)
+    got = drafts.barred(spark.createDataFrame(c, "unit string, doi string, title string"), spark.createDataFrame([], "unit string, doi string"), spark.createDataFrame(t, "unit string, title string"))
+    assert sorted(map(tuple, got.collect())) == [("u", "10.1/a", "title"), ("u", "10.1/b", "title")]
+    assert seen == [(4, 2)]

@@ -17,6 +17,8 @@ from folioflow.sources.scratch import written
 BLOCK_TITLES, BLOCK_CHARS = 8192, 2_000_000
 #: Bits of a title's unary letter counts, pairs whose bits are compared at once, and bins of the 2-grams that what is left has to pass.
 BITS, AT_ONCE, BINS = 512, 1 << 15, 1024
+#: Pairs that a task takes on average, as long as there are at most 2,000 tasks.
+PAIRS_A_TASK = 10_000_000
 #: Pairs that go through one filter together, and words that the masks or the characters of pairs take that are compared exactly together.
 TOGETHER, WORDS = 4096, 1 << 22
 
@@ -190,23 +192,24 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, least: float, same:
 
     def sized(df: DataFrame, name: str) -> DataFrame:
         slices = F.ceil(F.greatest(F.count("*") / BLOCK_TITLES, F.sum(F.length("title")) / BLOCK_CHARS))
-        return df.groupBy(*same, f"cell_{name}").agg(slices.alias(f"slices_{name}"))
+        return df.groupBy(*same, f"cell_{name}").agg(slices.alias(f"slices_{name}"), F.count("*").alias(f"titles_{name}"))
 
     a = celled(left, "a")
     b = celled(left if one else right, "b")
     near = F.explode(F.array(*[F.col("cell_a") + k for k in ((0, 1) if one else (-1, 0, 1))]))
     grid = written(sized(a, "a").withColumn("cell_b", near).join(sized(b, "b"), [*same, "cell_b"]), "title-blocks")
-    blocks = grid.agg(F.sum(F.col("slices_a") * F.col("slices_b"))).first()[0] or 0
+    met = grid.agg(F.sum(F.col("titles_a").cast("double") * F.col("titles_b"))).first()[0] or 0
+    tasks = int(min(max(met / PAIRS_A_TASK, 2 * left.sparkSession.sparkContext.defaultParallelism), 2000))
     keys = [*same, "cell_a", "cell_b", "slice_a", "slice_b"]
 
     def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
         mine = F.pmod(F.xxhash64("id"), F.col(f"slices_{own}")).cast("int")
-        met = df.join(grid, [*same, f"cell_{own}"]).withColumn(f"slice_{own}", mine)
+        met = df.join(grid.drop("titles_a", "titles_b"), [*same, f"cell_{own}"]).withColumn(f"slice_{own}", mine)
         out = met.withColumn(f"slice_{other}", F.explode(F.sequence(F.lit(0), F.col(f"slices_{other}").cast("int") - 1)))
         if one:
             out = out.where("cell_a < cell_b OR slice_a <= slice_b")
         # A number of its own: what a block costs is not seen in its bytes, by which partitions would be put together.
-        return out.select(*[F.col(k).alias(k) for k in keys], "id", "title").repartition(min(max(blocks, 1), 2000), *keys)
+        return out.select(*[F.col(k).alias(k) for k in keys], "id", "title").repartition(tasks, *keys)
 
     def compare(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         pairs = similar_in_block(x["id"], x["title"], y["id"], y["title"], least) if len(x) and len(y) else ()

@@ -94,3 +94,20 @@ def test_barred_compares_each_title_once_and_every_title_of_a_doi(spark, monkeyp
     got = drafts.barred(spark.createDataFrame(c, "unit string, doi string, title string"), spark.createDataFrame([], "unit string, doi string"), spark.createDataFrame(t, "unit string, title string"))
     assert sorted(map(tuple, got.collect())) == [("u", "10.1/a", "title"), ("u", "10.1/b", "title")]
     assert seen == [(4, 2)]
+
+
+def test_greedy_compares_each_title_of_a_year_once(spark, monkeypatch):
+    # x is like y and y like z, but x is not like z; copies differ in their raw titles, which give the order.
+    x, y, z = "a" * 44 + "bbbbbb", "a" * 47 + "bbb", "a" * 50
+    rows = [(f"{i:03d}", k, k + "!" * (i * 7 % 40), 2010 + i % 2, False, "x", None, i) for i, k in enumerate((x, y, z, "something else") * 15)]
+    seen = compared(monkeypatch, resolve)
+    got = {r.alias: r.keeper for r in resolve.fuzzy_within_year(spark.createDataFrame(rows, RECORD)).collect()}
+    assert seen == [(4, None)]
+    want = {}
+    for year in (2010, 2011):
+        kept = []
+        for r in sorted([r for r in rows if r[3] == year], key=lambda r: (-len(r[2]), r[0])):
+            fit = next((k for k in kept if ratio(r[1], k[1]) >= 0.92), None)
+            want |= {r[0]: fit[0]} if fit else {}
+            kept += [] if fit else [r]
+    assert got == want

@@ -313,12 +313,17 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([2 * _lcs(x, y) / (len(x) + len(y)) if x and y else 0.0 for x, y in zip(a, b, strict=True)])
 
 
+def matching_blocks(a: str, b: str) -> float:
+    """Ratio by recursive longest matching blocks; 0 if either is empty."""
+    from difflib import SequenceMatcher
+
+    return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+
+
 @F.pandas_udf(T.DoubleType())
 def matching_blocks_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio by recursive longest matching blocks."""
-    from difflib import SequenceMatcher
-
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
+    return pd.Series([matching_blocks(x, y) for x, y in zip(a, b, strict=True)])
 
 
 def titles_equal(a, b, least: float = 0.9) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.dates import within_window
-from folioflow.functions.text import doi_normalize, title_clean, titles_equal
+from folioflow.functions.text import doi_normalize, matching_blocks, title_clean
 from folioflow.operators.filters import banned_terms
 from folioflow.operators.similar import similar_pairs
 from folioflow.sources.scratch import written
@@ -64,14 +64,15 @@ def barred(candidates: DataFrame, dois: DataFrame, titles: DataFrame, least: flo
     """
     norm = candidates.withColumn("_doi", doi_normalize("doi"))
     by_doi = norm.join(dois.select("unit", doi_normalize("doi").alias("_doi")).distinct(), ["unit", "_doi"], "left_semi").select("unit", "doi", F.lit("doi").alias("why"))
-    # Titles are compared once each in a unit, however many candidates have them.
-    titled = candidates.withColumn("title_norm", title_clean("title"))
-    keyed = lambda df: written(df.select("unit", "title_norm").distinct().withColumn("canonical_id", F.sha2(F.to_json(F.struct("unit", "title_norm")), 256)), "title-keys")
-    a, b = keyed(titled), keyed(titles.select("unit", title_clean("title").alias("title_norm")))
+    # Titles are compared once each in a unit, however many candidates have them. Blanks that title_clean made of other white space go, too.
+    clean = F.trim(title_clean("title")).alias("title_norm")
+    titled = candidates.withColumn("title_norm", clean)
+    # A short number names a title, as every block that the title is in gets the name as well.
+    keyed = lambda df: written(df.select("unit", "title_norm").distinct().withColumn("canonical_id", F.monotonically_increasing_id()), "title-keys")
+    a, b = keyed(titled), keyed(titles.select("unit", clean))
     # Matching blocks are a common subsequence, so the indel ratio is never below their ratio.
-    met = similar_pairs(a, b, least, ["unit"])
-    named = lambda df, c, *more: df.select(F.col("canonical_id").alias(c), F.col("title_norm").alias(f"t{c}"), *more)
-    like = met.join(named(a, "a", "unit"), "a").join(named(b, "b"), "b").where(titles_equal("ta", "tb", least)).select("unit", F.col("ta").alias("title_norm")).distinct()
+    met = similar_pairs(a, b, least, ["unit"], lambda x, y: x == y or matching_blocks(x, y) >= least)
+    like = a.join(met.select(F.col("a").alias("canonical_id")).distinct(), "canonical_id", "left_semi").select("unit", "title_norm")
     by_title = titled.join(like, ["unit", "title_norm"], "left_semi").select("unit", "doi", F.lit("title").alias("why"))
     return by_doi.unionByName(by_title).groupBy("unit", "doi").agg(F.min("why").alias("why"))
 

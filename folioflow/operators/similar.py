@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -109,17 +109,18 @@ def _met_by_letters(a: _Titles, b: _Titles, least: float) -> Iterator[tuple[np.n
             yield i[band], j[band]
 
 
-def _together(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The same pairs, TOGETHER at a time."""
+def _together(pairs: Iterator[tuple[np.ndarray, np.ndarray]], cut: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs, TOGETHER at a time, or if nothing is to be cut, at least so many."""
     held, n = [], 0
     for p in pairs:
         held.append(p)
         n += len(p[0])
         if n >= TOGETHER:
             i, j = (np.concatenate(x) for x in zip(*held, strict=True))
-            whole = n - n % TOGETHER
-            for lo in range(0, whole, TOGETHER):
-                yield i[lo : lo + TOGETHER], j[lo : lo + TOGETHER]
+            size = TOGETHER if cut else n
+            whole = n - n % size
+            for lo in range(0, whole, size):
+                yield i[lo : lo + size], j[lo : lo + size]
             held, n = [(i[whole:], j[whole:])], n - whole
     if n:
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
@@ -164,15 +165,48 @@ def _lcs_lengths(a: _Titles, b: _Titles, i: np.ndarray, j: np.ndarray) -> np.nda
     return 64 * wide - np.bitwise_count(row).sum(0, dtype=np.int64)
 
 
-def similar_in_block(ids_a: pd.Series, titles_a: pd.Series, ids_b: pd.Series, titles_b: pd.Series, least: float) -> Iterator[tuple]:
-    """(id, id) of the titles of two sides with an indel ratio of at least `least`: letters, then 2-grams, then exactly."""
-    a, b = _Titles(ids_a, titles_a), _Titles(ids_b, titles_b)
-    for i, j in _together(_met_by_grams(a, b, _together(_met_by_letters(a, b, least)), least)):
+def _similar(a: _Titles, b: _Titles, pairs: Iterator[tuple[np.ndarray, np.ndarray]], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of these pairs those that have the ratio, in their order: 2-grams, then exactly."""
+    for i, j in _together(_met_by_grams(a, b, _together(pairs), least)):
         ok = 2 * _lcs_lengths(a, b, i, j) / (a.len[i] + b.len[j]) >= least
-        yield from zip(a.ids[i[ok]], b.ids[j[ok]], strict=True)
+        yield i[ok], j[ok]
+
+
+def _first_similar(a: _Titles, b: _Titles, pairs: Iterator[tuple[np.ndarray, np.ndarray]], least: float, confirm: Callable[[str, str], bool]) -> Iterator[tuple[int, int]]:
+    """For each title of a one similar pair that is confirmed, if it has any.
+
+    All pairs of a title come together. Of each title without a pair one is tried, then four more and so on, so a title that
+    is like very many costs little more than its first, and one that is like none fails with all of its own.
+    """
+    found = np.zeros(len(a.len), bool)
+    for i, j in _together(pairs, cut=False):
+        most = 1
+        while len(i):
+            now = np.arange(len(i)) - np.searchsorted(i, i) < most
+            for some in _similar(a, b, iter([(i[now], j[now])]), least):
+                for x, y in zip(*(p.tolist() for p in some), strict=True):
+                    if not found[x] and confirm(a.titles[x], b.titles[y]):
+                        found[x] = True
+                        yield x, y
+            left = ~now & ~found[i]
+            i, j, most = i[left], j[left], most * 4
+
+
+def similar_in_block(ids_a: pd.Series, titles_a: pd.Series, ids_b: pd.Series, titles_b: pd.Series, least: float, confirm: Callable[[str, str], bool] | None = None) -> Iterator[tuple]:
+    """(id, id) of the titles of two sides with an indel ratio of at least `least`: letters, then 2-grams, then exactly.
+
+    With confirm, one pair of each title of the first side that has a confirmed one.
+    """
+    a, b = _Titles(ids_a, titles_a), _Titles(ids_b, titles_b)
+    met = _met_by_letters(a, b, least)
+    if confirm is not None:
+        yield from ((a.ids[x], b.ids[y]) for x, y in _first_similar(a, b, met, least, confirm))
+        return
+    for i, j in _similar(a, b, met, least):
+        yield from zip(a.ids[i], b.ids[j], strict=True)
 
 
-def similar_pairs(left: DataFrame, right: DataFrame | None, least: float, same: list[str] = ()) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame | None, least: float, same: list[str] = (), confirm: Callable[[str, str], bool] | None = None) -> DataFrame:
     """(a, b) of the ids (canonical_id) of left and right whose titles (title_norm) have an indel ratio of at least `least`; lossless.
 
     Without right, the pairs within left, each once, a before b. same: columns that must be equal as well. Every row is taken
@@ -212,7 +246,7 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, least: float, same:
         return out.select(*[F.col(k).alias(k) for k in keys], "id", "title").repartition(tasks, *keys)
 
     def compare(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        pairs = similar_in_block(x["id"], x["title"], y["id"], y["title"], least) if len(x) and len(y) else ()
+        pairs = similar_in_block(x["id"], x["title"], y["id"], y["title"], least, confirm) if len(x) and len(y) else ()
         if one:
             alone = key[-4] == key[-3] and key[-2] == key[-1]
             pairs = ((min(p), max(p)) for p in pairs if not alone or p[0] < p[1])

@@ -1,5 +1,6 @@
 """Similar titles: blocks against all pairs, copies, and what fuzzy passes and barred candidates make of them."""
 
+import difflib
 import random
 
 import numpy as np
@@ -111,3 +112,42 @@ def test_greedy_compares_each_title_of_a_year_once(spark, monkeypatch):
             want |= {r[0]: fit[0]} if fit else {}
             kept += [] if fit else [r]
     assert got == want
+
+
+def test_barred_does_not_multiply_near_copies(spark, monkeypatch):
+    # 120 titles of a unit are all like one another; of `apart` the common subsequence is long enough, but not the blocks.
+    monkeypatch.setattr(similar, "BLOCK_TITLES", 40)
+    monkeypatch.setattr(similar, "TOGETHER", 50)
+    near = [f"neural coding of memory and vision in the human cortex {i:03d}" for i in range(120)]
+    apart = "ab" * 20, "ba" * 20
+    rng = random.Random(4)
+    c = [(u, f"10.1/{u}{i}", t) for u in "uv" for i, t in enumerate([*near[::2], apart[0], "\tsome words", "alone", *titles(7, 40, 30)])]
+    t = [("u", x) for x in [*near[1::2], apart[1], " some  words\t", *(x[:-1] for x in titles(7, 40, 30))]] + [("v", "something else")]
+    rng.shuffle(c)
+    made = []
+
+    def counted(*given):
+        met = similar.similar_pairs(*given)
+        made.append(met.groupBy("a").count().agg({"count": "max"}).first()[0])
+        return met
+
+    monkeypatch.setattr(drafts, "similar_pairs", counted)
+    got = drafts.barred(spark.createDataFrame(c, "unit string, doi string, title string"), spark.createDataFrame([], "unit string, doi string"), spark.createDataFrame(t, "unit string, title string"))
+    clean = lambda x: " ".join(x.lower().split())
+    want = {(u, d, "title") for u, d, x in c for v, y in t if u == v and difflib.SequenceMatcher(None, clean(x), clean(y)).ratio() >= 0.9}
+    assert set(map(tuple, got.collect())) == want and len(want) > 70
+    # Once a block at most: 60 or so titles of the other side are in two slices, and lengths in three cells.
+    assert made[0] <= 6
+
+
+def test_first_confirmed_equals_all_pairs(monkeypatch):
+    monkeypatch.setattr(similar, "TOGETHER", 20)
+    monkeypatch.setattr(similar, "AT_ONCE", 64)
+    t = titles(11, 150, 30)
+    a, b = (pd.Series(range(len(t)))[k::2] for k in (0, 1))
+    sides = a, pd.Series([t[i] for i in a]), b, pd.Series([t[i] for i in b])
+    confirm = lambda x, y: (len(x) + len(y)) % 3 > 0
+    every = {(x, y) for x, y in similar.similar_in_block(*sides, 0.6) if confirm(t[x], t[y])}
+    got = list(similar.similar_in_block(*sides, 0.6, confirm))
+    assert set(got) <= every and len(got) == len(set(x for x, _ in got))
+    assert {x for x, _ in got} == {x for x, _ in every} and len(every) > len(got)

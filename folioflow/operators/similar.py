@@ -21,6 +21,8 @@ BITS, AT_ONCE, BINS = 512, 1 << 15, 1024
 PAIRS_A_TASK = 10_000_000
 #: Pairs that go through one filter together, and words that the masks or the characters of pairs take that are compared exactly together.
 TOGETHER, WORDS = 4096, 1 << 22
+#: Pairs of a title that are tried together where one of them is enough.
+FIRST = 32
 
 
 def length_band(a: Column, b: Column, least: float) -> Column:
@@ -175,12 +177,12 @@ def _similar(a: _Titles, b: _Titles, pairs: Iterator[tuple[np.ndarray, np.ndarra
 def _first_similar(a: _Titles, b: _Titles, pairs: Iterator[tuple[np.ndarray, np.ndarray]], least: float, confirm: Callable[[str, str], bool]) -> Iterator[tuple[int, int]]:
     """For each title of a one similar pair that is confirmed, if it has any.
 
-    All pairs of a title come together. Of each title without a pair one is tried, then four more and so on, so a title that
-    is like very many costs little more than its first, and one that is like none fails with all of its own.
+    All pairs of a title come together. Of each title without a pair FIRST are tried, then four times as many and so on, so a
+    title that is like very many costs little more than these, and one that is like none fails with all of its own.
     """
     found = np.zeros(len(a.len), bool)
     for i, j in _together(pairs, cut=False):
-        most = 1
+        most = FIRST
         while len(i):
             now = np.arange(len(i)) - np.searchsorted(i, i) < most
             for some in _similar(a, b, iter([(i[now], j[now])]), least):

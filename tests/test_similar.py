@@ -141,6 +141,7 @@ def test_barred_does_not_multiply_near_copies(spark, monkeypatch):
 
 
 def test_first_confirmed_equals_all_pairs(monkeypatch):
+    monkeypatch.setattr(similar, "FIRST", 1)
     monkeypatch.setattr(similar, "TOGETHER", 20)
     monkeypatch.setattr(similar, "AT_ONCE", 64)
     t = titles(11, 150, 30)
